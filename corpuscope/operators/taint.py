@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.lines import splitlines, strip
 from corpuscope.functions.text import any_regex, base_name, contains_any
+from corpuscope.operators.scan import TaintRule, scan
 from corpuscope.schema import MSG_TAINT, RULE_TAINT, TOOL_TAINT, issue_frame
 
 
@@ -78,21 +79,13 @@ def taint_flow(
     """Issues of the taint rule over a corpus ``(file, text)``."""
     _check(sensitive_patterns, entry_points, sinks)
     rx = any_regex(sensitive_patterns)
+    if form == "array":
+        gated_rows = _gated(corpus.select("file", "text"), entry_points, sinks)
+        return scan(gated_rows, [TaintRule(sensitive_patterns, entry_points, sinks)])
     gated = _gated(corpus.select("file", "text"), entry_points, sinks).select(
         "file", splitlines(F.col("text")).alias("lines")
     )
     gated = gated.where(entry_file(F.col("file"), F.col("lines"), entry_points))
-    if form == "array":
-        first = F.array_position(F.transform("lines", lambda l: l.rlike(rx)), True)
-        hits = gated.select("file", "lines", first.alias("first")).where(F.col("first") > 0)
-        numbered = F.transform("lines", lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
-        flows = hits.select(
-            "file",
-            F.explode(
-                F.filter(numbered, lambda x: (x["line"] >= F.col("first")) & contains_any(x["text"], sinks))
-            ).alias("x"),
-        ).select("file", "x.line", "x.text")
-        return _issues(flows)
     if form == "window":
         lines = gated.select("file", F.posexplode("lines").alias("pos", "text")).select(
             "file", (F.col("pos") + 1).alias("line"), "text"

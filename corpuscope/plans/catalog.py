@@ -1,7 +1,7 @@
 """Registered queries: each is ``(spark, sf_dir) -> DataFrame`` over the driver's whole tables.
 
-Parameters are chosen so the rules fire on the generated data (the tables are prose, not code);
-they are part of the query definition and mirrored exactly in ``plans/oracle.py``.
+Parameters are chosen so the rules fire on the generated data (the tables are prose and HTML,
+not code); they are part of the query definition and mirrored exactly in ``plans/oracle.py``.
 """
 
 from __future__ import annotations
@@ -11,43 +11,170 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope import schema as S
 from corpuscope.functions.lines import split_newline, splitlines
+from corpuscope.functions.text import any_regex, contains_any
 from corpuscope.operators import summary, taint
-from corpuscope.sources.tables import documents_corpus
-
-# --- query parameters (mirrored in plans/oracle.py) ---
+from corpuscope.operators.scan import (
+    DefinitionCountRule,
+    DefinitionSpec,
+    EntropyRule,
+    FileLengthRule,
+    LineRule,
+    LineRulesRule,
+    SecretPattern,
+    SecretPatternRule,
+    TaintRule,
+    complexity_proxy,
+    detect_language,
+    file_metrics,
+    parse_errors,
+    scan,
+)
+from corpuscope.operators.secrets import secret_confidence
+from corpuscope.sources.tables import documents_corpus, pages_corpus
+
+# --- query parameters (mirrored in plans/oracle.py) ---------------------------------------------
 TAINT_SENSITIVE = [r"\d+\.\d+\.\d+\.\d+", "token"]
 TAINT_ENTRIES = ["License", " and "]
 TAINT_SINKS = [" of "]
 
-# Flagship parameters that fire on the smallest table set (sf0.001).
 FLAGSHIP_SENSITIVE = [r"[\w.]+@[\w.]+"]
 FLAGSHIP_ENTRIES = [" and "]
 FLAGSHIP_SINKS = [" of "]
 
+DOC_LENGTHS = {"en": (40, 20), "fr": (30, 15), "de": (40, 20), "es": (50, 25)}
+PAGE_LINKS = {"html": DefinitionSpec(r"(?i)<a\s", 12, S.RULE_MANY_FUNCTIONS, S.MSG_MANY_FUNCTIONS)}
+MAX_BYTES = 16384
+SECRET_RULES = [SecretPattern("token", r'(token)\s*=\s*"([A-Za-z0-9_]+)"', 2)]
+ENTROPY_THRESHOLD = 3.5
+CUSTOM_RULES = [
+    LineRule("CUSTOM-TOKEN", r"token\s*=", "CRITICAL", "Affectation de jeton"),
+    LineRule("CUSTOM-LICENSE", r"[Ll]icen[sc]e", "INFO", "Mention de licence"),
+    LineRule("CUSTOM-EMAIL", r"@mail", "MEDIUM", "Adresse e-mail"),
+]
+CONFIDENCE_HIT = [r"token|\d+\.\d+\.\d+"]
+CONFIDENCE_LOW = ["License"]
+CONFIDENCE_HIGH = [r"[0-9a-f]{40}"]
+
+
+def docs(spark, sf):
+    return documents_corpus(spark, sf)
+
+
+def all_issue_rules():
+    return [
+        FileLengthRule(DOC_LENGTHS),
+        SecretPatternRule(SECRET_RULES),
+        EntropyRule(ENTROPY_THRESHOLD),
+        TaintRule(TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS),
+        LineRulesRule(CUSTOM_RULES),
+    ]
+
 
 def q_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     """P-2: lines per file with ``split('\\n')``."""
-    c = documents_corpus(spark, sf)
-    return c.select("file", F.size(split_newline(F.col("text"))).cast("bigint").alias("n_lines"))
+    return docs(spark, sf).select("file", F.size(split_newline(F.col("text"))).cast("bigint").alias("n_lines"))
 
 
 def q_splitlines_count(spark: SparkSession, sf: str) -> DataFrame:
     """P-3: lines per file with ``splitlines()`` semantics."""
-    c = documents_corpus(spark, sf)
-    return c.select("file", F.size(splitlines(F.col("text"))).cast("bigint").alias("n_lines"))
+    return docs(spark, sf).select("file", F.size(splitlines(F.col("text"))).cast("bigint").alias("n_lines"))
+
+
+def q_taint_flow(spark, sf):
+    return taint.taint_flow(docs(spark, sf), TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS)
+
+
+def q_taint_flow_window(spark, sf):
+    return taint.taint_flow(docs(spark, sf), TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS, form="window")
+
+
+def q_taint_flagship(spark, sf):
+    return taint.taint_flow(docs(spark, sf), FLAGSHIP_SENSITIVE, FLAGSHIP_ENTRIES, FLAGSHIP_SINKS)
+
+
+def q_long_files(spark, sf):
+    return scan(docs(spark, sf), [FileLengthRule(DOC_LENGTHS)])
+
+
+def q_many_definitions(spark, sf):
+    return scan(pages_corpus(spark, sf), [DefinitionCountRule(PAGE_LINKS, lang="html")])
+
+
+def q_parse_errors(spark, sf):
+    return parse_errors(docs(spark, sf), MAX_BYTES)
+
+
+def q_secret_patterns(spark, sf):
+    return scan(docs(spark, sf), [SecretPatternRule(SECRET_RULES)])
+
+
+def q_secret_entropy(spark, sf):
+    return scan(docs(spark, sf), [EntropyRule(ENTROPY_THRESHOLD)])
+
+
+def q_custom_rules(spark, sf):
+    return scan(docs(spark, sf), [LineRulesRule(CUSTOM_RULES)])
+
+
+def q_all_issues(spark, sf):
+    """U-1: every rule over documents in one pass (one read, one split per file)."""
+    return scan(docs(spark, sf), all_issue_rules())
+
+
+def q_semantic_scan(spark, sf):
+    """Semantic scan with the analysis-failure guard: oversized files yield only N999."""
+    return scan(docs(spark, sf), [FileLengthRule(DOC_LENGTHS), LineRulesRule(CUSTOM_RULES)], max_bytes=MAX_BYTES)
+
+
+def q_entry_files(spark, sf):
+    lines = splitlines(F.col("text"))
+    return docs(spark, sf).where(taint.entry_file(F.col("file"), lines, TAINT_ENTRIES)).select("file")
+
+
+def _numbered_docs(spark, sf):
+    numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
+    return docs(spark, sf).select("file", F.explode(numbered).alias("x")).select(
+        "file", F.col("x.line").cast("bigint").alias("line"), F.col("x.text").alias("text")
+    )
+
+
+def q_sensitive_lines(spark, sf):
+    rx = any_regex(TAINT_SENSITIVE)
+    d = docs(spark, sf).where(F.col("text").rlike("(?m)" + rx))
+    numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
+    return d.select("file", F.explode(F.filter(numbered, lambda x: x["text"].rlike(rx))).alias("x")).select(
+        "file", F.col("x.line").cast("bigint").alias("line")
+    )
+
+
+def q_sink_lines(spark, sf):
+    d = docs(spark, sf).where(contains_any(F.col("text"), TAINT_SINKS))
+    numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
+    return d.select("file", F.explode(F.filter(numbered, lambda x: contains_any(x["text"], TAINT_SINKS))).alias("x")).select(
+        "file", F.col("x.line").cast("bigint").alias("line")
+    )
+
+
+def q_file_metrics(spark, sf):
+    return file_metrics(docs(spark, sf))
+
+
+def q_complexity_proxy(spark, sf):
+    return complexity_proxy(docs(spark, sf))
 
 
-def q_taint_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return taint.taint_flow(documents_corpus(spark, sf), TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS)
+def q_detect_language(spark, sf):
+    return detect_language(pages_corpus(spark, sf).select("file"))
 
 
-def q_taint_flow_window(spark: SparkSession, sf: str) -> DataFrame:
-    return taint.taint_flow(documents_corpus(spark, sf), TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS, form="window")
+def q_secret_confidence(spark, sf):
+    return secret_confidence(docs(spark, sf), CONFIDENCE_HIT, CONFIDENCE_LOW, CONFIDENCE_HIGH)
 
 
-def q_taint_flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return taint.taint_flow(documents_corpus(spark, sf), FLAGSHIP_SENSITIVE, FLAGSHIP_ENTRIES, FLAGSHIP_SINKS)
+def q_severity_breakdown(spark, sf):
+    return summary.severity_breakdown(q_all_issues(spark, sf))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -55,4 +182,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "splitlines_count": q_splitlines_count,
     "taint_flow": q_taint_flow,
     "taint_flow_window": q_taint_flow_window,
+    "long_files": q_long_files,
+    "many_definitions": q_many_definitions,
+    "parse_errors": q_parse_errors,
+    "secret_patterns": q_secret_patterns,
+    "secret_entropy": q_secret_entropy,
+    "custom_rules": q_custom_rules,
+    "all_issues": q_all_issues,
+    "semantic_scan": q_semantic_scan,
+    "entry_files": q_entry_files,
+    "sensitive_lines": q_sensitive_lines,
+    "sink_lines": q_sink_lines,
+    "file_metrics": q_file_metrics,
+    "complexity_proxy": q_complexity_proxy,
+    "detect_language": q_detect_language,
+    "secret_confidence": q_secret_confidence,
+    "severity_breakdown": q_severity_breakdown,
 }

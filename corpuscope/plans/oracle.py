@@ -7,6 +7,8 @@ classes below spell out what the Spark side matches. Lists are 1-based.
 from __future__ import annotations
 
 from corpuscope import schema as S
+from corpuscope.operators import scan as SC
+from corpuscope.operators import secrets as SEC
 from corpuscope.plans import catalog as C
 
 # --- fragments ---------------------------------------------------------------------------------
@@ -42,6 +44,10 @@ def any_regex(patterns) -> str:
     return sql_str("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def any_regex_cs(patterns) -> str:
+    return sql_str("|".join(f"(?:{p})" for p in patterns))
+
+
 def contains_any(col: str, needles) -> str:
     return "(" + " OR ".join(f"contains({col}, {sql_str(n)})" for n in needles) + ")"
 
@@ -53,6 +59,29 @@ def base_name(col: str) -> str:
 ISSUE_TAIL = "CAST(NULL AS VARCHAR) AS fingerprint"
 
 
+def issue_sel(file="file", line="1", column="NULL", rule_id="NULL", severity="NULL", message="NULL",
+              tool="NULL", snippet="NULL") -> str:
+    return (
+        f"SELECT {file} AS file, CAST({line} AS BIGINT) AS line, CAST({column} AS BIGINT) AS \"column\", "
+        f"CAST({rule_id} AS VARCHAR) AS rule_id, CAST({severity} AS VARCHAR) AS severity, "
+        f"CAST({message} AS VARCHAR) AS message, CAST({tool} AS VARCHAR) AS tool, "
+        f"CAST({snippet} AS VARCHAR) AS code_snippet, {ISSUE_TAIL}"
+    )
+
+
+def lines_of(src: str = DOCS) -> str:
+    """(file, line, text) of every splitlines() line, 1-based."""
+    return (
+        f"(SELECT file, unnest(ls) AS text, unnest(generate_series(1, len(ls))) AS line "
+        f"FROM (SELECT file, {splitlines('text')} AS ls FROM {src}))"
+    )
+
+
+def values(rows, names) -> str:
+    body = ", ".join("(" + ", ".join(sql_str(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(names)}))"
+
+
 def taint_sql(sensitive, entries, sinks) -> str:
     ent_in = ", ".join(sql_str(e) for e in entries)
     return f"""
@@ -70,17 +99,160 @@ f AS (
            OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latch
   FROM x
 )
-SELECT file, CAST(line AS BIGINT) AS line, CAST(NULL AS BIGINT) AS "column",
-       'SEC004-TAINT' AS rule_id, 'CRITICAL' AS severity,
-       {sql_str(S.MSG_TAINT)} AS message, {sql_str(S.TOOL_TAINT)} AS tool,
-       {strip('text')} AS code_snippet, {ISSUE_TAIL}
+{issue_sel(line='line', rule_id=sql_str(S.RULE_TAINT), severity="'CRITICAL'", message=sql_str(S.MSG_TAINT),
+           tool=sql_str(S.TOOL_TAINT), snippet=strip('text'))}
 FROM f WHERE latch = 1 AND {contains_any('text', sinks)}
 """
 
 
+def length_sql(thresholds, src=DOCS) -> str:
+    t = values([(k, v[0], v[1]) for k, v in thresholds.items()], ["lang", "hi", "lo"])
+    too = "d.n > t.hi"
+    return f"""
+SELECT * FROM (
+{issue_sel(
+    rule_id=f"CASE WHEN {too} THEN {sql_str(S.RULE_FILE_TOO_LONG)} ELSE {sql_str(S.RULE_FILE_LONG)} END",
+    severity=f"CASE WHEN {too} THEN 'MEDIUM' ELSE 'LOW' END",
+    message=f"CASE WHEN {too} THEN printf({sql_str(S.MSG_FILE_TOO_LONG)}, d.n) ELSE printf({sql_str(S.MSG_FILE_LONG)}, d.n) END",
+    tool=sql_str(S.TOOL_SEMANTIC))}
+FROM (SELECT file, lang, len(string_split(text, chr(10))) AS n FROM {src}) d
+JOIN {t} t ON lower(d.lang) = t.lang
+WHERE d.n > t.hi OR d.n > t.lo)
+"""
+
+
+def definitions_sql(specs, lang, src=PAGES) -> str:
+    sp = specs[lang]
+    n = f"len(regexp_extract_all(text, {sql_str(sp.pattern)}))"
+    return f"""
+{issue_sel(rule_id=sql_str(sp.rule_id), severity="'LOW'", message=f"printf({sql_str(sp.message)}, {n})",
+           tool=sql_str(S.TOOL_SEMANTIC))}
+FROM {src} WHERE {n} > {sp.threshold}
+"""
+
+
+def parse_error_reason(max_bytes) -> str:
+    return (
+        f"(CASE WHEN text IS NULL THEN 'contenu illisible' "
+        f"WHEN strlen(text) > {max_bytes} THEN printf('fichier trop volumineux (%d octets > %d)', strlen(text), {max_bytes}) END)"
+    )
+
+
+def parse_errors_sql(max_bytes, src=DOCS) -> str:
+    r = parse_error_reason(max_bytes)
+    return f"""
+{issue_sel(rule_id=sql_str(S.RULE_PARSE_ERROR), severity="'INFO'", message=f"printf({sql_str(S.MSG_PARSE_ERROR)}, {r})",
+           tool=sql_str(S.TOOL_SEMANTIC))}
+FROM {src} WHERE {r} IS NOT NULL
+"""
+
+
+def secret_sql(patterns, src=DOCS) -> str:
+    parts = []
+    for p in patterns:
+        secret = f"regexp_extract(text, {sql_str(p.regex)}, {p.group})"
+        parts.append(
+            issue_sel(line="line", column=f"strpos(text, {secret})", rule_id=sql_str(S.RULE_SECRET_PREFIX + p.name),
+                      severity="'CRITICAL'", message=sql_str(S.MSG_SECRET % p.name), tool=sql_str(S.TOOL_SECRETS),
+                      snippet=strip(f"replace(text, {secret}, '***')"))
+            + f" FROM {lines_of(src)} WHERE regexp_matches(text, {sql_str(p.regex)})"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def entropy(t: str) -> str:
+    chars = f"string_split({t}, '')"
+    cnt = f"len(list_filter({chars}, lambda x: x = ch))"
+    p = f"({cnt} / len({chars}))"
+    return f"(CASE WHEN {t} IS NULL OR {t} = '' THEN 0.0 ELSE abs(list_sum(list_transform(list_distinct({chars}), lambda ch: -{p} * log2({p})))) END)"
+
+
+def entropy_sql(threshold, token_pattern, src=DOCS) -> str:
+    hot = f"list_filter(regexp_extract_all(text, {sql_str(token_pattern)}), lambda tk: {entropy('tk')} > {float(threshold)})"
+    return f"""
+{issue_sel(line="line", column="strpos(text, hot[1])", rule_id=sql_str(S.RULE_ENTROPY), severity="'HIGH'",
+           message=sql_str(S.MSG_ENTROPY), tool=sql_str(S.TOOL_SECRETS), snippet=strip('text'))}
+FROM (SELECT file, line, text, {hot} AS hot FROM {lines_of(src)} WHERE regexp_matches(text, {sql_str(token_pattern)}))
+WHERE len(hot) > 0
+"""
+
+
+def line_rules_sql(rules, src=DOCS) -> str:
+    parts = []
+    for r in rules:
+        parts.append(
+            issue_sel(line="line", rule_id=sql_str(r.rule_id), severity=sql_str(r.severity),
+                      message=sql_str(r.message or r.rule_id), tool=sql_str(r.tool), snippet=strip("text"))
+            + f" FROM {lines_of(src)} WHERE regexp_matches(text, {sql_str(r.pattern)})"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def all_issues_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"({q})"
+        for q in (
+            length_sql(C.DOC_LENGTHS),
+            secret_sql(C.SECRET_RULES),
+            entropy_sql(C.ENTROPY_THRESHOLD, SC.TOKEN_PATTERN),
+            taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS),
+            line_rules_sql(C.CUSTOM_RULES),
+        )
+    )
+
+
+SMALL_DOCS = f"(SELECT * FROM {DOCS} WHERE strlen(text) <= {C.MAX_BYTES})"
+
+
+def severity_dim_sql() -> str:
+    return values(S.SEVERITIES, ["severity", "severity_rank", "level"])
+
+
+ALL = f"({all_issues_sql()})"
+
+
+def lines_where(cond: str) -> str:
+    return f"SELECT file, CAST(line AS BIGINT) AS line FROM {lines_of()} WHERE {cond}"
+
+
+EXT_CASE = "CASE ext " + " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in SC.EXTENSION_LANG.items()) + " ELSE 'unknown' END"
+
+
 ORACLES: dict[str, str] = {
     "line_counts": f"SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {DOCS}",
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
     "taint_flow": taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS),
     "taint_flow_window": taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS),
+    "long_files": length_sql(C.DOC_LENGTHS),
+    "many_definitions": definitions_sql(C.PAGE_LINKS, "html"),
+    "parse_errors": parse_errors_sql(C.MAX_BYTES),
+    "secret_patterns": secret_sql(C.SECRET_RULES),
+    "secret_entropy": entropy_sql(C.ENTROPY_THRESHOLD, SC.TOKEN_PATTERN),
+    "custom_rules": line_rules_sql(C.CUSTOM_RULES),
+    "all_issues": all_issues_sql(),
+    "semantic_scan": f"({parse_errors_sql(C.MAX_BYTES)}) UNION ALL ({length_sql(C.DOC_LENGTHS, SMALL_DOCS)}) "
+    f"UNION ALL ({line_rules_sql(C.CUSTOM_RULES, SMALL_DOCS)})",
+    "entry_files": f"""SELECT file FROM (SELECT file, {splitlines('text')} AS ls FROM {DOCS})
+        WHERE len(ls) > 0 AND ({base_name('file')} IN ({', '.join(sql_str(e) for e in C.TAINT_ENTRIES)})
+        OR len(list_filter(ls, lambda l: {contains_any('l', C.TAINT_ENTRIES)})) > 0)""",
+    "sensitive_lines": lines_where(f"regexp_matches(text, {any_regex(C.TAINT_SENSITIVE)})"),
+    "sink_lines": lines_where(contains_any("text", C.TAINT_SINKS)),
+    "file_metrics": f"""SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+        CAST(len(regexp_extract_all(text, {sql_str(SC.DEFINITIONS['python'].pattern)})) AS BIGINT) AS n_functions,
+        CAST(len(regexp_extract_all(text, {sql_str(SC.CLASS_PATTERNS['python'])})) AS BIGINT) AS n_classes FROM {DOCS}""",
+    "complexity_proxy": f"""SELECT file, c AS complexity, c > 20 AS too_complex FROM (SELECT file,
+        CAST(1 + len(regexp_extract_all(text, {sql_str(SC.DECISION_PATTERN)})) + len(regexp_extract_all(text, {sql_str(SC.BOOLEAN_PATTERN)})) AS BIGINT) AS c
+        FROM {DOCS})""",
+    "detect_language": f"""SELECT file, ext AS extension, {EXT_CASE} AS language FROM (
+        SELECT file, lower(regexp_extract(regexp_replace(file, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM {PAGES})""",
+    "secret_confidence": f"""SELECT file, CAST(line AS BIGINT) AS line, CAST(score AS BIGINT) AS confidence,
+        CASE WHEN score < 30 THEN 'probable_false_positive' WHEN score < 70 THEN 'to_verify' ELSE 'likely' END AS band
+        FROM (SELECT file, line, CASE WHEN regexp_matches(text, {any_regex_cs(C.CONFIDENCE_HIGH)}) THEN 90
+              WHEN regexp_matches(text, {any_regex_cs(C.CONFIDENCE_LOW)}) THEN 20 ELSE 50 END AS score
+              FROM {lines_of()} WHERE regexp_matches(text, {any_regex_cs(C.CONFIDENCE_HIT)})
+              AND NOT regexp_matches(text, {any_regex_cs(SEC.SAFE_CONTEXTS)}))""",
+    "severity_breakdown": f"""SELECT d.severity, CAST(d.severity_rank AS INTEGER) AS severity_rank, d.level,
+        CAST(count(i.severity) AS BIGINT) AS n_issues
+        FROM {severity_dim_sql()} d LEFT JOIN {ALL} i ON upper(i.severity) = d.severity
+        GROUP BY d.severity, d.severity_rank, d.level""",
 }
