@@ -40,13 +40,14 @@ def severity_breakdown(issues: DataFrame) -> DataFrame:
 
 
 def scan_totals(files: DataFrame, issues: DataFrame) -> DataFrame:
-    """A-4: files analysed and issues found (plus files with at least one issue)."""
-    f = files.agg(F.count(F.lit(1)).cast("bigint").alias("files_analysed"))
-    i = issues.agg(
-        F.count(F.lit(1)).cast("bigint").alias("issues_found"),
-        F.countDistinct("file").cast("bigint").alias("files_with_issues"),
+    """A-4: files analysed, issues found and files with at least one issue, from one aggregate
+    over a tagged union (no join)."""
+    u = files.select("file", F.lit(0).alias("is_issue")).unionByName(issues.select("file", F.lit(1).alias("is_issue")))
+    return u.agg(
+        F.count_if(F.col("is_issue") == 0).cast("bigint").alias("files_analysed"),
+        F.count_if(F.col("is_issue") == 1).cast("bigint").alias("issues_found"),
+        F.countDistinct(F.when(F.col("is_issue") == 1, F.col("file"))).cast("bigint").alias("files_with_issues"),
     )
-    return f.crossJoin(i)  # 1 row x 1 row
 
 
 def severity_filter(issues: DataFrame, threshold: str = "warning") -> DataFrame:
@@ -93,35 +94,62 @@ def repo_summary(issues: DataFrame, repo_col: str = "repo") -> DataFrame:
     )
 
 
-def quality_gate(issues: DataFrame, limits: Mapping[str, Mapping[str, int]], category_col: str = "category") -> DataFrame:
-    """X-3: per category, compare counts with limits ``max_critical``, ``max_high``, ``max_medium``,
-    ``max_total``; ``passed`` is true when no limit is exceeded.
+# --- fixed values: quality gates of the roadmap configuration example ---
+QUALITY_GATES = {
+    "secrets": {"max_critical": 0, "max_high": 2, "max_total": 10},
+    "semantic": {"max_file_lines": 800, "max_complexity": 20, "max_functions": 30},
+    "taint": {"max_medium": 5, "max_high": 0},
+}
+COUNT_CHECKS = {"max_critical": "CRITICAL", "max_high": "HIGH", "max_medium": "MEDIUM", "max_total": None}
+METRIC_CHECKS = {"max_file_lines": "n_lines", "max_complexity": "complexity", "max_functions": "n_functions"}
 
-    ``limits`` is a small mapping given by the user (one entry per category), so it is inlined
-    as literals instead of being joined.
-    """
-    sev = F.upper(F.col("severity"))
-    counts = issues.groupBy(category_col).agg(
-        F.count_if(sev == "CRITICAL").cast("bigint").alias("n_critical"),
-        F.count_if(sev == "HIGH").cast("bigint").alias("n_high"),
-        F.count_if(sev == "MEDIUM").cast("bigint").alias("n_medium"),
-        F.count(F.lit(1)).cast("bigint").alias("n_total"),
-    )
 
-    def lim(key):
-        expr = F.lit(None).cast("bigint")
-        for cat, conf in limits.items():
-            if key in conf:
-                expr = F.when(F.col(category_col) == cat, F.lit(int(conf[key]))).otherwise(expr)
-        return expr
-
-    checks = []
-    for key, col in (("max_critical", "n_critical"), ("max_high", "n_high"), ("max_medium", "n_medium"), ("max_total", "n_total")):
-        checks.append(F.coalesce(F.col(col) <= lim(key), F.lit(True)))
-    passed = checks[0]
-    for c in checks[1:]:
-        passed = passed & c
-    return counts.withColumn("passed", passed)
+def quality_gate(issues: DataFrame, metrics: DataFrame | None = None,
+                 gates: Mapping[str, Mapping[str, int]] = QUALITY_GATES, category_col: str = "category") -> DataFrame:
+    """X-3: one row per check ``(category, check, value, limit, passed)``.
+
+    Count checks (``max_critical/high/medium/total``) are conditional counts per category in one
+    combinable aggregate; metric checks (``max_file_lines/complexity/functions``) are maxima over
+    the per-file ``metrics`` table. A category without issues has count 0."""
+    sev = F.upper(F.col("severity"))
+    count_cols, rows = [], []
+    for cat, conf in gates.items():
+        for check, limit in conf.items():
+            if check in COUNT_CHECKS:
+                cond = F.col(category_col) == cat
+                if COUNT_CHECKS[check]:
+                    cond = cond & (sev == COUNT_CHECKS[check])
+                alias = f"{cat}__{check}"
+                count_cols.append(F.count_if(cond).cast("bigint").alias(alias))
+                rows.append((cat, check, alias, limit))
+    parts = []
+    if count_cols:
+        agg = issues.agg(*count_cols)
+        arr = F.array(*[
+            F.struct(F.lit(c).alias("category"), F.lit(k).alias("check"), F.col(a).alias("value"),
+                     F.lit(int(lim)).cast("bigint").alias("limit"))
+            for c, k, a, lim in rows
+        ])
+        parts.append(agg.select(F.inline(arr)))
+    if metrics is not None:
+        mcols, mrows = [], []
+        for cat, conf in gates.items():
+            for check, limit in conf.items():
+                if check in METRIC_CHECKS and METRIC_CHECKS[check] in metrics.columns:
+                    alias = f"{cat}__{check}"
+                    mcols.append(F.coalesce(F.max(METRIC_CHECKS[check]), F.lit(0)).cast("bigint").alias(alias))
+                    mrows.append((cat, check, alias, limit))
+        if mcols:
+            arr = F.array(*[
+                F.struct(F.lit(c).alias("category"), F.lit(k).alias("check"), F.col(a).alias("value"),
+                         F.lit(int(lim)).cast("bigint").alias("limit"))
+                for c, k, a, lim in mrows
+            ])
+            parts.append(metrics.agg(*mcols).select(F.inline(arr)))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.withColumn("passed", F.col("value") <= F.col("limit"))
 
 
 # --- fixed values: score weights per category and pass mark (roadmap scoring section) ---

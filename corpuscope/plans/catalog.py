@@ -31,8 +31,12 @@ from corpuscope.operators.scan import (
     parse_errors,
     scan,
 )
+from corpuscope.operators import fuse as FU
 from corpuscope.operators.secrets import secret_confidence
-from corpuscope.sources.tables import documents_corpus, pages_corpus
+from corpuscope.sinks import reports as RP
+from corpuscope.sinks import sarif as SR
+from corpuscope.sources import sarif as SRC_SARIF
+from corpuscope.sources.tables import documents_corpus, pages_corpus, table
 
 # --- query parameters (mirrored in plans/oracle.py) ---------------------------------------------
 TAINT_SENSITIVE = [r"\d+\.\d+\.\d+\.\d+", "token"]
@@ -44,7 +48,7 @@ FLAGSHIP_ENTRIES = [" and "]
 FLAGSHIP_SINKS = [" of "]
 
 DOC_LENGTHS = {"en": (40, 20), "fr": (30, 15), "de": (40, 20), "es": (50, 25)}
-PAGE_LINKS = {"html": DefinitionSpec(r"(?i)<a\s", 12, S.RULE_MANY_FUNCTIONS, S.MSG_MANY_FUNCTIONS)}
+PAGE_LINKS = {"html": DefinitionSpec(r"(?i)<a\s", 5, S.RULE_MANY_FUNCTIONS, S.MSG_MANY_FUNCTIONS)}
 MAX_BYTES = 16384
 SECRET_RULES = [SecretPattern("token", r'(token)\s*=\s*"([A-Za-z0-9_]+)"', 2)]
 ENTROPY_THRESHOLD = 3.5
@@ -56,6 +60,17 @@ CUSTOM_RULES = [
 CONFIDENCE_HIT = [r"token|\d+\.\d+\.\d+"]
 CONFIDENCE_LOW = ["License"]
 CONFIDENCE_HIGH = [r"[0-9a-f]{40}"]
+TOP_K = 10
+SEVERITY_THRESHOLD = "medium"
+RULES_META = {
+    "SEC004-TAINT": {"name": "TaintFlow", "description": "Sensitive data reaches a sink",
+                     "help_uri": "https://example.org/rules/taint"},
+    "SEC001-token": {"name": "HardcodedToken", "description": "Token assigned in clear text"},
+}
+SARIF_RUN_SIZE = 100
+# Events used as a timestamped issue feed: event type -> severity (ours).
+EVENT_SEVERITY = {"error": "CRITICAL", "purchase": "HIGH", "signup": "MEDIUM", "click": "LOW", "view": "INFO"}
+RELATIVE_ROOT = "https://"
 
 
 def docs(spark, sf):
@@ -177,6 +192,130 @@ def q_severity_breakdown(spark, sf):
     return summary.severity_breakdown(q_all_issues(spark, sf))
 
 
+def all_issues_repo(spark, sf):
+    """All issues with the repository (document source) and scoring category attached."""
+    return scan(docs(spark, sf), all_issue_rules(), keep=["repo"]).withColumn("category", FU.category(F.col("tool")))
+
+
+def event_issues(spark, sf):
+    ev = table(spark, sf, "events")
+    sev = F.lit("INFO")
+    for k, v in EVENT_SEVERITY.items():
+        sev = F.when(F.col("event_type") == k, F.lit(v)).otherwise(sev)
+    return ev.select(
+        "event_id", "ts",
+        F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("file"),
+        F.col("event_type").alias("rule_id"), sev.alias("severity"), F.col("props").alias("message"),
+    )
+
+
+def q_scan_totals(spark, sf):
+    return summary.scan_totals(docs(spark, sf), q_all_issues(spark, sf))
+
+
+def q_issue_rollup(spark, sf):
+    return summary.issue_rollup(q_all_issues(spark, sf))
+
+
+def q_top_issues(spark, sf):
+    order = [F.lower("file"), F.col("file"), F.col("line"), F.coalesce("column", F.lit(0)), F.col("rule_id"),
+             F.col("message"), F.coalesce("code_snippet", F.lit(""))]
+    t = summary.top_issues(q_all_issues(spark, sf), TOP_K, order)
+    return t.select("severity", "rank_in_severity", "file", "line", "rule_id", "message", "severity_total", "remaining")
+
+
+def q_repo_summary(spark, sf):
+    return summary.repo_summary(all_issues_repo(spark, sf))
+
+
+def q_quality_gate(spark, sf):
+    d = docs(spark, sf)
+    text = F.col("text")
+    from corpuscope.operators.scan import BOOLEAN_PATTERN, DECISION_PATTERN, DEFINITIONS
+
+    metrics = d.select(
+        F.size(split_newline(text)).alias("n_lines"),
+        F.regexp_count(text, F.lit(DEFINITIONS["python"].pattern)).alias("n_functions"),
+        (F.lit(1) + F.regexp_count(text, F.lit(DECISION_PATTERN)) + F.regexp_count(text, F.lit(BOOLEAN_PATTERN))).alias("complexity"),
+    )
+    return summary.quality_gate(all_issues_repo(spark, sf), metrics)
+
+
+def q_composite_score(spark, sf):
+    return summary.composite_score(docs(spark, sf), all_issues_repo(spark, sf))
+
+
+def q_severity_level(spark, sf):
+    e = event_issues(spark, sf)
+    return e.select("event_id", "severity", S.sarif_level(F.col("severity")).alias("level"))
+
+
+def q_severity_threshold(spark, sf):
+    return summary.severity_filter(event_issues(spark, sf), SEVERITY_THRESHOLD).select("event_id", "severity")
+
+
+def q_dedupe_issues(spark, sf):
+    """U-4: two overlapping runs (all rules; secret + rule-table rules again) deduplicated."""
+    d = docs(spark, sf)
+    again = scan(d, [SecretPatternRule(SECRET_RULES), LineRulesRule(CUSTOM_RULES)])
+    return FU.dedupe(q_all_issues(spark, sf).unionByName(again))
+
+
+def fuse_input(spark, sf):
+    """Two reports from one scan: report 0 = MEDIUM/LOW/INFO, report 1 = CRITICAL/HIGH; the rule id
+    is reduced to its family so that both reports conflict on the same lines."""
+    i = q_all_issues(spark, sf)
+    return i.select(
+        "file", "line", "column",
+        F.regexp_extract("rule_id", "^([A-Z]+)", 1).alias("rule_id"),
+        "severity", "message", "tool", "code_snippet",
+        F.when(F.col("severity").isin("CRITICAL", "HIGH"), F.lit(1)).otherwise(F.lit(0)).alias("source_ord"),
+    )
+
+
+def q_fuse_keep_first(spark, sf):
+    return FU.fuse(fuse_input(spark, sf), "keep-first")
+
+
+def q_fuse_overwrite(spark, sf):
+    return FU.fuse(fuse_input(spark, sf), "overwrite")
+
+
+def q_fuse_merge(spark, sf):
+    return FU.fuse(fuse_input(spark, sf), "merge-conflicts")
+
+
+def q_baseline_diff(spark, sf):
+    i = FU.with_fingerprint(q_all_issues(spark, sf))
+    before = i.where(F.col("severity") != "HIGH")
+    after = i.where(F.col("severity") != "CRITICAL")
+    return FU.baseline_diff(before, after)
+
+
+def q_sarif_results(spark, sf):
+    return SR.sarif_results(q_all_issues(spark, sf))
+
+
+def q_sarif_rules(spark, sf):
+    return SR.sarif_rules(q_all_issues(spark, sf), RULES_META)
+
+
+def q_sarif_roundtrip(spark, sf):
+    """SNK-1 then SRC-5: issues -> bounded SARIF logs (JSON text) -> parsed back to results."""
+    logs = SR.sarif_logs(q_all_issues(spark, sf), rules_meta=RULES_META, max_results=SARIF_RUN_SIZE)
+    return SRC_SARIF.parse_sarif(logs).drop("tool")
+
+
+def q_issue_report_lines(spark, sf):
+    return RP.issue_report_lines(q_all_issues(spark, sf), docs(spark, sf))
+
+
+def q_relative_path(spark, sf):
+    from corpuscope.functions.paths import relative_path
+
+    return pages_corpus(spark, sf).select("file", relative_path(F.col("file"), RELATIVE_ROOT).alias("relative"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -198,4 +337,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_language": q_detect_language,
     "secret_confidence": q_secret_confidence,
     "severity_breakdown": q_severity_breakdown,
+    "scan_totals": q_scan_totals,
+    "issue_rollup": q_issue_rollup,
+    "top_issues": q_top_issues,
+    "repo_summary": q_repo_summary,
+    "quality_gate": q_quality_gate,
+    "composite_score": q_composite_score,
+    "severity_level": q_severity_level,
+    "severity_threshold": q_severity_threshold,
+    "dedupe_issues": q_dedupe_issues,
+    "fuse_keep_first": q_fuse_keep_first,
+    "fuse_overwrite": q_fuse_overwrite,
+    "fuse_merge": q_fuse_merge,
+    "baseline_diff": q_baseline_diff,
+    "sarif_results": q_sarif_results,
+    "sarif_rules": q_sarif_rules,
+    "sarif_roundtrip": q_sarif_roundtrip,
+    "issue_report_lines": q_issue_report_lines,
+    "relative_path": q_relative_path,
 }

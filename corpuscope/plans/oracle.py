@@ -9,7 +9,9 @@ from __future__ import annotations
 from corpuscope import schema as S
 from corpuscope.operators import scan as SC
 from corpuscope.operators import secrets as SEC
+from corpuscope.operators import summary as SM
 from corpuscope.plans import catalog as C
+from corpuscope.sinks import reports as RP
 
 # --- fragments ---------------------------------------------------------------------------------
 
@@ -78,7 +80,12 @@ def lines_of(src: str = DOCS) -> str:
 
 
 def values(rows, names) -> str:
-    body = ", ".join("(" + ", ".join(sql_str(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    def lit(v):
+        if v is None:
+            return "NULL"
+        return sql_str(v) if isinstance(v, str) else str(v)
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(names)}))"
 
 
@@ -218,6 +225,95 @@ def lines_where(cond: str) -> str:
 EXT_CASE = "CASE ext " + " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in SC.EXTENSION_LANG.items()) + " ELSE 'unknown' END"
 
 
+
+CATEGORY = (f"CASE tool WHEN {sql_str(S.TOOL_SECRETS)} THEN 'secrets' WHEN {sql_str(S.TOOL_SEMANTIC)} THEN 'semantic' "
+            f"WHEN {sql_str(S.TOOL_TAINT)} THEN 'taint' ELSE 'codeql' END")
+ALL_REPO = f"(SELECT *, regexp_extract(file, '^([^/]+)/', 1) AS repo, {CATEGORY} AS category FROM {ALL})"
+LEVEL = "CASE WHEN upper(severity) IN ('CRITICAL', 'HIGH') THEN 'error' WHEN upper(severity) = 'MEDIUM' THEN 'warning' ELSE 'note' END"
+RANK = "CASE upper(severity) " + " ".join(f"WHEN '{n}' THEN {r}" for n, r, _ in S.SEVERITIES) + f" ELSE {len(S.SEVERITIES)} END"
+REPORT_ORDER = "lower(file), file, coalesce(line, 0), coalesce(\"column\", 0), rule_id, message"
+
+
+def fingerprint_sql() -> str:
+    parts = ", ".join(f"coalesce(CAST({'\"column\"' if c == 'column' else c} AS VARCHAR), '')" for c in ("file", "line", "column", "rule_id", "severity", "message"))
+    return f"sha256(concat_ws(chr(31), {parts}))"
+
+
+def quality_gate_sql() -> str:
+    metric_expr = {
+        "max_file_lines": "len(string_split(text, chr(10)))",
+        "max_functions": f"len(regexp_extract_all(text, {sql_str(SC.DEFINITIONS['python'].pattern)}))",
+        "max_complexity": f"1 + len(regexp_extract_all(text, {sql_str(SC.DECISION_PATTERN)})) + len(regexp_extract_all(text, {sql_str(SC.BOOLEAN_PATTERN)}))",
+    }
+    parts = []
+    for cat, conf in SM.QUALITY_GATES.items():
+        for check, limit in conf.items():
+            if check in SM.COUNT_CHECKS:
+                cond = f"category = '{cat}'"
+                if SM.COUNT_CHECKS[check]:
+                    cond += f" AND upper(severity) = '{SM.COUNT_CHECKS[check]}'"
+                v = f"(SELECT count(*) FROM {ALL_REPO} WHERE {cond})"
+            else:
+                v = f"(SELECT coalesce(max({metric_expr[check]}), 0) FROM {DOCS})"
+            parts.append(f"SELECT '{cat}' AS category, '{check}' AS \"check\", CAST({v} AS BIGINT) AS value, CAST({limit} AS BIGINT) AS \"limit\"")
+    return "SELECT *, value <= \"limit\" AS passed FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def composite_sql() -> str:
+    pen = "CASE upper(severity) " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in SM.SEVERITY_PENALTY.items()) + " ELSE 0.0 END"
+    pens = ", ".join(f"sum(CASE WHEN category = '{c}' THEN {pen} ELSE 0.0 END) AS pen_{c}" for c in SM.SCORE_WEIGHTS)
+    score = "0.0"
+    for c, w in SM.SCORE_WEIGHTS.items():
+        score = f"({score} + {float(w)} * greatest(0.0, 100.0 - coalesce(p.pen_{c}, 0.0) / f.n_files))"
+    return f"""SELECT f.repo, f.n_files, round({score}, 4) AS score, round({score}, 4) >= {float(SM.PASSING_SCORE)} AS passed
+FROM (SELECT source AS repo, CAST(count(*) AS BIGINT) AS n_files FROM documents GROUP BY source) f
+LEFT JOIN (SELECT repo, {pens} FROM {ALL_REPO} GROUP BY repo) p ON f.repo = p.repo"""
+
+
+EVENT_SEV = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.EVENT_SEVERITY.items()) + " ELSE 'INFO' END"
+EVENTS = f"(SELECT event_id, ts, 'user/' || CAST(user_id AS VARCHAR) AS file, event_type AS rule_id, {EVENT_SEV} AS severity, props AS message FROM events)"
+FUSE_IN = (f"(SELECT file, line, \"column\", regexp_extract(rule_id, '^([A-Z]+)', 1) AS rule_id, severity, message, tool, "
+           f"code_snippet, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 1 ELSE 0 END AS source_ord FROM {ALL})")
+
+
+def fuse_pick_sql(fn: str) -> str:
+    return f"""SELECT file, line, "column", rule_id, r.severity, r.message, r.tool, r.code_snippet, r.source_ord FROM (
+SELECT file, line, "column", rule_id,
+  {fn}({{'severity': severity, 'message': message, 'tool': tool, 'code_snippet': code_snippet, 'source_ord': source_ord}},
+       (source_ord, message)) AS r
+FROM {FUSE_IN} GROUP BY file, line, "column", rule_id)"""
+
+
+SARIF_RESULTS = f"""SELECT rule_id, {LEVEL} AS level, message,
+  CASE WHEN starts_with(file, '/') AND NOT starts_with(file, '//') THEN ltrim(file, '/') ELSE file END AS uri,
+  CAST(coalesce(line, 1) AS BIGINT) AS start_line, CAST(coalesce("column", 1) AS BIGINT) AS start_column FROM {ALL}"""
+
+
+def sarif_rules_sql() -> str:
+    meta = values([(k, v.get("name"), v.get("description"), v.get("help_uri")) for k, v in C.RULES_META.items()],
+                  ["rid", "name", "description", "help_uri"])
+    return f"""SELECT r.rule_id, coalesce(m.name, r.rule_id) AS name, coalesce(m.description, r.first_message) AS description,
+  CAST(m.help_uri AS VARCHAR) AS help_uri
+FROM (SELECT rule_id, arg_min(message, ({REPORT_ORDER})) AS first_message FROM {ALL} GROUP BY rule_id) r
+LEFT JOIN {meta} m ON m.rid = r.rule_id"""
+
+
+def report_lines_sql() -> str:
+    dim = severity_dim_sql()
+    counts = f"(SELECT d.severity, d.severity_rank, count(i.severity) AS n FROM {dim} d LEFT JOIN {ALL} i ON upper(i.severity) = d.severity GROUP BY d.severity, d.severity_rank)"
+    fixed = values([(0, 1, RP.RULE_LINE), (0, 2, RP.DEFAULT_TITLE), (0, 3, RP.RULE_LINE)], ["section", "seq", "text"])
+    body = f"""SELECT {RANK} + 1 AS section, row_number() OVER (PARTITION BY upper(severity) ORDER BY {REPORT_ORDER}, coalesce(code_snippet, '')) AS seq,
+      upper(severity) AS sev, rule_id, file, line, message FROM {ALL}"""
+    return f"""SELECT CAST(section AS BIGINT) AS section, CAST(seq AS BIGINT) AS seq, text FROM (
+  SELECT section, seq, text FROM {fixed}
+  UNION ALL SELECT 0, 4, printf('Fichiers analyses: %d', (SELECT count(*) FROM documents))
+  UNION ALL SELECT 0, 5, printf('Issues detectees: %d', (SELECT count(*) FROM {ALL}))
+  UNION ALL SELECT 0, severity_rank + 6, printf('%s: %d', severity, n) FROM {counts}
+  UNION ALL SELECT severity_rank + 1, 0, printf('--- %s (%d) ---', severity, n) FROM {counts} WHERE n > 0
+  UNION ALL SELECT section, seq, printf({sql_str(RP.ISSUE_LINE)}, sev, seq, rule_id, file, coalesce(CAST(line AS VARCHAR), 'None'), message) FROM ({body})
+)"""
+
+
 ORACLES: dict[str, str] = {
     "line_counts": f"SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {DOCS}",
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
@@ -255,4 +351,38 @@ ORACLES: dict[str, str] = {
         CAST(count(i.severity) AS BIGINT) AS n_issues
         FROM {severity_dim_sql()} d LEFT JOIN {ALL} i ON upper(i.severity) = d.severity
         GROUP BY d.severity, d.severity_rank, d.level""",
+    "scan_totals": f"""SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS files_analysed, CAST(count(*) AS BIGINT) AS issues_found,
+        CAST(count(DISTINCT file) AS BIGINT) AS files_with_issues FROM {ALL}""",
+    "issue_rollup": f"""SELECT tool, rule_id, CAST(count(*) AS BIGINT) AS n_issues, CAST(count(DISTINCT file) AS BIGINT) AS n_files,
+        CAST(GROUPING(tool, rule_id) AS INTEGER) AS level FROM {ALL} GROUP BY ROLLUP (tool, rule_id)""",
+    "top_issues": f"""SELECT severity, CAST(rk AS BIGINT) AS rank_in_severity, file, line, rule_id, message, CAST(tot AS BIGINT) AS severity_total,
+        CAST(greatest(tot - {C.TOP_K}, 0) AS BIGINT) AS remaining FROM (
+        SELECT *, row_number() OVER (PARTITION BY severity ORDER BY lower(file), file, line, coalesce("column", 0), rule_id, message, coalesce(code_snippet, '')) AS rk,
+        count(*) OVER (PARTITION BY severity) AS tot FROM {ALL}) WHERE rk <= {C.TOP_K}""",
+    "repo_summary": f"""SELECT repo, severity, CAST(count(*) AS BIGINT) AS n_issues, CAST(count(DISTINCT file) AS BIGINT) AS n_files
+        FROM {ALL_REPO} GROUP BY repo, severity""",
+    "quality_gate": quality_gate_sql(),
+    "composite_score": composite_sql(),
+    "severity_level": f"SELECT event_id, severity, {LEVEL} AS level FROM {EVENTS}",
+    "severity_threshold": f"SELECT event_id, severity FROM {EVENTS} WHERE {RANK} <= 2",
+    "dedupe_issues": f"""SELECT DISTINCT file, line, "column", rule_id, severity, message, tool, code_snippet, {fingerprint_sql()} AS fingerprint
+        FROM ({ALL} UNION ALL ({secret_sql(C.SECRET_RULES)}) UNION ALL ({line_rules_sql(C.CUSTOM_RULES)}))""",
+    "fuse_keep_first": fuse_pick_sql("arg_min"),
+    "fuse_overwrite": fuse_pick_sql("arg_max"),
+    "fuse_merge": f"""SELECT file, line, "column", rule_id, arg_min(upper(severity), {RANK}) AS severity,
+        array_to_string(list_sort(list_distinct(list(message))), ' | ') AS message,
+        array_to_string(list_sort(list_distinct(list(tool))), ',') AS tool,
+        CAST(count(DISTINCT source_ord) AS BIGINT) AS n_reports FROM {FUSE_IN} GROUP BY file, line, "column", rule_id""",
+    "baseline_diff": f"""WITH i AS (SELECT * EXCLUDE (fingerprint), {fingerprint_sql()} AS fingerprint FROM {ALL}),
+        u AS (SELECT fingerprint, file, line, rule_id, 1 AS b, 0 AS a FROM i WHERE severity <> 'HIGH'
+              UNION ALL SELECT fingerprint, file, line, rule_id, 0, 1 FROM i WHERE severity <> 'CRITICAL')
+        SELECT fingerprint, min(file) AS file, min(line) AS line, min(rule_id) AS rule_id,
+        CASE WHEN max(a) = 1 AND max(b) = 1 THEN 'unchanged' WHEN max(a) = 1 THEN 'new' ELSE 'fixed' END AS status
+        FROM u GROUP BY fingerprint""",
+    "sarif_results": SARIF_RESULTS,
+    "sarif_rules": sarif_rules_sql(),
+    "sarif_roundtrip": SARIF_RESULTS,
+    "issue_report_lines": report_lines_sql(),
+    "relative_path": f"""SELECT file, CASE WHEN starts_with(file, {sql_str(C.RELATIVE_ROOT)}) THEN substr(file, {len(C.RELATIVE_ROOT) + 1})
+        WHEN regexp_extract(file, '([^/]*)$', 1) <> '' THEN regexp_extract(file, '([^/]*)$', 1) ELSE file END AS relative FROM {PAGES}""",
 }
