@@ -71,6 +71,14 @@ SARIF_RUN_SIZE = 100
 # Events used as a timestamped issue feed: event type -> severity (ours).
 EVENT_SEVERITY = {"error": "CRITICAL", "purchase": "HIGH", "signup": "MEDIUM", "click": "LOW", "view": "INFO"}
 RELATIVE_ROOT = "https://"
+# Byte corpus derived from documents: these repositories are stored in Latin-1 / with a BOM.
+LATIN1_REPOS = ["src3", "src7", "src11"]
+BOM_REPOS = ["src5"]
+DUP_K = 3
+PATH_GLOBS = ["src1*/1*.md", "*/2?.md"]
+EXCLUDE_GLOBS = ["src1/*", "src1?/*"]
+PAGE_SUFFIX = ".HTML"
+TREND_WINDOW = "1 day"
 
 
 def docs(spark, sf):
@@ -316,6 +324,109 @@ def q_relative_path(spark, sf):
     return pages_corpus(spark, sf).select("file", relative_path(F.col("file"), RELATIVE_ROOT).alias("relative"))
 
 
+def doc_bytes(spark, sf):
+    """Documents as raw files: UTF-8, except Latin-1 repositories (when every character fits)
+    and BOM-prefixed repositories."""
+    d = docs(spark, sf)
+    fits = F.col("text").rlike("^[\\x00-\\xFF]*$")
+    content = (
+        F.when(F.col("repo").isin(BOM_REPOS), F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(F.col("repo").isin(LATIN1_REPOS) & fits, F.encode("text", "ISO-8859-1"))
+        .otherwise(F.encode("text", "UTF-8"))
+    )
+    return d.select("file", content.alias("content"))
+
+
+def page_bytes(spark, sf):
+    return pages_corpus(spark, sf).select("file", F.encode("text", "UTF-8").alias("content"))
+
+
+def q_encoding_detect(spark, sf):
+    from corpuscope.functions.encoding import detect_encoding
+
+    return doc_bytes(spark, sf).select("file", detect_encoding(F.col("content")).alias("d")).select("file", "d.*")
+
+
+def q_encoding_issues(spark, sf):
+    from corpuscope.operators import repair as RE
+
+    return RE.encoding_issues(RE.check_encoding(doc_bytes(spark, sf)))
+
+
+def q_encoding_summary(spark, sf):
+    from corpuscope.operators import repair as RE
+
+    return RE.encoding_summary(RE.check_encoding(doc_bytes(spark, sf)))
+
+
+def q_encoding_report(spark, sf):
+    from corpuscope.operators import repair as RE
+
+    return RE.encoding_report_lines(RE.check_encoding(doc_bytes(spark, sf)))
+
+
+def q_entities_decoded(spark, sf):
+    from corpuscope.functions.repair import decode_entities
+
+    p = pages_corpus(spark, sf).select("file", decode_entities(F.col("text")).alias("e"))
+    return p.select("file", F.md5(F.col("e.text")).alias("digest"), F.length("e.text").cast("bigint").alias("n_chars"),
+                    F.col("e.error").alias("error"))
+
+
+def q_links_encoded(spark, sf):
+    from corpuscope.functions.repair import HTML_LINK, quote_url_udf
+
+    rx = "(?i)" + HTML_LINK.pattern
+    p = pages_corpus(spark, sf).select("file", F.posexplode(F.regexp_extract_all("text", F.lit(rx), 2)).alias("pos", "href"))
+    return p.select("file", (F.col("pos") + 1).cast("bigint").alias("n"), "href", quote_url_udf(F.col("href")).alias("encoded"))
+
+
+def q_fill_empty(spark, sf):
+    from corpuscope.functions.repair import fill_empty
+    from corpuscope.sources.tables import conversation_lines
+
+    c = conversation_lines(spark, sf)
+    after = fill_empty(F.col("text"))
+    return c.select("file", "line", (after != F.col("text")).alias("filled"), F.md5(after).alias("digest"))
+
+
+def q_repair_dry_run(spark, sf):
+    from corpuscope.operators import repair as RE
+
+    r = RE.repair(page_bytes(spark, sf), dry_run=True)
+    return r.select("file", "encoding", "confidence", "success", "changed", "message")
+
+
+def q_duplicate_blocks(spark, sf):
+    from corpuscope.operators.duplicates import duplicate_blocks
+
+    return duplicate_blocks(docs(spark, sf), DUP_K)
+
+
+def q_corpus_paths(spark, sf):
+    from corpuscope.sources.files import filter_paths
+
+    return filter_paths(docs(spark, sf).select("file"), PATH_GLOBS).orderBy(F.lower("file"), F.col("file"))
+
+
+def q_corpus_exclude(spark, sf):
+    from corpuscope.sources.files import exclude_paths
+
+    return exclude_paths(docs(spark, sf).select("file"), EXCLUDE_GLOBS)
+
+
+def q_corpus_suffix(spark, sf):
+    from corpuscope.sources.files import suffix_filter
+
+    return suffix_filter(pages_corpus(spark, sf).select("file"), PAGE_SUFFIX)
+
+
+def q_issue_trend(spark, sf):
+    from corpuscope.streaming.trend import issue_trend
+
+    return issue_trend(event_issues(spark, sf), TREND_WINDOW)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -355,4 +466,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sarif_roundtrip": q_sarif_roundtrip,
     "issue_report_lines": q_issue_report_lines,
     "relative_path": q_relative_path,
+    "encoding_detect": q_encoding_detect,
+    "encoding_issues": q_encoding_issues,
+    "encoding_summary": q_encoding_summary,
+    "encoding_report": q_encoding_report,
+    "entities_decoded": q_entities_decoded,
+    "links_encoded": q_links_encoded,
+    "fill_empty": q_fill_empty,
+    "repair_dry_run": q_repair_dry_run,
+    "duplicate_blocks": q_duplicate_blocks,
+    "corpus_paths": q_corpus_paths,
+    "corpus_exclude": q_corpus_exclude,
+    "corpus_suffix": q_corpus_suffix,
+    "issue_trend": q_issue_trend,
 }

@@ -314,6 +314,83 @@ def report_lines_sql() -> str:
 )"""
 
 
+
+LATIN1_FITS = r"regexp_matches(text, '^[\x00-\x{FF}]*$')"
+# UTF-8 validity of the Latin-1 bytes of ``text`` (each character is one byte)
+VALID_AS_LATIN1 = (r"'^(?:[\x00-\x7F]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]"
+                   r"|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]"
+                   r"|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2})*$'")
+
+
+def in_list(col, vals):
+    return f"{col} IN ({', '.join(sql_str(v) for v in vals)})"
+
+
+DETECT = f"""(SELECT file,
+  CASE WHEN {in_list('repo', C.BOM_REPOS)} THEN 'UTF-8-SIG' WHEN text = '' THEN NULL
+       WHEN strlen(text) = length(text) THEN 'ascii'
+       WHEN {in_list('repo', C.LATIN1_REPOS)} AND {LATIN1_FITS} THEN
+            CASE WHEN regexp_matches(text, {VALID_AS_LATIN1}) THEN 'utf-8' ELSE 'ISO-8859-1' END
+       ELSE 'utf-8' END AS encoding,
+  CASE WHEN {in_list('repo', C.BOM_REPOS)} THEN 1.0 WHEN text = '' THEN 0.0
+       WHEN strlen(text) = length(text) THEN 1.0
+       WHEN {in_list('repo', C.LATIN1_REPOS)} AND {LATIN1_FITS} THEN
+            CASE WHEN regexp_matches(text, {VALID_AS_LATIN1}) THEN 0.99 ELSE 0.5 END
+       ELSE 0.99 END AS confidence
+FROM {DOCS})"""
+CHECKED = f"""(SELECT *, coalesce((encoding IS NOT NULL AND upper(encoding) NOT IN ('UTF-8', 'UTF8', 'ASCII')) OR confidence < 0.7, false) AS is_issue FROM {DETECT})"""
+SUMMARY = f"""(SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE NOT is_issue) AS BIGINT) AS ok_count,
+  CAST(count(*) FILTER (WHERE is_issue) AS BIGINT) AS issues_count,
+  round(100.0 * count(*) FILTER (WHERE NOT is_issue) / count(*), 1) AS ok_pct,
+  round(100.0 * count(*) FILTER (WHERE is_issue) / count(*), 1) AS issues_pct FROM {CHECKED})"""
+
+
+def encoding_report_sql():
+    fixed = values([(0, 1, "=" * 80), (0, 2, "RAPPORT DE VERIFICATION D'ENCODAGE UTF-8 - corpuscope"), (0, 3, "=" * 80),
+                    (1, 0, "FICHIERS A CORRIGER"), (1, 1, "-" * 80)], ["section", "seq", "text"])
+    return f"""SELECT CAST(section AS BIGINT) AS section, CAST(seq AS BIGINT) AS seq, text FROM (
+  SELECT * FROM {fixed}
+  UNION ALL SELECT 0, 4, printf('Fichiers analyses: %d', total) FROM {SUMMARY}
+  UNION ALL SELECT 0, 5, printf('Fichiers conformes: %d (%.1f%%)', ok_count, coalesce(ok_pct, 0.0)) FROM {SUMMARY}
+  UNION ALL SELECT 0, 6, printf('Fichiers a corriger: %d (%.1f%%)', issues_count, coalesce(issues_pct, 0.0)) FROM {SUMMARY}
+  UNION ALL SELECT 2, n, printf('[%d] Fichier: %s | Encodage: %s | Confiance: %d%% | %s', n, file, coalesce(encoding, 'inconnu'),
+                         CAST(round(confidence * 100) AS INTEGER), 'WARNING')
+     FROM (SELECT *, row_number() OVER (ORDER BY lower(file), file) AS n FROM {CHECKED} WHERE is_issue))"""
+
+
+ENTITY_REPLACE = "replace(replace(replace(replace(text, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+HTML_LINK_SQL = sql_str(r"""(?i)(<(?:a|img)\s[^>]*?(?:href|src)\s*=\s*['"])([^'"]*)(['"][^>]*?>)""")
+MD_LINK_SQL = sql_str(r"(!?\[[^\]]*\]\()([^)]+)(\))")
+SAFE_RESTORE = [("%2F", "/"), ("%3A", ":"), ("%3F", "?"), ("%23", "#"), ("%5B", "["), ("%5D", "]"), ("%40", "@"),
+                ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2A", "*"),
+                ("%2B", "+"), ("%2C", ","), ("%3B", ";"), ("%3D", "=")]
+
+
+def quote_sql(u: str) -> str:
+    e = f"url_encode({u})"
+    for a, b in SAFE_RESTORE:
+        e = f"replace({e}, {sql_str(a)}, {sql_str(b)})"
+    return f"(CASE WHEN contains({u}, '%') THEN {u} ELSE {e} END)"
+
+
+BLANK = f"regexp_matches(text, '^{WS_CLASS}*$')"
+
+
+def dup_blocks_sql(k):
+    return f"""WITH l AS (SELECT file, string_split(text, chr(10)) AS ls FROM {DOCS}),
+w AS (SELECT file, ls, unnest(generate_series(1, len(ls) - {k - 1})) AS line FROM l WHERE len(ls) >= {k}),
+b AS (SELECT file, line, array_to_string(ls[line:line + {k - 1}], chr(10)) AS block FROM w),
+f AS (SELECT md5(block) AS block_hash, file, count(*) AS occ, min(line) AS first_line FROM b WHERE {strip('block')} <> '' GROUP BY 1, 2)
+SELECT block_hash, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(occ) AS BIGINT) AS n_occurrences, min(file) AS first_file,
+  CAST(arg_min(first_line, file) AS BIGINT) AS first_line FROM f GROUP BY block_hash HAVING count(*) >= 2"""
+
+
+def glob_rx(patterns, hidden=False):
+    from corpuscope.sources.globs import globs_to_regex
+
+    return sql_str(globs_to_regex(patterns, hidden))
+
+
 ORACLES: dict[str, str] = {
     "line_counts": f"SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {DOCS}",
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
@@ -385,4 +462,28 @@ ORACLES: dict[str, str] = {
     "issue_report_lines": report_lines_sql(),
     "relative_path": f"""SELECT file, CASE WHEN starts_with(file, {sql_str(C.RELATIVE_ROOT)}) THEN substr(file, {len(C.RELATIVE_ROOT) + 1})
         WHEN regexp_extract(file, '([^/]*)$', 1) <> '' THEN regexp_extract(file, '([^/]*)$', 1) ELSE file END AS relative FROM {PAGES}""",
+    "encoding_detect": f"SELECT * FROM {DETECT}",
+    "encoding_issues": f"SELECT file, encoding, confidence, 'WARNING' AS status FROM {CHECKED} WHERE is_issue",
+    "encoding_summary": f"SELECT * FROM {SUMMARY}",
+    "encoding_report": encoding_report_sql(),
+    "entities_decoded": f"""SELECT file, md5({ENTITY_REPLACE}) AS digest, CAST(length({ENTITY_REPLACE}) AS BIGINT) AS n_chars,
+        CAST(NULL AS VARCHAR) AS error FROM {PAGES}""",
+    "links_encoded": f"""SELECT file, CAST(n AS BIGINT) AS n, href, {quote_sql('href')} AS encoded FROM (
+        SELECT file, unnest(hs) AS href, unnest(generate_series(1, len(hs))) AS n FROM (
+        SELECT file, regexp_extract_all(text, {HTML_LINK_SQL}, 2) AS hs FROM {PAGES}))""",
+    "fill_empty": f"""SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS BIGINT) AS line, {BLANK} AS filled,
+        md5(CASE WHEN {BLANK} THEN {sql_str(chr(60) + '!-- À compléter -->' + chr(10))} ELSE text END) AS digest FROM conversations""",
+    "repair_dry_run": f"""SELECT file, CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'utf-8' END AS encoding,
+        CASE WHEN strlen(text) = length(text) THEN 1.0 ELSE 0.99 END AS confidence, true AS success, changed,
+        CASE WHEN changed THEN '🔧 (dry-run) [contenu modifié]' ELSE 'ok (déjà conforme)' END AS message FROM (
+        SELECT file, text, ({ENTITY_REPLACE} <> text
+          OR len(list_filter(regexp_extract_all({ENTITY_REPLACE}, {HTML_LINK_SQL}, 2), lambda u: {quote_sql('u')} <> u)) > 0
+          OR len(list_filter(regexp_extract_all({ENTITY_REPLACE}, {MD_LINK_SQL}, 2), lambda u: {quote_sql('u')} <> u)) > 0) AS changed
+        FROM {PAGES})""",
+    "duplicate_blocks": dup_blocks_sql(C.DUP_K),
+    "corpus_paths": f"SELECT file FROM {DOCS} WHERE regexp_matches(file, {glob_rx(C.PATH_GLOBS)})",
+    "corpus_exclude": f"SELECT file FROM {DOCS} WHERE NOT regexp_matches(file, {glob_rx(C.EXCLUDE_GLOBS, True)})",
+    "corpus_suffix": f"SELECT file FROM {PAGES} WHERE ends_with(lower(file), {sql_str(C.PAGE_SUFFIX.lower())})",
+    "issue_trend": f"""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, severity,
+        CAST(count(*) AS BIGINT) AS n_issues FROM {EVENTS} GROUP BY 1, 2, 3""",
 }
