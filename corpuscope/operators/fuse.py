@@ -27,6 +27,9 @@ def fingerprint(fields: Sequence[str] = FP_FIELDS) -> Column:
 
 
 def with_fingerprint(issues: DataFrame) -> DataFrame:
+    """Fill ``fingerprint`` where it is missing or null (imported reports may carry their own)."""
+    if "fingerprint" in issues.columns:
+        return issues.withColumn("fingerprint", F.coalesce(F.col("fingerprint"), fingerprint()))
     return issues.withColumn("fingerprint", fingerprint())
 
 
@@ -45,8 +48,7 @@ def _row(cols: Sequence[str]) -> Column:
 
 def dedupe(issues: DataFrame) -> DataFrame:
     """U-4: one row per fingerprint; the survivor is the smallest row (deterministic)."""
-    df = issues if "fingerprint" in issues.columns else with_fingerprint(issues)
-    df = df.withColumn("fingerprint", F.coalesce(F.col("fingerprint"), fingerprint()))
+    df = with_fingerprint(issues)
     cols = [c for c in S.ISSUE_COLUMNS if c != "fingerprint"]
     order = F.struct(F.lower("file"), *[F.col(c) for c in cols])
     return df.groupBy("fingerprint").agg(F.min_by(_row(cols), order).alias("r")).select("r.*", "fingerprint")
@@ -88,7 +90,7 @@ def baseline_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
     One tagged union and one aggregation by fingerprint (no join, so repeated fingerprints never
     multiply into pairs)."""
-    tag = lambda df, b, a: (df if "fingerprint" in df.columns else with_fingerprint(df)).select(
+    tag = lambda df, b, a: with_fingerprint(df).select(
         "fingerprint", "file", "line", "rule_id", F.lit(b).alias("in_before"), F.lit(a).alias("in_after")
     )
     u = tag(before, 1, 0).unionByName(tag(after, 0, 1))

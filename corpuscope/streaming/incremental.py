@@ -42,8 +42,12 @@ def file_stream(spark: SparkSession, directory: str, glob_filter: str | None = N
 
 
 def table_stream(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """New parquet files of a table as a stream (explicit schema, no inference)."""
-    return spark.readStream.schema(schema).parquet(path)
+    """New parquet files of a table as a stream (explicit schema, no inference). A single-file
+    table is streamed from its folder with a file-name filter (the source needs a directory)."""
+    r = spark.readStream.schema(schema)
+    if os.path.isfile(path):
+        return r.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    return r.parquet(path)
 
 
 def streaming_issues(files: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None) -> DataFrame:
