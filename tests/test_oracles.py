@@ -46,7 +46,8 @@ def test_entry_smoke(spark):
 def test_same_rows_under_1_and_8_partitions(spark, name):
     q = E.queries()[name]
     spark.conf.set("spark.sql.shuffle.partitions", "1")
-    one = sorted(q(spark, SF).collect())
+    df = q(spark, SF)
+    one = rows_sorted(df.columns, df.collect())
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    eight = sorted(q(spark, SF).collect())
+    eight = rows_sorted(df.columns, q(spark, SF).collect())
     assert one == eight
