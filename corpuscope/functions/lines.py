@@ -16,15 +16,25 @@ def split_newline(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+# Boundaries other than \n; text without any of them takes the single-character split path.
+RARE_BOUNDARY = "[\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+
 def splitlines(text: Column) -> Column:
-    """``text.splitlines()``: any line boundary, no trailing empty line, '' yields no line."""
-    parts = F.split(text, SPLITLINES_PATTERN, -1)
-    n = F.size(parts)
-    return (
-        F.when(text == "", F.array().cast("array<string>"))
-        .when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1))
-        .otherwise(parts)
-    )
+    """``text.splitlines()``: any line boundary, no trailing empty line, '' yields no line.
+
+    Most text only has ``\n``: it is split with the single-character fast path (no regex), the
+    full boundary regex runs only on text holding a rarer boundary. ``parts`` is referenced only
+    unconditionally, so codegen evaluates it once per row; dropping a trailing '' also turns
+    ``''`` into ``[]``."""
+    parts = F.when(text.rlike(RARE_BOUNDARY), F.split(text, SPLITLINES_PATTERN, -1)).otherwise(F.split(text, "\n", -1))
+    drop = F.when(F.element_at(parts, -1) == "", F.lit(1)).otherwise(F.lit(0))
+    return F.slice(parts, 1, F.size(parts) - drop)
+
+
+def count_newline_lines(text: Column) -> Column:
+    """``len(text.split('\n'))`` without building the array."""
+    return F.regexp_count(text, F.lit("\n")) + F.lit(1)
 
 
 def strip(col: Column) -> Column:

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.lines import split_newline, strip
+from corpuscope.functions.lines import split_newline
+
+NON_BLANK = "(?U)[^\\s\\x1C-\\x1F]"
 
 
 def line_windows(corpus: DataFrame, k: int = 3) -> DataFrame:
@@ -24,7 +26,8 @@ def line_windows(corpus: DataFrame, k: int = 3) -> DataFrame:
         lambda i: F.struct(i.cast("bigint").alias("line"), F.array_join(F.slice(lines, i, k), "\n").alias("block")),
     )
     out = corpus.where(F.size(lines) >= k).select("file", F.explode(win).alias("w")).select("file", "w.line", "w.block")
-    return out.where(strip(F.col("block")) != "")
+    # non-blank after strip() <=> holds a character that strip() would keep (first hit ends the search)
+    return out.where(F.col("block").rlike(NON_BLANK))
 
 
 def duplicate_blocks(corpus: DataFrame, k: int = 3, min_files: int = 2) -> DataFrame:

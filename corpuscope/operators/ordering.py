@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ def ordered_index(df: DataFrame, order: Sequence[Column], num_partitions: int |
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The range-bounds sample, the shuffle and the checkpoint each read the input: persist it
+    # (memory then disk) so upstream work runs once; a lost block is recomputed from lineage.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -40,7 +44,10 @@ def ordered_index(df: DataFrame, order: Sequence[Column], num_partitions: int |
     )
     if checkpoint:
         ensure_checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+        cached = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        tagged = cached.checkpoint(eager=True)
+        cached.unpersist()
+        df.unpersist()
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from corpuscope import schema as S
 from corpuscope.functions.entropy import shannon_entropy
-from corpuscope.functions.lines import split_newline, splitlines, strip
+from corpuscope.functions.lines import count_newline_lines, split_newline, splitlines, strip
 from corpuscope.functions.text import any_regex, base_name, contains_any
 
 ISSUE_STRUCT = T.StructType([f for f in S.ISSUE_SCHEMA.fields if f.name not in ("file", "fingerprint")])
@@ -51,14 +51,24 @@ def when_issue(cond: Column, st: Column) -> Column:
 
 
 class Row:
-    """Column references available to rules inside ``scan``."""
+    """Column references available to rules inside ``scan``; records which line arrays the
+    rules use so ``scan`` only builds those."""
 
     def __init__(self):
         self.file = F.col("file")
         self.text = F.col("text")
         self.lang = F.col("lang")
-        self.lines = F.col("__lines")  # splitlines()
-        self.nl_lines = F.col("__nl_lines")  # split('\n')
+        self.used: set[str] = set()
+
+    @property
+    def lines(self) -> Column:  # splitlines()
+        self.used.add("__lines")
+        return F.col("__lines")
+
+    @property
+    def nl_lines(self) -> Column:  # split('\n')
+        self.used.add("__nl_lines")
+        return F.col("__nl_lines")
 
 
 class Rule:
@@ -109,7 +119,7 @@ class FileLengthRule(Rule):
         lang = F.lit(self.lang) if self.lang else row.lang
         th = _map_literal(self.thresholds, lambda v: F.struct(F.lit(int(v[0])).alias("hi"), F.lit(int(v[1])).alias("lo")))
         t = F.element_at(th, F.lower(lang))
-        n = F.size(row.nl_lines)
+        n = count_newline_lines(row.text)
         return (
             F.when(n > t["hi"], F.array(issue(S.RULE_FILE_TOO_LONG, "MEDIUM", F.format_string(S.MSG_FILE_TOO_LONG, n), S.TOOL_SEMANTIC)))
             .when(n > t["lo"], F.array(issue(S.RULE_FILE_LONG, "LOW", F.format_string(S.MSG_FILE_LONG, n), S.TOOL_SEMANTIC)))
@@ -360,13 +370,16 @@ class LineRulesRule(Rule):
 # --- the scan ------------------------------------------------------------------------------------
 
 
-def prepare(corpus: DataFrame, guard: Column | None = None) -> DataFrame:
-    """Add the two line arrays once (consumers reference them, Catalyst keeps one evaluation).
-    Rows failing ``guard`` (e.g. oversized files) are not split at all."""
-    lines, nl = splitlines(F.col("text")), split_newline(F.col("text"))
-    if guard is not None:
-        lines, nl = F.when(guard, lines), F.when(guard, nl)
-    return corpus.select(*corpus.columns, lines.alias("__lines"), nl.alias("__nl_lines"))
+def prepare(corpus: DataFrame, guard: Column | None = None, used=("__lines", "__nl_lines")) -> DataFrame:
+    """Add the line arrays the rules use, once (consumers reference the column, Catalyst keeps
+    one evaluation). Rows failing ``guard`` (e.g. oversized files) are not split at all."""
+    arrays = {"__lines": splitlines(F.col("text")), "__nl_lines": split_newline(F.col("text"))}
+    extra = []
+    for name in ("__lines", "__nl_lines"):
+        if name in used:
+            col = arrays[name] if guard is None else F.when(guard, arrays[name])
+            extra.append(col.alias(name))
+    return corpus.select(*corpus.columns, *extra)
 
 
 def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -390,7 +403,7 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
         err = analysis_error(row.text, max_bytes)
         all_issues = F.when(err.isNotNull(), F.array(error_issue(err))).otherwise(all_issues)
         guard = err.isNull()
-    prepared = prepare(base, guard)
+    prepared = prepare(base, guard, row.used)
     out = prepared.select("file", *keep, F.explode(all_issues).alias("i")).select("file", "i.*", *keep)
     return S.issue_frame(out)
 
@@ -407,7 +420,7 @@ def file_metrics(corpus: DataFrame, lang: str = "python") -> DataFrame:
     text = F.col("text")
     return corpus.select(
         "file",
-        F.size(split_newline(text)).cast("bigint").alias("n_lines"),
+        count_newline_lines(text).cast("bigint").alias("n_lines"),
         F.regexp_count(text, F.lit(DEFINITIONS[lang].pattern)).cast("bigint").alias("n_functions"),
         F.regexp_count(text, F.lit(CLASS_PATTERNS[lang])).cast("bigint").alias("n_classes"),
     )
