@@ -427,6 +427,28 @@ def q_issue_trend(spark, sf):
     return issue_trend(event_issues(spark, sf), TREND_WINDOW)
 
 
+def _doc_files(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
+
+
+def q_quality_files(spark, sf):
+    """J-4: documents whose label says quality = 1 (semi join; the key table's size is checked
+    before it may be broadcast)."""
+    from corpuscope.operators.joins import semi_join
+
+    good = table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
+    return semi_join(_doc_files(spark, sf), good, "doc_id").select("file")
+
+
+def q_exclude_listed(spark, sf):
+    """J-5: documents minus those listed as toxic in ``labels`` (anti join)."""
+    from corpuscope.operators.joins import anti_join
+
+    toxic = table(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
+    return anti_join(_doc_files(spark, sf), toxic, "doc_id").select("file")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -479,4 +501,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_exclude": q_corpus_exclude,
     "corpus_suffix": q_corpus_suffix,
     "issue_trend": q_issue_trend,
+    "quality_files": q_quality_files,
+    "exclude_listed": q_exclude_listed,
 }

@@ -486,4 +486,8 @@ ORACLES: dict[str, str] = {
     "corpus_suffix": f"SELECT file FROM {PAGES} WHERE ends_with(lower(file), {sql_str(C.PAGE_SUFFIX.lower())})",
     "issue_trend": f"""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, severity,
         CAST(count(*) AS BIGINT) AS n_issues FROM {EVENTS} GROUP BY 1, 2, 3""",
+    "quality_files": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
+        WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""",
+    "exclude_listed": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
+        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)""",
 }

@@ -60,6 +60,34 @@ def issue_report_lines(issues: DataFrame, files: DataFrame, title: str = DEFAULT
     return fixed.unionByName(head).unionByName(head2).unionByName(counts).unionByName(headings).unionByName(body)
 
 
+def issue_report_markdown(issues: DataFrame, files: DataFrame, title: str = "Rapport d'analyse - corpuscope",
+                          extra: dict[str, str] | None = None) -> DataFrame:
+    """SNK-2 (Markdown form, as for secret and taint reports): title, totals, optional extra
+    header fields (e.g. patterns, entry points, sinks), then one numbered block per issue.
+
+    Numbering is overall in report order (severity rank first) via ``ordered_index``."""
+    spark = issues.sparkSession
+    n_files = files.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    n_issues = issues.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    head_rows = [(0, 1, f"# {title}"), (0, 2, "")]
+    for i, (k, v) in enumerate((extra or {}).items()):
+        head_rows.append((0, 10 + i, f"**{k}:** {v}"))
+    fixed = spark.createDataFrame(head_rows, "section long, seq long, text string")
+    h1 = n_files.select(F.lit(0).cast("bigint").alias("section"), F.lit(3).cast("bigint").alias("seq"),
+                        F.format_string("**Fichiers analyses:** %d", "n").alias("text"))
+    h2 = n_issues.select(F.lit(0).cast("bigint").alias("section"), F.lit(4).cast("bigint").alias("seq"),
+                         F.format_string("**Issues detectees:** %d", "n").alias("text"))
+    df = issues.withColumn("severity", F.upper("severity")).withColumn("severity_rank", severity_rank(F.col("severity")))
+    numbered = ordered_index(df, [F.col("severity_rank")] + report_order() + [F.coalesce("code_snippet", F.lit(""))], name="n")
+    body = numbered.select(
+        F.lit(1).cast("bigint").alias("section"), F.col("n").alias("seq"),
+        F.format_string("### [%d] %s: %s\n\n- **Fichier:** `%s`\n- **Ligne:** %s\n- **Message:** %s\n",
+                        "n", "severity", "rule_id", "file", F.coalesce(F.col("line").cast("string"), F.lit("None")),
+                        "message").alias("text"),
+    )
+    return fixed.unionByName(h1).unionByName(h2).unionByName(body)
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write report lines in (section, seq) order as text parts (range-partitioned sort)."""
     lines.orderBy("section", "seq").select("text").write.mode(mode).text(path)
@@ -70,9 +98,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """SNK-6: issues as JSON lines (consumers filter e.g. ``severity == 'CRITICAL'``)."""
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
+    """SNK-6: issues as JSON lines (consumers filter e.g. ``severity == 'CRITICAL'``); X-10 writes
+    one folder per repository with ``partition_by=["repo"]``."""
+    w = df.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.json(path)
 
 
 def severity_names() -> list[str]:
