@@ -79,6 +79,7 @@ PATH_GLOBS = ["src1*/1*.md", "*/2?.md"]
 EXCLUDE_GLOBS = ["src1/*", "src1?/*"]
 PAGE_SUFFIX = ".HTML"
 TREND_WINDOW = "1 day"
+SECRET_EXCLUDE = ["src1*/*"]
 
 
 def docs(spark, sf):
@@ -449,6 +450,22 @@ def q_exclude_listed(spark, sf):
     return anti_join(_doc_files(spark, sf), toxic, "doc_id").select("file")
 
 
+def q_secret_scan(spark, sf):
+    """Secret scan as the command runs it: exclude globs, then patterns and entropy in one pass."""
+    from corpuscope.operators.secrets import scan_secrets
+    from corpuscope.sources.globs import globs_to_regex
+
+    return scan_secrets(docs(spark, sf), ENTROPY_THRESHOLD, globs_to_regex(SECRET_EXCLUDE, True), SECRET_RULES)
+
+
+def q_taint_report_markdown(spark, sf):
+    """SNK-2 Markdown variant of the taint report, listing patterns, entry points and sinks."""
+    extra = {"Patterns sensibles": ", ".join(TAINT_SENSITIVE), "Entry points": ", ".join(TAINT_ENTRIES),
+             "Sinks": ", ".join(TAINT_SINKS)}
+    return RP.issue_report_markdown(q_taint_flow(spark, sf), docs(spark, sf),
+                                    title="Rapport d'Analyse de Taint (Flux de Données) - corpuscope", extra=extra)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -503,4 +520,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_trend": q_issue_trend,
     "quality_files": q_quality_files,
     "exclude_listed": q_exclude_listed,
+    "secret_scan": q_secret_scan,
+    "taint_report_markdown": q_taint_report_markdown,
 }

@@ -391,6 +391,22 @@ def glob_rx(patterns, hidden=False):
     return sql_str(globs_to_regex(patterns, hidden))
 
 
+def markdown_report_sql(issues_sql: str, title: str, extra: dict) -> str:
+    rows = [(0, 1, f"# {title}"), (0, 2, "")] + [(0, 10 + i, f"**{k}:** {v}") for i, (k, v) in enumerate(extra.items())]
+    fixed = values(rows, ["section", "seq", "text"])
+    body = f"""SELECT 1 AS section, row_number() OVER (ORDER BY {RANK}, {REPORT_ORDER}, coalesce(code_snippet, '')) AS seq,
+        upper(severity) AS sev, rule_id, file, line, message FROM ({issues_sql})"""
+    fmt = sql_str("### [%d] %s: %s\n\n- **Fichier:** `%s`\n- **Ligne:** %s\n- **Message:** %s\n")
+    return f"""SELECT CAST(section AS BIGINT) AS section, CAST(seq AS BIGINT) AS seq, text FROM (
+  SELECT * FROM {fixed}
+  UNION ALL SELECT 0, 3, printf('**Fichiers analyses:** %d', (SELECT count(*) FROM documents))
+  UNION ALL SELECT 0, 4, printf('**Issues detectees:** %d', (SELECT count(*) FROM ({issues_sql})))
+  UNION ALL SELECT section, seq, printf({fmt}, seq, sev, rule_id, file, coalesce(CAST(line AS VARCHAR), 'None'), message) FROM ({body}))"""
+
+
+SECRET_DOCS = f"(SELECT * FROM {DOCS} WHERE NOT regexp_matches(file, {glob_rx(C.SECRET_EXCLUDE, True)}))"
+
+
 ORACLES: dict[str, str] = {
     "line_counts": f"SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {DOCS}",
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
@@ -486,6 +502,11 @@ ORACLES: dict[str, str] = {
     "corpus_suffix": f"SELECT file FROM {PAGES} WHERE ends_with(lower(file), {sql_str(C.PAGE_SUFFIX.lower())})",
     "issue_trend": f"""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, severity,
         CAST(count(*) AS BIGINT) AS n_issues FROM {EVENTS} GROUP BY 1, 2, 3""",
+    "secret_scan": f"({secret_sql(C.SECRET_RULES, SECRET_DOCS)}) UNION ALL ({entropy_sql(C.ENTROPY_THRESHOLD, SC.TOKEN_PATTERN, SECRET_DOCS)})",
+    "taint_report_markdown": markdown_report_sql(
+        taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS), "Rapport d'Analyse de Taint (Flux de Données) - corpuscope",
+        {"Patterns sensibles": ", ".join(C.TAINT_SENSITIVE), "Entry points": ", ".join(C.TAINT_ENTRIES),
+         "Sinks": ", ".join(C.TAINT_SINKS)}),
     "quality_files": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
         WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""",
     "exclude_listed": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
