@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.encoding import detect_encoding
 from corpuscope.functions.repair import (
+    EMPTY_PLACEHOLDER,
     decode_entities,
     encode_links,
     fill_empty,
@@ -108,8 +109,9 @@ def test_anchor_documented_intent(spark):
 
 
 def test_fill_empty(spark):
-    cases = ["", "   ", " \n", "\x1c", "x"]
+    cases = ["", "   ", " \n", "\x1c", "\xa0\xa0", "\r\n\r\n", "x"]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = [r[0] for r in df.select(fill_empty(F.col("t"))).collect()]
-    assert got == ["<!-- À compléter -->\n"] * 4 + ["x"]
+    assert got == [(EMPTY_PLACEHOLDER if not c.strip() else c) for c in cases]
+    assert got[-1] == "x" and got[4] == EMPTY_PLACEHOLDER
     assert html.unescape("&copy;") == "©"
