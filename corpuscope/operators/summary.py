@@ -12,6 +12,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.operators.joins import maybe_broadcast
 from corpuscope.schema import SEVERITIES, sarif_level, severity_rank
 
 
@@ -80,7 +81,7 @@ def top_issues(issues: DataFrame, k: int = 10, order_cols: list | None = None) -
     w = Window.partitionBy("severity").orderBy(*order_cols)
     top = issues.withColumn("rank_in_severity", F.row_number().over(w)).where(F.col("rank_in_severity") <= k)
     totals = issues.groupBy("severity").agg(F.count(F.lit(1)).cast("bigint").alias("severity_total"))
-    out = top.join(F.broadcast(totals), "severity")  # <= 6 rows
+    out = top.join(maybe_broadcast(totals), "severity")  # one row per severity: size-checked broadcast
     return out.withColumn("remaining", F.greatest(F.col("severity_total") - F.lit(k), F.lit(0)).cast("bigint")).withColumn(
         "rank_in_severity", F.col("rank_in_severity").cast("bigint")
     )

@@ -43,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="corpuscope-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach (HDFS, object store)")
+        conf_dir = tempfile.mkdtemp(prefix="corpuscope-ckpt-")  # local mode only: one machine
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
