@@ -86,6 +86,8 @@ class CorpusReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple]:
         inc = re.compile(globs_to_regex(self.patterns, self.include_hidden))
+        # a directory named without wildcards means every file below it, dotfiles included
+        dir_patterns = tuple(p.rstrip("/") + "/" for p in self.patterns if not _MAGIC.search(p) and os.path.isdir(p))
         exc = re.compile(globs_to_regex(self.exclude, True)) if self.exclude else None
         suffix = self.suffix.lower() if self.suffix else None
 
@@ -96,6 +98,9 @@ class CorpusReader(DataSourceReader):
                         yield e  # a directory matched by the pattern itself: recurse into it
                     for root, dirs, names in os.walk(e):
                         dirs.sort()
+                        for d in dirs:  # deeper directories matched by a pattern
+                            if inc.match(os.path.join(root, d)):
+                                yield os.path.join(root, d)
                         for nm in sorted(names):
                             yield os.path.join(root, nm)
                 else:
@@ -107,7 +112,7 @@ class CorpusReader(DataSourceReader):
                 if self.recursive:
                     dir_roots.add(path.rstrip("/") + "/")
                 continue
-            under_dir = any(path.startswith(d) for d in dir_roots)
+            under_dir = path.startswith(dir_patterns) or any(path.startswith(d) for d in dir_roots)
             if not (inc.match(path) or under_dir):
                 continue
             if exc and (exc.match(path) or exc.match(os.path.basename(path))):

@@ -70,3 +70,8 @@ def test_glob_regex_semantics():
     assert rx.match("a/b.md") and rx.match("a/x/y/b.md") and not rx.match("a/.h/b.md") and not rx.match("b/c.md")
     assert re.match(glob_to_regex("src1?/[0-9]*.md"), "src12/3.md")
     assert not re.match(glob_to_regex("src1?/[!0-9]*.md"), "src12/3.md")
+
+
+def test_directory_argument_recurses_with_dotfiles(spark, tree):
+    assert paths(read_corpus(spark, [f"{tree}/pkg"]), tree) == ["pkg/.hidden.py", "pkg/__init__.py", "pkg/mod.py"]
+    assert paths(read_corpus(spark, [f"{tree}/x/*"]), tree) == ["x/y/UPPER.MD", "x/y/deep.md"]
