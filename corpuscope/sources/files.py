@@ -81,9 +81,30 @@ class CorpusReader(DataSourceReader):
                 entries += [os.path.join(b, e) for e in sorted(os.listdir(b))]
             elif os.path.exists(b):
                 entries.append(b)
+        entries = self._expand(entries)
         n = max(1, min(self.num_partitions, len(entries)))
         return [_Part(entries[i::n]) for i in range(n)]
 
+    def _expand(self, entries: list[str], max_depth: int = 3) -> list[str]:
+        """Split big directories into their children (up to ``max_depth`` levels, until there
+        are 4 entries per partition) so one directory holding most files is walked by many
+        tasks. Directories matched by a pattern stay whole: their recursion is per task."""
+        inc = re.compile(globs_to_regex(self.patterns, self.include_hidden))
+        for _ in range(max_depth):
+            if len(entries) >= 4 * self.num_partitions:
+                break
+            out, changed = [], False
+            for e in entries:
+                if os.path.isdir(e) and not os.path.islink(e) and not inc.match(e):
+                    out += [os.path.join(e, k) for k in sorted(os.listdir(e))]
+                    changed = True
+                else:
+                    out.append(e)
+            entries = out
+            if not changed:
+                break
+        return entries
+
     def read(self, partition) -> Iterator[tuple]:
         inc = re.compile(globs_to_regex(self.patterns, self.include_hidden))
         # a directory named without wildcards means every file below it, dotfiles included
