@@ -88,8 +88,15 @@ class Rule:
         return {}
 
 
-def _numbered(lines: Column) -> Column:
-    return F.transform(lines, lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
+def _line_indices(lines: Column, pred, start: Column | None = None) -> Column:
+    """1-based numbers of the lines (from ``start`` on) satisfying ``pred(line)``.
+
+    Works on an index sequence and reads lines with ``element_at``: no per-line struct is built
+    for lines that do not match."""
+    n = F.size(lines)
+    lo = start if start is not None else F.lit(1)
+    idx = F.filter(F.sequence(lo, n), lambda i: pred(F.element_at(lines, i)))
+    return F.when((n > 0) & (lo >= 1) & (lo <= n), idx).otherwise(F.array().cast("array<int>"))
 
 
 # --- R-1 -----------------------------------------------------------------------------------------
@@ -223,10 +230,11 @@ class TaintRule(Rule):
         entry = (F.size(row.lines) > 0) & (
             base_name(row.file).isin(entries) | F.exists(row.lines, lambda l: contains_any(l, entries))
         )
-        first = F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True)
-        hits = F.filter(_numbered(row.lines), lambda x: (x["line"] >= first) & contains_any(x["text"], sinks))
+        first = F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True).cast("int")
+        hits = _line_indices(row.lines, lambda l: contains_any(l, sinks), start=first)
         out = F.transform(
-            hits, lambda x: issue(S.RULE_TAINT, "CRITICAL", S.MSG_TAINT, S.TOOL_TAINT, line=x["line"], snippet=strip(x["text"]))
+            hits, lambda i: issue(S.RULE_TAINT, "CRITICAL", S.MSG_TAINT, S.TOOL_TAINT, line=i,
+                                  snippet=strip(F.element_at(row.lines, i)))
         )
         return F.when(gate & entry, F.when(first > 0, out).otherwise(empty())).otherwise(empty())
 
@@ -267,10 +275,10 @@ class SecretPatternRule(Rule):
     def issues(self, row):
         pats = list(self.patterns)
         alt = any_regex([p.regex for p in pats], flags="")
-        cand = F.filter(_numbered(row.lines), lambda x: x["text"].rlike(alt))
+        cand = _line_indices(row.lines, lambda l: l.rlike(alt))
 
-        def per_line(x):
-            t = x["text"]
+        def per_line(i):
+            t = F.element_at(row.lines, i)
             arr = []
             for p in pats:
                 secret = F.regexp_extract(t, p.regex, p.group)
@@ -278,7 +286,7 @@ class SecretPatternRule(Rule):
                     F.when(
                         t.rlike(p.regex),
                         issue(S.RULE_SECRET_PREFIX + p.name, "CRITICAL", S.MSG_SECRET % p.name, S.TOOL_SECRETS,
-                              line=x["line"], column=F.position(secret, t), snippet=strip(F.replace(t, secret, F.lit("***")))),
+                              line=i, column=F.position(secret, t), snippet=strip(F.replace(t, secret, F.lit("***")))),
                     )
                 )
             return F.array_compact(F.array(*arr))
@@ -297,13 +305,14 @@ class EntropyRule(Rule):
 
     def issues(self, row):
         tp = self.token_pattern
-        cand = F.filter(_numbered(row.lines), lambda x: x["text"].rlike(tp))
+        cand = _line_indices(row.lines, lambda l: l.rlike(tp))
 
-        def hot(x):
-            toks = F.regexp_extract_all(x["text"], F.lit(tp), 0)
-            return F.filter(toks, lambda t: shannon_entropy(t) > F.lit(float(self.threshold)))
+        def hot(t):
+            toks = F.regexp_extract_all(t, F.lit(tp), 0)
+            return F.filter(toks, lambda k: shannon_entropy(k) > F.lit(float(self.threshold)))
 
-        with_hot = F.transform(cand, lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), hot(x).alias("hot")))
+        with_hot = F.transform(cand, lambda i: F.struct(i.alias("line"), F.element_at(row.lines, i).alias("text"),
+                                                        hot(F.element_at(row.lines, i)).alias("hot")))
         flagged = F.filter(with_hot, lambda x: F.size(x["hot"]) > 0)
         out = F.transform(
             flagged,
@@ -352,14 +361,14 @@ class LineRulesRule(Rule):
     def issues(self, row):
         rules = list(self.rules)
         alt = any_regex([r.pattern for r in rules], flags="")
-        cand = F.filter(_numbered(row.lines), lambda x: x["text"].rlike(alt))
+        cand = _line_indices(row.lines, lambda l: l.rlike(alt))
 
-        def per_line(x):
-            t = x["text"]
+        def per_line(i):
+            t = F.element_at(row.lines, i)
             return F.array_compact(
                 F.array(*[
                     F.when(t.rlike(r.pattern), issue(r.rule_id, r.severity, r.message or r.rule_id, r.tool,
-                                                     line=x["line"], snippet=strip(t)))
+                                                     line=i, snippet=strip(t)))
                     for r in rules
                 ])
             )

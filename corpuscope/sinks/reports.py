@@ -20,23 +20,28 @@ DEFAULT_TITLE = "RAPPORT D'ANALYSE - corpuscope"
 ISSUE_LINE = "[%s-%d] %s | Fichier: %s | Ligne: %s | Message: %s"
 
 
-def number_by_severity(issues: DataFrame) -> DataFrame:
-    """W-2: ``seq`` = 1-based position of each issue inside its severity, in report order."""
+def _number(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Issues numbered inside their severity (W-2) plus the six-row breakdown, both computed
+    from the checkpointed numbering so the upstream scan runs once."""
     df = issues.withColumn("severity", F.upper("severity")).withColumn("severity_rank", severity_rank(F.col("severity")))
     order = [F.col("severity_rank")] + report_order() + [F.coalesce("code_snippet", F.lit(""))]
     numbered = ordered_index(df, order, name="__g")
-    bd = severity_breakdown(issues)  # six rows
-    w = Window.orderBy("severity_rank").rowsBetween(Window.unboundedPreceding, -1)
+    bd = severity_breakdown(numbered)  # six rows, read from the checkpoint
+    w = Window.orderBy("severity_rank").rowsBetween(Window.unboundedPreceding, -1)  # six rows
     offsets = bd.select("severity", F.coalesce(F.sum("n_issues").over(w), F.lit(0)).alias("__off"))
-    return numbered.join(F.broadcast(offsets), "severity").withColumn("seq", (F.col("__g") - F.col("__off")).cast("bigint")).drop(
-        "__g", "__off"
-    )
+    seq = numbered.join(F.broadcast(offsets), "severity").withColumn("seq", (F.col("__g") - F.col("__off")).cast("bigint"))
+    return seq.drop("__g", "__off"), bd
+
+
+def number_by_severity(issues: DataFrame) -> DataFrame:
+    """W-2: ``seq`` = 1-based position of each issue inside its severity, in report order."""
+    return _number(issues)[0]
 
 
 def issue_report_lines(issues: DataFrame, files: DataFrame, title: str = DEFAULT_TITLE) -> DataFrame:
     """SNK-2 (text form): header with totals and per-severity counts, then one numbered line per
     issue grouped by severity (section = severity rank + 1; seq 0 is the section heading)."""
-    bd = severity_breakdown(issues)
+    numbered, bd = _number(issues)
     n_files = files.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     n_issues = bd.agg(F.sum("n_issues").cast("bigint").alias("n"))
     spark = issues.sparkSession
@@ -51,7 +56,7 @@ def issue_report_lines(issues: DataFrame, files: DataFrame, title: str = DEFAULT
         (F.col("severity_rank") + 1).cast("bigint").alias("section"), F.lit(0).cast("bigint").alias("seq"),
         F.format_string("--- %s (%d) ---", "severity", "n_issues").alias("text"),
     )
-    body = number_by_severity(issues).select(
+    body = numbered.select(
         (F.col("severity_rank") + 1).cast("bigint").alias("section"),
         "seq",
         F.format_string(ISSUE_LINE, "severity", "seq", "rule_id", "file",
@@ -68,17 +73,17 @@ def issue_report_markdown(issues: DataFrame, files: DataFrame, title: str = "Rap
     Numbering is overall in report order (severity rank first) via ``ordered_index``."""
     spark = issues.sparkSession
     n_files = files.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    n_issues = issues.agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     head_rows = [(0, 1, f"# {title}"), (0, 2, "")]
     for i, (k, v) in enumerate((extra or {}).items()):
         head_rows.append((0, 10 + i, f"**{k}:** {v}"))
     fixed = spark.createDataFrame(head_rows, "section long, seq long, text string")
     h1 = n_files.select(F.lit(0).cast("bigint").alias("section"), F.lit(3).cast("bigint").alias("seq"),
                         F.format_string("**Fichiers analyses:** %d", "n").alias("text"))
-    h2 = n_issues.select(F.lit(0).cast("bigint").alias("section"), F.lit(4).cast("bigint").alias("seq"),
-                         F.format_string("**Issues detectees:** %d", "n").alias("text"))
     df = issues.withColumn("severity", F.upper("severity")).withColumn("severity_rank", severity_rank(F.col("severity")))
     numbered = ordered_index(df, [F.col("severity_rank")] + report_order() + [F.coalesce("code_snippet", F.lit(""))], name="n")
+    n_issues = numbered.agg(F.count(F.lit(1)).cast("bigint").alias("n"))  # from the checkpoint
+    h2 = n_issues.select(F.lit(0).cast("bigint").alias("section"), F.lit(4).cast("bigint").alias("seq"),
+                         F.format_string("**Issues detectees:** %d", "n").alias("text"))
     body = numbered.select(
         F.lit(1).cast("bigint").alias("section"), F.col("n").alias("seq"),
         F.format_string("### [%d] %s: %s\n\n- **Fichier:** `%s`\n- **Ligne:** %s\n- **Message:** %s\n",
