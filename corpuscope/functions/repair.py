@@ -10,13 +10,20 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import urllib.parse
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Code below runs in Python workers: ship this module with the function (by value), so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 # --- fixed values: repair patterns and texts (reference behaviour) ---
 NUM_ENTITY = re.compile(r"&#(\d+);")
 HEX_ENTITY = re.compile(r"&#x([0-9a-fA-F]+);")

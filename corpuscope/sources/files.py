@@ -20,14 +20,21 @@ import glob
 import json
 import os
 import re
+import sys
 from typing import Iterator, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpuscope.sources.globs import globs_to_regex
 
+# Code below runs in Python workers: ship this module with the function (by value), so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 SCHEMA = "path string, length bigint, modificationTime timestamp, content binary, error string"
 _MAGIC = re.compile(r"[*?\[]")
 

@@ -9,8 +9,15 @@ classes. Hidden names (leading ``.``) are not matched by a leading wildcard unle
 from __future__ import annotations
 
 import re
+import sys
 from typing import Iterable
 
+from pyspark import cloudpickle
+
+# Code below runs in Python workers: ship this module with the function (by value), so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def glob_to_regex(pattern: str, include_hidden: bool = False) -> str:
     out = []
