@@ -33,7 +33,9 @@ def line_windows(corpus: DataFrame, k: int = 3) -> DataFrame:
 def duplicate_blocks(corpus: DataFrame, k: int = 3, min_files: int = 2) -> DataFrame:
     """``(block_hash, n_files, n_occurrences, first_file, first_line)`` for blocks in at least
     ``min_files`` files; ``first_*`` is the smallest (file, line) occurrence."""
-    w = line_windows(corpus, k).select("file", "line", F.md5(F.col("block")).alias("block_hash"))
+    # 16-byte binary key for the shuffles (half the bytes of the hex string); 128 bits because a
+    # corpus has trillions of windows and a 64-bit hash would collide; hex only in the output.
+    w = line_windows(corpus, k).select("file", "line", F.unhex(F.md5(F.col("block"))).alias("block_hash"))
     per_file = w.groupBy("block_hash", "file").agg(
         F.count(F.lit(1)).alias("occ"), F.min("line").alias("first_line")
     )
@@ -43,6 +45,6 @@ def duplicate_blocks(corpus: DataFrame, k: int = 3, min_files: int = 2) -> DataF
         F.min(F.struct("file", "first_line")).alias("first"),
     )
     return per_block.where(F.col("n_files") >= min_files).select(
-        "block_hash", "n_files", "n_occurrences", F.col("first.file").alias("first_file"),
+        F.lower(F.hex("block_hash")).alias("block_hash"), "n_files", "n_occurrences", F.col("first.file").alias("first_file"),
         F.col("first.first_line").cast("bigint").alias("first_line"),
     )

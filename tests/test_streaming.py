@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpuscope.operators.scan import FileLengthRule, LineRulesRule, LineRule, TaintRule, scan
 from corpuscope.plans import catalog as C
 from corpuscope.sources.files import as_text_corpus, read_corpus
-from corpuscope.sources.tables import documents_corpus
 from corpuscope.streaming.incremental import file_stream, run_available, streaming_issues, table_stream
 from corpuscope.streaming.trend import dedupe_stream, issue_trend
 
