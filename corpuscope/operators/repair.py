@@ -89,6 +89,44 @@ def encoding_report_lines(checked: DataFrame) -> DataFrame:
     return fixed.unionByName(head).unionByName(body)
 
 
+MD_TITLE = "# Rapport de Vérification d'Encodage UTF-8 - corpuscope"
+
+
+def encoding_report_markdown(checked: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """SNK-3 (Markdown form): totals, a table of the files to fix (path order), conforming count."""
+    spark = checked.sparkSession
+    s = encoding_summary(checked)
+    fixed = spark.createDataFrame(
+        [(0, 1, MD_TITLE), (1, 0, "## ⚠️ Fichiers à corriger"), (1, 1, "| Fichier | Encodage | Confiance | Statut |"),
+         (1, 2, "|---------|----------|-----------|--------|")],
+        "section long, seq long, text string",
+    )
+
+    def line(seq, fmt, *cols):
+        return F.struct(F.lit(0).cast("bigint").alias("section"), F.lit(seq).cast("bigint").alias("seq"),
+                        F.format_string(fmt, *cols).alias("text"))
+
+    head = s.select(F.inline(F.array(
+        line(2, "**Fichiers analysés:** %d", "total"),
+        line(3, "**Fichiers conformes:** %d (%.1f%%)", "ok_count", F.coalesce("ok_pct", F.lit(0.0))),
+        line(4, "**Fichiers à corriger:** %d (%.1f%%)", "issues_count", F.coalesce("issues_pct", F.lit(0.0))),
+    )))
+    tail = s.where(F.col("ok_count") > 0).select(
+        F.lit(2).cast("bigint").alias("section"), F.lit(0).cast("bigint").alias("seq"),
+        F.format_string("%d fichier(s) en UTF-8 avec confiance > %d%%", "ok_count",
+                        F.lit(int(round(min_confidence * 100)))).alias("text"),
+    )
+    bad = ordered_index(encoding_issues(checked), [F.lower("file"), F.col("file")], name="n")
+    name = F.regexp_extract(F.col("file"), "([^/]*)$", 1)
+    rows = bad.select(
+        F.lit(1).cast("bigint").alias("section"), (F.col("n") + 2).alias("seq"),
+        F.format_string("| `%s` | %s | %d%% | %s |", name, F.coalesce("encoding", F.lit("inconnu")),
+                        F.round(F.col("confidence") * 100).cast("int"),
+                        F.when(F.col("status") == "ERREUR", F.lit("❌ ERREUR")).otherwise(F.lit("⚠️ WARNING"))).alias("text"),
+    )
+    return fixed.unionByName(head).unionByName(rows).unionByName(tail)
+
+
 def repair(corpus: DataFrame, dry_run: bool = True) -> DataFrame:
     """R-9 over ``(file, content)``: ``(file, encoding, confidence, success, changed, message,
     dry_run, text_before, text_after)``.

@@ -80,6 +80,9 @@ EXCLUDE_GLOBS = ["src1/*", "src1?/*"]
 PAGE_SUFFIX = ".HTML"
 TREND_WINDOW = "1 day"
 SECRET_EXCLUDE = ["src1*/*"]
+# stand-alone check variant: ASCII is not accepted, higher confidence required
+STRICT_ACCEPT = ("UTF-8", "UTF8")
+STRICT_MIN_CONFIDENCE = 0.8
 
 
 def docs(spark, sf):
@@ -466,6 +469,18 @@ def q_taint_report_markdown(spark, sf):
                                     title="Rapport d'Analyse de Taint (Flux de Données) - corpuscope", extra=extra)
 
 
+def q_encoding_issues_strict(spark, sf):
+    from corpuscope.operators import repair as RE
+
+    return RE.encoding_issues(RE.check_encoding(doc_bytes(spark, sf), STRICT_ACCEPT, STRICT_MIN_CONFIDENCE))
+
+
+def q_encoding_report_markdown(spark, sf):
+    from corpuscope.operators import repair as RE
+
+    return RE.encoding_report_markdown(RE.check_encoding(doc_bytes(spark, sf)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -522,4 +537,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exclude_listed": q_exclude_listed,
     "secret_scan": q_secret_scan,
     "taint_report_markdown": q_taint_report_markdown,
+    "encoding_issues_strict": q_encoding_issues_strict,
+    "encoding_report_markdown": q_encoding_report_markdown,
 }

@@ -407,6 +407,25 @@ def markdown_report_sql(issues_sql: str, title: str, extra: dict) -> str:
 SECRET_DOCS = f"(SELECT * FROM {DOCS} WHERE NOT regexp_matches(file, {glob_rx(C.SECRET_EXCLUDE, True)}))"
 
 
+STRICT_CHECKED = (f"(SELECT *, coalesce((encoding IS NOT NULL AND upper(encoding) NOT IN ('UTF-8', 'UTF8')) "
+                  f"OR confidence < {C.STRICT_MIN_CONFIDENCE}, false) AS is_issue FROM {DETECT})")
+
+
+def encoding_report_md_sql():
+    fixed = values([(0, 1, "# Rapport de Vérification d'Encodage UTF-8 - corpuscope"), (1, 0, "## ⚠️ Fichiers à corriger"),
+                    (1, 1, "| Fichier | Encodage | Confiance | Statut |"), (1, 2, "|---------|----------|-----------|--------|")],
+                   ["section", "seq", "text"])
+    return f"""SELECT CAST(section AS BIGINT) AS section, CAST(seq AS BIGINT) AS seq, text FROM (
+  SELECT * FROM {fixed}
+  UNION ALL SELECT 0, 2, printf('**Fichiers analysés:** %d', total) FROM {SUMMARY}
+  UNION ALL SELECT 0, 3, printf('**Fichiers conformes:** %d (%.1f%%)', ok_count, coalesce(ok_pct, 0.0)) FROM {SUMMARY}
+  UNION ALL SELECT 0, 4, printf('**Fichiers à corriger:** %d (%.1f%%)', issues_count, coalesce(issues_pct, 0.0)) FROM {SUMMARY}
+  UNION ALL SELECT 2, 0, printf('%d fichier(s) en UTF-8 avec confiance > 70%%', ok_count) FROM {SUMMARY} WHERE ok_count > 0
+  UNION ALL SELECT 1, n + 2, printf('| `%s` | %s | %d%% | %s |', regexp_extract(file, '([^/]*)$', 1), coalesce(encoding, 'inconnu'),
+                         CAST(round(confidence * 100) AS INTEGER), '⚠️ WARNING')
+     FROM (SELECT *, row_number() OVER (ORDER BY lower(file), file) AS n FROM {CHECKED} WHERE is_issue))"""
+
+
 ORACLES: dict[str, str] = {
     "line_counts": f"SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {DOCS}",
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
@@ -507,6 +526,8 @@ ORACLES: dict[str, str] = {
         taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS), "Rapport d'Analyse de Taint (Flux de Données) - corpuscope",
         {"Patterns sensibles": ", ".join(C.TAINT_SENSITIVE), "Entry points": ", ".join(C.TAINT_ENTRIES),
          "Sinks": ", ".join(C.TAINT_SINKS)}),
+    "encoding_issues_strict": f"SELECT file, encoding, confidence, 'WARNING' AS status FROM {STRICT_CHECKED} WHERE is_issue",
+    "encoding_report_markdown": encoding_report_md_sql(),
     "quality_files": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
         WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""",
     "exclude_listed": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
