@@ -35,7 +35,10 @@ def ordered_index(df: DataFrame, order: Sequence[Column], num_partitions: int |
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range-bounds sample, the shuffle and the checkpoint each read the input: persist it
     # (memory then disk) so upstream work runs once; a lost block is recomputed from lineage.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # A unique tie-breaker lets range partitioning split rows whose keys are all equal (copies of
+    # one issue may be a third of the data); it is fixed by the persist and the checkpoint below.
+    df = df.withColumn("__tb", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    order = list(order) + [F.col("__tb")]
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -55,5 +58,5 @@ def ordered_index(df: DataFrame, order: Sequence[Column], num_partitions: int |
     return (
         tagged.join(F.broadcast(offsets), "__pid")
         .withColumn(name, (F.col("__off") + local + 1).cast("bigint"))
-        .drop("__pid", "__mid", "__off")
+        .drop("__pid", "__mid", "__off", "__tb")
     )

@@ -87,10 +87,11 @@ def taint_flow(
     )
     gated = gated.where(entry_file(F.col("file"), F.col("lines"), entry_points))
     if form == "window":
-        lines = gated.select("file", F.posexplode("lines").alias("pos", "text")).select(
-            "file", (F.col("pos") + 1).alias("line"), "text"
-        )
-        w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # one window per corpus row (not per path: repeated copies of a path stay separate files)
+        lines = gated.withColumn("__fid", F.monotonically_increasing_id()).select(
+            "__fid", "file", F.posexplode("lines").alias("pos", "text")
+        ).select("__fid", "file", (F.col("pos") + 1).alias("line"), "text")
+        w = Window.partitionBy("__fid").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         latched = lines.withColumn("latch", F.max(F.col("text").rlike(rx).cast("int")).over(w))
         return _issues(latched.where((F.col("latch") == 1) & contains_any(F.col("text"), sinks)))
     raise ValueError(f"unknown form {form!r}")

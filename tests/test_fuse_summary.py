@@ -59,3 +59,12 @@ def test_ordered_index_dense_and_stable(spark):
     assert all(r.k + 1 == r.idx for r in a)
     b = ordered_index(df.repartition(1), [F.col("k")], num_partitions=1).orderBy("k").collect()
     assert a == b
+
+
+def test_ordered_index_splits_a_hot_key(spark):
+    # every row has the same key (copies of one issue): range partitioning must still spread them
+    df = spark.range(0, 4000).select(F.lit(1).alias("k"))
+    out = ordered_index(df, [F.col("k")], num_partitions=4)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 2000 and sum(sizes) == 4000
+    assert sorted(r.idx for r in out.collect()) == list(range(1, 4001))
