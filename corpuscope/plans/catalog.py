@@ -160,13 +160,6 @@ def q_entry_files(spark, sf):
     return docs(spark, sf).where(taint.entry_file(F.col("file"), lines, TAINT_ENTRIES)).select("file")
 
 
-def _numbered_docs(spark, sf):
-    numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
-    return docs(spark, sf).select("file", F.explode(numbered).alias("x")).select(
-        "file", F.col("x.line").cast("bigint").alias("line"), F.col("x.text").alias("text")
-    )
-
-
 def q_sensitive_lines(spark, sf):
     rx = any_regex(TAINT_SENSITIVE)
     d = docs(spark, sf).where(F.col("text").rlike("(?m)" + rx))
