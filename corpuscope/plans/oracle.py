@@ -332,11 +332,11 @@ DETECT = f"""(SELECT file,
        WHEN {in_list('repo', C.LATIN1_REPOS)} AND {LATIN1_FITS} THEN
             CASE WHEN regexp_matches(text, {VALID_AS_LATIN1}) THEN 'utf-8' ELSE 'ISO-8859-1' END
        ELSE 'utf-8' END AS encoding,
-  CASE WHEN {in_list('repo', C.BOM_REPOS)} THEN 1.0 WHEN text = '' THEN 0.0
+  CAST(CASE WHEN {in_list('repo', C.BOM_REPOS)} THEN 1.0 WHEN text = '' THEN 0.0
        WHEN strlen(text) = length(text) THEN 1.0
        WHEN {in_list('repo', C.LATIN1_REPOS)} AND {LATIN1_FITS} THEN
             CASE WHEN regexp_matches(text, {VALID_AS_LATIN1}) THEN 0.99 ELSE 0.5 END
-       ELSE 0.99 END AS confidence
+       ELSE 0.99 END AS DOUBLE) AS confidence
 FROM {DOCS})"""
 CHECKED = f"""(SELECT *, coalesce((encoding IS NOT NULL AND upper(encoding) NOT IN ('UTF-8', 'UTF8', 'ASCII')) OR confidence < 0.7, false) AS is_issue FROM {DETECT})"""
 SUMMARY = f"""(SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE NOT is_issue) AS BIGINT) AS ok_count,
@@ -509,7 +509,7 @@ ORACLES: dict[str, str] = {
     "fill_empty": f"""SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS BIGINT) AS line, {BLANK} AS filled,
         md5(CASE WHEN {BLANK} THEN {sql_str(chr(60) + '!-- À compléter -->' + chr(10))} ELSE text END) AS digest FROM conversations""",
     "repair_dry_run": f"""SELECT file, CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'utf-8' END AS encoding,
-        CASE WHEN strlen(text) = length(text) THEN 1.0 ELSE 0.99 END AS confidence, true AS success, changed,
+        CAST(CASE WHEN strlen(text) = length(text) THEN 1.0 ELSE 0.99 END AS DOUBLE) AS confidence, true AS success, changed,
         CASE WHEN changed THEN '🔧 (dry-run) [contenu modifié]' ELSE 'ok (déjà conforme)' END AS message FROM (
         SELECT file, text, ({ENTITY_REPLACE} <> text
           OR len(list_filter(regexp_extract_all({ENTITY_REPLACE}, {HTML_LINK_SQL}, 2), lambda u: {quote_sql('u')} <> u)) > 0

@@ -51,3 +51,16 @@ def test_same_rows_under_1_and_8_partitions(spark, name):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     eight = rows_sorted(df.columns, q(spark, SF).collect())
     assert one == eight
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    duck = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == duck[f.name], (f.name, f.dataType, duck[f.name])
