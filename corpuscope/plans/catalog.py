@@ -474,6 +474,11 @@ def q_encoding_report_markdown(spark, sf):
     return RE.encoding_report_markdown(RE.check_encoding(doc_bytes(spark, sf)))
 
 
+def q_top_issues_summary(spark, sf):
+    """W-3 console summary of all issues (first 10 per severity, then the remainder count)."""
+    return RP.top_issues_lines(q_all_issues(spark, sf), TOP_K)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -532,4 +537,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "taint_report_markdown": q_taint_report_markdown,
     "encoding_issues_strict": q_encoding_issues_strict,
     "encoding_report_markdown": q_encoding_report_markdown,
+    "top_issues_summary": q_top_issues_summary,
 }

@@ -528,6 +528,15 @@ ORACLES: dict[str, str] = {
          "Sinks": ", ".join(C.TAINT_SINKS)}),
     "encoding_issues_strict": f"SELECT file, encoding, confidence, 'WARNING' AS status FROM {STRICT_CHECKED} WHERE is_issue",
     "encoding_report_markdown": encoding_report_md_sql(),
+    "top_issues_summary": f"""WITH i AS (SELECT * EXCLUDE (severity), upper(severity) AS severity FROM {ALL}),
+        r AS (SELECT *, {RANK} AS rk, row_number() OVER (PARTITION BY severity ORDER BY {REPORT_ORDER}, coalesce(code_snippet, '')) AS n,
+              count(*) OVER (PARTITION BY severity) AS tot FROM i)
+        SELECT CAST(rk + 1 AS BIGINT) AS section, CAST(n AS BIGINT) AS seq,
+          printf({sql_str(RP.TOP_LINE)}, severity, n, rule_id, file, coalesce(CAST(line AS VARCHAR), 'None'), message) AS text
+          FROM r WHERE n <= {C.TOP_K}
+        UNION ALL SELECT DISTINCT CAST(rk + 1 AS BIGINT), CAST(0 AS BIGINT), printf('--- %s (%d) ---', severity, tot) FROM r
+        UNION ALL SELECT DISTINCT CAST(rk + 1 AS BIGINT), CAST({C.TOP_K + 1} AS BIGINT), printf({sql_str(RP.MORE_LINE)}, tot - {C.TOP_K}, severity)
+          FROM r WHERE tot > {C.TOP_K}""",
     "quality_files": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
         WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""",
     "exclude_listed": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d

@@ -93,6 +93,33 @@ def issue_report_markdown(issues: DataFrame, files: DataFrame, title: str = "Rap
     return fixed.unionByName(h1).unionByName(h2).unionByName(body)
 
 
+TOP_LINE = "[%s-%d] %s | Fichier: %s | Ligne: %s | Message: %s"
+MORE_LINE = "    ... et %d autres issues %s"
+
+
+def top_issues_lines(issues: DataFrame, k: int = 10) -> DataFrame:
+    """W-3 as the console summary: per severity a heading, its first ``k`` issues in report
+    order, then ``... et N autres issues SEV`` when more exist. Built on ``top_issues`` (a
+    ``WindowGroupLimit`` plan), so only k rows per severity and task reach the shuffle."""
+    from corpuscope.operators.summary import top_issues
+
+    df = issues.withColumn("severity", F.upper("severity"))
+    order = report_order() + [F.coalesce("code_snippet", F.lit(""))]
+    top = top_issues(df, k, order).withColumn("severity_rank", severity_rank(F.col("severity")))
+    section = (F.col("severity_rank") + 1).cast("bigint")
+    body = top.select(section.alias("section"), F.col("rank_in_severity").alias("seq"),
+                      F.format_string(TOP_LINE, "severity", "rank_in_severity", "rule_id", "file",
+                                      F.coalesce(F.col("line").cast("string"), F.lit("None")), "message").alias("text"))
+    bd = severity_breakdown(df).where(F.col("n_issues") > 0)
+    sec = (F.col("severity_rank") + 1).cast("bigint")
+    heads = bd.select(sec.alias("section"), F.lit(0).cast("bigint").alias("seq"),
+                      F.format_string("--- %s (%d) ---", "severity", "n_issues").alias("text"))
+    more = bd.where(F.col("n_issues") > k).select(
+        sec.alias("section"), F.lit(k + 1).cast("bigint").alias("seq"),
+        F.format_string(MORE_LINE, (F.col("n_issues") - k).cast("bigint"), "severity").alias("text"))
+    return heads.unionByName(body).unionByName(more)
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write report lines in (section, seq) order as text parts (range-partitioned sort)."""
     lines.orderBy("section", "seq").select("text").write.mode(mode).text(path)
