@@ -26,7 +26,7 @@ from typing import Iterator, Sequence
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from corpuscope.sources.globs import globs_to_regex
 
@@ -113,6 +113,10 @@ class CorpusReader(DataSourceReader):
         return entries
 
     def read(self, partition) -> Iterator[tuple]:
+        for path in self.matching_paths(partition):
+            yield _read_file(path, self.max_bytes)
+
+    def matching_paths(self, partition) -> Iterator[str]:
         inc = re.compile(globs_to_regex(self.patterns, self.include_hidden))
         # a directory named without wildcards means every file below it, dotfiles included
         dir_patterns = tuple(p.rstrip("/") + "/" for p in self.patterns if not _MAGIC.search(p) and os.path.isdir(p))
@@ -147,16 +151,60 @@ class CorpusReader(DataSourceReader):
                 continue
             if suffix and not path.lower().endswith(suffix):
                 continue
-            try:
-                st = os.stat(path)
-                mtime = _dt.datetime.fromtimestamp(st.st_mtime)
-                if st.st_size > self.max_bytes:
-                    yield (path, st.st_size, mtime, None, f"file larger than {self.max_bytes} bytes")
+            yield path
+
+
+def _read_file(path: str, max_bytes: int) -> tuple:
+    """One output row; unreadable or oversized files keep a null content and an error."""
+    try:
+        st = os.stat(path)
+        mtime = _dt.datetime.fromtimestamp(st.st_mtime)
+        if st.st_size > max_bytes:
+            return (path, st.st_size, mtime, None, f"file larger than {max_bytes} bytes")
+        with open(path, "rb") as fh:
+            return (path, st.st_size, mtime, fh.read(), None)
+    except OSError as ex:
+        return (path, None, None, None, str(ex))
+
+
+class CorpusStreamReader(DataSourceStreamReader):
+    """ST-1 on the corpus source: each micro-batch holds the matching files whose modification
+    time (ns) is newer than the last committed offset. Listing runs on the driver per trigger
+    (as for Spark's file stream); reading runs in the tasks. Same name rules as the batch
+    source, so ``__init__.py`` and (with ``include_hidden``) dotfiles are streamed too."""
+
+    def __init__(self, options):
+        self.batch = CorpusReader(options)
+
+    def _listing(self) -> list[tuple[int, str]]:
+        out = []
+        for part in self.batch.partitions():
+            for row_path in self.batch.matching_paths(part):
+                try:
+                    out.append((os.stat(row_path).st_mtime_ns, row_path))
+                except OSError:
                     continue
-                with open(path, "rb") as fh:
-                    yield (path, st.st_size, mtime, fh.read(), None)
-            except OSError as ex:
-                yield (path, None, None, None, str(ex))
+        return sorted(out)
+
+    def initialOffset(self) -> dict:
+        return {"mtime_ns": -1}
+
+    def latestOffset(self) -> dict:
+        files = self._listing()
+        return {"mtime_ns": files[-1][0] if files else -1}
+
+    def partitions(self, start: dict, end: dict):
+        lo, hi = start["mtime_ns"], end["mtime_ns"]
+        paths = [p for m, p in self._listing() if lo < m <= hi]
+        n = max(1, min(self.batch.num_partitions, len(paths)))
+        return [_Part(paths[i::n]) for i in range(n)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        for path in partition.entries:
+            yield _read_file(path, self.batch.max_bytes)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class CorpusDataSource(DataSource):
@@ -172,6 +220,32 @@ class CorpusDataSource(DataSource):
     def reader(self, schema):
         return CorpusReader(self.options)
 
+    def streamReader(self, schema):
+        return CorpusStreamReader(self.options)
+
+
+def _options(patterns, recursive, include_hidden, exclude, suffix, strict, max_bytes, n) -> dict:
+    opts = {
+        "paths": json.dumps(list(patterns)), "recursive": str(recursive).lower(),
+        "include_hidden": str(include_hidden).lower(), "exclude": json.dumps(list(exclude)),
+        "strict": str(strict).lower(), "max_bytes": str(max_bytes), "numPartitions": str(n),
+    }
+    if suffix:
+        opts["suffix"] = suffix
+    return opts
+
+
+def stream_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True,
+                  include_hidden: bool = False, exclude: Sequence[str] = (), suffix: str | None = None,
+                  max_bytes: int = 256 << 20, num_partitions: int | None = None) -> DataFrame:
+    """New or modified files matched by ``patterns`` as a stream (same schema as ``read_corpus``)."""
+    register(spark)
+    if isinstance(patterns, str):
+        patterns = [patterns]
+    n = num_partitions or spark.sparkContext.defaultParallelism
+    return spark.readStream.format("corpus").options(
+        **_options(patterns, recursive, include_hidden, exclude, suffix, False, max_bytes, n)).load()
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CorpusDataSource)
@@ -185,19 +259,8 @@ def read_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive
     if isinstance(patterns, str):
         patterns = [patterns]
     n = num_partitions or spark.sparkContext.defaultParallelism
-    r = (
-        spark.read.format("corpus")
-        .option("paths", json.dumps(list(patterns)))
-        .option("recursive", str(recursive).lower())
-        .option("include_hidden", str(include_hidden).lower())
-        .option("exclude", json.dumps(list(exclude)))
-        .option("strict", str(strict).lower())
-        .option("max_bytes", str(max_bytes))
-        .option("numPartitions", str(n))
-    )
-    if suffix:
-        r = r.option("suffix", suffix)
-    return r.load()
+    opts = _options(patterns, recursive, include_hidden, exclude, suffix, strict, max_bytes, n)
+    return spark.read.format("corpus").options(**opts).load()
 
 
 def sorted_paths(df: DataFrame) -> DataFrame:

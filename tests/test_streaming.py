@@ -65,3 +65,25 @@ def test_dedupe_within_watermark(spark, tmp_path):
     s = table_stream(spark, str(d), "fingerprint string, ts timestamp_ntz")
     run_available(dedupe_stream(s, "1 hour"), "dedup", checkpoint=str(tmp_path / "ck4"))
     assert sorted(r.fingerprint for r in spark.table("dedup").collect()) == ["fp1", "fp2"]
+
+
+def test_corpus_stream_keeps_init_and_hidden(spark, tmp_path):
+    from corpuscope.sources.files import stream_corpus
+
+    src = tmp_path / "pkg"
+    src.mkdir()
+    (src / "__init__.py").write_text("x = eval(y)\n")
+    (src / ".hidden.py").write_text("x = eval(z)\n")
+    (src / "mod.py").write_text("ok = 1\n")
+    rules = [LineRulesRule([LineRule("EVAL", r"\beval\(", "HIGH", "eval")])]
+    s = streaming_issues(stream_corpus(spark, [f"{src}/*.py"], include_hidden=True), rules)
+    q = (s.writeStream.format("memory").queryName("corpus_stream").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck5")).start())
+    q.processAllAvailable()
+    first = sorted(os.path.basename(r.file) for r in spark.table("corpus_stream").collect())
+    assert first == [".hidden.py", "__init__.py"]
+    (src / "later.py").write_text("eval(1)\n")  # a new file arrives: only it is processed
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(os.path.basename(r.file) for r in spark.table("corpus_stream").collect())
+    assert got == [".hidden.py", "__init__.py", "later.py"]
