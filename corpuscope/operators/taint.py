@@ -1,13 +1,18 @@
 """Taint flow (SEC004): in files that contain an entry point, every sink line at or after the
 first sensitive line is a CRITICAL issue.
 
-Two equivalent plans:
+Three equivalent plans:
 
 * ``form="array"`` (default) is map-only: each file row is gated by cheap whole-text substring
   tests, split once, and the first sensitive line index is found with one pass over the line
   array. No shuffle at all, so it scales linearly with the corpus and also runs on a stream.
 * ``form="window"`` explodes lines and uses a running ``max`` window per file. It needs a
   shuffle by file and is kept as a cross-check.
+* ``taint_lines`` works on corpora that are already line tables ``(file, line, text)`` (a turn
+  table, a line-exploded corpus). The first sensitive line and the entry flag per file are
+  combinable aggregates (map-side partial), and only sink lines are joined back. That join is
+  broadcast only after a size check; otherwise AQE's skew-join splitting applies, so a file
+  holding a third of all lines does not end up in one task.
 """
 
 from __future__ import annotations
@@ -95,3 +100,24 @@ def taint_flow(
         latched = lines.withColumn("latch", F.max(F.col("text").rlike(rx).cast("int")).over(w))
         return _issues(latched.where((F.col("latch") == 1) & contains_any(F.col("text"), sinks)))
     raise ValueError(f"unknown form {form!r}")
+
+
+def taint_lines(lines: DataFrame, sensitive_patterns: Sequence[str], entry_points: Sequence[str],
+                sinks: Sequence[str]) -> DataFrame:
+    """Taint over a line table ``(file, line, text)``; same issues as ``taint_flow`` on the files."""
+    from corpuscope.operators.joins import maybe_broadcast
+
+    _check(sensitive_patterns, entry_points, sinks)
+    rx = any_regex(sensitive_patterns)
+    flags = lines.select(
+        "file", F.col("line").cast("bigint").alias("line"), "text",
+        F.col("text").rlike(rx).alias("sens"),
+        contains_any(F.col("text"), sinks).alias("sink"),
+        contains_any(F.col("text"), entry_points).alias("entry"),
+    )
+    per_file = flags.groupBy("file").agg(
+        F.min(F.when(F.col("sens"), F.col("line"))).alias("first"),
+        F.max(F.col("entry").cast("int")).alias("has_entry"),
+    ).where(F.col("first").isNotNull() & ((F.col("has_entry") == 1) | base_name(F.col("file")).isin(list(entry_points))))
+    hits = flags.where("sink").join(maybe_broadcast(per_file.select("file", "first")), "file")
+    return _issues(hits.where(F.col("line") >= F.col("first")))

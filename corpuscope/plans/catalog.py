@@ -479,6 +479,13 @@ def q_top_issues_summary(spark, sf):
     return RP.top_issues_lines(q_all_issues(spark, sf), TOP_K)
 
 
+def q_taint_flow_lines(spark, sf):
+    """Taint on the line table Spark derives from documents (one row per splitlines() line)."""
+    numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
+    lines = docs(spark, sf).select("file", F.explode(numbered).alias("x")).select("file", "x.line", "x.text")
+    return taint.taint_lines(lines, TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_counts": q_line_counts,
     "splitlines_count": q_splitlines_count,
@@ -538,4 +545,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encoding_issues_strict": q_encoding_issues_strict,
     "encoding_report_markdown": q_encoding_report_markdown,
     "top_issues_summary": q_top_issues_summary,
+    "taint_flow_lines": q_taint_flow_lines,
 }

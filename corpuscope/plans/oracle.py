@@ -431,6 +431,7 @@ ORACLES: dict[str, str] = {
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
     "taint_flow": taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS),
     "taint_flow_window": taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS),
+    "taint_flow_lines": taint_sql(C.TAINT_SENSITIVE, C.TAINT_ENTRIES, C.TAINT_SINKS),
     "long_files": length_sql(C.DOC_LENGTHS),
     "many_definitions": definitions_sql(C.PAGE_LINKS, "html"),
     "parse_errors": parse_errors_sql(C.MAX_BYTES),

@@ -74,3 +74,22 @@ def test_array_form_has_no_shuffle(spark):
 
     plan = C.q_taint_flow(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_line_table_form(spark):
+    from corpuscope.operators.taint import taint_lines
+
+    rows = [("proj/main.py", i + 1, t) for i, t in enumerate(HIT.splitlines())]
+    rows += [("other.py", 1, "db_query(GDPR)")]  # not an entry file
+    lines = spark.createDataFrame(rows, "file string, line long, text string")
+    got = taint_lines(lines, ["GDPR"], ["request.get_data", "main.py"], ["db_query"]).collect()
+    assert [(r.file, r.line, r.code_snippet) for r in got] == [("proj/main.py", 3, "db_query(gdpr_data)")]
+
+
+def test_line_table_form_hot_file(spark):
+    from corpuscope.operators.taint import taint_lines
+
+    # one file with most of the lines: the per-file aggregate is combinable, the join bounded
+    rows = [("hot.py", i, "entry" if i == 1 else ("secret" if i == 5 else "sink()")) for i in range(1, 5001)]
+    lines = spark.createDataFrame(rows, "file string, line long, text string")
+    assert taint_lines(lines, ["secret"], ["entry"], ["sink"]).count() == 4995
