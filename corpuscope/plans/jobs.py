@@ -138,3 +138,32 @@ def read_text_parts(path: str) -> str:
     """Concatenate the text parts of a written report (small outputs, tests and previews)."""
     names = sorted(n for n in os.listdir(path) if n.startswith("part-"))
     return "".join(open(os.path.join(path, n), encoding="utf-8").read() for n in names)
+
+
+@dataclass(frozen=True)
+class Repo:
+    name: str
+    patterns: Sequence[str]
+    lang: str | None = None
+
+
+def multi_repo_scan(spark: SparkSession, repos: Sequence[Repo], rules, output: str | None = None,
+                    max_bytes: int = 64 << 20) -> JobResult:
+    """X-10: several repositories in one job. Their corpora are unioned with a ``repo`` column
+    (and a forced language when given), scanned once, summarised per repository and severity,
+    and written to one folder partitioned by ``repo``."""
+    from corpuscope.operators.summary import repo_summary
+
+    corpora = []
+    for r in repos:
+        c = as_text_corpus(read_corpus(spark, list(r.patterns))).withColumn("repo", F.lit(r.name))
+        if r.lang:
+            c = c.withColumn("lang", F.lit(r.lang))
+        corpora.append(c.select("file", "text", "lang", "repo"))
+    corpus = corpora[0]
+    for c in corpora[1:]:
+        corpus = corpus.unionByName(c)
+    issues = scan(corpus, list(rules), max_bytes=max_bytes, keep=["repo"])
+    if output:
+        RP.write_json(issues, output, partition_by=["repo"])
+    return JobResult(issues, repo_summary(issues))

@@ -72,3 +72,18 @@ def test_fuse_results_job(spark, tmp_path):
     assert fused["R1"].message == "new" and fused["R2"].message == "x"
     logs = [json.loads(line) for line in jobs.read_text_parts(str(tmp_path / "out")).splitlines()]
     assert sum(len(l["runs"][0]["results"]) for l in logs) == 2
+
+
+def test_multi_repo_scan(spark, tmp_path):
+    from corpuscope.operators.scan import FileLengthRule, LineRule, LineRulesRule
+
+    for repo, n in (("r1", 350), ("r2", 10)):
+        d = tmp_path / repo
+        d.mkdir()
+        (d / "a.py").write_text("\n".join(["eval(x)"] * n))
+    repos = [jobs.Repo("r1", [f"{tmp_path}/r1/*.py"]), jobs.Repo("r2", [f"{tmp_path}/r2/*.py"], lang="python")]
+    rules = [FileLengthRule(), LineRulesRule([LineRule("EVAL", r"eval\(", "HIGH", "eval")])]
+    res = jobs.multi_repo_scan(spark, repos, rules, output=str(tmp_path / "out"))
+    summary = {(r.repo, r.severity): r.n_issues for r in res.summary.collect()}
+    assert summary == {("r1", "LOW"): 1, ("r1", "HIGH"): 350, ("r2", "HIGH"): 10}
+    assert sorted(os.listdir(tmp_path / "out"))[-2:] == ["repo=r1", "repo=r2"]
