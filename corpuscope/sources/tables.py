@@ -38,12 +38,14 @@ def _row_groups(paths: list[str]) -> tuple[int, int] | None:
     return groups, size
 
 
-def balanced(spark: SparkSession, df: DataFrame) -> DataFrame:
+def balanced(spark: SparkSession, df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a small-but-heavy table over all cores.
 
     Parquet splits on row groups: a table stored as one large row group is scanned, and all its
     per-row regex work done, by one task. When an input has fewer row groups than the session
-    has cores (and more than a few MB), rows are redistributed round-robin (no key, so no skew).
+    has cores (and more than a few MB), rows are redistributed by the hash of a unique ``key``
+    (balanced, deterministic on retry, and unlike round-robin needs no local sort first), or
+    round-robin when there is no key.
     Inputs with many files or row groups — every large table — are returned untouched: there the
     scan is already parallel and an extra shuffle would only cost."""
     if spark.conf.get(BALANCE_CONF, "true").lower() != "true":
@@ -55,17 +57,19 @@ def balanced(spark: SparkSession, df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if info is None or info[0] >= cores or info[1] < BALANCE_MIN_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores, key) if key else df.repartition(cores)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, balance_key: str | None = None) -> DataFrame:
+    """A driver table; with ``balance_key`` (a unique column) small single-row-group tables are
+    spread over the cores (see ``balanced``)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(spark, df) if balance else df
+    return balanced(spark, df, balance_key) if balance_key else df
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files: ``file = <source>/<doc_id>.md``, repo = source."""
-    d = table(spark, sf_dir, "documents", balance=True)
+    d = table(spark, sf_dir, "documents", balance_key="doc_id")
     return d.select(
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"),
         F.col("text"),
@@ -76,7 +80,7 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as HTML files: file = url."""
-    p = table(spark, sf_dir, "pages", balance=True)
+    p = table(spark, sf_dir, "pages", balance_key="page_id")
     return p.select(F.col("url").alias("file"), F.col("html").alias("text"))
 
 
