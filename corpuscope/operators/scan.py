@@ -230,7 +230,10 @@ class TaintRule(Rule):
         entry = (F.size(row.lines) > 0) & (
             base_name(row.file).isin(entries) | F.exists(row.lines, lambda l: contains_any(l, entries))
         )
-        first = F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True).cast("int")
+        # whole-text search first (a superset of any line matching): most files skip the per-line pass
+        first = F.when(
+            row.text.rlike("(?m)" + rx), F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True).cast("int")
+        ).otherwise(F.lit(0))
         hits = _line_indices(row.lines, lambda l: contains_any(l, sinks), start=first)
         out = F.transform(
             hits, lambda i: issue(S.RULE_TAINT, "CRITICAL", S.MSG_TAINT, S.TOOL_TAINT, line=i,

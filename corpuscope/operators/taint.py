@@ -51,12 +51,15 @@ def entry_file(file, lines, entry_points: Sequence[str]):
     )
 
 
-def _gated(corpus: DataFrame, entry_points, sinks) -> DataFrame:
-    # Whole-text substring gates are supersets of the per-line tests: they drop most files
-    # before any split or regex work happens.
+def _gated(corpus: DataFrame, entry_points, sinks, sensitive_patterns) -> DataFrame:
+    # Whole-text tests are supersets of the per-line ones (a line is a substring of the text;
+    # multi-line mode keeps anchors at line ends): they drop most files before any split or
+    # per-line regex work, and change no result.
     text = F.col("text")
-    return corpus.where(contains_any(text, sinks)).where(
-        base_name(F.col("file")).isin(list(entry_points)) | contains_any(text, entry_points)
+    return (
+        corpus.where(contains_any(text, sinks))
+        .where(base_name(F.col("file")).isin(list(entry_points)) | contains_any(text, entry_points))
+        .where(text.rlike("(?m)" + any_regex(sensitive_patterns)))
     )
 
 
@@ -85,9 +88,9 @@ def taint_flow(
     _check(sensitive_patterns, entry_points, sinks)
     rx = any_regex(sensitive_patterns)
     if form == "array":
-        gated_rows = _gated(corpus.select("file", "text"), entry_points, sinks)
+        gated_rows = _gated(corpus.select("file", "text"), entry_points, sinks, sensitive_patterns)
         return scan(gated_rows, [TaintRule(sensitive_patterns, entry_points, sinks)])
-    gated = _gated(corpus.select("file", "text"), entry_points, sinks).select(
+    gated = _gated(corpus.select("file", "text"), entry_points, sinks, sensitive_patterns).select(
         "file", splitlines(F.col("text")).alias("lines")
     )
     gated = gated.where(entry_file(F.col("file"), F.col("lines"), entry_points))
