@@ -87,3 +87,27 @@ def test_corpus_stream_keeps_init_and_hidden(spark, tmp_path):
     q.stop()
     got = sorted(os.path.basename(r.file) for r in spark.table("corpus_stream").collect())
     assert got == [".hidden.py", "__init__.py", "later.py"]
+
+
+def test_trend_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    src = tmp_path / "ev"
+    src.mkdir()
+    schema = "ts timestamp_ntz, severity string"
+
+    def write(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / name))
+
+    write("b1", [(dt.datetime(2024, 1, 2, 12), "HIGH"), (dt.datetime(2024, 1, 2, 13), "HIGH")])
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+    q = (issue_trend(stream, "1 day", watermark="1 hour").writeStream.outputMode("update").format("memory")
+         .queryName("trend_late").option("checkpointLocation", str(tmp_path / "ck6")).start())
+    q.processAllAvailable()
+    # the watermark is now 2024-01-02 12:00: a row for 2024-01-01 is late and must be dropped
+    write("b2", [(dt.datetime(2024, 1, 1, 8), "HIGH"), (dt.datetime(2024, 1, 2, 14), "HIGH")])
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.table("trend_late").collect()
+    assert not any(str(r.window_start).startswith("2024-01-01") for r in rows)
+    assert max(r.n_issues for r in rows if str(r.window_start).startswith("2024-01-02")) == 3
