@@ -75,3 +75,36 @@ def test_glob_regex_semantics():
 def test_directory_argument_recurses_with_dotfiles(spark, tree):
     assert paths(read_corpus(spark, [f"{tree}/pkg"]), tree) == ["pkg/.hidden.py", "pkg/__init__.py", "pkg/mod.py"]
     assert paths(read_corpus(spark, [f"{tree}/x/*"]), tree) == ["x/y/UPPER.MD", "x/y/deep.md"]
+
+
+def test_scratch_encodings_end_to_end(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpuscope.functions.lines import splitlines
+    from corpuscope.operators.repair import check_encoding, repair
+
+    files = {
+        "bom.md": b"\xef\xbb\xbfhello\n",
+        "latin1.md": "caf\xe9\n".encode("latin-1"),
+        "crlf.md": b"a\r\nb\r\n",
+        "empty.md": b"",
+        "nbsp.md": "\xa0\xa0\n".encode(),
+        "utf16.md": "hi".encode("utf-16"),
+        "ok.md": "déjà vu\n".encode(),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    raw = read_corpus(spark, [f"{tmp_path}/*.md"])
+    byfile = raw.select(F.col("path").alias("file"), "content")
+    enc = {os.path.basename(r.file): (r.encoding, r.is_issue) for r in check_encoding(byfile).collect()}
+    assert enc == {"bom.md": ("UTF-8-SIG", True), "latin1.md": ("ISO-8859-1", True), "crlf.md": ("ascii", False),
+                   "empty.md": (None, True), "nbsp.md": ("utf-8", False), "utf16.md": ("UTF-16", True),
+                   "ok.md": ("utf-8", False)}
+    fixed = {os.path.basename(r.file): r for r in repair(byfile, dry_run=True).collect()}
+    assert fixed["bom.md"].text_after == "hello\n" and fixed["latin1.md"].text_after == "café\n"
+    assert fixed["crlf.md"].text_after == "a\r\nb\r\n" and not fixed["crlf.md"].changed  # CRLF is kept
+    assert fixed["empty.md"].text_after == fixed["nbsp.md"].text_after == "<!-- À compléter -->\n"
+    assert fixed["utf16.md"].text_after == "hi" and fixed["ok.md"].message == "ok (déjà conforme)"
+    text = as_text_corpus(raw).select("file", splitlines(F.col("text")).alias("l")).collect()
+    lines = {os.path.basename(r.file): r.l for r in text}
+    assert lines["crlf.md"] == ["a", "b"] and lines["empty.md"] == []
