@@ -7,6 +7,7 @@ arrays: the corpus is read once whatever the number of rules, and no rule shuffl
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
@@ -297,6 +298,13 @@ class SecretPatternRule(Rule):
         return F.when(row.text.rlike("(?m)" + alt), F.flatten(F.transform(cand, per_line))).otherwise(empty())
 
 
+def _token_start_anchored(tp: str) -> str:
+    """``[cls]{n,}`` -> ``(?<![cls])[cls]{n,}``: the same (leftmost, greedy) matches, but the
+    engine only starts at token boundaries instead of retrying inside every shorter word."""
+    m = re.fullmatch(r"(\[[^\]]+\])\{\d+,\}", tp)
+    return f"(?<!{m.group(1)}){tp}" if m else tp
+
+
 @dataclass
 class EntropyRule(Rule):
     """R-7: HIGH per line holding a token whose entropy exceeds the threshold."""
@@ -307,7 +315,7 @@ class EntropyRule(Rule):
     description = "High-entropy strings (possible encoded secrets)"
 
     def issues(self, row):
-        tp = self.token_pattern
+        tp = _token_start_anchored(self.token_pattern)
         cand = _line_indices(row.lines, lambda l: l.rlike(tp))
 
         def hot(t):

@@ -67,3 +67,14 @@ def test_ladder_matches_python_decoding(spark, blobs):
                 valid = False
             want = ("ascii" if b.isascii() else "utf-8") if valid else "ISO-8859-1"
             assert enc == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(s=st.text(alphabet="ab01+/=_- .é", max_size=80))
+def test_anchored_token_pattern_finds_the_same_tokens(s):
+    import re
+
+    from corpuscope.operators.scan import TOKEN_PATTERN, _token_start_anchored
+
+    small = TOKEN_PATTERN.replace("{20,}", "{4,}")
+    assert re.findall(_token_start_anchored(small), s) == re.findall(small, s)
