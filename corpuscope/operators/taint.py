@@ -51,16 +51,16 @@ def entry_file(file, lines, entry_points: Sequence[str]):
     )
 
 
-def _gated(corpus: DataFrame, entry_points, sinks, sensitive_patterns) -> DataFrame:
+def _gated(corpus: DataFrame, entry_points, sinks, sensitive_patterns=None) -> DataFrame:
     # Whole-text tests are supersets of the per-line ones (a line is a substring of the text;
-    # multi-line mode keeps anchors at line ends): they drop most files before any split or
-    # per-line regex work, and change no result.
+    # multi-line mode keeps anchors at line ends): they drop files before any split or per-line
+    # regex work and change no result. Only the cheap substring tests become DataFrame filters
+    # (Catalyst may push them into the scan task); the regex test, when given, too.
     text = F.col("text")
-    return (
-        corpus.where(contains_any(text, sinks))
-        .where(base_name(F.col("file")).isin(list(entry_points)) | contains_any(text, entry_points))
-        .where(text.rlike("(?m)" + any_regex(sensitive_patterns)))
+    out = corpus.where(contains_any(text, sinks)).where(
+        base_name(F.col("file")).isin(list(entry_points)) | contains_any(text, entry_points)
     )
+    return out if sensitive_patterns is None else out.where(text.rlike("(?m)" + any_regex(sensitive_patterns)))
 
 
 def _issues(df: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def taint_flow(
     _check(sensitive_patterns, entry_points, sinks)
     rx = any_regex(sensitive_patterns)
     if form == "array":
-        gated_rows = _gated(corpus.select("file", "text"), entry_points, sinks, sensitive_patterns)
+        # the sensitive whole-text test runs inside the rule, after any rebalancing of the input
+        gated_rows = _gated(corpus.select("file", "text"), entry_points, sinks)
         return scan(gated_rows, [TaintRule(sensitive_patterns, entry_points, sinks)])
     gated = _gated(corpus.select("file", "text"), entry_points, sinks, sensitive_patterns).select(
         "file", splitlines(F.col("text")).alias("lines")
