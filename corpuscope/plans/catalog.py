@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope import schema as S
-from corpuscope.functions.lines import split_newline, splitlines
+from corpuscope.functions.lines import count_newline_lines, split_newline, splitlines
 from corpuscope.functions.text import any_regex, contains_any
 from corpuscope.operators import summary, taint
 from corpuscope.operators.scan import (
@@ -239,7 +239,7 @@ def q_quality_gate(spark, sf):
     from corpuscope.operators.scan import BOOLEAN_PATTERN, DECISION_PATTERN, DEFINITIONS
 
     metrics = d.select(
-        F.size(split_newline(text)).alias("n_lines"),
+        count_newline_lines(text).alias("n_lines"),
         F.regexp_count(text, F.lit(DEFINITIONS["python"].pattern)).alias("n_functions"),
         (F.lit(1) + F.regexp_count(text, F.lit(DECISION_PATTERN)) + F.regexp_count(text, F.lit(BOOLEAN_PATTERN))).alias("complexity"),
     )
