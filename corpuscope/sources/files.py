@@ -296,3 +296,19 @@ def as_text_corpus(files: DataFrame) -> DataFrame:
         F.coalesce(F.element_at(_map_literal(EXTENSION_LANG, F.lit), ext), F.lit("unknown")).alias("lang"),
         "error",
     )
+
+
+class CorpusPatterns:
+    """Reusable corpus reader with fixed defaults (the object form of SRC-1):
+    ``CorpusPatterns(recursive=False, strict=True)(spark, ["*.md"])``."""
+
+    def __init__(self, recursive: bool = True, strict: bool = False, include_hidden: bool = False,
+                 exclude: Sequence[str] = (), suffix: str | None = None, max_bytes: int = 256 << 20):
+        self.options = dict(recursive=recursive, strict=strict, include_hidden=include_hidden,
+                            exclude=tuple(exclude), suffix=suffix, max_bytes=max_bytes)
+
+    def __call__(self, spark: SparkSession, patterns: Sequence[str] | str) -> DataFrame:
+        return read_corpus(spark, patterns, **self.options)
+
+    def __repr__(self) -> str:
+        return "CorpusPatterns(" + ", ".join(f"{k}={v!r}" for k, v in self.options.items()) + ")"

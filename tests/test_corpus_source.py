@@ -108,3 +108,11 @@ def test_scratch_encodings_end_to_end(spark, tmp_path):
     text = as_text_corpus(raw).select("file", splitlines(F.col("text")).alias("l")).collect()
     lines = {os.path.basename(r.file): r.l for r in text}
     assert lines["crlf.md"] == ["a", "b"] and lines["empty.md"] == []
+
+
+def test_reusable_patterns_object(spark, tree):
+    from corpuscope.sources.files import CorpusPatterns
+
+    md = CorpusPatterns(suffix=".md", exclude=["**/vendor/**"])
+    assert paths(md(spark, [f"{tree}/**"]), tree) == ["top.md", "x/y/UPPER.MD", "x/y/deep.md"]
+    assert "suffix='.md'" in repr(md)
