@@ -402,6 +402,27 @@ def prepare(corpus: DataFrame, guard: Column | None = None, used=("__lines", "__
     return corpus.select(*corpus.columns, *extra)
 
 
+_ISSUES_CACHE: dict[tuple, tuple[Column, frozenset]] = {}
+
+
+def _rule_issues(corpus: DataFrame, rule: Rule, row: Row) -> Column:
+    """``rule.issues(row)``, memoised per SparkContext and rule configuration.
+
+    Building a rule's expression tree costs hundreds of py4j calls on the driver; an unresolved
+    Column can be reused by any number of DataFrames, so a rule with the same parameters is built
+    once per session. The line arrays it uses are recorded with it."""
+    key = (id(corpus.sparkSession.sparkContext._jsc), type(rule).__name__, repr(rule))
+    hit = _ISSUES_CACHE.get(key)
+    if hit is None:
+        probe = Row()
+        hit = (rule.issues(probe), frozenset(probe.used))
+        if len(_ISSUES_CACHE) > 256:
+            _ISSUES_CACHE.clear()
+        _ISSUES_CACHE[key] = hit
+    row.used.update(hit[1])
+    return hit[0]
+
+
 def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Issues of all ``rules`` over ``corpus(file, text[, lang])`` in one pass.
 
@@ -416,7 +437,7 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
         raise ValueError("corpus needs a lang column (or give the rule a fixed lang)")
     base = corpus.select("file", "text", *(["lang"] if "lang" in corpus.columns else []), *keep)
     row = Row()
-    arrays = [r.issues(row) for r in rules]
+    arrays = [_rule_issues(corpus, r, row) for r in rules]
     all_issues = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     guard = None
     if max_bytes is not None:
