@@ -29,12 +29,17 @@ def scan_secrets(corpus: DataFrame, entropy_threshold: float = DEFAULT_ENTROPY_T
     return scan(corpus.select("file", "text"), [SecretPatternRule(list(patterns)), EntropyRule(entropy_threshold)])
 
 
-# --- fixed values: safe contexts from the roadmap (a hit inside one is not a secret) ---
+# --- fixed values: safe contexts from the roadmap (a hit inside one is not a secret): the
+# generic list, then the per-language request accessors (PHP, JavaScript, Python) ---
 SAFE_CONTEXTS = [
     r"""\$_POST\[['"](password|passwd)['"]""",
     r"""\$password\s*=\s*\$_""",
     r"""function.*\(\$password\)""",
     r"""'password'\s*=>\s*\$""",
+    r"""\$_GET\[['"]password['"]\]""",
+    r"""req\.body\.password""",
+    r"""formData\.password""",
+    r"""request\.form\[['"]password['"]\]""",
 ]
 
 

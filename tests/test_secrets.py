@@ -49,3 +49,9 @@ def test_confidence_bands(corpus):
     rows = {r.line: r for r in secret_confidence(df, ["password"], ["License"], [r"[0-9a-f]{40}"]).collect()}
     assert 1 not in rows  # safe context dropped
     assert rows[2].band == "to_verify" and rows[3].band == "probable_false_positive"
+
+
+def test_language_safe_contexts(corpus):
+    text = "pw = req.body.password\nx = request.form['password']\n$p = $_GET['password'];\npassword = 'real'\n"
+    rows = secret_confidence(corpus([("a.js", text)]), ["password"], ["License"], [r"[0-9a-f]{40}"]).collect()
+    assert [r.line for r in rows] == [4]
