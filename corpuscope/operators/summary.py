@@ -153,6 +153,16 @@ def quality_gate(issues: DataFrame, metrics: DataFrame | None = None,
     return out.withColumn("passed", F.col("value") <= F.col("limit"))
 
 
+def gate_verdict(checks: DataFrame) -> DataFrame:
+    """One row: ``passed`` (every check passed; the CI exit status) and the failed checks as
+    ``category.check`` names, sorted."""
+    failed = F.when(~F.col("passed"), F.concat_ws(".", "category", "check"))
+    return checks.agg(
+        F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"),
+        F.array_sort(F.collect_list(failed)).alias("failed_checks"),
+    )
+
+
 # --- fixed values: score weights per category and pass mark (roadmap scoring section) ---
 SCORE_WEIGHTS = {"secrets": 0.3, "semantic": 0.2, "taint": 0.3, "codeql": 0.2}
 PASSING_SCORE = 70

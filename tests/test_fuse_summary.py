@@ -68,3 +68,13 @@ def test_ordered_index_splits_a_hot_key(spark):
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert max(sizes) < 2000 and sum(sizes) == 4000
     assert sorted(r.idx for r in out.collect()) == list(range(1, 4001))
+
+
+def test_gate_verdict(spark):
+    df = issues(spark, [("a", 1, None, "R", "CRITICAL", "m", "t"), ("b", 1, None, "R", "LOW", "m", "t")])
+    df = df.withColumn("category", F.lit("secrets"))
+    checks = SM.quality_gate(df, gates={"secrets": {"max_critical": 0, "max_total": 5}})
+    v = SM.gate_verdict(checks).collect()[0]
+    assert v.passed is False and v.failed_checks == ["secrets.max_critical"]
+    ok = SM.gate_verdict(SM.quality_gate(df, gates={"secrets": {"max_total": 5}})).collect()[0]
+    assert ok.passed is True and ok.failed_checks == []
