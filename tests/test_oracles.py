@@ -42,7 +42,8 @@ def test_entry_smoke(spark):
     assert df.count() >= 1 and df.columns[:3] == ["file", "line", "column"]
 
 
-@pytest.mark.parametrize("name", ["all_issues", "duplicate_blocks", "top_issues", "issue_report_lines"])
+@pytest.mark.parametrize("name", ["all_issues", "duplicate_blocks", "top_issues", "issue_report_lines", "fuse_merge",
+                                  "sarif_roundtrip", "encoding_report", "taint_flow_lines", "dedupe_issues"])
 def test_same_rows_under_1_and_8_partitions(spark, name):
     q = E.queries()[name]
     spark.conf.set("spark.sql.shuffle.partitions", "1")
