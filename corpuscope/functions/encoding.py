@@ -65,20 +65,38 @@ def encoding_problem(encoding: Column, confidence: Column, error: Column | None
     return F.coalesce(bad, F.lit(False))
 
 
+# Well-formed UTF-16 after its BOM: whole 16-bit units, surrogates only as high+low pairs
+# (little endian puts the high byte second, big endian first). Checked on the hex text so that
+# malformed bytes fall back instead of failing the task (Spark's decode raises on them).
+UTF16LE_OK = "^FFFE(?:(?!..D[89A-F])[0-9A-F]{4}|..D[89AB]..D[C-F])*$"
+UTF16BE_OK = "^FEFF(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB]..D[C-F]..)*$"
+
+
+def valid_utf16(content: Column) -> Column:
+    h = F.hex(content)
+    return F.when(_starts(content, "FFFE"), h.rlike(UTF16LE_OK)).when(_starts(content, "FEFF"), h.rlike(UTF16BE_OK)).otherwise(
+        F.lit(False)
+    )
+
+
 def decode_bytes(content: Column, encoding: Column) -> Column:
-    """S-2: ``struct(text, encoding, fallback)`` decoded by the detected label.
+    """S-2: ``struct(text, fallback)`` decoded by the detected label.
 
     A UTF-8 BOM is removed; UTF-16 uses its BOM; Latin-1 decodes every byte. Bytes that cannot
-    be decoded under the label fall back to UTF-8 with replacement characters (``fallback``)."""
+    be decoded under the label (malformed UTF-16) fall back to UTF-8 with replacement characters
+    (``fallback``), as the reference does when decoding with the detected codec fails."""
     as_str = content.cast("string")
     n = F.octet_length(content)
+    utf16_ok = (encoding == "UTF-16") & valid_utf16(content)
     text = (
         F.when(encoding == "UTF-8-SIG", F.make_valid_utf8(F.substring(content, 4, 1 << 30).cast("string")))
-        .when(encoding == "UTF-16", F.decode(content, "UTF-16"))
+        .when(utf16_ok, F.decode(content, "UTF-16"))
         .when(encoding == "ISO-8859-1", F.decode(content, "ISO-8859-1"))
         .when(encoding.isin("ascii", "utf-8"), as_str)
         .when(n == 0, F.lit(""))
         .otherwise(F.make_valid_utf8(as_str))
     )
-    fallback = encoding.isNotNull() & ~encoding.isin("UTF-8-SIG", "UTF-16", "ISO-8859-1", "ascii", "utf-8")
+    fallback = (encoding.isNotNull() & ~encoding.isin("UTF-8-SIG", "UTF-16", "ISO-8859-1", "ascii", "utf-8")) | (
+        (encoding == "UTF-16") & ~utf16_ok
+    )
     return F.struct(text.alias("text"), fallback.alias("fallback"))

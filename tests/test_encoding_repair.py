@@ -115,3 +115,11 @@ def test_fill_empty(spark):
     assert got == [(EMPTY_PLACEHOLDER if not c.strip() else c) for c in cases]
     assert got[-1] == "x" and got[4] == EMPTY_PLACEHOLDER
     assert html.unescape("&copy;") == "©"
+
+
+def test_malformed_utf16_falls_back_instead_of_failing(spark):
+    rows = [("odd.md", bytes.fromhex("FFFE6100FF")), ("lone.md", bytes.fromhex("FFFE00D8")), ("ok.md", "hi".encode("utf-16"))]
+    got = {r.file: r for r in repair(spark.createDataFrame(rows, "file string, content binary")).collect()}
+    assert got["odd.md"].encoding == got["lone.md"].encoding == "utf-8 (fallback)"
+    assert got["odd.md"].confidence == 0.0 and got["odd.md"].success
+    assert got["ok.md"].encoding == "UTF-16" and got["ok.md"].text_after == "hi"

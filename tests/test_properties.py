@@ -78,3 +78,24 @@ def test_anchored_token_pattern_finds_the_same_tokens(s):
 
     small = TOKEN_PATTERN.replace("{20,}", "{4,}")
     assert re.findall(_token_start_anchored(small), s) == re.findall(small, s)
+
+
+@SETTINGS
+@given(bodies=st.lists(st.binary(max_size=12), min_size=30, max_size=30), big=st.booleans())
+def test_utf16_decoding_matches_python_or_falls_back(spark, bodies, big):
+    from corpuscope.functions.encoding import decode_bytes
+
+    bom = b"\xfe\xff" if big else b"\xff\xfe"
+    blobs = [bom + b for b in bodies]
+    df = spark.createDataFrame([(b,) for b in blobs], "b binary")
+    d = detect_encoding(F.col("b"))
+    got = df.select(decode_bytes(F.col("b"), d["encoding"]).alias("x")).collect()
+    for b, r in zip(blobs, got):
+        try:
+            want = b.decode("utf-16")
+        except UnicodeDecodeError:
+            want = None
+        if want is None:
+            assert r.x.fallback is True
+        else:
+            assert r.x.fallback is False and r.x.text == want
