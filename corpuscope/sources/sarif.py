@@ -36,7 +36,7 @@ def sarif_to_results(logs: DataFrame, log_col: str = "log") -> DataFrame:
     """Flattened results ``(tool, rule_id, level, message, uri, start_line, start_column)``."""
     runs = logs.select(F.explode(F.col(f"{log_col}.runs")).alias("run"))
     res = runs.select(F.col("run.tool.driver.name").alias("tool"), F.explode("run.results").alias("r"))
-    loc = F.element_at(F.col("r.locations"), 1)["physicalLocation"]
+    loc = F.try_element_at(F.col("r.locations"), F.lit(1))["physicalLocation"]  # results may have no location
     return res.select(
         "tool",
         F.col("r.ruleId").alias("rule_id"),

@@ -77,3 +77,12 @@ def test_runs_are_bounded_and_roundtrip(spark):
 def test_uri_double_slash_kept(spark):
     df = issues(spark, [("//server/share/a.py", 1, 1, "R", "LOW", "m", "t")])
     assert sarif_results(df).collect()[0].uri == "//server/share/a.py"
+
+
+def test_import_result_without_location(spark):
+    doc = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "x"}}, "results": [
+        {"ruleId": "R", "level": "warning", "message": {"text": "no location"}}]}]})
+    rows = parse_sarif(spark.createDataFrame([(doc,)], "sarif string")).collect()
+    assert len(rows) == 1 and rows[0].uri is None and rows[0].rule_id == "R"
+    issues = results_to_issues(parse_sarif(spark.createDataFrame([(doc,)], "sarif string"))).collect()
+    assert issues[0].severity == "MEDIUM" and issues[0].line is None
