@@ -255,6 +255,16 @@ class SecretPattern:
     regex: str
     group: int = 0
 
+    def __post_init__(self):
+        # regexp_extract fails the whole task on a group index the pattern lacks: check up front
+        # (patterns that only Java understands are left to Spark)
+        try:
+            groups = re.compile(self.regex).groups
+        except re.error:
+            return
+        if not 0 <= self.group <= groups:
+            raise ValueError(f"secret pattern {self.name!r} has {groups} group(s), group {self.group} requested")
+
 
 # --- fixed values: secret keywords of the configuration example ---
 DEFAULT_KEYWORDS = ["password", "secret", "api_key", "token", "private_key"]

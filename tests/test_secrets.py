@@ -55,3 +55,11 @@ def test_language_safe_contexts(corpus):
     text = "pw = req.body.password\nx = request.form['password']\n$p = $_GET['password'];\npassword = 'real'\n"
     rows = secret_confidence(corpus([("a.js", text)]), ["password"], ["License"], [r"[0-9a-f]{40}"]).collect()
     assert [r.line for r in rows] == [4]
+
+
+def test_group_index_checked_up_front():
+    import pytest
+
+    with pytest.raises(ValueError):
+        SecretPattern("bad", r"key=(\w+)", 2)
+    assert SecretPattern("ok", r"key=(\w+)", 1).group == 1
