@@ -83,6 +83,8 @@ def sarif_logs(issues: DataFrame, tool_name: str = DEFAULT_TOOL, tool_version: s
     numbered = ordered_index(issues, report_order(), name="idx").withColumn(
         "run_id", F.floor((F.col("idx") - 1) / F.lit(max_results)).cast("bigint")
     )
+    if numbered.isEmpty():  # reads the checkpoint; no issues still yields one (empty) run
+        return empty_sarif(issues.sparkSession, tool_name, tool_version)
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
         sarif_level(F.col("severity")).alias("level"),

@@ -86,3 +86,9 @@ def test_import_result_without_location(spark):
     assert len(rows) == 1 and rows[0].uri is None and rows[0].rule_id == "R"
     issues = results_to_issues(parse_sarif(spark.createDataFrame([(doc,)], "sarif string"))).collect()
     assert issues[0].severity == "MEDIUM" and issues[0].line is None
+
+
+def test_no_issues_gives_one_empty_run(spark):
+    empty = spark.createDataFrame([], ISSUE_SCHEMA)
+    docs = [json.loads(r.sarif) for r in sarif_logs(empty, tool_name="t").collect()]
+    assert len(docs) == 1 and docs[0]["runs"][0]["results"] == [] and docs[0]["runs"][0]["tool"]["driver"]["name"] == "t"
