@@ -153,7 +153,8 @@ DEFINITIONS = {
     "python": DefinitionSpec(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+", 20, S.RULE_MANY_FUNCTIONS, S.MSG_MANY_FUNCTIONS),
     "java": DefinitionSpec(
         r"(?m)^[ \t]*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)[ \t]+)*"
-        r"(?:<[^>\n]*>[ \t]*)?[\w\[\]<>?,.]+[ \t]+(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)\w+[ \t]*\([^)]*\)"
+        r"(?:<[^>\n]*>[ \t]*)?(?!(?:public|protected|private|static|final|abstract|synchronized|native|default)\b)"
+        r"[\w\[\]<>?,.]+[ \t]+(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)\w+[ \t]*\([^)]*\)"
         r"[ \t]*(?:throws[^{;]*)?\{",
         25,
         S.RULE_MANY_METHODS,

@@ -55,3 +55,9 @@ def test_detect_language(spark):
     df = spark.createDataFrame([("a/b.PY",), ("x.java?v=1",), ("README",)], "file string")
     got = {r.file: r.language for r in detect_language(df).collect()}
     assert got == {"a/b.PY": "python", "x.java?v=1": "java", "README": "unknown"}
+
+
+def test_java_constructors_are_not_methods(corpus):
+    ctors = "class C {\n" + "\n".join(f"  public C(int a{i}) {{ }}" for i in range(30)) + "\n}"
+    df = corpus([("C.java", ctors, "java")], with_lang=True)
+    assert scan(df, [DefinitionCountRule()]).count() == 0
