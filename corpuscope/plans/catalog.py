@@ -162,17 +162,17 @@ def q_entry_files(spark, sf):
 
 def q_sensitive_lines(spark, sf):
     rx = any_regex(TAINT_SENSITIVE)
-    d = docs(spark, sf).where(F.col("text").rlike("(?m)" + rx))
     numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
-    return d.select("file", F.explode(F.filter(numbered, lambda x: x["text"].rlike(rx))).alias("x")).select(
+    hits = F.when(F.col("text").rlike("(?m)" + rx), F.filter(numbered, lambda x: x["text"].rlike(rx)))
+    return docs(spark, sf).select("file", F.explode(hits).alias("x")).select(
         "file", F.col("x.line").cast("bigint").alias("line")
     )
 
 
 def q_sink_lines(spark, sf):
-    d = docs(spark, sf).where(contains_any(F.col("text"), TAINT_SINKS))
     numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
-    return d.select("file", F.explode(F.filter(numbered, lambda x: contains_any(x["text"], TAINT_SINKS))).alias("x")).select(
+    hits = F.when(contains_any(F.col("text"), TAINT_SINKS), F.filter(numbered, lambda x: contains_any(x["text"], TAINT_SINKS)))
+    return docs(spark, sf).select("file", F.explode(hits).alias("x")).select(
         "file", F.col("x.line").cast("bigint").alias("line")
     )
 
