@@ -89,7 +89,8 @@ def baseline_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """X-5: per fingerprint, ``new`` (only after), ``fixed`` (only before) or ``unchanged``.
 
     One tagged union and one aggregation by fingerprint (no join, so repeated fingerprints never
-    multiply into pairs)."""
+    multiply into pairs). Grouping is by fingerprint alone: an imported fingerprint may stay the
+    same while the line moves, and must still count as unchanged."""
     tag = lambda df, b, a: with_fingerprint(df).select(
         "fingerprint", "file", "line", "rule_id", F.lit(b).alias("in_before"), F.lit(a).alias("in_after")
     )

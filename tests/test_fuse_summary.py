@@ -78,3 +78,10 @@ def test_gate_verdict(spark):
     assert v.passed is False and v.failed_checks == ["secrets.max_critical"]
     ok = SM.gate_verdict(SM.quality_gate(df, gates={"secrets": {"max_total": 5}})).collect()[0]
     assert ok.passed is True and ok.failed_checks == []
+
+
+def test_baseline_diff_keeps_imported_fingerprint_across_line_moves(spark):
+    before = issues(spark, [("a.py", 10, None, "R", "LOW", "m", "t", None, "fp-1")])
+    after = issues(spark, [("a.py", 12, None, "R", "LOW", "m", "t", None, "fp-1")])
+    rows = FU.baseline_diff(before, after).collect()
+    assert [(r.fingerprint, r.status) for r in rows] == [("fp-1", "unchanged")]
