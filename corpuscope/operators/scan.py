@@ -88,6 +88,10 @@ class Rule:
     def config_schema(self) -> dict:
         return {}
 
+    def regexes(self) -> list[tuple[str, str]]:
+        """(label, Java regex) pairs this rule compiles; checked by ``scan`` before any job."""
+        return []
+
 
 def _line_indices(lines: Column, pred, start: Column | None = None) -> Column:
     """1-based numbers of the lines (from ``start`` on) satisfying ``pred(line)``.
@@ -177,6 +181,9 @@ class DefinitionCountRule(Rule):
     lang: str | None = None
     name = "definition-count"
     description = "Files with too many functions or methods"
+
+    def regexes(self):
+        return [(f"definitions {lang}", sp.pattern) for lang, sp in self.specs.items()]
     needs_lang = True
 
     def issues(self, row):
@@ -220,6 +227,9 @@ class TaintRule(Rule):
     name = "taint"
     description = "Sensitive data reaching a sink"
 
+    def regexes(self):
+        return [("taint sensitive patterns", any_regex(self.sensitive_patterns))]
+
     def __post_init__(self):
         if not self.sensitive_patterns or not self.entry_points or not self.sinks:
             raise ValueError("sensitive_patterns, entry_points and sinks are all required")
@@ -287,6 +297,9 @@ class SecretPatternRule(Rule):
     name = "secret-patterns"
     description = "Hard-coded secrets matching known patterns"
 
+    def regexes(self):
+        return [(f"secret pattern {p.name}", p.regex) for p in self.patterns]
+
     def issues(self, row):
         pats = list(self.patterns)
         alt = any_regex([p.regex for p in pats], flags="")
@@ -325,6 +338,9 @@ class EntropyRule(Rule):
     name = "secret-entropy"
     description = "High-entropy strings (possible encoded secrets)"
 
+    def regexes(self):
+        return [("entropy token pattern", self.token_pattern)]
+
     def issues(self, row):
         tp = _token_start_anchored(self.token_pattern)
         cand = _line_indices(row.lines, lambda l: l.rlike(tp))
@@ -380,6 +396,9 @@ class LineRulesRule(Rule):
     name = "line-rules"
     description = "User rule table (regex per line)"
 
+    def regexes(self):
+        return [(f"rule {r.rule_id}", r.pattern) for r in self.rules]
+
     def issues(self, row):
         rules = list(self.rules)
         alt = any_regex([r.pattern for r in rules], flags="")
@@ -413,6 +432,19 @@ def prepare(corpus: DataFrame, guard: Column | None = None, used=("__lines", "__
     return corpus.select(*corpus.columns, *extra)
 
 
+def check_patterns(corpus: DataFrame, rules: Sequence[Rule]) -> None:
+    """Compile every rule regex with Java's ``Pattern`` on the driver: a bad user pattern fails
+    here with the rule's name, not later inside a task."""
+    jvm = corpus.sparkSession.sparkContext._jvm
+    for rule in rules:
+        for label, pattern in rule.regexes():
+            try:
+                jvm.java.util.regex.Pattern.compile(pattern)
+            except Exception as e:  # py4j error carrying the PatternSyntaxException
+                msg = str(e).splitlines()[0] if str(e) else repr(e)
+                raise ValueError(f"invalid regex in {label}: {pattern!r} ({msg})") from None
+
+
 _ISSUES_CACHE: dict[tuple, tuple[Column, frozenset]] = {}
 
 
@@ -442,6 +474,7 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
     """
     if not rules:
         raise ValueError("no rule selected")
+    check_patterns(corpus, rules)
     if any(r.needs_lang for r in rules) and "lang" not in corpus.columns and not all(
         getattr(r, "lang", None) for r in rules if r.needs_lang
     ):

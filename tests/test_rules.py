@@ -61,3 +61,12 @@ def test_java_constructors_are_not_methods(corpus):
     ctors = "class C {\n" + "\n".join(f"  public C(int a{i}) {{ }}" for i in range(30)) + "\n}"
     df = corpus([("C.java", ctors, "java")], with_lang=True)
     assert scan(df, [DefinitionCountRule()]).count() == 0
+
+
+def test_bad_rule_regex_fails_before_any_job(corpus):
+    import pytest
+
+    from corpuscope.operators.scan import LineRule
+
+    with pytest.raises(ValueError, match="rule BAD"):
+        scan(corpus([("a.py", "x")]), [LineRulesRule([LineRule("BAD", "a(b", "LOW", "m")])])
