@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscope.llm.chat_trees import chat_format, linear_messages, read_back
+from corpuscope.llm.decontaminate import find_leaks
 from corpuscope.llm.jaccard_join import near_duplicate_components
+from corpuscope.llm.license_scan import license_scan
 from corpuscope.llm.mixing import mix_sources
+from corpuscope.llm.ngram_scores import backoff_scores
 from corpuscope.llm.quality_rules import quality_rules
 from corpuscope.llm.substring_dedup import substring_dedup
 from corpuscope.llm.suffix_dedup import suffix_dedup
@@ -17,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -32,6 +39,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -40,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,6 +66,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op2_jaccard_join, op3_chat_trees, op4_suffix_dedup, op6_substring_dedup, op7_toxicity, op9_mixing, op10_quality_rules)
+    for f in (
+        op1_decontaminate, op2_jaccard_join, op3_chat_trees, op4_suffix_dedup, op5_license_scan,
+        op6_substring_dedup, op7_toxicity, op8_ngram_scores, op9_mixing, op10_quality_rules,
+    )
 }
 LLM_ORACLES: dict[str, str] = {}
