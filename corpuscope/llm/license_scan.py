@@ -110,8 +110,8 @@ def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: i
     rows = known.union(other).withColumn("label", label).withColumn("grams", grams_of(F.col("words")))
     weight = F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(4.0))
     regression = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", probabilityCol="p", rawPredictionCol="raw", family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=120
-    ).fit(vocabulary.transform(rows.withColumn("weight", weight)))
+        featuresCol="features", labelCol="label", weightCol="weight", probabilityCol="p", rawPredictionCol="raw", family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=50
+    ).fit(vocabulary.transform(rows.withColumn("weight", weight)).coalesce(2))  # a bounded sample
     model = LicenseModel(vocabulary, regression, families, 0.5)
     held = model.probabilities(lines.where("held").where(F.size(F.array_intersect("words", marks)) < 2).select("words"))
     q = held.agg(F.percentile_approx("probability", 1 - FALSE_RATE, 10_000)).first()[0]
@@ -137,6 +137,7 @@ def license_scan(docs: DataFrame, stages: Stages | None = None, templates: DataF
     model = train(plain, templates, st)
     marks = F.array(*[F.lit(t) for t in model.marks])
     lines = corpus_lines(plain).withColumn("words", words_of(F.col("text"))).where(F.arrays_overlap("words", marks)).select("doc_id", "line", "words")
+    lines = st.save(lines, "marked")  # few lines: the regression does not meet the others
     found = model.probabilities(lines).where(F.col("probability") >= model.threshold)
     known = templates.select("family", F.array_distinct(words_of(F.col("text"))).alias("of")).groupBy("family").agg(F.collect_list("of").alias("templates"))
     own = F.array_distinct("words")
