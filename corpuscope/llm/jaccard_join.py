@@ -45,8 +45,8 @@ from corpuscope.llm.components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HOT_SHINGLES = 100_000  # bound of the broadcast list of common shingles (an order, not a filter)
-HOT_COUNT = 48
+HOT_SHINGLES = 1_000_000  # bound of the broadcast list of common shingles: 8 MB (an order, not a filter)
+HOT_COUNT = 8
 FLUSH = 1 << 22
 BLOOM_BITS = 26
 _U = np.uint64
@@ -111,7 +111,7 @@ def class_rows(k: int):
             if not held:
                 return
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c > 2], c[c > 2]
+            h, c = h[c > 1], c[c > 1]
             yield _rows(signed(h), c.astype(np.int64), np.zeros(len(h), np.int64), 1)
 
         def _rows(a, b, n, kind):
@@ -227,6 +227,17 @@ def set_rows(k: int, bits: int, table):
     return run
 
 
+def pick_rows(bits: int, table):
+    """Task: the rows whose set key may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(table.value, np.uint64)
+        for b in batches:
+            yield b.filter(pa.array(bits_set(words, b.column("cid").to_numpy(zero_copy_only=False), bits)))
+
+    return run
+
+
 def distance_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: intersection size of the two sets of each row."""
     for b in batches:
@@ -264,7 +275,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         rows.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= HOT_COUNT)
         .orderBy(F.desc("c"), "a").limit(HOT_SHINGLES).select("a").toArrow().column("a").to_numpy()
     )
-    hot = sc.broadcast(np.sort(unsigned(hot.astype(np.int64))).tobytes())  # 800 kB at most
+    hot = sc.broadcast(np.sort(unsigned(hot.astype(np.int64))).tobytes())  # 8 MB at most
     entries = docs.mapInArrow(prefix_rows(k, num, den, hot), "s long, cid long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     regions = st.save(
@@ -275,13 +286,29 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
 
     wanted = regions.select(F.col("cid").alias("h")).distinct()
     table = sc.broadcast(bit_table(wanted, BLOOM_BITS))
-    sets = docs.mapInArrow(set_rows(k, BLOOM_BITS, table), "cid long, members binary").dropDuplicates(["cid"])
-    sets = st.save(sets.join(wanted.withColumnRenamed("h", "cid"), "cid", "left_semi"), "sets")
+    sets = st.save(docs.mapInArrow(set_rows(k, BLOOM_BITS, table), "cid long, members binary"), "sets")  # copies: one for a task
+
+    # regions that each set shares with others: two sets that link share at least as many as the sizes leave over
+    shared = st.save(regions.groupBy("cid").agg(F.sort_array(F.collect_list("s")).alias("rs")), "shared")  # a prefix at most
+    least = f"ceil({num} * (xn + pn) / {num + den}) - ceil({num} * greatest(xn, pn) / {den}) + 1"
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough regions to link."""
+        return (
+            pairs.join(shared.select(F.col("cid").alias("x"), F.col("rs").alias("xr")), "x")
+            .join(shared.select(F.col("cid").alias("p"), F.col("rs").alias("pr")), "p")
+            .where(F.size(F.array_intersect("xr", "pr")) >= F.expr(least)).select("x", "p", "xn", "pn")
+        )
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
+        # only sets of these pairs are shuffled
+        pairs = st.save(pairs, f"{name}-pairs")
+        ends = pairs.select(F.col("x").alias("h")).union(pairs.select("p")).distinct()
+        bits = sc.broadcast(bit_table(ends, BLOOM_BITS))
+        own = sets.mapInArrow(pick_rows(BLOOM_BITS, bits), "cid long, members binary").dropDuplicates(["cid"])
         got = (
-            pairs.join(sets.select(F.col("cid").alias("x"), F.col("members").alias("xs")), "x")
-            .join(sets.select(F.col("cid").alias("p"), F.col("members").alias("ys")), "p")
+            pairs.join(own.select(F.col("cid").alias("x"), F.col("members").alias("xs")), "x")
+            .join(own.select(F.col("cid").alias("p"), F.col("members").alias("ys")), "p")
             .select("x", "p", "xn", "pn", "xs", "ys")
             .mapInArrow(distance_rows, "x long, p long, xn int, pn int, inter long")
             .withColumn("d", 1 - F.col("inter") / (F.col("xn") + F.col("pn") - F.col("inter")))
@@ -298,7 +325,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         .groupBy("cid").agg(F.max_by(F.struct("p", "xn", "pn"), F.struct("c", "p")).alias("b"))
         .select(F.col("cid").alias("x"), "b.p", "b.xn", "b.pn")
     )
-    links = measured(star, "star").where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
+    links = measured(enough(star), "star").where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
     labels = st.save(connected_components(links, st, "cc0"), "labels0")
 
     # recursion: members of regions that still hold two components or more
@@ -327,7 +354,8 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         # all members are pivots: only pairs that may link count. Else every distance is needed for the cells.
         done = F.col("members") <= pivots
         may = F.expr(f"cid < p and label <> plabel and {near} and {room}")
-        pairs = cross.where(~done | may).select(F.col("cid").alias("x"), "p", F.col("n").alias("xn"), "pn").distinct()
+        pair = [F.col("cid").alias("x"), "p", F.col("n").alias("xn"), "pn"]
+        pairs = enough(cross.where(done & may).select(pair).distinct()).union(cross.where(~done).select(pair)).distinct()
         dist = measured(pairs, f"dist{level}")
         found = dist.where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
         if not found.isEmpty():
