@@ -4,9 +4,9 @@ Three relations: n-grams exploded from documents, the count table partitioned by
 each document. Documents are dealt to chunks by id; the rows that move are blocks, not single n-grams:
 
 1. explode: each chunk gives its distinct n-grams with their counts, sorted by hash, one block for each hash range;
-2. count: the blocks of one hash range meet and are added: a part of the count table;
-3. join: each block of a chunk takes the totals of its n-grams from that part, in the same pass;
-4. score: a chunk's documents meet the totals of the chunk's n-grams, and scores are summed for each document.
+2. count and join: the blocks of one hash range meet and add up to a part of the count table, from which each block takes
+   the totals of its n-grams;
+3. score: a chunk's documents meet the totals of the chunk's n-grams, and scores are summed for each document.
 
 Counts are of the other documents: a document's own n-grams do not vouch for it. An n-gram not seen elsewhere backs
 off to the shorter one with a factor of 0.4; a word not seen elsewhere gets one in (words + 1).
@@ -23,13 +23,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import NULL_KEY, Stages, blocks, doc_ids, long_column, mix, text_buffers, word_hashes
+from corpuscope.llm.common import NULL_KEY, blocks, doc_ids, long_column, mix, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BACKOFF = 0.4
 CHUNK_CHARS = 16 << 20  # text of a chunk, about
-RANGE_BITS = 6  # hash ranges of a chunk's blocks
+RANGE_GRAMS = 1 << 21  # n-grams of a hash range, counted once for each chunk: at most about so many
 _U = np.uint64
 
 
@@ -44,113 +44,129 @@ def gram_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(h), place >= n - 1
 
 
+def pack_grams(g: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted hashes as steps of six bytes, and the steps that need more apart."""
+    step = np.diff(g, prepend=_U(0))
+    wide = step >> _U(48) > 0
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), np.concatenate((np.flatnonzero(wide).astype(np.uint64), step[wide])).tobytes()
+
+
+def unpack_grams(narrow: bytes, wide: bytes) -> np.ndarray:
+    step = np.zeros((len(narrow) // 6, 8), np.uint8)
+    step[:, :6] = np.frombuffer(narrow, np.uint8).reshape(-1, 6)
+    step = step.view(np.uint64).ravel()
+    w = np.frombuffer(wide, np.uint64)
+    step[w[: len(w) // 2].astype(np.int64)] = w[len(w) // 2 :]
+    return np.cumsum(step)
+
+
 def pack_counts(c: np.ndarray) -> tuple[bytes, bytes]:
     """Counts as bytes, and those over 254 apart."""
     return np.minimum(c, 255).astype(np.uint8).tobytes(), c[c > 254].astype(np.int64).tobytes()
 
 
-def unpack_counts(small, large) -> np.ndarray:
+def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
     c = np.frombuffer(small, np.uint8).astype(np.int64)
     c[c == 255] = np.frombuffer(large, np.int64)
     return c
 
 
-def explode_rows(order: int):
-    """Task over documents sorted by chunk: blocks ``(part, chunk, grams, small, large)`` of the chunk's n-grams."""
+def by_chunk(batches: Iterator[pa.RecordBatch]):
+    """Whole chunks of rows sorted by chunk: ``(chunk, batches of its rows)``."""
+    chunk, held = None, []
+    for b in batches:
+        own = b.column("chunk").to_numpy(zero_copy_only=False)
+        cut = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])) if len(own) else [0]
+        for x, y in zip(cut[:-1], cut[1:]):
+            if held and own[x] != chunk:
+                yield chunk, held
+                held = []
+            chunk = int(own[x])
+            held.append(b.slice(x, y - x))
+    if held:
+        yield chunk, held
+
+
+def _words(batch: pa.RecordBatch):
+    data, offs = text_buffers(batch.column("text"))
+    ids = long_column(batch, "doc_id")
+    for i, j in blocks(offs):
+        words, _, _, at = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower=True)
+        yield ids[i:j], words, at
+
+
+def _chunk_grams(texts: list[pa.RecordBatch], order: int):
+    """Distinct n-grams of all orders, sorted, with their counts in the chunk."""
+    held = [np.zeros(0, np.uint64)]
+    for b in texts:
+        for _, words, at in _words(b):
+            for n in range(1, order + 1):
+                h, whole = gram_hashes(words, at, n)
+                held.append(h[whole])
+    return np.unique(np.concatenate(held), return_counts=True)
+
+
+def explode_rows(order: int, range_bits: int):
+    """Task over documents sorted by chunk: blocks ``(part, chunk, narrow, wide, small, large)`` of the chunk's n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = None, [], 0
-
-        def flush():
-            g, c = np.unique(np.concatenate(held), return_counts=True)
-            part = (g >> _U(64 - RANGE_BITS)).astype(np.int64)
-            cut = np.searchsorted(part, np.arange((1 << RANGE_BITS) + 1))
-            rows = [(p, chunk, g[a:b].tobytes(), *pack_counts(c[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=["part", "chunk", "grams", "small", "large"])
-
-        for b in batches:
-            own = b.column("chunk").to_numpy(zero_copy_only=False)
-            data, offs = text_buffers(b.column("text"))
-            cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])) if len(own) else [0]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if held and (own[x] != chunk or size > 1 << 23):
-                    yield from flush()
-                    held, size = [], 0
-                chunk = int(own[x])
-                for i, j in blocks(offs[x : y + 1]):
-                    words, _, _, at = word_hashes(data[offs[x + i] : offs[x + j]], offs[x + i : x + j + 1] - offs[x + i], lower=True)
-                    for n in range(1, order + 1):
-                        h, whole = gram_hashes(words, at, n)
-                        held.append(h[whole])
-                        size += len(held[-1])
-        if size:
-            yield from flush()
+        for chunk, texts in by_chunk(batches):
+            g, c = _chunk_grams(texts, order)
+            part = (g >> _U(64 - range_bits)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(g) else np.zeros(0, np.int64)
+            ends = np.append(cut[1:], len(g))
+            for x in range(0, len(cut), 1024):
+                rows = [(int(part[a]), chunk, *pack_grams(g[a:e]), *pack_counts(c[a:e])) for a, e in zip(cut[x : x + 1024], ends[x : x + 1024])]
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(v, pa.binary()) for v in cols[2:]]], names=["part", "chunk", "narrow", "wide", "small", "large"])
 
     return run
 
 
 def total_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task over rows sorted by (part, step, chunk): first a range's blocks add up, then the same blocks take their totals.
-
-    Holds one range of the count table."""
-    part, table, count, held = None, None, None, []
-
-    def add():
-        nonlocal table, count, held
-        grams = np.concatenate([g for g, _ in held] + ([table] if table is not None else []))
-        counts = np.concatenate([c for _, c in held] + ([count] if count is not None else []))
-        o = np.argsort(grams, kind="stable")
-        grams, counts = grams[o], counts[o]
-        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        table, count, held = grams[first], np.add.reduceat(counts, first), []
+    """Task over blocks sorted by part: the blocks of a hash range add up to its part of the count table, and each takes
+    its totals, in its own order. Holds one range (ranges are cut to about two million n-grams)."""
+    part, held = None, []
+
+    def joined():
+        grams = [unpack_grams(n, w) for _, n, w, _, _ in held]
+        all_, inv = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(inv, np.concatenate([unpack_counts(s, l) for *_, s, l in held])).astype(np.int64)[inv]
+        at = np.cumsum([0] + [len(g) for g in grams])
+        rows = [(chunk, part, *pack_counts(total[a:e])) for (chunk, *_), a, e in zip(held, at[:-1], at[1:])]
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=["chunk", "part", "small", "large"])
 
     for b in batches:
-        rows = []
-        for p, step, chunk, g, s, l in zip(*[b.column(c).to_pylist() for c in ("part", "step", "chunk", "grams", "small", "large")]):
-            if p != part:
-                part, table, count, held = p, None, None, []
-            g = np.frombuffer(g, np.uint64)
-            if step == 0:
-                held.append((g, unpack_counts(s, l)))
-                if sum(len(x) for x, _ in held) > 1 << 20:
-                    add()
-            else:
-                if held:
-                    add()
-                rows.append((chunk, p, g.tobytes(), *pack_counts(count[np.searchsorted(table, g)])))
-        if rows:
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=["chunk", "part", "grams", "small", "large"])
+        for p, *row in zip(*[b.column(c).to_pylist() for c in ("part", "chunk", "narrow", "wide", "small", "large")]):
+            if p != part and held:
+                yield joined()
+                held = []
+            part = p
+            held.append(tuple(row))
+    if held:
+        yield joined()
 
 
 def score_rows(order: int, words_in_all: int):
-    """Task over a chunk's totals, then its documents: ``doc_id, n_words, n_backoffs, log_score``. Holds one chunk's totals."""
+    """Task over a chunk's totals and documents: ``doc_id, n_words, n_backoffs, log_score``. Holds one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, grams, counts = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            own, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "part"))
-            cut = np.concatenate(([0], np.flatnonzero((own[1:] != own[:-1]) | ((kind[1:] < 0) != (kind[:-1] < 0))) + 1, [len(own)])) if len(own) else [0]
-            for x, y in zip(cut[:-1], cut[1:]):
-                if own[x] != chunk:
-                    chunk, held, grams = int(own[x]), [], None
-                if kind[x] >= 0:
-                    for g, s, l in zip(*[b.column(c).slice(x, y - x).to_pylist() for c in ("grams", "small", "large")]):
-                        held.append((np.frombuffer(g, np.uint64), unpack_counts(s, l)))
-                    continue
-                if grams is None:
-                    grams = np.concatenate([g for g, _ in held]) if held else np.zeros(0, np.uint64)
-                    counts = np.concatenate([c for _, c in held]) if held else np.zeros(0, np.int64)
-                    o = np.argsort(grams, kind="stable")
-                    grams, counts, held = grams[o], counts[o], []
-                ids = long_column(b, "doc_id")[x:y]
-                data, offs = text_buffers(b.column("text"))
-                for i, j in blocks(offs[x : y + 1]):
-                    words, _, _, at = word_hashes(data[offs[x + i] : offs[x + j]], offs[x + i : x + j + 1] - offs[x + i], lower=True)
-                    n_docs, size = j - i, np.diff(at)
-                    text = np.repeat(np.arange(n_docs), size)
-                    others = []  # for each order: counts of the other documents at the n-gram's last word
+        for _, rows in by_chunk(batches):
+            texts, totals = [], []
+            for b in rows:
+                kind = b.column("part").to_numpy(zero_copy_only=False)
+                texts.append(b.filter(pa.array(kind < 0)))
+                for p, s, l in zip(*[b.filter(pa.array(kind >= 0)).column(c).to_pylist() for c in ("part", "small", "large")]):
+                    totals.append((p, unpack_counts(s, l)))
+            grams, _ = _chunk_grams(texts, order)
+            counts = np.concatenate([c for _, c in sorted(totals, key=lambda t: t[0])]) if totals else np.zeros(0, np.int64)
+            assert len(grams) == len(counts), "a chunk met another chunk's totals"
+            for b in texts:
+                for ids, words, at in _words(b):
+                    size = np.diff(at)
+                    text = np.repeat(np.arange(len(ids)), size)
+                    others = []  # for each order: counts in other documents of the n-gram that ends at each word
                     for n in range(1, order + 1):
                         h, whole = gram_hashes(words, at, n)
                         seen = np.zeros(len(words), np.int64)
@@ -159,31 +175,29 @@ def score_rows(order: int, words_in_all: int):
                             hk, tk = h[whole][key], text[whole][key]
                             new = np.concatenate(([True], (hk[1:] != hk[:-1]) | (tk[1:] != tk[:-1])))
                             mine = np.diff(np.append(np.flatnonzero(new), len(hk)))[np.cumsum(new) - 1]
-                            got = counts[np.searchsorted(grams, hk)] - mine
                             back = np.empty(len(hk), np.int64)
-                            back[key] = got
+                            back[key] = counts[np.searchsorted(grams, hk)] - mine
                             seen[whole] = back
                         others.append((seen, whole))
-                    rest = np.maximum(words_in_all - size[text], 0)
-                    score = np.where(others[0][0] > 0, others[0][0] / np.maximum(rest, 1), 1.0 / (words_in_all + 1))
-                    score = np.log(score)
-                    full = np.zeros(len(words), bool)
+                    rest = np.maximum(words_in_all - size[text], 1)
+                    seen = others[0][0]
+                    score = np.log(np.where(seen > 0, seen / rest, 1.0 / (words_in_all + 1)))
                     for n in range(2, order + 1):
                         seen, whole = others[n - 1]
-                        context = np.zeros(len(words), np.int64)
+                        context = np.ones(len(words), np.int64)
                         context[1:] = others[n - 2][0][:-1]
-                        # a context counts where it is followed by a word or ends a text: at least as often as the n-gram
-                        hit = whole & (seen > 0)
-                        score = np.where(hit, np.log(np.maximum(seen, 1) / np.maximum(context, 1)), np.where(whole, np.log(BACKOFF) + score, score))
-                        full = hit | (~whole & full)
-                    total = np.bincount(text, score, minlength=n_docs)
-                    missed = np.bincount(text, (others[order - 1][1] & (others[order - 1][0] <= 0)), minlength=n_docs).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([doc_ids(ids[i:j]), pa.array(size.astype(np.int64)), pa.array(missed), pa.array(total)], names=["doc_id", "n_words", "n_backoffs", "log_score"])
+                        met = np.log(np.maximum(seen, 1) / np.maximum(context, 1))
+                        score = np.where(whole & (seen > 0), met, np.where(whole, np.log(BACKOFF) + score, score))
+                    missed = others[order - 1][1] & (others[order - 1][0] <= 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids(ids), pa.array(size.astype(np.int64)), pa.array(np.bincount(text, missed, minlength=len(ids)).astype(np.int64)), pa.array(np.bincount(text, score, minlength=len(ids)))],
+                        names=["doc_id", "n_words", "n_backoffs", "log_score"],
+                    )
 
     return run
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, stages: Stages | None = None) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """``doc_id, n_words, n_backoffs, log_score`` for each input row: the natural logarithm of the product of the words'
     stupid-backoff scores, counted on all other rows, and the number of whole ``order``-grams that no other row has.
 
@@ -194,22 +208,20 @@ def backoff_scores(docs: DataFrame, order: int = 2, stages: Stages | None = None
     a null doc_id is kept; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    st = stages or Stages(spark, "ngrams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = plain.agg(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()
     chunks = max(1, -(-(size[0] or 0) // CHUNK_CHARS))
     rows = plain.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_KEY)), F.xxhash64("text")), F.lit(chunks)))
-    grams = rows.repartition(min(chunks, 1 << 15), "chunk").sortWithinPartitions("chunk").mapInArrow(explode_rows(order), "part int, chunk long, grams binary, small binary, large binary")
-    grams = st.save(grams, "grams")
-    # a range of the count table holds about as many n-grams as a chunk: ranges are cut finer as the corpus grows
-    both = grams.withColumn("step", F.lit(0)).union(grams.withColumn("step", F.lit(1)))
-    totals = both.repartition(1 << RANGE_BITS, "part").sortWithinPartitions("part", "step", "chunk").mapInArrow(total_rows, "chunk long, part int, grams binary, small binary, large binary")
+    ranges = max(6, int(np.ceil(np.log2(max(order * (size[1] or 0), 1) / RANGE_GRAMS))))
+    # chunks meet their texts twice; the n-grams move once, the totals come back without them
+    grams = rows.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(explode_rows(order, ranges), "part int, chunk long, narrow binary, wide binary, small binary, large binary")
+    totals = grams.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total_rows, "chunk long, part int, small binary, large binary")
     none = F.lit(None)
-    meet = totals.select("chunk", "part", "grams", "small", "large", none.cast("long").alias("doc_id"), none.cast("string").alias("text")).union(
-        rows.select("chunk", F.lit(-1), none.cast("binary"), none.cast("binary"), none.cast("binary"), "doc_id", "text")
+    meet = totals.select("chunk", "part", "small", "large", none.cast("long").alias("doc_id"), none.cast("string").alias("text")).union(
+        rows.select("chunk", F.lit(-1), none.cast("binary"), none.cast("binary"), "doc_id", "text")
     )
     return (
-        meet.repartition(min(chunks, 1 << 15), "chunk").sortWithinPartitions("chunk", F.desc("part"))
+        meet.repartition(parts, "chunk").sortWithinPartitions("chunk")
         .mapInArrow(score_rows(order, int(size[1] or 0)), "doc_id long, n_words long, n_backoffs long, log_score double")
     )
