@@ -49,6 +49,7 @@ HOT_SHINGLES = 1_000_000  # bound of the broadcast list of common shingles: 8 MB
 HOT_COUNT = 8
 FLUSH = 1 << 22
 BLOOM_BITS = 26
+LARGE_REGION = 64  # members beyond which a region's pivots leave without cells
 _U = np.uint64
 
 
@@ -342,26 +343,29 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         open_ = st.save(open_.join(open_.groupBy("rid").agg(F.count(F.lit(1)).alias("members")), "rid"), f"open{level}")
         if open_.isEmpty():
             break
-        # pivots: members of the region's rarest components first
+        # pivots: members of the region's rarest components first; few where a region is large, more each level
         per = Window.partitionBy("rid").orderBy("size", "cid")
         sizes = open_.groupBy("rid", "label").agg(F.count(F.lit(1)).alias("size"))
+        large, done = F.col("members") > LARGE_REGION, F.col("members") <= pivots
         chosen = (
-            open_.join(sizes, ["rid", "label"]).withColumn("i", F.row_number().over(per)).where(F.col("i") <= pivots)
+            open_.join(sizes, ["rid", "label"]).withColumn("i", F.row_number().over(per)).where(F.col("i") <= F.when(large, 1 << level).otherwise(pivots))
             .select("rid", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"), "i")
         )
         chosen = st.save(chosen, f"pivots{level}")
-        cross = open_.join(chosen, "rid").where("cid <> p")
-        # all members are pivots: only pairs that may link count. Else every distance is needed for the cells.
-        done = F.col("members") <= pivots
-        may = F.expr(f"cid < p and label <> plabel and {near} and {room}")
+        # cells need every distance; a region that is settled here or too large for cells only pairs that may link
+        m, c = open_.alias("m"), chosen.alias("c")
+        may = F.expr(f"label <> plabel and {near} and {room} and (members > {LARGE_REGION} or cid < p)")
+        cross = m.join(c, (F.col("m.rid") == F.col("c.rid")) & (F.col("cid") != F.col("p")) & ((~large & ~done) | may)).drop(F.col("c.rid"))
         pair = [F.col("cid").alias("x"), "p", F.col("n").alias("xn"), "pn"]
-        pairs = enough(cross.where(done & may).select(pair).distinct()).union(cross.where(~done).select(pair)).distinct()
+        cells = ~large & ~done
+        pairs = enough(cross.where(~cells).select(pair).distinct()).union(cross.where(cells).select(pair)).distinct()
         dist = measured(pairs, f"dist{level}")
         found = dist.where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
         if not found.isEmpty():
             links = links.union(found)
             labels = st.save(connected_components(links, st, f"cc{level}"), f"labels{level}")
-        members = st.save(_cells(cross.where(~done), chosen, dist, 1 - num / den), f"members{level}")
+        rest = open_.where(large).join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
+        members = st.save(_cells(cross.where(cells), chosen, dist, 1 - num / den).union(rest), f"members{level}")
         pivots *= 2
 
     of_class = classes.where("n > 0").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
