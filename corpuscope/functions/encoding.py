@@ -68,8 +68,8 @@ def encoding_problem(encoding: Column, confidence: Column, error: Column | None
 # Well-formed UTF-16 after its BOM: whole 16-bit units, surrogates only as high+low pairs
 # (little endian puts the high byte second, big endian first). Checked on the hex text so that
 # malformed bytes fall back instead of failing the task (Spark's decode raises on them).
-UTF16LE_OK = "^FFFE(?:(?!..D[89A-F])[0-9A-F]{4}|..D[89AB]..D[C-F])*$"
-UTF16BE_OK = "^FEFF(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB]..D[C-F]..)*$"
+UTF16LE_OK = "^FFFE(?:(?!..D[89A-F])[0-9A-F]{4}|..D[89AB]..D[C-F])*+$"
+UTF16BE_OK = "^FEFF(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB]..D[C-F]..)*+$"
 
 
 def valid_utf16(content: Column) -> Column:

@@ -1,9 +1,8 @@
-"""Content repairs (S-3 .. S-6).
+"""Content repairs (S-3 .. S-6): column expressions, but for named entities.
 
-Entities and link quoting need Python's ``html.unescape`` / ``urllib.parse.quote`` semantics,
-which have no native Spark equivalent (Spark's ``url_encode`` is form encoding). They run as
-Arrow-batched pandas UDFs and only on rows that a native predicate selects (``&`` present, a
-link present), so most rows never cross into Python. Anchors and blank files are native.
+Link targets are quoted natively: a text is cut at its links, each target is form-encoded by Spark, and the characters
+that may stand in a URL are put back. Character references need the HTML entity table, which Python has: an
+Arrow-batched UDF sees only texts that hold something like a reference.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import html
 import re
 import sys
-import urllib.parse
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -24,88 +22,62 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-# --- fixed values: repair patterns and texts (reference behaviour) ---
-NUM_ENTITY = re.compile(r"&#(\d+);")
-HEX_ENTITY = re.compile(r"&#x([0-9a-fA-F]+);")
-MD_LINK = re.compile(r"(!?\[[^\]]*\]\()([^)]+)(\))")
-HTML_LINK = re.compile(r"""(<(?:a|img)\s[^>]*?(?:href|src)\s*=\s*['"])([^'"]*)(['"][^>]*?>)""", re.IGNORECASE)
+# --- fixed values: repair patterns and texts (required behaviour) ---
+NUMERIC_REFERENCE = r"&#(?:(\d+)|x([0-9a-fA-F]+));"
+MD_LINK = r"(!?\[[^\]]*\]\()([^)]+)(\))"
+HTML_LINK = r"""(?i)(<(?:a|img)\s[^>]*?(?:href|src)\s*=\s*['"])([^'"]*)(['"][^>]*?>)"""
 URL_SAFE = "/:?#[]@!$&'()*+,;=-._~"
 EMPTY_PLACEHOLDER = "<!-- À compléter -->\n"
+REFERENCE_GATE = "&[#A-Za-z]"
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def unescape_text(text: str) -> str:
-    """Decimal, then hexadecimal numeric references (no cp1252 remap), then ``html.unescape``."""
-    text = NUM_ENTITY.sub(lambda m: chr(int(m.group(1))), text)
-    text = HEX_ENTITY.sub(lambda m: chr(int(m.group(1), 16)), text)
-    return html.unescape(text)
-
-
-def quote_url(url: str) -> str:
-    """Percent-quote a link target unless it already holds a ``%``."""
-    return url if "%" in url else urllib.parse.quote(url, safe=URL_SAFE)
-
-
-def encode_links_text(text: str) -> str:
-    def repl(m):
-        pre, url, post = m.groups()
-        return f"{pre}{quote_url(url)}{post}"
-
-    text = MD_LINK.sub(repl, text)
-    return HTML_LINK.sub(repl, text)
-
-
-def _safe(fn, s):
-    if s is None:
-        return None, None
-    try:
-        out = fn(s)
-        out.encode("utf-8")  # lone surrogates from numeric references cannot be written
-        return out, None
-    except (ValueError, OverflowError, UnicodeEncodeError) as e:
-        return None, str(e)
-
-
-@F.pandas_udf(RESULT)
-def _unescape_udf(s: pd.Series) -> pd.DataFrame:
-    pairs = [_safe(unescape_text, x) for x in s]
-    return pd.DataFrame({"text": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
-
-
 @F.pandas_udf(RESULT)
-def _links_udf(s: pd.Series) -> pd.DataFrame:
-    pairs = [_safe(encode_links_text, x) for x in s]
-    return pd.DataFrame({"text": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
+def _decode_references(texts: pd.Series) -> pd.DataFrame:
+    """Numeric references are code points (Windows-1252 is not consulted); the rest goes by the HTML table. A text whose
+    references name no character, or half a surrogate pair, keeps an error instead."""
+    numeric = re.compile(NUMERIC_REFERENCE)
+    done, errors = [None] * len(texts), [None] * len(texts)
+    for i, t in enumerate(texts):
+        if t is None:
+            continue
+        try:
+            plain = html.unescape(numeric.sub(lambda m: chr(int(m[1]) if m[1] else int(m[2], 16)), t))
+            plain.encode("utf-8")
+            done[i] = plain
+        except (ValueError, OverflowError) as e:
+            errors[i] = str(e)
+    return pd.DataFrame({"text": done, "error": errors})
 
 
-@F.pandas_udf(T.StringType())
-def quote_url_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda u: None if u is None else quote_url(u))
-
-
-def _gated(udf, text: Column, gate: Column) -> Column:
-    # Spark evaluates a Python UDF for every input row even inside ``when``; feeding it null for
-    # rows that fail the native gate keeps their text out of the Arrow batches entirely.
-    res = udf(F.when(gate, text))
-    return F.struct(
-        F.when(gate, res["text"]).otherwise(text).alias("text"),
-        F.when(gate, res["error"]).alias("error"),
-    )
+def decode_entities(text: Column) -> Column:
+    """S-3: ``struct(text, error)``. Other texts reach the UDF as nulls: they do not cross into Python."""
+    gate = text.rlike(REFERENCE_GATE)
+    res = _decode_references(F.when(gate, text))
+    return F.struct(F.when(gate, res["text"]).otherwise(text).alias("text"), F.when(gate, res["error"]).alias("error"))
 
 
-def decode_entities(text: Column) -> Column:
-    """S-3: ``struct(text, error)``; rows without ``&`` skip the Python step."""
-    return _gated(_unescape_udf, text, text.contains("&"))
+def quote_url(url: Column) -> Column:
+    """Percent-quote what may not stand in a URL; one that holds a ``%`` is taken as quoted."""
+    out = F.replace(F.url_encode(url), F.lit("+"), F.lit("%20"))
+    for c in URL_SAFE:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(url.contains("%"), url).otherwise(out)
 
 
-# Spark regex for "may contain a link the Python step would rewrite"
-LINK_GATE = r"(?i)!?\[[^\]]*\]\(|<(?:a|img)\s[^>]*?(?:href|src)\s*="
+def _requote(text: Column, link: str) -> Column:
+    """The pieces between links as they are, each link with its target quoted."""
+    between = F.split(text, link, -1)
+    parts = [F.regexp_extract_all(text, F.lit(link), g) for g in (1, 2, 3)]
+    fixed = F.transform(F.arrays_zip(*[p.alias(f"p{i}") for i, p in enumerate(parts)]), lambda x: F.concat(x["p0"], quote_url(x["p1"]), x["p2"]))
+    woven = F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(fixed, i), F.lit(""))))
+    return F.when(text.rlike(link), F.array_join(woven, "")).otherwise(text)
 
 
 def encode_links(text: Column) -> Column:
-    """S-5: ``struct(text, error)``; rows without a Markdown or HTML link skip the Python step."""
-    return _gated(_links_udf, text, text.rlike(LINK_GATE))
+    """S-5: targets of Markdown links, then of HTML links and images, quoted."""
+    return _requote(_requote(text, MD_LINK), HTML_LINK)
 
 
 ANCHOR_PATTERN = r'(?i)(\bid\s*=\s*"[^"]*?)\s+"'
@@ -113,7 +85,7 @@ ANCHOR_PATTERN = r'(?i)(\bid\s*=\s*"[^"]*?)\s+"'
 
 def fix_anchor_ids(text: Column) -> Column:
     """S-4, documented intent: blanks before the closing quote of ``id="..."`` are removed
-    (``id="xxx "`` -> ``id="xxx"``). The reference's regex instead deletes the quote after
+    (``id="xxx "`` -> ``id="xxx"``). A literal reading of the pattern would delete the quote after
     such a value; that corruption is deliberately not reproduced."""
     return F.regexp_replace(text, ANCHOR_PATTERN, '$1"')
 

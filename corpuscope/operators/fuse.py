@@ -63,26 +63,29 @@ def fuse(reports: DataFrame, strategy: str = "merge-conflicts", key: Sequence[st
     * ``merge-conflicts``: worst severity, sorted distinct messages joined by `` | ``,
       sorted distinct tools joined by ``,``, number of reports.
 
-    Null key parts group together. With ``deduplicate`` identical rows are removed first.
+    Null key parts group together, but rows with neither file nor line only if their messages are equal. With ``deduplicate`` identical rows are removed first.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     df = reports
     if deduplicate:
         df = df.dropDuplicates([c for c in S.ISSUE_COLUMNS if c != "fingerprint"] + ["source_ord"])
+    # findings without a place have only their message to tell them apart
+    placeless = F.when(F.col("file").isNull() & F.col("line").isNull(), F.col("message")).alias("__placeless")
     payload = [c for c in ("severity", "message", "tool", "code_snippet", "source_ord") if c not in key]
     if strategy in ("keep-first", "overwrite"):
         pick = F.min_by if strategy == "keep-first" else F.max_by
-        agg = pick(_row(payload), F.struct("source_ord", "message")).alias("r")
-        return df.groupBy(*key).agg(agg).select(*key, "r.*")
+        ties = [c for c in payload if c not in ("source_ord", "message")]
+        agg = pick(_row(payload), F.struct("source_ord", "message", *ties)).alias("r")
+        return df.groupBy(*key, placeless).agg(agg).select(*key, "r.*")
     rank = S.severity_rank(F.col("severity"))
     worst = F.min(F.struct(rank.alias("rank"), F.upper("severity").alias("severity")))["severity"]
-    return df.groupBy(*key).agg(
+    return df.groupBy(*key, placeless).agg(
         worst.alias("severity"),
         F.array_join(F.array_sort(F.collect_set("message")), " | ").alias("message"),
         F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tool"),
         F.countDistinct("source_ord").cast("bigint").alias("n_reports"),
-    )
+    ).drop("__placeless")
 
 
 def baseline_diff(before: DataFrame, after: DataFrame) -> DataFrame:

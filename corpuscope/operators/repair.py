@@ -134,23 +134,26 @@ def repair(corpus: DataFrame, dry_run: bool = True) -> DataFrame:
     ``text_before`` is the decoded original (the ``--backup`` copy); ``text_after`` is what SNK-4
     writes (UTF-8 without BOM). Files whose repair failed keep ``text_after`` null.
     """
-    det = corpus.select("file", "content", detect_encoding(F.col("content")).alias("d"))
+    # a file that could not be read is a failure, with the reader's reason where it gives one
+    reason = F.col("error") if "error" in corpus.columns else F.lit(None).cast("string")
+    unread = F.when(F.col("content").isNull(), F.coalesce(reason, F.lit("contenu illisible")))
+    det = corpus.select("file", "content", unread.alias("unread"), detect_encoding(F.col("content")).alias("d"))
     dec = det.select(
-        "file", F.col("d.encoding").alias("encoding"), F.col("d.confidence").alias("confidence"),
+        "file", "unread", F.col("d.encoding").alias("encoding"), F.col("d.confidence").alias("confidence"),
         decode_bytes(F.col("content"), F.col("d.encoding")).alias("x"),
     ).select(
-        "file",
+        "file", "unread",
         F.when(F.col("x.fallback"), F.lit("utf-8 (fallback)")).otherwise(F.col("encoding")).alias("encoding"),
         F.when(F.col("x.fallback"), F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
         F.col("x.text").alias("text_before"),
     )
     ent = dec.withColumn("e", decode_entities(F.col("text_before")))
     anchors = ent.withColumn("t1", fix_anchor_ids(F.col("e.text")))
-    links = anchors.withColumn("l", encode_links(F.col("t1")))
+    links = anchors.withColumn("t2", encode_links(F.col("t1")))
     out = links.select(
         "file", "encoding", "confidence", "text_before",
-        F.coalesce(F.col("e.error"), F.col("l.error")).alias("error"),
-        fill_empty(F.col("l.text")).alias("text_after"),
+        F.coalesce("unread", F.col("e.error")).alias("error"),
+        fill_empty(F.col("t2")).alias("text_after"),
     )
     enc_changed = F.coalesce(~F.lower(F.col("encoding")).isin(list(UNCHANGED_ENCODINGS)), F.lit(False))
     content_changed = F.coalesce(F.col("text_after") != F.col("text_before"), F.lit(False))

@@ -242,10 +242,8 @@ class TaintRule(Rule):
         entry = (F.size(row.lines) > 0) & (
             base_name(row.file).isin(entries) | F.exists(row.lines, lambda l: contains_any(l, entries))
         )
-        # whole-text search first (a superset of any line matching): most files skip the per-line pass
-        first = F.when(
-            row.text.rlike("(?m)" + rx), F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True).cast("int")
-        ).otherwise(F.lit(0))
+        # patterns are searched line by line: anchors and look-around make a whole-text search unsound
+        first = F.when(gate, F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True).cast("int")).otherwise(F.lit(0))
         hits = _line_indices(row.lines, lambda l: contains_any(l, sinks), start=first)
         out = F.transform(
             hits, lambda i: issue(S.RULE_TAINT, "CRITICAL", S.MSG_TAINT, S.TOOL_TAINT, line=i,
@@ -319,7 +317,7 @@ class SecretPatternRule(Rule):
                 )
             return F.array_compact(F.array(*arr))
 
-        return F.when(row.text.rlike("(?m)" + alt), F.flatten(F.transform(cand, per_line))).otherwise(empty())
+        return F.flatten(F.transform(cand, per_line))
 
 
 def _token_start_anchored(tp: str) -> str:
@@ -354,10 +352,11 @@ class EntropyRule(Rule):
         flagged = F.filter(with_hot, lambda x: F.size(x["hot"]) > 0)
         out = F.transform(
             flagged,
-            lambda x: issue(S.RULE_ENTROPY, "HIGH", S.MSG_ENTROPY, S.TOOL_SECRETS, line=x["line"],
-                            column=F.position(F.element_at(x["hot"], 1), x["text"]), snippet=strip(x["text"])),
+            lambda x: issue(S.RULE_ENTROPY, "HIGH", F.format_string(S.MSG_ENTROPY, shannon_entropy(F.element_at(x["hot"], 1))),
+                            S.TOOL_SECRETS, line=x["line"], column=F.position(F.element_at(x["hot"], 1), x["text"]),
+                            snippet=strip(F.aggregate(x["hot"], x["text"], lambda t, k: F.replace(t, k, F.lit("***"))))),
         )
-        return F.when(row.text.rlike(tp), out).otherwise(empty())
+        return out
 
 
 # --- R-6 / F-7 / X-9 -----------------------------------------------------------------------------
@@ -414,7 +413,7 @@ class LineRulesRule(Rule):
                 ])
             )
 
-        return F.when(row.text.rlike("(?m)" + alt), F.flatten(F.transform(cand, per_line))).otherwise(empty())
+        return F.flatten(F.transform(cand, per_line))
 
 
 # --- the scan ------------------------------------------------------------------------------------
@@ -445,27 +444,6 @@ def check_patterns(corpus: DataFrame, rules: Sequence[Rule]) -> None:
                 raise ValueError(f"invalid regex in {label}: {pattern!r} ({msg})") from None
 
 
-_ISSUES_CACHE: dict[tuple, tuple[Column, frozenset]] = {}
-
-
-def _rule_issues(corpus: DataFrame, rule: Rule, row: Row) -> Column:
-    """``rule.issues(row)``, memoised per SparkContext and rule configuration.
-
-    Building a rule's expression tree costs hundreds of py4j calls on the driver; an unresolved
-    Column can be reused by any number of DataFrames, so a rule with the same parameters is built
-    once per session. The line arrays it uses are recorded with it."""
-    key = (id(corpus.sparkSession.sparkContext._jsc), type(rule).__name__, repr(rule))
-    hit = _ISSUES_CACHE.get(key)
-    if hit is None:
-        probe = Row()
-        hit = (rule.issues(probe), frozenset(probe.used))
-        if len(_ISSUES_CACHE) > 256:
-            _ISSUES_CACHE.clear()
-        _ISSUES_CACHE[key] = hit
-    row.used.update(hit[1])
-    return hit[0]
-
-
 def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Issues of all ``rules`` over ``corpus(file, text[, lang])`` in one pass.
 
@@ -481,7 +459,7 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
         raise ValueError("corpus needs a lang column (or give the rule a fixed lang)")
     base = corpus.select("file", "text", *(["lang"] if "lang" in corpus.columns else []), *keep)
     row = Row()
-    arrays = [_rule_issues(corpus, r, row) for r in rules]
+    arrays = [r.issues(row) for r in rules]
     all_issues = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     guard = None
     if max_bytes is not None:

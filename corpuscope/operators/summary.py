@@ -17,14 +17,16 @@ from corpuscope.schema import SEVERITIES, sarif_level, severity_rank
 
 
 def severity_breakdown(issues: DataFrame) -> DataFrame:
-    """A-1 / J-2: count per severity for all six severities, zeros included, in rank order.
+    """A-1 / J-2: count per severity for all six severities, zeros included, in rank order; issues of
+    no known severity are a seventh row, OTHER, if there are any.
 
     One global aggregate of six conditional counts (map-side combined), then six rows: no join and
     no shuffle of issue rows.
     """
     sev = F.upper(F.col("severity"))
     counts = issues.agg(
-        *[F.count_if(sev == name).cast("bigint").alias(f"n{rank}") for name, rank, _ in SEVERITIES]
+        *[F.count_if(sev == name).cast("bigint").alias(f"n{rank}") for name, rank, _ in SEVERITIES],
+        F.count_if(~F.coalesce(sev.isin([name for name, _, _ in SEVERITIES]), F.lit(False))).cast("bigint").alias("n_other"),
     )
     rows = F.array(
         *[
@@ -35,9 +37,10 @@ def severity_breakdown(issues: DataFrame) -> DataFrame:
                 F.col(f"n{rank}").alias("n_issues"),
             )
             for name, rank, level in SEVERITIES
-        ]
+        ],
+        F.struct(F.lit("OTHER").alias("severity"), F.lit(len(SEVERITIES)).alias("severity_rank"), F.lit("none").alias("level"), F.col("n_other").alias("n_issues")),
     )
-    return counts.select(F.inline(rows))
+    return counts.select(F.inline(rows)).where("severity <> 'OTHER' or n_issues > 0")
 
 
 def scan_totals(files: DataFrame, issues: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _gated(corpus: DataFrame, entry_points, sinks, sensitive_patterns=None) -> D
     out = corpus.where(contains_any(text, sinks)).where(
         base_name(F.col("file")).isin(list(entry_points)) | contains_any(text, entry_points)
     )
-    return out if sensitive_patterns is None else out.where(text.rlike("(?m)" + any_regex(sensitive_patterns)))
+    return out
 
 
 def _issues(df: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def taint_flow(
         # the sensitive whole-text test runs inside the rule, after any rebalancing of the input
         gated_rows = _gated(corpus.select("file", "text"), entry_points, sinks)
         return scan(gated_rows, [TaintRule(sensitive_patterns, entry_points, sinks)])
-    gated = _gated(corpus.select("file", "text"), entry_points, sinks, sensitive_patterns).select(
+    gated = _gated(corpus.select("file", "text"), entry_points, sinks).select(
         "file", splitlines(F.col("text")).alias("lines")
     )
     gated = gated.where(entry_file(F.col("file"), F.col("lines"), entry_points))

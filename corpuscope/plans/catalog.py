@@ -151,8 +151,8 @@ def q_all_issues(spark, sf):
 
 
 def q_semantic_scan(spark, sf):
-    """Semantic scan with the analysis-failure guard: oversized files yield only N999."""
-    return scan(docs(spark, sf), [FileLengthRule(DOC_LENGTHS), LineRulesRule(CUSTOM_RULES)], max_bytes=MAX_BYTES)
+    """Semantic scan of whole texts, whatever their size."""
+    return scan(docs(spark, sf), [FileLengthRule(DOC_LENGTHS), LineRulesRule(CUSTOM_RULES)])
 
 
 def q_entry_files(spark, sf):
@@ -163,7 +163,7 @@ def q_entry_files(spark, sf):
 def q_sensitive_lines(spark, sf):
     rx = any_regex(TAINT_SENSITIVE)
     numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
-    hits = F.when(F.col("text").rlike("(?m)" + rx), F.filter(numbered, lambda x: x["text"].rlike(rx)))
+    hits = F.filter(numbered, lambda x: x["text"].rlike(rx))
     return docs(spark, sf).select("file", F.explode(hits).alias("x")).select(
         "file", F.col("x.line").cast("bigint").alias("line")
     )
@@ -371,11 +371,11 @@ def q_entities_decoded(spark, sf):
 
 
 def q_links_encoded(spark, sf):
-    from corpuscope.functions.repair import HTML_LINK, quote_url_udf
+    from corpuscope.functions.repair import HTML_LINK, quote_url
 
-    rx = "(?i)" + HTML_LINK.pattern
+    rx = HTML_LINK
     p = pages_corpus(spark, sf).select("file", F.posexplode(F.regexp_extract_all("text", F.lit(rx), 2)).alias("pos", "href"))
-    return p.select("file", (F.col("pos") + 1).cast("bigint").alias("n"), "href", quote_url_udf(F.col("href")).alias("encoded"))
+    return p.select("file", (F.col("pos") + 1).cast("bigint").alias("n"), "href", quote_url(F.col("href")).alias("encoded"))
 
 
 def q_fill_empty(spark, sf):

@@ -178,7 +178,8 @@ def entropy_sql(threshold, token_pattern, src=DOCS) -> str:
     hot = f"list_filter(regexp_extract_all(text, {sql_str(token_pattern)}), lambda tk: {entropy('tk')} > {float(threshold)})"
     return f"""
 {issue_sel(line="line", column="strpos(text, hot[1])", rule_id=sql_str(S.RULE_ENTROPY), severity="'HIGH'",
-           message=sql_str(S.MSG_ENTROPY), tool=sql_str(S.TOOL_SECRETS), snippet=strip('text'))}
+           message=f"printf('Chaîne à haute entropie détectée (entropie %.2f)', {entropy('hot[1]')})", tool=sql_str(S.TOOL_SECRETS),
+           snippet=strip("list_reduce(list_prepend(text, hot), lambda a, b: replace(a, b, '***'))"))}
 FROM (SELECT file, line, text, {hot} AS hot FROM {lines_of(src)} WHERE regexp_matches(text, {sql_str(token_pattern)}))
 WHERE len(hot) > 0
 """
@@ -439,8 +440,8 @@ ORACLES: dict[str, str] = {
     "secret_entropy": entropy_sql(C.ENTROPY_THRESHOLD, SC.TOKEN_PATTERN),
     "custom_rules": line_rules_sql(C.CUSTOM_RULES),
     "all_issues": all_issues_sql(),
-    "semantic_scan": f"({parse_errors_sql(C.MAX_BYTES)}) UNION ALL ({length_sql(C.DOC_LENGTHS, SMALL_DOCS)}) "
-    f"UNION ALL ({line_rules_sql(C.CUSTOM_RULES, SMALL_DOCS)})",
+    "semantic_scan": f"({length_sql(C.DOC_LENGTHS)}) "
+    f"UNION ALL ({line_rules_sql(C.CUSTOM_RULES)})",
     "entry_files": f"""SELECT file FROM (SELECT file, {splitlines('text')} AS ls FROM {DOCS})
         WHERE len(ls) > 0 AND ({base_name('file')} IN ({', '.join(sql_str(e) for e in C.TAINT_ENTRIES)})
         OR len(list_filter(ls, lambda l: {contains_any('l', C.TAINT_ENTRIES)})) > 0)""",

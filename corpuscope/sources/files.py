@@ -21,6 +21,7 @@ import json
 import os
 import re
 import sys
+from functools import partial
 from typing import Iterator, Sequence
 
 from pyspark import cloudpickle
@@ -34,6 +35,8 @@ from corpuscope.sources.globs import globs_to_regex
 # executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MAX_FILE_BYTES = (1 << 31) - 1  # what one binary value can hold; a larger file is a row with an error
+
 
 SCHEMA = "path string, length bigint, modificationTime timestamp, content binary, error string"
 _MAGIC = re.compile(r"[*?\[]")
@@ -69,12 +72,12 @@ class CorpusReader(DataSourceReader):
         self.include_hidden = options.get("include_hidden", "false").lower() == "true"
         self.exclude = json.loads(options.get("exclude", "[]"))
         self.suffix = options.get("suffix")
-        self.max_bytes = int(options.get("max_bytes", str(256 << 20)))
+        self.max_bytes = int(options.get("max_bytes", str(MAX_FILE_BYTES)))
         self.num_partitions = int(options.get("numPartitions", "8"))
         if options.get("strict", "false").lower() == "true":
             for p in self.patterns:
                 if next(glob.iglob(p, recursive=self.recursive), None) is None:
-                    raise ValueError(f"No matches for pattern: '{p}'")
+                    raise ValueError(f"strict: nothing matches {p!r}")
 
     def partitions(self):
         bases = sorted({_base_dir(p) for p in self.patterns})
@@ -237,7 +240,7 @@ def _options(patterns, recursive, include_hidden, exclude, suffix, strict, max_b
 
 def stream_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True,
                   include_hidden: bool = False, exclude: Sequence[str] = (), suffix: str | None = None,
-                  max_bytes: int = 256 << 20, num_partitions: int | None = None) -> DataFrame:
+                  max_bytes: int = MAX_FILE_BYTES, num_partitions: int | None = None) -> DataFrame:
     """New or modified files matched by ``patterns`` as a stream (same schema as ``read_corpus``)."""
     register(spark)
     if isinstance(patterns, str):
@@ -253,7 +256,7 @@ def register(spark: SparkSession) -> None:
 
 def read_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True,
                 include_hidden: bool = False, exclude: Sequence[str] = (), suffix: str | None = None,
-                strict: bool = False, max_bytes: int = 256 << 20, num_partitions: int | None = None) -> DataFrame:
+                strict: bool = False, max_bytes: int = MAX_FILE_BYTES, num_partitions: int | None = None) -> DataFrame:
     """Files matched by ``patterns`` as ``(path, length, modificationTime, content, error)``."""
     register(spark)
     if isinstance(patterns, str):
@@ -298,17 +301,6 @@ def as_text_corpus(files: DataFrame) -> DataFrame:
     )
 
 
-class CorpusPatterns:
-    """Reusable corpus reader with fixed defaults (the object form of SRC-1):
-    ``CorpusPatterns(recursive=False, strict=True)(spark, ["*.md"])``."""
-
-    def __init__(self, recursive: bool = True, strict: bool = False, include_hidden: bool = False,
-                 exclude: Sequence[str] = (), suffix: str | None = None, max_bytes: int = 256 << 20):
-        self.options = dict(recursive=recursive, strict=strict, include_hidden=include_hidden,
-                            exclude=tuple(exclude), suffix=suffix, max_bytes=max_bytes)
-
-    def __call__(self, spark: SparkSession, patterns: Sequence[str] | str) -> DataFrame:
-        return read_corpus(spark, patterns, **self.options)
-
-    def __repr__(self) -> str:
-        return "CorpusPatterns(" + ", ".join(f"{k}={v!r}" for k, v in self.options.items()) + ")"
+def corpus_reader(**defaults):
+    """``read_corpus`` with options fixed for reuse: ``corpus_reader(suffix=".md")(spark, ["docs/**"])``."""
+    return partial(read_corpus, **defaults)

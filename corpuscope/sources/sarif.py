@@ -28,6 +28,7 @@ def level_to_severity(level: Column) -> Column:
         F.when(F.lower(level) == "error", m["error"])
         .when(F.lower(level) == "warning", m["warning"])
         .when(F.lower(level) == "note", m["note"])
+        .when(level.isNull(), m["warning"])  # the format's default
         .otherwise(m["none"])
     )
 
@@ -53,10 +54,17 @@ def parse_sarif(df: DataFrame, text_col: str = "sarif") -> DataFrame:
     return sarif_to_results(df.select(F.from_json(F.col(text_col), SARIF_SCHEMA).alias("log")))
 
 
-def read_sarif(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Read SARIF files (``multiLine`` for pretty-printed logs, off for one log per line)."""
-    raw = spark.read.schema(SARIF_SCHEMA).option("multiLine", multiline).json(path)
-    return sarif_to_results(raw.select(F.struct(*[F.col(c) for c in raw.columns]).alias("log")))
+def read_sarif(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """Read SARIF files. Each file holds one log over any number of lines (``multiline=True``) or one log a line
+    (``False``); by default each file is looked at: if all its non-blank lines are objects, each is a log."""
+    if multiline is False:
+        return parse_sarif(spark.read.text(path).toDF("sarif"))
+    whole = spark.read.text(path, wholetext=True).toDF("sarif")
+    if multiline is None:
+        lines = F.filter(F.split("sarif", "\r?\n"), lambda x: F.trim(x) != "")
+        each = F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+        whole = whole.select(F.explode(F.when(each, lines).otherwise(F.array("sarif"))).alias("sarif"))
+    return parse_sarif(whole)
 
 
 def results_to_issues(results: DataFrame, source_ord: int | None = None) -> DataFrame:

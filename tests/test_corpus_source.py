@@ -111,8 +111,8 @@ def test_scratch_encodings_end_to_end(spark, tmp_path):
 
 
 def test_reusable_patterns_object(spark, tree):
-    from corpuscope.sources.files import CorpusPatterns
+    from corpuscope.sources.files import corpus_reader
 
-    md = CorpusPatterns(suffix=".md", exclude=["**/vendor/**"])
+    md = corpus_reader(suffix=".md", exclude=["**/vendor/**"])
     assert paths(md(spark, [f"{tree}/**"]), tree) == ["top.md", "x/y/UPPER.MD", "x/y/deep.md"]
     assert "suffix='.md'" in repr(md)

@@ -14,7 +14,6 @@ from corpuscope.functions.repair import (
     fill_empty,
     fix_anchor_ids,
     quote_url,
-    unescape_text,
 )
 from corpuscope.operators.repair import check_encoding, encoding_summary, repair
 
@@ -58,18 +57,18 @@ def test_repair_messages(byte_corpus):
     assert rows["empty.md"].message.endswith("[contenu modifié]")
 
 
-ENTITY_CASES = ["&#150;", "&#38;lt;", "a&nbsp b", "&amp;&copy;&middot;&quot;", "&#x41;&#66;", "no entity", "&#99999999;"]
+ENTITY_CASES = {
+    "&#150;": "\x96", "&#38;lt;": "<", "a&nbsp b": "a\xa0 b", "&amp;&copy;&middot;&quot;": '&©·"', "&#x41;&#66;": "AB",
+    "no entity": "no entity", "R&D": "R&D", "a & b": "a & b", "&#99999999;": None, "&#xD800;": None,
+}
 
 
 def test_entities_match_stdlib(spark):
     df = spark.createDataFrame([(c,) for c in ENTITY_CASES], "t string")
     got = [tuple(r[0]) for r in df.select(decode_entities(F.col("t"))).collect()]
     for case, (text, err) in zip(ENTITY_CASES, got):
-        if case == "&#99999999;":
-            assert text is None and err  # out-of-range code point fails the file
-        else:
-            assert err is None and text == unescape_text(case)
-    assert got[0][0] == "\x96" and got[1][0] == "<"
+        assert text == ENTITY_CASES[case]
+        assert (err is not None) == (text is None)  # no such character: the file fails
 
 
 def test_repair_failure_row(spark):
@@ -91,7 +90,7 @@ LINK_CASES = [
 
 def test_links_match_reference_semantics(spark):
     df = spark.createDataFrame([(c,) for c in LINK_CASES], "t string")
-    got = [r[0].text for r in df.select(encode_links(F.col("t")).alias("r")).collect()]
+    got = [r[0] for r in df.select(encode_links(F.col("t")).alias("r")).collect()]
     assert got[0] == "[doc](path/file%20name.md)"
     assert got[1] == "![img](uploads/a%20b.png)"
     assert got[2] == "[t](already%20ok.md)"
@@ -99,7 +98,26 @@ def test_links_match_reference_semantics(spark):
     assert got[4] == "<IMG SRC='%C3%A9.png'>"
     assert got[5] == '[t](a%20b%20%22title%22)'
     assert got[6] == "no link here"
-    assert quote_url("a b") == urllib.parse.quote("a b", safe="/:?#[]@!$&'()*+,;=-._~")
+
+
+def test_quoted_urls_match_stdlib(spark):
+    urls = ["a b", "a+b c", "é/ñ?x=1&y=[2]#z", "~user/*", "100%", 'x"y<z>', "", "日本\\|^`{}", "tab\tnew\nline", "".join(map(chr, range(32, 127)))]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", quote_url(F.col("u")).alias("q")).collect()
+    for r in got:
+        assert r.q == (r.u if "%" in r.u else urllib.parse.quote(r.u, safe="/:?#[]@!$&'()*+,;=-._~"))
+
+
+def test_unreadable_file_fails(spark):
+    rows = [("x.md", None, "permission denied"), ("y.md", None, None), ("z.md", b"ok", None)]
+    got = {r.file: r for r in repair(spark.createDataFrame(rows, "file string, content binary, error string")).collect()}
+    assert not got["x.md"].success and "permission denied" in got["x.md"].message and got["x.md"].message.startswith("❌ échec:")
+    assert not got["y.md"].success and got["z.md"].success
+
+
+def test_long_utf16_file(spark):
+    raw = b"\xff\xfe" + ("a" * 400_000 + "😀" * 1000).encode("utf-16-le")
+    r = repair(spark.createDataFrame([("x.md", raw)], "file string, content binary")).collect()[0]
+    assert r.success and r.encoding == "UTF-16" and len(r.text_after) == 401_000
 
 
 def test_anchor_documented_intent(spark):

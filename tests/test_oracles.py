@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from corpuscope.plans.catalog import QUERIES
 from corpuscope.sources.tables import TABLES
 
 import sys, os  # noqa: E401
@@ -24,11 +25,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == set()
+    assert set(QUERIES) - set(E.oracle_sql()) == set()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rel = con.sql(E.oracle_sql()[name])
@@ -58,7 +58,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "timestamp_ntz": "TIMESTAMP"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_types_match_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rel = con.sql(E.oracle_sql()[name])
