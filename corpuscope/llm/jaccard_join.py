@@ -348,7 +348,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         sizes = open_.groupBy("rid", "label").agg(F.count(F.lit(1)).alias("size"))
         large, done = F.col("members") > LARGE_REGION, F.col("members") <= pivots
         chosen = (
-            open_.join(sizes, ["rid", "label"]).withColumn("i", F.row_number().over(per)).where(F.col("i") <= F.when(large, 1 << level).otherwise(pivots))
+            open_.join(sizes, ["rid", "label"]).withColumn("i", F.row_number().over(per)).where(F.col("i") <= F.when(large, 4**level).otherwise(pivots))
             .select("rid", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"), "i")
         )
         chosen = st.save(chosen, f"pivots{level}")
