@@ -95,8 +95,12 @@ def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: i
     lines = corpus_lines(docs).where(draw < int(min(1.0, sample_lines / max(n, 1)) * (1 << 20))).select(words_of(F.col("text")).alias("words"))
     lines = stages.save(lines.where(F.size("words") > 0).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(4)) == 0), "lines")
     known = stages.save(training_paragraphs(templates), "known")
-    total = max(lines.count(), 1)
-    common = lines.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * total)
+    # lines that a template covers are no evidence of "unknown", nor of what is common
+    whole = F.array(*[F.array(*[F.lit(w) for w in sorted(set(r.words))]) for r in templates.select(words_of(F.col("text")).alias("words")).collect()])
+    own = F.array_distinct("words")
+    plain = stages.save(lines.where(~F.exists(whole, lambda t: F.size(F.array_intersect(own, t)) >= CONFIRM * F.size(own))), "plain")
+    total = max(plain.count(), 1)
+    common = plain.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * total)
     terms = known.select(F.explode(F.array_distinct("words")).alias("w")).distinct().where(F.length("w") > 1)
     terms = [r.w for r in terms.join(common, "w", "left_anti").orderBy("w").collect()]  # words of the templates
     marks = F.array(*[F.lit(t) for t in terms])
@@ -105,15 +109,14 @@ def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: i
     vocabulary.setBinary(True)
     families = [UNKNOWN] + [r.family for r in templates.select("family").distinct().orderBy("family").collect()]
     label = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
-    # lines that look like a template's stretch are no evidence of "unknown"
-    other = lines.where("not held").where(F.size(F.array_intersect("words", marks)) < 2).select(F.lit(UNKNOWN).alias("family"), "words")
+    other = plain.where("not held").select(F.lit(UNKNOWN).alias("family"), "words")
     rows = known.union(other).withColumn("label", label).withColumn("grams", grams_of(F.col("words")))
     weight = F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(4.0))
     regression = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", probabilityCol="p", rawPredictionCol="raw", family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=50
     ).fit(vocabulary.transform(rows.withColumn("weight", weight)).coalesce(2))  # a bounded sample
     model = LicenseModel(vocabulary, regression, families, 0.5)
-    held = model.probabilities(lines.where("held").where(F.size(F.array_intersect("words", marks)) < 2).select("words"))
+    held = model.probabilities(plain.where("held").select("words"))
     q = held.agg(F.percentile_approx("probability", 1 - FALSE_RATE, 10_000)).first()[0]
     model.threshold = min(max(q or 0.0, 0.5), 0.9)
     model.marks = terms
