@@ -362,8 +362,8 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         dist = measured(pairs, f"dist{level}")
         found = dist.where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
         if not found.isEmpty():
-            links = links.union(found)
-            labels = st.save(connected_components(links, st, f"cc{level}"), f"labels{level}")
+            known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))  # stands for the links so far
+            labels = st.save(connected_components(known.union(found), st, f"cc{level}"), f"labels{level}")
         rest = open_.where(large).join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
         members = st.save(_cells(cross.where(cells), chosen, dist, 1 - num / den).union(rest), f"members{level}")
         pivots *= 2
