@@ -32,6 +32,8 @@ from corpuscope.sources import sarif as SRC
 from corpuscope.sources.files import as_text_corpus, read_corpus
 from corpuscope.sources.globs import globs_to_regex
 
+ONE_VALUE = (1 << 31) - 1  # the most bytes that one value holds: no cap, and unreadable files still give their N999 issue
+
 
 @dataclass
 class JobResult:
@@ -60,7 +62,7 @@ def fix_utf8(spark: SparkSession, patterns: Sequence[str], output: str, dry_run:
 
 
 def semantic_scan(spark: SparkSession, patterns: Sequence[str], lang: str | None = None, threshold: str | None = None,
-                  output: str | None = None, max_bytes: int = 64 << 20) -> JobResult:
+                  output: str | None = None, max_bytes: int = ONE_VALUE) -> JobResult:
     """``semantic-scan``: file length, definition counts and analysis failures.
 
     ``lang`` forces one language (the original ``--lang``); otherwise it comes from the file
@@ -148,7 +150,7 @@ class Repo:
 
 
 def multi_repo_scan(spark: SparkSession, repos: Sequence[Repo], rules, output: str | None = None,
-                    max_bytes: int = 64 << 20) -> JobResult:
+                    max_bytes: int = ONE_VALUE) -> JobResult:
     """X-10: several repositories in one job. Their corpora are unioned with a ``repo`` column
     (and a forced language when given), scanned once, summarised per repository and severity,
     and written to one folder partitioned by ``repo``."""
