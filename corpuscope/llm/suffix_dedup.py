@@ -50,6 +50,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QGRAM = 32
 FLUSH = 1 << 20  # rows held by a task
+HELD_BYTES = 16 << 20  # bytes of stretches held by a task
 MIXED_BITS = 27
 LO_BITS = 33  # of a place: 16 bits of the text's hash, the start, 14 bits more
 _U = np.uint64
@@ -160,13 +161,37 @@ def refine_rows(W: int):
     return run
 
 
-def stretch_rows(W: int, q: int, table):
-    """Task: the stretches of the buckets that may be mixed, the first of each in the task: gram, key, print and
-    start, and the bytes that the run's windows cover."""
+def stretch_rows(W: int, q: int, table, limit: int = HELD_BYTES):
+    """Task: the stretches of the buckets that may be mixed, the earliest of each in the task: gram, key, print and
+    start, and the bytes that the run's windows cover. Holds ``limit`` bytes of distinct stretches; beyond that it gives
+    them out, and a stretch met again goes out again only if its place is earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint64)
-        seen: set = set()
+        sent: dict = {}  # span: earliest place given out
+        held, size = [], 0
+
+        def earliest(rows):
+            """One row for each span, the earliest: span, gram, key, print and start, length, bytes."""
+            span, gram, k, place, length, raw = (np.concatenate(x) for x in zip(*rows))
+            o = np.lexsort((place, k, span))
+            o = o[np.concatenate(([True], span[o][1:] != span[o][:-1]))]
+            at = (np.cumsum(length) - length)[o]
+            take, _ = explode_runs(at, at + length[o] - 1)
+            return span[o], gram[o], k[o], place[o], length[o], raw[take]
+
+        def give(rows):
+            span, gram, k, place, length, raw = rows
+            if len(sent) > FLUSH:
+                sent.clear()
+            sent.update(zip(span.tolist(), zip(k.tolist(), place.tolist())))
+            ends = np.concatenate(([0], np.cumsum(length)))
+            for x in range(0, len(span), 4096):
+                y = min(x + 4096, len(span))
+                offs = (ends[x : y + 1] - ends[x]).astype(np.int32)
+                body = pa.BinaryArray.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(offs), pa.py_buffer(raw[ends[x] : ends[y]])])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(gram[x:y])), pa.array(k[x:y]), pa.array(place[x:y]), body], names=["gram", "k", "place", "body"])
+
         for b in batches:
             ids = long_column(b, "doc_id")
             data, offs = text_buffers(b.column("text"))
@@ -177,24 +202,29 @@ def stretch_rows(W: int, q: int, table):
                 prints = None
                 for r in runs(codes, at, W, q):
                     pick = np.flatnonzero(bits_set(bits, signed(r["gram"]), MIXED_BITS))
-                    _, first = np.unique(r["span"][pick], return_index=True)
-                    pick = pick[np.sort(first)]
-                    pick = pick[np.array([x not in seen for x in r["span"][pick].tolist()], bool)]
                     if not len(pick):
                         continue
-                    if len(seen) > FLUSH:
-                        seen.clear()
-                    seen.update(r["span"][pick].tolist())
                     if prints is None:
                         prints = (span_hash(prefix_hash(codes), at[:-1], at[1:]) >> _U(48)).astype(np.int64)
-                    t, lo, size = r["text"][pick], r["lo"][pick], r["hi"][pick] + W - r["lo"][pick]
-                    take, _ = explode_runs(lo, lo + size - 1)
-                    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                    body = pa.BinaryArray.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(ends), pa.py_buffer(raw[take])])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(r["gram"][pick])), pa.array(ids[i:j][t]), pa.array(prints[t] << LO_BITS | (lo - at[t])), body],
-                        names=["gram", "k", "place", "body"],
-                    )
+                    t, lo = r["text"][pick], r["lo"][pick]
+                    k, place = ids[i:j][t], prints[t] << LO_BITS | (lo - at[t])
+                    if sent:
+                        fresh = [x not in sent or p < sent[x] for x, p in zip(r["span"][pick].tolist(), zip(k.tolist(), place.tolist()))]
+                        pick, k, place, lo = (x[np.array(fresh, bool)] for x in (pick, k, place, lo))
+                        if not len(pick):
+                            continue
+                    length = r["hi"][pick] + W - lo
+                    take, _ = explode_runs(lo, lo + length - 1)
+                    held.append((r["span"][pick], r["gram"][pick], k, place, length, raw[take]))
+                    size += int(length.sum())
+                    if size > limit:
+                        held = [earliest(held)]
+                        size = len(held[0][-1])
+                        if size > limit // 2:  # copies alone do not make it give
+                            yield from give(held[0])
+                            held, size = [], 0
+        if held:
+            yield from give(earliest(held))
 
     return run
 

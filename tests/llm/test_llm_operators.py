@@ -141,6 +141,24 @@ def test_suffix_dedup(spark, awkward, which):
     assert suffix_dedup(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("other", [5, 1])
+def test_suffix_copies_in_descending_order(spark, other):
+    """One task reads document 10, then its earlier copy 3; a third document shares a passage with them only."""
+    copy, W = text(21, 400), 100
+    rows = [(10, copy), (3, copy), (other, text(22, 40) + copy[700:830] + text(23, 40))]
+    seen, want = set(), {}
+    for d, t in sorted(rows):
+        b = t.encode()
+        cut = bytearray(len(b))
+        for i in range(len(b) - W + 1):
+            if b[i : i + W] in seen:
+                cut[i : i + W] = b"\1" * W
+            seen.add(b[i : i + W])
+        want[d] = (sum(cut), hashlib.sha256(bytes(x for x, c in zip(b, cut) if not c)).hexdigest())
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+
+
 def test_suffix_windows_spill(spark):
     from corpuscope.llm.suffix_dedup import repeated_bytes
 
