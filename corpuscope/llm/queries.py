@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(_table(spark, sf_dir, "documents"))
+    return backoff_scores(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from corpuscope.llm.license_scan import license_scan
 from corpuscope.llm.mixing import mix_sources
 from corpuscope.llm.ngram_scores import backoff_scores
 from corpuscope.llm.quality_rules import most_rejections, quality_rules
+from corpuscope.llm.queries import op8_ngram_scores
 from corpuscope.llm.substring_dedup import substring_dedup
 from corpuscope.llm.suffix_dedup import suffix_dedup
 from corpuscope.llm.toxicity import clause_score, drop_toxic, grammar, toxicity_scores
@@ -216,6 +217,31 @@ def test_backoff_scores(spark, awkward, which):
     assert len(got) == len(want) and backoff_scores(empty(docs)).count() == 0
 
 
+def test_trigram_scores(spark):
+    """The registered query: trigrams back off to word pairs, and these to words."""
+    rows = [(d, (t or "").encode().lower().split()) for d, t in pairs(documents(spark))]
+    grams = [lambda w, n=n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    every = [sum((g(w) for _, w in rows), Counter()) for g in grams]
+    n, want = sum(every[0].values()), {}
+    for d, w in rows:
+        own, s, missed = [g(w) for g in grams], 0.0, 0
+        for i in range(len(w)):
+            p = 0.0
+            for m in (1, 2, 3):
+                if i >= m - 1:
+                    g = tuple(w[i - m + 1 : i + 1])
+                    c = every[m - 1][g] - own[m - 1][g]
+                    back = (every[m - 2][g[:-1]] - own[m - 2][g[:-1]]) if m > 1 else n - len(w)
+                    p = c / back if c else 1 / (n + 1) if m == 1 else 0.4 * p
+                    missed += m == 3 and not c
+            s += math.log(p)
+        want[d] = (len(w), missed, s)
+    got = {r.doc_id: (r.n_words, r.n_backoffs, r.log_score) for r in op8_ngram_scores(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for d, (size, missed, s) in want.items():
+        assert got[d][:2] == (size, missed) and got[d][2] == pytest.approx(s, abs=1e-3)
+
+
 @pytest.mark.parametrize("which", ["awkward", "documents"])
 def test_quality_features(spark, awkward, labels, which):
     docs = awkward if which == "awkward" else documents(spark)
