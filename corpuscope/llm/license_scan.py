@@ -3,7 +3,7 @@
 Paragraphs (lines) are classified by multinomial logistic regression on word unigrams and bigrams, with an L1 penalty
 that keeps few of them. It learns from the templates below, cut and thinned, against a bounded sample of corpus lines.
 The class "unknown" is calibrated: a family is predicted only above the probability that almost no corpus line of a
-held-out part reaches. A prediction is confirmed by comparing the paragraph with the family's templates.
+held-out part reaches. A prediction is confirmed by comparing the paragraph with the family's templates, both ways.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ SAMPLE_LINES = 20_000  # corpus lines to learn "unknown" from, expected at most
 COMMON = 0.002  # words of more corpus lines than this do not mark a licence
 CONFIRM = 0.6  # least part of a paragraph's words that a template has
 FALSE_RATE = 0.0005  # of held-out corpus lines that may reach the threshold
+RUN = 5  # consecutive words of a template that make a line no evidence of "unknown"
 
-# Usual notices of licence families: fixed values
+# Usual notices of licence families, short forms and full paragraphs: fixed values. Of families that share a sentence the first listed has it
 TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MIT", "Licensed under the MIT License. Released under the MIT license. This project is licensed under the terms of the MIT license"),
@@ -43,6 +44,32 @@ TEMPLATES = [
     ("Public-Domain", "This work is dedicated to the public domain under CC0 1.0 Universal. This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher"),
     ("Proprietary", "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited. Copyright, all rights reserved"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0"),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/. If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL", "You should have received a copy of the GNU Lesser General Public License along with this library; if not, see https://www.gnu.org/licenses/"),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("AGPL", "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC-BY", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."),
+    ("CC-BY-SA", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."),
+    ("CC-BY-NC", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."),
+    ("Public-Domain", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide. This work is distributed without any warranty."),
+    ("Public-Domain", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, including photocopying, recording, or other electronic or mechanical methods, without the prior written permission of the publisher, except in the case of brief quotations embodied in critical reviews and certain other noncommercial uses permitted by copyright law."),
+    ("Proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential. All rights reserved."),
 ]
 
 
@@ -50,28 +77,48 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def pairs_of(words: Column) -> Column:
+    return F.filter(F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))), lambda g: g.isNotNull())
+
+
 def grams_of(words: Column) -> Column:
     """Unigrams and bigrams."""
-    return F.concat(words, F.filter(F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))), lambda g: g.isNotNull()))
+    return F.concat(words, pairs_of(words))
 
 
 def training_paragraphs(templates: DataFrame) -> DataFrame:
     """``family, words``: sentences and clauses of the templates and stretches of them, and thinned copies (each word of a
     copy is left out by a seeded hash, one in eight)."""
-    whole = templates.select("family", F.explode(F.concat(F.array("text"), F.split("text", r"\. "), F.split("text", r"[.,;:] "))).alias("text"))
-    w = whole.select("family", words_of(F.col("text")).alias("words")).where(F.size("words") >= 3)
+    whole = templates.select("family", F.monotonically_increasing_id().alias("at"), F.explode(F.concat(F.array("text"), F.split("text", r"\. "), F.split("text", r"[.,;:] "))).alias("text"))
+    w = whole.select("family", "at", words_of(F.col("text")).alias("words")).where(F.size("words") >= 3)
     # stretches of eight words, from every fourth word on
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 7, F.lit(1)), F.lit(4))
-    cut = w.select("family", "words", F.explode(starts).alias("a")).select("family", F.slice("words", F.col("a"), F.lit(8)).alias("words"))
-    w = w.union(cut).distinct()
+    cut = w.select("family", "at", "words", F.explode(starts).alias("a")).select("family", "at", F.slice("words", F.col("a"), F.lit(8)).alias("words"))
+    w = w.union(cut).groupBy("words").agg(F.min_by("family", "at").alias("family")).select("family", "words")
     thin = w.select("family", "words", F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("copy"))
     kept = F.filter("words", lambda x, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64(x, i, F.col("copy")), F.lit(8)) != 0))
     return thin.select("family", kept.alias("words")).where(F.size("words") >= 2)
 
 
 def corpus_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, text``: the non-empty lines of the documents."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.length(F.trim("text")) > 0)
+    """``doc_id, line, words``: the non-empty lines of the documents. The words come out of a generator, so that filters
+    on them do not split the text anew."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.length(F.trim("text")) > 0)
+    return lines.select("doc_id", "line", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+
+
+def is_notice(words: Column, notices: list[list[str]]) -> Column:
+    """Whether one template covers the words and word pairs to ``CONFIRM``, or the words hold a run of ``RUN`` words of a
+    template. Either needs enough words of the templates, which is asked first."""
+    every = sorted({w for n in notices for w in n})
+    row = F.aggregate(words, F.lit(0), lambda n, w: F.when((n >= RUN), n).when(w.isin(every), n + 1).otherwise(0)) >= RUN
+    runs = sorted({" ".join(n[i : i + RUN]) for n in notices for i in range(len(n) - RUN + 1)})
+    holds = F.exists(F.transform(words, lambda w, i: F.concat_ws(" ", F.slice(words, i + 1, RUN))), lambda r: r.isin(runs)) if runs else F.lit(False)
+    own = F.array_distinct(words)
+    near = F.size(F.filter(own, lambda w: w.isin(every))) >= CONFIRM * F.size(own)
+    grams = F.array_distinct(grams_of(words))
+    whole = F.array(*[F.array(*[F.lit(g) for g in sorted({*n, *map(" ".join, zip(n, n[1:]))})]) for n in notices])
+    return (row & holds) | (near & F.exists(whole, lambda t: F.size(F.array_intersect(grams, t)) >= CONFIRM * F.size(grams)))
 
 
 class LicenseModel:
@@ -92,13 +139,12 @@ class LicenseModel:
 def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: int = SAMPLE_LINES) -> LicenseModel:
     n = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
     draw = F.pmod(F.xxhash64("doc_id", "line", F.lit("licence")), F.lit(1 << 20))
-    lines = corpus_lines(docs).where(draw < int(min(1.0, sample_lines / max(n, 1)) * (1 << 20))).select(words_of(F.col("text")).alias("words"))
+    lines = corpus_lines(docs).where(draw < int(min(1.0, sample_lines / max(n, 1)) * (1 << 20))).select("words")
     lines = stages.save(lines.where(F.size("words") > 0).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(4)) == 0), "lines")
     known = stages.save(training_paragraphs(templates), "known")
-    # lines that a template covers are no evidence of "unknown", nor of what is common
-    whole = F.array(*[F.array(*[F.lit(w) for w in sorted(set(r.words))]) for r in templates.select(words_of(F.col("text")).alias("words")).collect()])
-    own = F.array_distinct("words")
-    plain = stages.save(lines.where(~F.exists(whole, lambda t: F.size(F.array_intersect(own, t)) >= CONFIRM * F.size(own))), "plain")
+    # notices are no evidence of "unknown", nor of what is common
+    notices = [r.words for r in templates.select(words_of(F.col("text")).alias("words")).collect() if r.words]
+    plain = stages.save(lines.where(~is_notice(F.col("words"), notices)), "plain")
     total = max(plain.count(), 1)
     common = plain.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * total)
     terms = known.select(F.explode(F.array_distinct("words")).alias("w")).distinct().where(F.length("w") > 1)
@@ -126,8 +172,8 @@ def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: i
 def license_scan(docs: DataFrame, stages: Stages | None = None, templates: DataFrame | None = None) -> DataFrame:
     """Paragraphs that are licence notices: ``doc_id, line, family, probability, similarity, confirmed``.
 
-    ``similarity`` is the largest part of the paragraph's distinct words that a template of the family has; ``confirmed`` if
-    it is at least ``CONFIRM``. Paragraphs of the class "unknown" give no row. Every line of every text is classified; lines without a
+    ``similarity`` compares both ways: the largest part of the paragraph's distinct words that a template of the family has,
+    or of a template's distinct word pairs that the paragraph has; ``confirmed`` if it is at least ``CONFIRM``. Paragraphs of the class "unknown" give no row. Every line of every text is classified; lines without a
     word that marks licences have no feature, which makes them unknown.
 
     Defined cases: null and empty texts have no paragraphs; ties between families go to the first by name; rows that repeat a
@@ -139,11 +185,14 @@ def license_scan(docs: DataFrame, stages: Stages | None = None, templates: DataF
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model = train(plain, templates, st)
     marks = F.array(*[F.lit(t) for t in model.marks])
-    lines = corpus_lines(plain).withColumn("words", words_of(F.col("text"))).where(F.arrays_overlap("words", marks)).select("doc_id", "line", "words")
+    lines = corpus_lines(plain).where(F.arrays_overlap("words", marks))
     lines = st.save(lines, "marked")  # few lines: the regression does not meet the others
     found = model.probabilities(lines).where(F.col("probability") >= model.threshold)
-    known = templates.select("family", F.array_distinct(words_of(F.col("text"))).alias("of")).groupBy("family").agg(F.collect_list("of").alias("templates"))
-    own = F.array_distinct("words")
-    best = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(own, t)) / F.size(own)))
+    of = words_of(F.col("text"))
+    known = templates.select("family", F.struct(F.array_distinct(of).alias("words"), F.array_distinct(pairs_of(of)).alias("pairs")).alias("of")).groupBy("family").agg(F.collect_list("of").alias("templates"))
+    own, pairs = F.array_distinct("words"), F.array_distinct(pairs_of(F.col("words")))
+    covered = lambda t: F.size(F.array_intersect(own, t["words"])) / F.size(own)
+    held = lambda t: F.coalesce(F.try_divide(F.size(F.array_intersect(pairs, t["pairs"])), F.size(t["pairs"])), F.lit(0.0))
+    best = F.array_max(F.transform("templates", lambda t: F.greatest(covered(t), held(t))))
     out = found.join(F.broadcast(known), "family").withColumn("similarity", best)  # one row for each family
     return out.select("doc_id", "line", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))

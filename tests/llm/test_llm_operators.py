@@ -383,3 +383,18 @@ def test_licenses(spark, awkward):
     plain = {(r.doc_id, i) for r in docs.collect() for i, x in enumerate((r.text or "").split("\n")) if re.search(r"(?i)licen[sc]|copyright|all rights", x)}
     assert {(d, i) for d, i, _ in got} <= plain
     assert license_scan(empty(awkward)).count() == 0
+
+
+MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the '
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+
+
+def test_full_notices_of_a_hot_source(spark):
+    """Every tenth document carries the whole MIT paragraph: alone on its line, or after other text on the same line."""
+    rows = [(i, f"{text(i, 12)}\n{text(i + 7, 9)}") for i in range(1000)]
+    rows = [(i, t + "\n" + (text(i, 90) + " " if i % 20 else "") + MIT) if i % 10 == 0 else (i, t) for i, t in rows]
+    got = {(r.doc_id, r.line, r.family) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()}
+    assert got == {(i, 2, "MIT") for i in range(0, 1000, 10)}
