@@ -2,8 +2,8 @@
 
 Paragraphs (lines) are classified by multinomial logistic regression on word unigrams and bigrams, with an L1 penalty
 that keeps few of them. It learns from the templates below, cut and thinned, against a bounded sample of corpus lines.
-The class "unknown" is calibrated: a family is predicted only above the probability that almost no corpus line of a
-held-out part reaches. A prediction is confirmed by comparing the paragraph with the family's templates, both ways.
+Which words mark a licence is counted on all lines. The class "unknown" is calibrated: a family is predicted only above
+the probability that almost no corpus line reaches, of all lines that the fit did not see. A prediction is confirmed by comparing the paragraph with the family's templates, both ways.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ UNKNOWN = "unknown"
 SAMPLE_LINES = 20_000  # corpus lines to learn "unknown" from, expected at most
 COMMON = 0.002  # words of more corpus lines than this do not mark a licence
 CONFIRM = 0.6  # least part of a paragraph's words that a template has
-FALSE_RATE = 0.0005  # of held-out corpus lines that may reach the threshold
+FALSE_RATE = 0.0005  # of the corpus lines outside the fit that may reach the threshold
 RUN = 5  # consecutive words of a template that make a line no evidence of "unknown"
 
 # Usual notices of licence families, short forms and full paragraphs: fixed values. Of families that share a sentence the first listed has it
@@ -136,37 +136,58 @@ class LicenseModel:
         return rows.withColumn("family", F.get(F.lit(self.families), -F.col("best.i"))).withColumn("probability", F.col("best.p")).drop("grams", "features", "raw", "p", "best", "prediction")
 
 
-def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: int = SAMPLE_LINES) -> LicenseModel:
-    n = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
-    draw = F.pmod(F.xxhash64("doc_id", "line", F.lit("licence")), F.lit(1 << 20))
-    lines = corpus_lines(docs).where(draw < int(min(1.0, sample_lines / max(n, 1)) * (1 << 20))).select("words")
-    lines = stages.save(lines.where(F.size("words") > 0).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(4)) == 0), "lines")
+def line_counts(lines: DataFrame, notice: Column, terms: list[str]) -> tuple[int, dict[str, int]]:
+    """Lines that are no notices, and how many of them hold each term: all lines count, added up by task."""
+    held = F.filter(F.array_distinct("words"), lambda w: w.isin(terms))
+    rows = lines.where(~notice).select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.w: r.n for r in rows.collect()}  # a row for each term
+    return counts.pop("", 0), counts
+
+
+def threshold_of(scored: DataFrame, total: int) -> float:
+    """Least threshold from 0.5 to 0.9, in steps of 0.0001, that at most ``FALSE_RATE`` of the ``total`` held-out lines reach;
+    ``scored`` has those of them with a probability of 0.5 or more."""
+    step = F.floor(F.least("probability", F.lit(0.9)) * 10_000).alias("step")
+    steps = scored.where(F.col("probability") >= 0.5).groupBy(step).agg(F.count(F.lit(1)).alias("n"))
+    above = 0
+    for r in sorted(steps.collect(), key=lambda r: -r.step):  # a row for each of 4,001 steps at most
+        above += r.n
+        if above > FALSE_RATE * total:
+            return min((r.step + 1) / 10_000, 0.9)
+    return 0.5
+
+
+def train(docs: DataFrame, templates: DataFrame, stages: Stages, sample_lines: int = SAMPLE_LINES) -> tuple[LicenseModel, DataFrame]:
+    """The model, and all lines of which a family has a probability of 0.5 or more. Only the regression is fitted on a sample
+    (``drawn``); word frequencies and threshold are of all lines, the threshold of those that the fit did not see."""
+    lines = corpus_lines(docs)
     known = stages.save(training_paragraphs(templates), "known")
-    # notices are no evidence of "unknown", nor of what is common
     notices = [r.words for r in templates.select(words_of(F.col("text")).alias("words")).collect() if r.words]
-    plain = stages.save(lines.where(~is_notice(F.col("words"), notices)), "plain")
-    total = max(plain.count(), 1)
-    common = plain.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * total)
-    terms = known.select(F.explode(F.array_distinct("words")).alias("w")).distinct().where(F.length("w") > 1)
-    terms = [r.w for r in terms.join(common, "w", "left_anti").orderBy("w").collect()]  # words of the templates
+    notice = is_notice(F.col("words"), notices)  # notices are no evidence of "unknown", nor of what is common
+    terms = [r.w for r in known.select(F.explode("words").alias("w")).distinct().where(F.length("w") > 1).orderBy("w").collect()]  # words of the templates
+    lines = lines.where(F.size("words") > 0)
+    total, counts = line_counts(lines, notice, terms)
+    terms = [t for t in terms if counts.get(t, 0) <= COMMON * max(total, 1)]
     marks = F.array(*[F.lit(t) for t in terms])
     pairs = known.select(F.explode(grams_of(F.col("words"))).alias("g")).distinct().where(F.exists(F.split("g", " "), lambda x: F.array_contains(marks, x)))
     vocabulary = CountVectorizerModel.from_vocabulary([r.g for r in pairs.orderBy("g").collect()], inputCol="grams", outputCol="features")
     vocabulary.setBinary(True)
     families = [UNKNOWN] + [r.family for r in templates.select("family").distinct().orderBy("family").collect()]
     label = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
-    other = plain.where("not held").select(F.lit(UNKNOWN).alias("family"), "words")
-    rows = known.union(other).withColumn("label", label).withColumn("grams", grams_of(F.col("words")))
+    draw = F.pmod(F.xxhash64("doc_id", "line", F.lit("licence")), F.lit(1 << 20)) < int(min(1.0, sample_lines / max(total, 1)) * (1 << 20))
+    drawn = draw & (F.pmod(F.xxhash64("words"), F.lit(4)) != 0)
+    other = stages.save(lines.where(drawn).where(~notice).select("words"), "plain")
+    rows = known.union(other.select(F.lit(UNKNOWN).alias("family"), "words")).withColumn("label", label).withColumn("grams", grams_of(F.col("words")))
     weight = F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(4.0))
     regression = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", probabilityCol="p", rawPredictionCol="raw", family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=50
     ).fit(vocabulary.transform(rows.withColumn("weight", weight)).coalesce(2))  # a bounded sample
     model = LicenseModel(vocabulary, regression, families, 0.5)
-    held = model.probabilities(plain.where("held").select("words"))
-    q = held.agg(F.percentile_approx("probability", 1 - FALSE_RATE, 10_000)).first()[0]
-    model.threshold = min(max(q or 0.0, 0.5), 0.9)
-    model.marks = terms
-    return model
+    # lines without a mark have no feature, which makes them unknown: the regression does not meet them
+    marked = stages.save(lines.where(F.exists("words", lambda w: w.isin(terms))).withColumn("drawn", drawn), "marked")
+    scored = stages.save(model.probabilities(marked).where(F.col("probability") >= 0.5), "scored")
+    model.threshold = threshold_of(scored.where(~F.col("drawn") & ~notice), total - other.count())
+    return model, scored.drop("drawn")
 
 
 def license_scan(docs: DataFrame, stages: Stages | None = None, templates: DataFrame | None = None) -> DataFrame:
@@ -183,11 +204,8 @@ def license_scan(docs: DataFrame, stages: Stages | None = None, templates: DataF
     st = stages or Stages(spark, "licences")
     templates = templates if templates is not None else spark.createDataFrame(TEMPLATES, "family string, text string")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model = train(plain, templates, st)
-    marks = F.array(*[F.lit(t) for t in model.marks])
-    lines = corpus_lines(plain).where(F.arrays_overlap("words", marks))
-    lines = st.save(lines, "marked")  # few lines: the regression does not meet the others
-    found = model.probabilities(lines).where(F.col("probability") >= model.threshold)
+    model, scored = train(plain, templates, st)
+    found = scored.where(F.col("probability") >= model.threshold)
     of = words_of(F.col("text"))
     known = templates.select("family", F.struct(F.array_distinct(of).alias("words"), F.array_distinct(pairs_of(of)).alias("pairs")).alias("of")).groupBy("family").agg(F.collect_list("of").alias("templates"))
     own, pairs = F.array_distinct("words"), F.array_distinct(pairs_of(F.col("words")))

@@ -398,3 +398,20 @@ def test_full_notices_of_a_hot_source(spark):
     rows = [(i, t + "\n" + (text(i, 90) + " " if i % 20 else "") + MIT) if i % 10 == 0 else (i, t) for i, t in rows]
     got = {(r.doc_id, r.line, r.family) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()}
     assert got == {(i, 2, "MIT") for i in range(0, 1000, 10)}
+
+
+def test_license_statistics_use_all_lines(spark, monkeypatch):
+    """However few lines the fit draws, words are counted and the threshold is set on all lines."""
+    from corpuscope.llm import license_scan as L
+
+    docs = spark.createDataFrame([(i, ("granted " if i % 100 == 0 else "") + text(i, 6)) for i in range(2000)] + [(5000, MIT)], "doc_id long, text string")
+    templates = spark.createDataFrame([t for t in L.TEMPLATES if t[0] == "MIT"], "family string, text string")
+    seen = {}
+    real = L.threshold_of
+    monkeypatch.setattr(L, "threshold_of", lambda scored, total: seen.setdefault("threshold", (total, real(scored, total)))[1])
+    model, _ = L.train(docs, templates, Stages(spark, "few"), sample_lines=40)
+    assert seen["threshold"][0] > 1900
+    words = L.corpus_lines(docs)
+    assert L.line_counts(words, L.is_notice(words["words"], [MIT.lower().replace(",", "").split()]), ["granted", "hereby"]) == (2000, {"granted": 20})
+    held = spark.createDataFrame([(0.7,)] * 3 + [(0.95,)] * 2, "probability double")
+    assert real(held, 2000) == 0.9 and real(held, 4000) == real(held, 6000) == pytest.approx(0.7001) and real(held, 10_000) == 0.5
