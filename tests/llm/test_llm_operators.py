@@ -367,6 +367,17 @@ def test_leaks(spark, awkward):
     assert find_leaks(empty(awkward), odd).count() == 0 and find_leaks(awkward, empty(odd)).count() == 0
 
 
+def test_leak_beside_its_words_in_another_order(spark):
+    """The item's words in another order, next to the item with words between: the cosine of the first is higher."""
+    item = [f"item{i}" for i in range(32)]
+    mixed = [item[i * 13 % 32] for i in range(32)]
+    spread = [x for i, w in enumerate(item) for x in ([w, f"between{i}"] if i % 4 == 3 else [w])]
+    rows = [(1, " ".join(text(31, 64).split() + mixed + spread + text(33, 64).split())), (2, " ".join(text(34, 64).split() + mixed))]
+    rows += [(i, text(i, 90)) for i in range(10, 40)]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.lcs) for r in got] == [(1, 32)]
+
+
 def test_common_subsequence():
     item = [1, 2, 3, 4, 2]
     masks = {}
