@@ -378,6 +378,36 @@ def test_leak_beside_its_words_in_another_order(spark):
     assert [(r.doc_id, r.lcs) for r in got] == [(1, 32)]
 
 
+def test_leaks_of_short_items_and_lone_documents(spark):
+    """Verbatim items of five words at every offset; a table of one document, all of whose words are in all documents."""
+    items = [(i, " ".join(f"short{i}x{j}" for j in range(5))) for i in range(40)]
+    rows = [(i, text(i, 20 + i) + " " + x + " " + text(i + 50, 30)) for i, x in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {(i, i) for i in range(40)}
+    alone = spark.createDataFrame([(1, text(3, 40) + " " + items[7][1])], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in find_leaks(alone, bench).collect()] == [(1, 7)]
+
+
+def test_recall_of_paraphrases(spark):
+    """Items of 24 words with up to six words replaced, against the longest common subsequence by brute force."""
+    items = {i: [f"topic{(i * 37 + j * j * 11) % 400}" for j in range(24)] for i in range(60)}
+    rows = {i: text(i, 30 + i % 8).split() + [f"new{i}x{j}" if (j * 5 + i) % 24 < i % 7 else x for j, x in enumerate(w)] + text(i + 90, 40).split() for i, w in items.items()}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+        return row[-1]
+
+    want = {(d, i) for d, t in rows.items() for i, w in items.items() if lcs(w, t) >= 0.8 * len(w) or (lcs(w, t) >= 0.6 * len(w) and lcs(w[-8:], t) >= 6)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    assert len(want) >= 50 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_common_subsequence():
     item = [1, 2, 3, 4, 2]
     masks = {}
