@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpuscope.llm.bpe_codec import bpe_encode
 from corpuscope.llm.chat_trees import chat_format, linear_messages, read_back
+from corpuscope.llm.common import WORD_GAP
 from corpuscope.llm.decontaminate import find_leaks
 from corpuscope.llm.jaccard_join import near_duplicate_components
 from corpuscope.llm.license_scan import license_scan
 from corpuscope.llm.mixing import mix_sources
 from corpuscope.llm.ngram_scores import backoff_scores
+from corpuscope.llm.periodic_runs import periodic_runs
 from corpuscope.llm.quality_rules import quality_rules
 from corpuscope.llm.substring_dedup import substring_dedup
 from corpuscope.llm.suffix_dedup import suffix_dedup
+from corpuscope.llm.token_alignment import align_tokenizers
 from corpuscope.llm.toxicity import toxicity_scores
 
 
@@ -64,11 +69,66 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = align_tokenizers(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), decode=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in one document of ten (by the crc32 of its id) the words from ``a`` on repeat with period ``p``."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string"))
+    words = F.filter(F.split(F.col("text").cast("string"), WORD_GAP), lambda w: w != "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (h % 10).alias("turn"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("w", F.when(F.col("turn") == 0, words)).withColumn("n", F.size("w"))
+    planted = F.expr("""concat(
+        slice(w, 1, cast(g % n as int)),
+        slice(
+            flatten(array_repeat(
+                slice(w, cast(g % n as int) + 1, cast(1 + (n - g % n) div (3 + g % 8) as int)),
+                cast((n - g % n) div (1 + (n - g % n) div (3 + g % 8)) as int) + 1
+            )),
+            1, cast(n - g % n as int)
+        )
+    )""")
+    return rows.select("doc_id", F.when((F.col("turn") == 0) & (F.col("n") > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.expr("""aggregate(
+        runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+        (best, r) -> if(best is null or r.length * best.period > best.length * r.period, r, best)
+    )""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_jaccard_join, op3_chat_trees, op4_suffix_dedup, op5_license_scan,
         op6_substring_dedup, op7_toxicity, op8_ngram_scores, op9_mixing, op10_quality_rules,
+        op11_token_alignment, op12_bpe_codec, op13_periodic_runs,
     )
 }
 LLM_ORACLES: dict[str, str] = {}
