@@ -29,10 +29,12 @@ from corpuscope.llm.common import blocks, text_buffers
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEVER = np.iinfo(np.int64).max
-CACHED_CHUNKS = 1 << 18  # a task forgets its chunks beyond that; results do not depend on it
-# fixed values: how the vocabulary splits a normalised text of printable ASCII characters into words
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(rb"[\x21-\x7e]*\Z")
+CACHED_CHUNKS = 1 << 18  # a task forgets its chunks and words beyond that; results do not depend on it
+TOGETHER = 24  # words of at most so many symbols are merged side by side
+# fixed values: how the vocabulary splits a normalised text into words, for printable ASCII characters and the letters
+# put in; from these characters no two compose
+WORD = "'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9]|[^a-z0-9{letters}]+"
+LATIN = range(0xC0, 0x180)
 
 
 class WordBpe:
@@ -46,6 +48,12 @@ class WordBpe:
         whole = Tokenizer.from_str(definition.decode())
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes = {b: c for b, c in enumerate(_byte_characters())}
+        letters = "".join(c for c in map(chr, LATIN) if self._is_letter(c))
+        lower = "".join(c for c in letters if c.lower() == c)
+        self.plain = re.compile(f"[\x21-\x7e{letters}]*\\Z")
+        self.word = re.compile(WORD.format(letters=lower))
+        self.ids: dict[str, list[int]] = {}
         self.special_split = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -57,6 +65,7 @@ class WordBpe:
         left = np.array([self.vocab[a] for a, _ in merges], np.int64)
         right = np.array([self.vocab[b] for _, b in merges], np.int64)
         made = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        self.made = made
         self.rank, self.left, self.right = np.full(size, -1), np.full(size, -1), np.full(size, -1)
         self.rank[made[::-1]] = np.arange(len(merges))[::-1]
         first = self.rank[made] == np.arange(len(merges))
@@ -76,10 +85,15 @@ class WordBpe:
             if not (sound[left[i]] and sound[right[i]]):
                 sound[made[i]] = False
         self.proposed = {t: i for t, i in self.vocab.items() if sound[i]}
-        self.longest: dict[str, int] = {}
+        self.longest: dict[str, int] = {}  # of the tokens by their first two characters
         for t in self.proposed:
-            n = len(t) - (len(self.suffix) if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else 0)
-            self.longest[t[:1]] = max(self.longest.get(t[:1], 1), n)
+            bare = t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t
+            self.longest[bare[:2]] = max(self.longest.get(bare[:2], 1), len(bare))
+
+    def _is_letter(self, c: str) -> bool:
+        """Whether the character is a letter that lower-casing makes one letter, as in Python."""
+        small = self.normalizer.normalize_str(c)
+        return small == c.lower() and len(small) == 1 and len(self.splitter.pre_tokenize_str("a" + small + "a")) == 1
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of two tokens, ``NEVER`` if there is none."""
@@ -114,9 +128,9 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest-match; None where it finds no token (then the word is merged)."""
-        out, at, n, get = [], 0, len(word), self.proposed.get
+        out, at, n, get, longest = [], 0, len(word), self.proposed.get, self.longest.get
         while at < n:
-            reach = min(n, at + self.longest.get(word[at], 1))
+            reach = min(n, at + longest(word[at : at + 2], 1))
             for end in range(reach, at, -1):
                 token = get(word[at:] + self.suffix if end == n else word[at:end])
                 if token is not None:
@@ -164,19 +178,64 @@ class WordBpe:
             fails = ~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
             bad[word[inside[fails[back]]]] = True
         bad |= np.array([g is None for g in got], bool)
-        for i in np.flatnonzero(bad).tolist():
-            got[i] = self.merge(words[i])
-        return got, int(bad.sum())
+        again = np.flatnonzero(bad).tolist()
+        for i, ids in zip(again, self.merge_all([words[i] for i in again])):
+            got[i] = ids
+        return got, len(again)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """``merge`` of many words: short ones side by side, one merge of each a round."""
+        out: list[list[int] | None] = [None] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
+        for i in set(range(len(words))).difference(short):
+            out[i] = self.merge(words[i])
+        if not short:
+            return out
+        size = np.array([len(words[i]) for i in short])
+        ids = np.full((len(short), int(size.max()) + 1), -1, np.int64)  # a column of no symbol ends every word
+        cut = np.append(0, np.cumsum(size))
+        vocab, suffix = self.vocab, self.suffix
+        flat = np.array([vocab[c] for i in short for c in words[i]], np.int64)
+        flat[cut[1:] - 1] = [vocab[words[i][-1] + suffix] for i in short]
+        ids[np.repeat(np.arange(len(short)), size), np.arange(len(flat)) - np.repeat(cut[:-1], size)] = flat
+        rank = self.pair_rank(ids[:, :-1], ids[:, 1:])
+        todo = np.arange(len(short))
+        column = np.arange(ids.shape[1])
+        while True:
+            at = rank.argmin(axis=1)  # the leftmost of lowest rank
+            best = rank[np.arange(len(rank)), at]
+            go = best != NEVER
+            if not go.all():  # these are done
+                for k in np.flatnonzero(~go).tolist():
+                    row = ids[k]
+                    out[short[todo[k]]] = row[row >= 0].tolist()
+                todo, ids, rank, at, best = todo[go], ids[go], rank[go], at[go], best[go]
+            if not len(todo):
+                return out
+            i = np.arange(len(todo))
+            right = np.minimum(column[None, :] + (column[None, :] > at[:, None]), ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, right, axis=1)
+            ids[i, at] = self.made[best]
+            rank = np.take_along_axis(rank, right[:, :-1].clip(max=rank.shape[1] - 1), axis=1)
+            rank[:, -1] = NEVER
+            rank[i, at] = self.pair_rank(ids[i, at], ids[i, np.minimum(at + 1, ids.shape[1] - 1)])
+            before = np.flatnonzero(at > 0)
+            rank[before, at[before] - 1] = self.pair_rank(ids[before, at[before] - 1], ids[before, at[before]])
 
     def split(self, chunk: bytes) -> list[str | int]:
         """Words (byte-level characters) and special ids of a stretch of text without white space."""
         text = chunk.decode()
         out: list[str | int] = []
+        if text.isascii() and self.plain.match(text) and not self.special_split.search(text):
+            return self.word.findall(text.lower())
         at = 0
         for hit in [*self.special_split.finditer(text), None]:
             part = text[at : hit.start()] if hit else text[at:]
-            if PRINTABLE.match(part.encode()):
-                out += ASCII_WORD.findall(part.lower())
+            if self.plain.match(part):
+                words = self.word.findall(part.lower())
+                if not part.isascii():
+                    words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in words]
+                out += words
             else:
                 out += [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
             if hit:
@@ -186,11 +245,23 @@ class WordBpe:
 
     def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
         parts = [self.split(c) for c in chunks]
-        words = list({w: None for p in parts for w in p if isinstance(w, str)})
-        ids = dict(zip(words, self.encode_words(words)[0]))
+        ids = self.ids
+        words = list({w: None for p in parts for w in p if isinstance(w, str) and w not in ids})
+        if len(ids) + len(words) > CACHED_CHUNKS:
+            ids.clear()
+            words = list({w: None for p in parts for w in p if isinstance(w, str)})
+        ids.update(zip(words, self.encode_words(words)[0]))
         return [[t for w in p for t in (ids[w] if isinstance(w, str) else [w])] for p in parts]
 
 
+def _byte_characters() -> list[str]:
+    """The character of each byte in a byte-level vocabulary: printable Latin-1 characters stand for themselves, the
+    other bytes, in order, are the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
+
+
 def _read(spark, path: str):
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary
