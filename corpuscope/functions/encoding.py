@@ -89,7 +89,7 @@ def decode_bytes(content: Column, encoding: Column) -> Column:
     n = F.octet_length(content)
     utf16_ok = (encoding == "UTF-16") & valid_utf16(content)
     text = (
-        F.when(encoding == "UTF-8-SIG", F.make_valid_utf8(F.substring(content, 4, 1 << 30).cast("string")))
+        F.when(encoding == "UTF-8-SIG", F.make_valid_utf8(F.substring(content, 4, (1 << 31) - 1).cast("string")))
         .when(utf16_ok, F.decode(content, "UTF-16"))
         .when(encoding == "ISO-8859-1", F.decode(content, "ISO-8859-1"))
         .when(encoding.isin("ascii", "utf-8"), as_str)

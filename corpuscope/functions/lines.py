@@ -41,11 +41,3 @@ def count_newline_lines(text: Column) -> Column:
 def strip(col: Column) -> Column:
     """Python ``str.strip()`` (Spark ``trim`` only removes spaces)."""
     return F.regexp_replace(col, STRIP_PATTERN, "")
-
-
-def explode_lines(df: DataFrame, lines: Column, keep: list[str] | None = None) -> DataFrame:
-    """One row per line: ``(keep..., line BIGINT 1-based, text)``."""
-    keep = keep if keep is not None else ["file"]
-    return df.select(*keep, F.posexplode(lines).alias("pos", "text")).select(
-        *keep, (F.col("pos") + 1).cast("bigint").alias("line"), "text"
-    )

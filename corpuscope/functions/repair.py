@@ -1,61 +1,29 @@
-"""Content repairs (S-3 .. S-6): column expressions, but for named entities.
+"""Content repairs (S-3 .. S-6) as native column expressions.
 
-Link targets are quoted natively: a text is cut at its links, each target is form-encoded by Spark, and the characters
-that may stand in a URL are put back. Character references need the HTML entity table, which Python has: an
-Arrow-batched UDF sees only texts that hold something like a reference.
+Link targets: a text is cut at its links, each target that needs it is form-encoded by Spark, and the characters that may
+stand in a URL are put back. Character references are decoded by ``functions.references``.
 """
 
 from __future__ import annotations
 
-import html
-import re
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Code below runs in Python workers: ship this module with the function (by value), so
-# executors need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+from corpuscope.functions.bind import weave
+from corpuscope.functions.references import decode_references
 
 # --- fixed values: repair patterns and texts (required behaviour) ---
-NUMERIC_REFERENCE = r"&#(?:(\d+)|x([0-9a-fA-F]+));"
 MD_LINK = r"(!?\[[^\]]*\]\()([^)]+)(\))"
 HTML_LINK = r"""(?i)(<(?:a|img)\s[^>]*?(?:href|src)\s*=\s*['"])([^'"]*)(['"][^>]*?>)"""
 URL_SAFE = "/:?#[]@!$&'()*+,;=-._~"
 EMPTY_PLACEHOLDER = "<!-- À compléter -->\n"
-REFERENCE_GATE = "&[#A-Za-z]"
-
-RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
-
-
-@F.pandas_udf(RESULT)
-def _decode_references(texts: pd.Series) -> pd.DataFrame:
-    """Numeric references are code points (Windows-1252 is not consulted); the rest goes by the HTML table. A text whose
-    references name no character, or half a surrogate pair, keeps an error instead."""
-    numeric = re.compile(NUMERIC_REFERENCE)
-    done, errors = [None] * len(texts), [None] * len(texts)
-    for i, t in enumerate(texts):
-        if t is None:
-            continue
-        try:
-            plain = html.unescape(numeric.sub(lambda m: chr(int(m[1]) if m[1] else int(m[2], 16)), t))
-            plain.encode("utf-8")
-            done[i] = plain
-        except (ValueError, OverflowError) as e:
-            errors[i] = str(e)
-    return pd.DataFrame({"text": done, "error": errors})
+URL_UNSAFE = r"[^A-Za-z0-9/:?#\[\]@!$&'()*+,;=\-._~]"
+ANCHOR_PATTERN = r'(?i)(\bid\s*=\s*"[^"]*?)\s+"'
 
 
 def decode_entities(text: Column) -> Column:
-    """S-3: ``struct(text, error)``. Other texts reach the UDF as nulls: they do not cross into Python."""
-    gate = text.rlike(REFERENCE_GATE)
-    res = _decode_references(F.when(gate, text))
-    return F.struct(F.when(gate, res["text"]).otherwise(text).alias("text"), F.when(gate, res["error"]).alias("error"))
+    """S-3: ``struct(text, error)``."""
+    return decode_references(text)
 
 
 def quote_url(url: Column) -> Column:
@@ -63,24 +31,23 @@ def quote_url(url: Column) -> Column:
     out = F.replace(F.url_encode(url), F.lit("+"), F.lit("%20"))
     for c in URL_SAFE:
         out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
-    return F.when(url.contains("%"), url).otherwise(out)
+    return F.when(~url.contains("%") & url.rlike(URL_UNSAFE), out).otherwise(url)
+
 
+def _requote(text: Column, link: str, needs: Column) -> Column:
+    """The pieces between links as they are, each link with its target quoted; ``needs``: what a text with a link holds."""
+    def part(whole: Column, g: int) -> Column:
+        return F.regexp_extract(whole, link, g)
 
-def _requote(text: Column, link: str) -> Column:
-    """The pieces between links as they are, each link with its target quoted."""
-    between = F.split(text, link, -1)
-    parts = [F.regexp_extract_all(text, F.lit(link), g) for g in (1, 2, 3)]
-    fixed = F.transform(F.arrays_zip(*[p.alias(f"p{i}") for i, p in enumerate(parts)]), lambda x: F.concat(x["p0"], quote_url(x["p1"]), x["p2"]))
-    woven = F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(fixed, i), F.lit(""))))
-    return F.when(text.rlike(link), F.array_join(woven, "")).otherwise(text)
+    return F.when(needs, weave(text, link, lambda w: F.concat(part(w, 1), quote_url(part(w, 2)), part(w, 3)))).otherwise(text)
 
 
 def encode_links(text: Column) -> Column:
     """S-5: targets of Markdown links, then of HTML links and images, quoted."""
-    return _requote(_requote(text, MD_LINK), HTML_LINK)
-
-
-ANCHOR_PATTERN = r'(?i)(\bid\s*=\s*"[^"]*?)\s+"'
+    low = F.lower(text)
+    markdown = _requote(text, MD_LINK, text.contains("]("))
+    # quoting a Markdown target makes or takes no HTML link sign
+    return _requote(markdown, HTML_LINK, low.contains("href") | low.contains("src"))
 
 
 def fix_anchor_ids(text: Column) -> Column:

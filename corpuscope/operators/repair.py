@@ -19,7 +19,9 @@ from corpuscope.functions.encoding import (
     encoding_problem,
 )
 from corpuscope.functions.repair import decode_entities, encode_links, fill_empty, fix_anchor_ids
+from corpuscope.functions.paths import relative_path
 from corpuscope.operators.ordering import ordered_index
+from corpuscope.sinks.files import write_documents
 
 # --- fixed values: status texts of the repair report ---
 MSG_OK = "ok (déjà conforme)"
@@ -32,8 +34,9 @@ MSG_ENCODING = "encoding:%s(%d%%)→UTF-8"
 
 def check_encoding(corpus: DataFrame, accept=ACCEPTED_ENCODINGS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """S-1 + F-1 per file: ``(file, encoding, confidence, error, is_issue)``."""
+    reason = F.col("error") if "error" in corpus.columns else F.lit(None).cast("string")
     det = corpus.select("file", detect_encoding(F.col("content")).alias("d"),
-                        F.when(F.col("content").isNull(), F.lit("contenu illisible")).alias("error"))
+                        F.when(F.col("content").isNull(), F.coalesce(reason, F.lit("contenu illisible"))).alias("error"))
     return det.select(
         "file", "d.encoding", "d.confidence", "error",
         encoding_problem(F.col("encoding"), F.col("confidence"), F.col("error"), accept, min_confidence).alias("is_issue"),
@@ -189,3 +192,15 @@ def write_repaired(repaired: DataFrame, path: str, partition_col: str | None = N
     if partition_col:
         w = w.partitionBy(partition_col)
     w.parquet(path)
+
+
+def write_repaired_files(repaired: DataFrame, folder: str, root: str, backup: bool = False, every: bool = False) -> DataFrame:
+    """SNK-4 as files: each changed document (``every``: each that has a text) below ``folder`` at its path relative to
+    ``root``, UTF-8 without BOM, with ``<name>.bak`` beside it if ``backup``. Returns the manifest; a dry run and failed
+    repairs write nothing. Files outside ``root`` keep their name only."""
+    rows = repaired.where(~F.col("dry_run") & F.col("success"))
+    if not every:
+        rows = rows.where("changed")
+    name = relative_path(F.col("file"), root).alias("name")
+    old = F.col("text_before") if backup else F.lit(None).cast("string")
+    return write_documents(rows.select(name, F.col("text_after").alias("content"), old.alias("backup")), folder)

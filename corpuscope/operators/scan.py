@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from corpuscope import schema as S
 from corpuscope.functions.entropy import shannon_entropy
+from corpuscope.functions.lexical import blank_literals
 from corpuscope.functions.lines import count_newline_lines, split_newline, splitlines, strip
+from corpuscope.functions.literals import text_gate
 from corpuscope.functions.text import any_regex, base_name, contains_any
 
 ISSUE_STRUCT = T.StructType([f for f in S.ISSUE_SCHEMA.fields if f.name not in ("file", "fingerprint")])
@@ -78,10 +80,16 @@ class Rule:
     name = "rule"
     description = ""
     needs_lang = False
+    by_line = True  # what a line gives depends on that line alone
 
     def issues(self, row: Row) -> Column:  # pragma: no cover - interface
         raise NotImplementedError
 
+    def issues_of_pieces(self, pieces: DataFrame) -> DataFrame:
+        """Issues of files that come in pieces ``(file, text, lang, first_line, first_text_line)``, cut at line ends.
+        Rules that look at single lines have this from ``scan_pieces``; the others add up what the pieces give."""
+        raise NotImplementedError(f"{type(self).__name__} does not read files in pieces")
+
     def apply(self, corpus: DataFrame, **opts) -> DataFrame:
         return scan(corpus, [self], **opts)
 
@@ -126,12 +134,19 @@ class FileLengthRule(Rule):
     name = "file-length"
     description = "Files that are too long for their language"
     needs_lang = True
+    by_line = False
 
     def issues(self, row):
-        lang = F.lit(self.lang) if self.lang else row.lang
+        return self.of_count(F.lit(self.lang) if self.lang else row.lang, count_newline_lines(row.text))
+
+    def issues_of_pieces(self, pieces):
+        whole = pieces.groupBy("file", "lang").agg(F.max(F.col("first_line") - 1 + count_newline_lines(F.col("text"))).cast("int").alias("n"))
+        lang = F.lit(self.lang) if self.lang else F.col("lang")
+        return whole.select("file", F.explode(self.of_count(lang, F.col("n"))).alias("i")).select("file", "i.*")
+
+    def of_count(self, lang: Column, n: Column) -> Column:
         th = _map_literal(self.thresholds, lambda v: F.struct(F.lit(int(v[0])).alias("hi"), F.lit(int(v[1])).alias("lo")))
         t = F.element_at(th, F.lower(lang))
-        n = count_newline_lines(row.text)
         return (
             F.when(n > t["hi"], F.array(issue(S.RULE_FILE_TOO_LONG, "MEDIUM", F.format_string(S.MSG_FILE_TOO_LONG, n), S.TOOL_SEMANTIC)))
             .when(n > t["lo"], F.array(issue(S.RULE_FILE_LONG, "LOW", F.format_string(S.MSG_FILE_LONG, n), S.TOOL_SEMANTIC)))
@@ -151,8 +166,9 @@ class DefinitionSpec:
 
 
 # Definition regexes approximate the syntax nodes the reference counts (python
-# function_definition; java method_declaration; php function_definition + method_declaration).
-# Thresholds, rule ids and messages are the reference's fixed values.
+# function_definition; java method_declaration; php function_definition + method_declaration), in
+# texts whose strings and comments are blanked. Thresholds, rule ids and messages are the
+# reference's fixed values.
 DEFINITIONS = {
     "python": DefinitionSpec(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+", 20, S.RULE_MANY_FUNCTIONS, S.MSG_MANY_FUNCTIONS),
     "java": DefinitionSpec(
@@ -181,30 +197,47 @@ class DefinitionCountRule(Rule):
     lang: str | None = None
     name = "definition-count"
     description = "Files with too many functions or methods"
+    by_line = False
 
     def regexes(self):
         return [(f"definitions {lang}", sp.pattern) for lang, sp in self.specs.items()]
     needs_lang = True
 
     def issues(self, row):
-        lang = F.lower(F.lit(self.lang) if self.lang else row.lang)
+        counts = {name: F.regexp_count(blank_literals(row.text, name), F.lit(sp.pattern)) for name, sp in self.specs.items()}
+        return self.of_counts(F.lit(self.lang) if self.lang else row.lang, counts)
+
+    def issues_of_pieces(self, pieces):
+        """Counts of the pieces, summed; a string or comment that runs over a piece's end is seen as two."""
+        names = {name: f"n{k}" for k, name in enumerate(self.specs)}
+        lang = F.lit(self.lang) if self.lang else F.col("lang")
+        sums = [
+            F.sum(F.when(F.lower(lang) == name, F.regexp_count(blank_literals(F.col("text"), name), F.lit(sp.pattern)))).cast("int").alias(names[name])
+            for name, sp in self.specs.items()
+        ]
+        whole = pieces.groupBy("file", "lang").agg(*sums)
+        found = self.of_counts(lang, {name: F.col(c) for name, c in names.items()})
+        return whole.select("file", F.explode(found).alias("i")).select("file", "i.*")
+
+    def of_counts(self, lang: Column, counts: Mapping[str, Column]) -> Column:
         out = empty()
         for name, sp in self.specs.items():
-            n = F.regexp_count(row.text, F.lit(sp.pattern))
+            n = counts[name]
             this = when_issue(n > sp.threshold, issue(sp.rule_id, "LOW", F.format_string(sp.message, n), S.TOOL_SEMANTIC))
-            out = F.when(lang == name, this).otherwise(out)
+            out = F.when(F.lower(lang) == name, this).otherwise(out)
         return out
 
 
 # --- R-3 -----------------------------------------------------------------------------------------
 
 
-def analysis_error(text: Column, max_bytes: int) -> Column:
-    """Why a file cannot be analysed, or null: unreadable, larger than ``max_bytes`` (a file is
-    one row and must fit in a task), or not valid UTF-8."""
+def analysis_error(text: Column, max_bytes: int, error: Column | None = None) -> Column:
+    """Why a file cannot be analysed, or null: unreadable (with the reader's ``error``, if there is one), larger than
+    ``max_bytes``, or not valid UTF-8."""
     size = F.octet_length(text)
+    unread = F.lit("contenu illisible")
     return (
-        F.when(text.isNull(), F.lit("contenu illisible"))
+        F.when(text.isNull(), unread if error is None else F.coalesce(error, unread))
         .when(size > max_bytes, F.format_string("fichier trop volumineux (%d octets > %d)", size, F.lit(max_bytes)))
         .when(~F.is_valid_utf8(text), F.lit("encodage invalide"))
     )
@@ -226,6 +259,7 @@ class TaintRule(Rule):
     sinks: Sequence[str]
     name = "taint"
     description = "Sensitive data reaching a sink"
+    by_line = False
 
     def regexes(self):
         return [("taint sensitive patterns", any_regex(self.sensitive_patterns))]
@@ -234,6 +268,13 @@ class TaintRule(Rule):
         if not self.sensitive_patterns or not self.entry_points or not self.sinks:
             raise ValueError("sensitive_patterns, entry_points and sinks are all required")
 
+    def issues_of_pieces(self, pieces):
+        from corpuscope.operators.taint import taint_lines
+
+        numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((F.col("first_text_line") + i).alias("line"), l.alias("text")))
+        lines = pieces.select("file", F.explode(numbered).alias("x")).select("file", "x.line", "x.text")
+        return taint_lines(lines, self.sensitive_patterns, self.entry_points, self.sinks)
+
     def issues(self, row):
         rx = any_regex(self.sensitive_patterns)
         sinks, entries = list(self.sinks), list(self.entry_points)
@@ -274,6 +315,85 @@ class SecretPattern:
         if not 0 <= self.group <= groups:
             raise ValueError(f"secret pattern {self.name!r} has {groups} group(s), group {self.group} requested")
 
+    def located(self) -> tuple[str, int | None, int]:
+        """``(regex, prefix group, secret group)``: the same regex with what stands before the secret in a group of its
+        own, so that the secret's place in a match is known. No prefix group if the secret's group is nested, comes
+        after an alternative at the top, or the regex refers back to groups."""
+        if self.group == 0:
+            return self.regex, None, 0
+        depth = opened = top = 0
+        in_class = False
+        flags = len(re.match(r"(?:\(\?[a-zA-Z]+\))*", self.regex).group())
+        k, at = flags, None
+        while k < len(self.regex):
+            c = self.regex[k]
+            if c == "\\":
+                if self.regex[k + 1 : k + 2].isdigit() or self.regex[k + 1 : k + 2] in "Qk":
+                    return self.regex, None, self.group
+                k += 2
+                continue
+            if in_class:
+                in_class = c != "]" or self.regex[k - 1] == "["
+            elif c == "[":
+                in_class = True
+            elif c == "(":
+                if self.regex[k + 1 : k + 2] != "?":
+                    opened += 1
+                    if opened == self.group and at is None:
+                        if depth:
+                            return self.regex, None, self.group
+                        at, top = k, opened
+                elif not re.match(r"\(\?(?::|=|!|<=|<!)", self.regex[k:]):
+                    return self.regex, None, self.group  # named groups and inner flags
+                depth += 1
+            elif c == ")":
+                depth -= 1
+            elif c == "|" and depth == 0:
+                return self.regex, None, self.group
+            k += 1
+        if at is None:
+            return self.regex, None, self.group
+        return f"{self.regex[:flags]}({self.regex[flags:at]}){self.regex[at:]}", 1, top + 1
+
+
+def _bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _places(line: Column, pattern: SecretPattern) -> Column:
+    """``array<struct<start, length>>`` of the secrets of all matches in a line (1-based, by place of the match)."""
+    regex, prefix, group = pattern.located()
+    matches = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
+    secrets = matches if group == 0 else F.regexp_extract_all(line, F.lit(regex), F.lit(group))
+    before = F.regexp_extract_all(line, F.lit(regex), F.lit(prefix)) if prefix else F.transform(matches, lambda m: F.lit(""))
+    parts = F.arrays_zip(F.split(line, regex, -1).alias("gap"), matches.alias("m"), secrets.alias("s"), before.alias("b"))
+    found = F.filter(parts, lambda x: x["m"].isNotNull())
+
+    def place(x, at):
+        # without a prefix group: the secret is taken where it stands last in the match
+        last = F.length(x["m"]) - F.length(F.call_function("substring_index", x["m"], x["s"], F.lit(-1))) - F.length(x["s"])
+        inner = F.length(x["b"]) if prefix or group == 0 else F.when(x["s"] == "", F.lit(0)).otherwise(last)
+        return F.struct((at + F.length(x["gap"]) + inner + 1).cast("int").alias("start"), F.length(x["s"]).alias("length"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
+    return F.aggregate(
+        found, start,
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"), F.array_append(acc["out"], place(x, acc["at"])).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def _masked(line: Column, places: Column) -> Column:
+    """The line with each place replaced by three stars, from the last one to the first."""
+    last_first = F.reverse(F.array_sort(F.array_distinct(F.filter(places, lambda p: p["length"] > 0))))
+    return F.aggregate(
+        last_first, line,
+        lambda t, p: F.concat(t.substr(F.lit(1), p["start"] - 1), F.lit("***"), t.substr(p["start"] + p["length"], F.lit(1 << 30))),
+    )
+
 
 # --- fixed values: secret keywords of the configuration example ---
 DEFAULT_KEYWORDS = ["password", "secret", "api_key", "token", "private_key"]
@@ -289,9 +409,11 @@ TOKEN_PATTERN = r"[A-Za-z0-9+/=_-]{20,}"
 
 @dataclass
 class SecretPatternRule(Rule):
-    """R-5: CRITICAL per (line, pattern) match; column = position of the secret, snippet masked."""
+    """R-5: CRITICAL for each match of a pattern in a line (``every=False``: for the first); column = position of the
+    secret. The snippet masks the secrets of all patterns at their places, so no issue shows the secret of another."""
 
     patterns: Sequence[SecretPattern] = field(default_factory=lambda: list(DEFAULT_SECRET_PATTERNS))
+    every: bool = True
     name = "secret-patterns"
     description = "Hard-coded secrets matching known patterns"
 
@@ -303,21 +425,25 @@ class SecretPatternRule(Rule):
         alt = any_regex([p.regex for p in pats], flags="")
         cand = _line_indices(row.lines, lambda l: l.rlike(alt))
 
-        def per_line(i):
-            t = F.element_at(row.lines, i)
-            arr = []
-            for p in pats:
-                secret = F.regexp_extract(t, p.regex, p.group)
-                arr.append(
-                    F.when(
-                        t.rlike(p.regex),
-                        issue(S.RULE_SECRET_PREFIX + p.name, "CRITICAL", S.MSG_SECRET % p.name, S.TOOL_SECRETS,
-                              line=i, column=F.position(secret, t), snippet=strip(F.replace(t, secret, F.lit("***")))),
-                    )
-                )
-            return F.array_compact(F.array(*arr))
+        def of_line(i, t):
+            found = F.array(*[F.struct(F.lit(p.name).alias("name"), _places(t, p).alias("places")) for p in pats])
+
+            def of_found(fs):
+                everywhere = F.flatten(F.transform(fs, lambda f: f["places"]))
+                return _bind(strip(_masked(t, everywhere)), lambda snippet: F.flatten(F.transform(fs, lambda f: F.transform(
+                    f["places"] if self.every else F.slice(f["places"], 1, 1), lambda p: issue(F.concat(F.lit(S.RULE_SECRET_PREFIX), f["name"]), "CRITICAL", F.format_string(S.MSG_SECRET, f["name"]),
+                                                 S.TOOL_SECRETS, line=i, column=p["start"], snippet=snippet)))))
+
+            return _bind(found, of_found)
 
-        return F.flatten(F.transform(cand, per_line))
+        out = F.flatten(F.transform(cand, lambda i: _bind(F.element_at(row.lines, i), lambda t: of_line(i, t))))
+        return _when_text(row.text, [p.regex for p in pats], out)
+
+
+def _when_text(text: Column, patterns: Sequence[str], found: Column) -> Column:
+    """``found`` only for texts that can hold a match (see ``functions.literals``)."""
+    gate = text_gate(text, patterns)
+    return found if gate is None else F.when(gate, found).otherwise(empty())
 
 
 def _token_start_anchored(tp: str) -> str:
@@ -329,10 +455,12 @@ def _token_start_anchored(tp: str) -> str:
 
 @dataclass
 class EntropyRule(Rule):
-    """R-7: HIGH per line holding a token whose entropy exceeds the threshold."""
+    """R-7: HIGH for each token whose entropy exceeds the threshold (``every=False``: for the first of a line); the
+    snippet masks them all."""
 
     threshold: float = DEFAULT_ENTROPY_THRESHOLD
     token_pattern: str = TOKEN_PATTERN
+    every: bool = True
     name = "secret-entropy"
     description = "High-entropy strings (possible encoded secrets)"
 
@@ -341,22 +469,27 @@ class EntropyRule(Rule):
 
     def issues(self, row):
         tp = _token_start_anchored(self.token_pattern)
+        limit = F.lit(float(self.threshold))
         cand = _line_indices(row.lines, lambda l: l.rlike(tp))
 
-        def hot(t):
-            toks = F.regexp_extract_all(t, F.lit(tp), 0)
-            return F.filter(toks, lambda k: shannon_entropy(k) > F.lit(float(self.threshold)))
+        def of_line(i, t):
+            token = SecretPattern("token", tp)
+            hot = F.filter(
+                F.transform(_places(t, token), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"),
+                                                                  shannon_entropy(t.substr(p["start"], p["length"])).alias("entropy"))),
+                lambda h: h["entropy"] > limit,
+            )
+            return _bind(hot, lambda hs: F.when(F.size(hs) > 0, _bind(
+                strip(_masked(t, F.transform(hs, lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"))))),
+                lambda snippet: F.transform(hs if self.every else F.slice(hs, 1, 1), lambda h: issue(
+                    S.RULE_ENTROPY, "HIGH", F.format_string(S.MSG_ENTROPY, h["entropy"]), S.TOOL_SECRETS, line=i, column=h["start"], snippet=snippet)),
+            )).otherwise(empty()))
 
-        with_hot = F.transform(cand, lambda i: F.struct(i.alias("line"), F.element_at(row.lines, i).alias("text"),
-                                                        hot(F.element_at(row.lines, i)).alias("hot")))
-        flagged = F.filter(with_hot, lambda x: F.size(x["hot"]) > 0)
-        out = F.transform(
-            flagged,
-            lambda x: issue(S.RULE_ENTROPY, "HIGH", F.format_string(S.MSG_ENTROPY, shannon_entropy(F.element_at(x["hot"], 1))),
-                            S.TOOL_SECRETS, line=x["line"], column=F.position(F.element_at(x["hot"], 1), x["text"]),
-                            snippet=strip(F.aggregate(x["hot"], x["text"], lambda t, k: F.replace(t, k, F.lit("***"))))),
-        )
-        return out
+        out = F.flatten(F.transform(cand, lambda i: _bind(F.element_at(row.lines, i), lambda t: of_line(i, t))))
+        # look-behind for a token character sees the same in the text as in the line, as no token spans lines
+        if tp != self.token_pattern and not re.search(tp, "x\n" * 64):
+            return F.when(row.text.rlike(tp), out).otherwise(empty())
+        return _when_text(row.text, [self.token_pattern], out)
 
 
 # --- R-6 / F-7 / X-9 -----------------------------------------------------------------------------
@@ -388,8 +521,9 @@ DANGEROUS_CALLS = [
 
 @dataclass
 class LineRulesRule(Rule):
-    """R-6: every (line, rule) where the rule's regex is found; one alternation gates the file and
-    the line, then each literal pattern (compiled once) is tested on candidate lines only."""
+    """R-6: every (line, rule) where the rule's regex is found; what the patterns require gates the file, one
+    alternation the line, then each literal pattern (compiled once) is tested on candidate lines only. For rule tables
+    see ``operators.rule_table``."""
 
     rules: Sequence[LineRule] = field(default_factory=lambda: list(DANGEROUS_CALLS))
     name = "line-rules"
@@ -413,7 +547,7 @@ class LineRulesRule(Rule):
                 ])
             )
 
-        return F.flatten(F.transform(cand, per_line))
+        return _when_text(row.text, [r.pattern for r in rules], F.flatten(F.transform(cand, per_line)))
 
 
 # --- the scan ------------------------------------------------------------------------------------
@@ -447,7 +581,8 @@ def check_patterns(corpus: DataFrame, rules: Sequence[Rule]) -> None:
 def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Issues of all ``rules`` over ``corpus(file, text[, lang])`` in one pass.
 
-    With ``max_bytes`` a file that cannot be analysed (R-3) yields only its N999 issue.
+    With ``max_bytes`` a file that cannot be analysed (R-3) yields only its N999 issue; a corpus column ``error`` says why
+    it could not be read.
     ``keep`` carries extra corpus columns (e.g. ``repo``) onto every issue row.
     """
     if not rules:
@@ -457,13 +592,14 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
         getattr(r, "lang", None) for r in rules if r.needs_lang
     ):
         raise ValueError("corpus needs a lang column (or give the rule a fixed lang)")
-    base = corpus.select("file", "text", *(["lang"] if "lang" in corpus.columns else []), *keep)
+    extra = [c for c in ("lang", "error") if c in corpus.columns and c not in keep]
+    base = corpus.select("file", "text", *extra, *keep)
     row = Row()
     arrays = [r.issues(row) for r in rules]
     all_issues = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     guard = None
     if max_bytes is not None:
-        err = analysis_error(row.text, max_bytes)
+        err = analysis_error(row.text, max_bytes, F.col("error") if "error" in base.columns else None)
         all_issues = F.when(err.isNotNull(), F.array(error_issue(err))).otherwise(all_issues)
         guard = err.isNull()
     prepared = prepare(base, guard, row.used)
@@ -471,6 +607,25 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
     return S.issue_frame(out)
 
 
+def scan_pieces(pieces: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Issues of files that come in pieces ``(file, text, lang, first_line, first_text_line, error)``, cut at line ends;
+    lines are numbered as in the whole file. A file that could not be read has its N999 issue, beside the issues of the
+    pieces that could."""
+    out = []
+    by_line = [r for r in rules if r.by_line]
+    read = pieces.where("text is not null")
+    if by_line:
+        found = scan(read, by_line, keep=["first_text_line"])
+        out.append(found.withColumn("line", F.col("line") + F.col("first_text_line") - 1).drop("first_text_line"))
+    out += [S.issue_frame(r.issues_of_pieces(read)) for r in rules if not r.by_line]
+    lost = pieces.where("error is not null").select("file", F.explode(F.array(error_issue(F.col("error")))).alias("i"))
+    out.append(S.issue_frame(lost.select("file", "i.*")))
+    issues = out[0]
+    for o in out[1:]:
+        issues = issues.unionByName(o)
+    return issues
+
+
 def parse_errors(corpus: DataFrame, max_bytes: int) -> DataFrame:
     """R-3 alone: one INFO issue per file that cannot be analysed."""
     err = analysis_error(F.col("text"), max_bytes)
@@ -481,11 +636,12 @@ def parse_errors(corpus: DataFrame, max_bytes: int) -> DataFrame:
 def file_metrics(corpus: DataFrame, lang: str = "python") -> DataFrame:
     """A-5: lines, functions and classes per file."""
     text = F.col("text")
+    code = blank_literals(text, lang)
     return corpus.select(
         "file",
         count_newline_lines(text).cast("bigint").alias("n_lines"),
-        F.regexp_count(text, F.lit(DEFINITIONS[lang].pattern)).cast("bigint").alias("n_functions"),
-        F.regexp_count(text, F.lit(CLASS_PATTERNS[lang])).cast("bigint").alias("n_classes"),
+        F.regexp_count(code, F.lit(DEFINITIONS[lang].pattern)).cast("bigint").alias("n_functions"),
+        F.regexp_count(code, F.lit(CLASS_PATTERNS[lang])).cast("bigint").alias("n_classes"),
     )
 
 

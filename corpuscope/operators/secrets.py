@@ -21,12 +21,12 @@ from corpuscope.operators.scan import (
 
 def scan_secrets(corpus: DataFrame, entropy_threshold: float = DEFAULT_ENTROPY_THRESHOLD,
                  exclude_regex: str | None = None,
-                 patterns: Sequence[SecretPattern] = DEFAULT_SECRET_PATTERNS) -> DataFrame:
-    """Pattern and entropy issues in one pass; both are emitted when both hit a line.
+                 patterns: Sequence[SecretPattern] = DEFAULT_SECRET_PATTERNS, every: bool = True) -> DataFrame:
+    """Pattern and entropy issues in one pass; both are emitted when both hit a line, for every match or the first.
     ``exclude_regex`` (see ``sources.globs.globs_to_regex``) drops files by path first."""
     if exclude_regex:
         corpus = corpus.where(~F.col("file").rlike(exclude_regex))
-    return scan(corpus.select("file", "text"), [SecretPatternRule(list(patterns)), EntropyRule(entropy_threshold)])
+    return scan(corpus.select("file", "text"), [SecretPatternRule(list(patterns), every), EntropyRule(entropy_threshold, every=every)])
 
 
 # --- fixed values: safe contexts from the roadmap (a hit inside one is not a secret): the

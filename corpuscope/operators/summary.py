@@ -208,7 +208,3 @@ def composite_score(
         F.round(score, 4).alias("score"),
         (F.round(score, 4) >= F.lit(float(passing))).alias("passed"),
     )
-
-
-def with_level(issues: DataFrame) -> DataFrame:
-    return issues.withColumn("level", sarif_level(F.col("severity")))

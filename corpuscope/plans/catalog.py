@@ -75,11 +75,17 @@ RELATIVE_ROOT = "https://"
 LATIN1_REPOS = ["src3", "src7", "src11"]
 BOM_REPOS = ["src5"]
 DUP_K = 3
+CHUNK_BYTES = 1024
+WAVE_SPLIT = "src2"
 PATH_GLOBS = ["src1*/1*.md", "*/2?.md"]
 EXCLUDE_GLOBS = ["src1/*", "src1?/*"]
 PAGE_SUFFIX = ".HTML"
 TREND_WINDOW = "1 day"
 SECRET_EXCLUDE = ["src1*/*"]
+# Event feed of the streaming queries: a batch is eight days of events, the last takes the rest; one event of twenty comes
+# a batch late. The watermark is a day behind.
+FEED_DAYS, FEED_LAST, FEED_LATE = 8, 3, 20
+FEED_WATERMARK = "1 day"
 # stand-alone check variant: ASCII is not accepted, higher confidence required
 STRICT_ACCEPT = ("UTF-8", "UTF8")
 STRICT_MIN_CONFIDENCE = 0.8
@@ -92,8 +98,8 @@ def docs(spark, sf):
 def all_issue_rules():
     return [
         FileLengthRule(DOC_LENGTHS),
-        SecretPatternRule(SECRET_RULES),
-        EntropyRule(ENTROPY_THRESHOLD),
+        SecretPatternRule(SECRET_RULES, every=False),
+        EntropyRule(ENTROPY_THRESHOLD, every=False),
         TaintRule(TAINT_SENSITIVE, TAINT_ENTRIES, TAINT_SINKS),
         LineRulesRule(CUSTOM_RULES),
     ]
@@ -134,11 +140,11 @@ def q_parse_errors(spark, sf):
 
 
 def q_secret_patterns(spark, sf):
-    return scan(docs(spark, sf), [SecretPatternRule(SECRET_RULES)])
+    return scan(docs(spark, sf), [SecretPatternRule(SECRET_RULES, every=False)])
 
 
 def q_secret_entropy(spark, sf):
-    return scan(docs(spark, sf), [EntropyRule(ENTROPY_THRESHOLD)])
+    return scan(docs(spark, sf), [EntropyRule(ENTROPY_THRESHOLD, every=False)])
 
 
 def q_custom_rules(spark, sf):
@@ -262,7 +268,7 @@ def q_severity_threshold(spark, sf):
 def q_dedupe_issues(spark, sf):
     """U-4: two overlapping runs (all rules; secret + rule-table rules again) deduplicated."""
     d = docs(spark, sf)
-    again = scan(d, [SecretPatternRule(SECRET_RULES), LineRulesRule(CUSTOM_RULES)])
+    again = scan(d, [SecretPatternRule(SECRET_RULES, every=False), LineRulesRule(CUSTOM_RULES)])
     return FU.dedupe(q_all_issues(spark, sf).unionByName(again))
 
 
@@ -424,6 +430,113 @@ def q_issue_trend(spark, sf):
     return issue_trend(event_issues(spark, sf), TREND_WINDOW)
 
 
+def event_feed(spark, sf):
+    """Events with the batch in which they arrive."""
+    e = event_issues(spark, sf)
+    on_time = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / FEED_DAYS), F.lit(FEED_LAST))
+    batch = on_time + F.when(F.col("event_id") % FEED_LATE == 0, 1).otherwise(0)
+    return e.select("event_id", "ts", "file", "rule_id", "severity", batch.cast("int").alias("batch"))
+
+
+def q_stream_trend(spark, sf):
+    """ST-2: windows that the watermark has closed, late events dropped."""
+    from corpuscope.streaming.trend import issue_trend, replay
+
+    out = replay(event_feed(spark, sf), "batch", lambda s: issue_trend(s, TREND_WINDOW, watermark=FEED_WATERMARK), "trend")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "severity", "n_issues")
+
+
+def q_stream_dedupe(spark, sf):
+    """ST-3: the first issue of each file and rule, late ones dropped."""
+    from corpuscope.streaming.trend import first_per_key, replay
+
+    def first(stream):
+        keyed = stream.withColumn("fingerprint", F.concat_ws(":", "file", "rule_id"))
+        return first_per_key(keyed.drop("batch"), "fingerprint", FEED_WATERMARK, tie_col="event_id")
+
+    return replay(event_feed(spark, sf), "batch", first, "dedupe").select("fingerprint", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity")
+
+
+def _document_files(spark, sf, scratch, where=None):
+    """``documents`` written as files below a scratch folder; the folder."""
+    from corpuscope.sinks.files import write_documents
+
+    rows = docs(spark, sf) if where is None else docs(spark, sf).where(where)
+    write_documents(rows.select(F.col("file").alias("name"), F.col("text").alias("content")), scratch.path("tree"))
+    return scratch.path("tree")
+
+
+def _file_rows(files, folder):
+    """Name, lines, bytes and digest of files read back."""
+    from corpuscope.sources.files import as_text_corpus
+    from corpuscope.sources.store import normalise
+
+    name = F.substring_index("file", normalise(folder) + "/", -1)
+    return as_text_corpus(files).select(
+        name.alias("file"), count_newline_lines(F.col("text")).cast("bigint").alias("n_lines"),
+        F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"),
+    )
+
+
+def q_corpus_files(spark, sf):
+    """SNK-4, SRC-1: documents written as one file each, listed and read back."""
+    from corpuscope.sources.files import read_corpus
+    from corpuscope.sources.scratch import Scratch
+
+    st = Scratch(spark, "files")
+    folder = _document_files(spark, sf, st)
+    out = st.save(_file_rows(read_corpus(spark, f"{folder}/**/*.md"), folder), "rows")
+    st.drop("tree")
+    return out
+
+
+def q_corpus_chunks(spark, sf):
+    """R-3: the same files read in chunks of lines; lines and bytes summed, the digest of the chunks in order."""
+    from corpuscope.sources.files import as_text_corpus, read_chunks
+    from corpuscope.sources.scratch import Scratch
+    from corpuscope.sources.store import normalise
+
+    st = Scratch(spark, "chunks")
+    folder = _document_files(spark, sf, st)
+    chunks = read_chunks(spark, f"{folder}/**/*.md", chunk_bytes=CHUNK_BYTES)
+    text = chunks.select(F.substring_index("path", normalise(folder) + "/", -1).alias("file"), "chunk", "first_line", F.col("content").cast("string").alias("text"))
+    whole = text.groupBy("file").agg(
+        F.max(F.col("first_line") - 1 + count_newline_lines(F.col("text"))).cast("bigint").alias("n_lines"), F.sum(F.octet_length("text")).alias("n_bytes"),
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "")).alias("digest"),
+    )
+    out = st.save(whole, "rows")
+    st.drop("tree")
+    return out
+
+
+def q_incremental_files(spark, sf):
+    """ST-1: files that arrive in two waves, streamed from the log of seen files; a third look finds nothing new."""
+    from corpuscope.sources.files import discover, stream_seen
+    from corpuscope.sources.scratch import Scratch
+    from corpuscope.streaming.incremental import run_available
+
+    st = Scratch(spark, "waves")
+    for wave in (F.col("repo") < WAVE_SPLIT, ~F.coalesce(F.col("repo") < WAVE_SPLIT, F.lit(False)), F.lit(False)):
+        folder = _document_files(spark, sf, st, wave)
+        discover(spark, f"{folder}/**/*.md", st.path("log"))
+        rows = _file_rows(stream_seen(spark, st.path("log")), folder)
+        run_available(rows, "waves", sink_path=st.path("rows"), checkpoint=st.path("checkpoint"))
+    st.drop("tree")
+    return spark.read.schema(rows.schema).parquet(st.path("rows"))
+
+
+def q_sarif_files(spark, sf):
+    """SNK-1: one log a file, read back with whole-file JSON."""
+    from corpuscope.sources.scratch import Scratch
+
+    st = Scratch(spark, "sarif")
+    manifest = SR.write_sarif(SR.sarif_logs(q_all_issues(spark, sf), rules_meta=RULES_META, max_results=SARIF_RUN_SIZE), st.path("logs"))
+    logs = spark.read.option("multiLine", True).schema(SRC_SARIF.SARIF_SCHEMA).json(st.path("logs"))
+    flat = st.save(SRC_SARIF.sarif_to_results(logs.select(F.struct("version", "runs").alias("log"))).drop("tool"), "rows")
+    assert manifest.count() == logs.count()
+    return flat
+
+
 def _doc_files(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
@@ -451,7 +564,14 @@ def q_secret_scan(spark, sf):
     from corpuscope.operators.secrets import scan_secrets
     from corpuscope.sources.globs import globs_to_regex
 
-    return scan_secrets(docs(spark, sf), ENTROPY_THRESHOLD, globs_to_regex(SECRET_EXCLUDE, True), SECRET_RULES)
+    return scan_secrets(docs(spark, sf), ENTROPY_THRESHOLD, globs_to_regex(SECRET_EXCLUDE, True), SECRET_RULES, every=False)
+
+
+def q_secret_matches(spark, sf):
+    """R-5, R-7: every secret and every hot token of a line, each at its place, all masked."""
+    from corpuscope.operators.secrets import scan_secrets
+
+    return scan_secrets(docs(spark, sf), ENTROPY_THRESHOLD, patterns=SECRET_RULES)
 
 
 def q_taint_report_markdown(spark, sf):
@@ -546,4 +666,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encoding_report_markdown": q_encoding_report_markdown,
     "top_issues_summary": q_top_issues_summary,
     "taint_flow_lines": q_taint_flow_lines,
+    "secret_matches": q_secret_matches,
+    "corpus_files": q_corpus_files,
+    "corpus_chunks": q_corpus_chunks,
+    "incremental_files": q_incremental_files,
+    "sarif_files": q_sarif_files,
+    "stream_trend": q_stream_trend,
+    "stream_dedupe": q_stream_dedupe,
 }

@@ -185,6 +185,28 @@ WHERE len(hot) > 0
 """
 
 
+def secret_matches_sql() -> str:
+    """Every ``token = "..."`` and every hot token of a line. A match's end is what stands before the gap after it; the
+    secret ends one quote before."""
+    rx, tk = r'token\s*=\s*"[A-Za-z0-9_]+"', r"[A-Za-z0-9+/=_-]{20,}"
+
+    def places(pattern: str) -> str:
+        return (f"(SELECT file, line, text, ms, k, ms[k] AS m, list_sum(list_transform(gaps[1:k], lambda g: length(g))) + "
+                f"coalesce(list_sum(list_transform(ms[1:k - 1], lambda g: length(g))), 0) AS before FROM (SELECT file, line, text, "
+                f"regexp_extract_all(text, {sql_str(pattern)}) AS ms, regexp_split_to_array(text, {sql_str(pattern)}) AS gaps, "
+                f"unnest(generate_series(1, len(regexp_extract_all(text, {sql_str(pattern)})))) AS k FROM {lines_of(DOCS)}))")
+
+    masked = r"""regexp_replace(text, '(token\s*=\s*")[A-Za-z0-9_]+"', '\1***"', 'g')"""
+    secrets = (issue_sel(line="line", column="before + strpos(m, '\"') + 1", rule_id="'SEC001-token'", severity="'CRITICAL'",
+                         message=sql_str(S.MSG_SECRET % "token"), tool=sql_str(S.TOOL_SECRETS), snippet=strip(masked)) + f" FROM {places(rx)}")
+    hot = f"list_filter(ms, lambda tk: {entropy('tk')} > {float(C.ENTROPY_THRESHOLD)})"
+    tokens = (issue_sel(line="line", column="before + 1", rule_id=sql_str(S.RULE_ENTROPY), severity="'HIGH'",
+                        message=f"printf('Chaîne à haute entropie détectée (entropie %.2f)', {entropy('m')})", tool=sql_str(S.TOOL_SECRETS),
+                        snippet=strip(f"list_reduce(list_prepend(text, {hot}), lambda a, b: replace(a, b, '***'))"))
+              + f" FROM {places(tk)} WHERE {entropy('m')} > {float(C.ENTROPY_THRESHOLD)}")
+    return f"{secrets}\nUNION ALL\n{tokens}"
+
+
 def line_rules_sql(rules, src=DOCS) -> str:
     parts = []
     for r in rules:
@@ -427,6 +449,15 @@ def encoding_report_md_sql():
      FROM (SELECT *, row_number() OVER (ORDER BY lower(file), file) AS n FROM {CHECKED} WHERE is_issue))"""
 
 
+FILE_ROWS = f"""SELECT file, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines, CAST(strlen(text) AS BIGINT) AS n_bytes,
+    md5(text) AS digest FROM {DOCS} WHERE text IS NOT NULL"""
+# events with the batch they arrive in; ``passed``: the watermark that the batches before have set
+FEED = f"""e AS (SELECT event_id, ts, file, rule_id, severity, least((CAST(ts AS DATE) - DATE '2024-01-01') // {C.FEED_DAYS}, {C.FEED_LAST})
+        + CASE WHEN event_id % {C.FEED_LATE} = 0 THEN 1 ELSE 0 END AS batch FROM {EVENTS}),
+    seen AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS passed
+        FROM e GROUP BY batch),
+    late AS (SELECT e.*, seen.passed FROM e JOIN seen USING (batch))"""
+
 ORACLES: dict[str, str] = {
     "line_counts": f"SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {DOCS}",
     "splitlines_count": f"SELECT file, CAST(len({splitlines('text')}) AS BIGINT) AS n_lines FROM {DOCS}",
@@ -543,4 +574,16 @@ ORACLES: dict[str, str] = {
         WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""",
     "exclude_listed": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)""",
+    "secret_matches": secret_matches_sql(),
+    "corpus_files": FILE_ROWS,
+    "corpus_chunks": FILE_ROWS,
+    "incremental_files": FILE_ROWS,
+    "sarif_files": SARIF_RESULTS,
+    "stream_trend": f"""WITH {FEED} SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, severity,
+        CAST(count(*) AS BIGINT) AS n_issues FROM late WHERE passed IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > passed
+        GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e)""",
+    "stream_dedupe": f"""WITH {FEED}, kept AS (SELECT * FROM late WHERE passed IS NULL OR ts > passed),
+        first AS (SELECT file || ':' || rule_id AS fingerprint, arg_min(event_id, row(ts, event_id)) AS event_id, min(ts) AS ts FROM kept GROUP BY 1)
+        SELECT f.fingerprint, f.event_id, f.ts, e.severity FROM first f JOIN e USING (event_id)
+        WHERE f.ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM e)""",
 }

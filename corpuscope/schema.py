@@ -60,13 +60,6 @@ TOOL_SECRETS = "corpuscope-secrets"
 TOOL_RULES = "corpuscope-rules"
 
 
-def severity_dim(spark: SparkSession) -> DataFrame:
-    """Six-row dimension (severity, severity_rank, level). Fixed size: always safe to broadcast."""
-    return spark.createDataFrame(
-        [(s, r, lv) for s, r, lv in SEVERITIES],
-        "severity string, severity_rank int, level string",
-    )
-
 
 def severity_rank(col: Column) -> Column:
     """Rank of a severity name (case-insensitive); unknown names rank after INFO."""
@@ -101,7 +94,3 @@ def issue_frame(df: DataFrame) -> DataFrame:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     extra = [c for c in df.columns if c not in ISSUE_COLUMNS]
     return df.select(*cols, *extra)
-
-
-def empty_issues(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ISSUE_SCHEMA)

@@ -7,7 +7,7 @@ the driver. Numbering within a severity comes from ``ordered_index`` (no single-
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.operators.ordering import ordered_index
@@ -20,10 +20,16 @@ DEFAULT_TITLE = "RAPPORT D'ANALYSE - corpuscope"
 ISSUE_LINE = "[%s-%d] %s | Fichier: %s | Ligne: %s | Message: %s"
 
 
+def known_severity(severity: Column) -> Column:
+    """The severity's upper-case name; OTHER for names outside the scale and for none."""
+    up = F.upper(severity)
+    return F.when(up.isin([name for name, _, _ in SEVERITIES]), up).otherwise(F.lit("OTHER"))
+
+
 def _number(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Issues numbered inside their severity (W-2) plus the six-row breakdown, both computed
     from the checkpointed numbering so the upstream scan runs once."""
-    df = issues.withColumn("severity", F.upper("severity")).withColumn("severity_rank", severity_rank(F.col("severity")))
+    df = issues.withColumn("severity", known_severity(F.col("severity"))).withColumn("severity_rank", severity_rank(F.col("severity")))
     order = [F.col("severity_rank")] + report_order() + [F.coalesce("code_snippet", F.lit(""))]
     numbered = ordered_index(df, order, name="__g")
     bd = severity_breakdown(numbered)  # six rows, read from the checkpoint
@@ -33,11 +39,6 @@ def _number(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seq.drop("__g", "__off"), bd
 
 
-def number_by_severity(issues: DataFrame) -> DataFrame:
-    """W-2: ``seq`` = 1-based position of each issue inside its severity, in report order."""
-    return _number(issues)[0]
-
-
 def issue_report_lines(issues: DataFrame, files: DataFrame, title: str = DEFAULT_TITLE) -> DataFrame:
     """SNK-2 (text form): header with totals and per-severity counts, then one numbered line per
     issue grouped by severity (section = severity rank + 1; seq 0 is the section heading)."""
@@ -138,6 +139,3 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists", partition_
         w = w.partitionBy(*partition_by)
     w.json(path)
 
-
-def severity_names() -> list[str]:
-    return [s for s, _, _ in SEVERITIES]

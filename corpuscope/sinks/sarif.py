@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators.ordering import ordered_index
 from corpuscope.schema import sarif_level
+from corpuscope.sinks.files import write_documents
+from corpuscope.sources import store
 
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -138,6 +140,12 @@ def empty_sarif(spark, tool_name: str = DEFAULT_TOOL, tool_version: str = "0.1.0
     return spark.range(1).select(F.lit(0).cast("bigint").alias("run_id"), F.to_json(log).alias("sarif"))
 
 
-def write_sarif(logs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One SARIF document per line-free text file part (``run_id`` buckets)."""
-    logs.select("sarif").write.mode(mode).text(path)
+def write_sarif(logs: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """One file a log, ``part-<run_id>.sarif``, that any SARIF reader opens; returns the manifest. ``mode`` is
+    ``errorifexists`` or ``append`` (logs of the same number are replaced)."""
+    if mode not in ("errorifexists", "append"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "errorifexists" and store.look(path) is not None:
+        raise ValueError(f"{path} exists")
+    name = F.format_string("part-%05d.sarif", "run_id")
+    return write_documents(logs.select(name.alias("name"), F.concat("sarif", F.lit("\n")).alias("content")), path)

@@ -1,274 +1,220 @@
-"""SRC-1 / SRC-2 / SRC-3 / SRC-4: files matched by globs as a DataFrame, via a Python data source.
+"""SRC-1 / SRC-2 / SRC-3 / SRC-4: files matched by globs as a DataFrame.
 
-Spark's ``binaryFile`` reader silently skips names starting with ``_`` or ``.`` (every
-``__init__.py`` would be lost) and Hadoop ``**`` matches exactly one directory level, so the
-corpus source lists and reads files itself:
+Spark's ``binaryFile`` reader silently skips names starting with ``_`` or ``.`` (every ``__init__.py`` would be lost)
+and Hadoop ``**`` matches exactly one directory level. So the tree is listed by ``sources.frontier`` (in executors), the
+files are packed into partitions by bytes, and tasks read them:
 
-* the driver only expands the literal base directory of each pattern and lists its first level;
-  those entries are spread over ``numPartitions`` input partitions;
-* each task walks its own entries (``os.walk``), keeps paths matching the union of the glob
-  regexes minus the exclude regexes and the suffix, and reads the bytes.
+* ``read_corpus``: a row for each file, for operators that need a whole file;
+* ``read_chunks``: rows of at most about ``chunk_bytes``, cut at line ends, for files of any size;
+* ``discover`` and ``stream_seen``: new files as a stream, found by an anti-join with a log of the files seen
+  (``corpus_stream.stream_corpus`` lists for itself at every trigger).
 
-Paths must be visible to every executor (a shared mount). Each file is visited once because
-nested base directories are merged on the driver, so the union needs no extra dedupe shuffle.
+Paths must be visible to every executor (a shared mount, or a store that Arrow opens).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-import glob
-import json
-import os
-import re
+import codecs
 import sys
+from collections.abc import Iterator
 from functools import partial
-from typing import Iterator, Sequence
+from typing import Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from corpuscope.sources import store
+from corpuscope.sources.corpus_stream import stream_corpus  # noqa: F401
+from corpuscope.sources.frontier import list_files, pack_by_bytes
 from corpuscope.sources.globs import globs_to_regex
+from corpuscope.sources.scratch import Scratch
+from corpuscope.sources.store import MAX_FILE_BYTES, SCHEMA
 
 # Code below runs in Python workers: ship this module with the function (by value), so
 # executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_FILE_BYTES = (1 << 31) - 1  # what one binary value can hold; a larger file is a row with an error
-
-
-SCHEMA = "path string, length bigint, modificationTime timestamp, content binary, error string"
-_MAGIC = re.compile(r"[*?\[]")
-
-
-def _base_dir(pattern: str) -> str:
-    parts = pattern.split("/")
-    keep = []
-    for p in parts:
-        if _MAGIC.search(p):
-            break
-        keep.append(p)
-    if len(keep) == len(parts):  # no wildcard: the path itself
-        return pattern
-    base = "/".join(keep)
-    return base if base else ("/" if pattern.startswith("/") else ".")
-
-
-def _normalise(patterns: Sequence[str]) -> list[str]:
-    return [os.path.abspath(os.path.expanduser(p)) + ("/" if p.endswith("/") else "") for p in patterns]
-
-
-class _Part(InputPartition):
-    def __init__(self, entries):
-        super().__init__(entries)
-        self.entries = entries
-
-
-class CorpusReader(DataSourceReader):
-    def __init__(self, options):
-        self.patterns = _normalise(json.loads(options["paths"]))
-        self.recursive = options.get("recursive", "true").lower() == "true"
-        self.include_hidden = options.get("include_hidden", "false").lower() == "true"
-        self.exclude = json.loads(options.get("exclude", "[]"))
-        self.suffix = options.get("suffix")
-        self.max_bytes = int(options.get("max_bytes", str(MAX_FILE_BYTES)))
-        self.num_partitions = int(options.get("numPartitions", "8"))
-        if options.get("strict", "false").lower() == "true":
-            for p in self.patterns:
-                if next(glob.iglob(p, recursive=self.recursive), None) is None:
-                    raise ValueError(f"strict: nothing matches {p!r}")
-
-    def partitions(self):
-        bases = sorted({_base_dir(p) for p in self.patterns})
-        merged = []
-        for b in bases:  # drop bases nested in another base: each file is visited once
-            if not any(b != m and (b + "/").startswith(m.rstrip("/") + "/") for m in merged):
-                merged.append(b)
-        entries = []
-        for b in merged:
-            if os.path.isdir(b):
-                entries += [os.path.join(b, e) for e in sorted(os.listdir(b))]
-            elif os.path.exists(b):
-                entries.append(b)
-        entries = self._expand(entries)
-        n = max(1, min(self.num_partitions, len(entries)))
-        return [_Part(entries[i::n]) for i in range(n)]
-
-    def _expand(self, entries: list[str], max_depth: int = 3) -> list[str]:
-        """Split big directories into their children (up to ``max_depth`` levels, until there
-        are 4 entries per partition) so one directory holding most files is walked by many
-        tasks. Directories matched by a pattern stay whole: their recursion is per task."""
-        inc = re.compile(globs_to_regex(self.patterns, self.include_hidden))
-        for _ in range(max_depth):
-            if len(entries) >= 4 * self.num_partitions:
-                break
-            out, changed = [], False
-            for e in entries:
-                if os.path.isdir(e) and not os.path.islink(e) and not inc.match(e):
-                    out += [os.path.join(e, k) for k in sorted(os.listdir(e))]
-                    changed = True
-                else:
-                    out.append(e)
-            entries = out
-            if not changed:
-                break
-        return entries
-
-    def read(self, partition) -> Iterator[tuple]:
-        for path in self.matching_paths(partition):
-            yield _read_file(path, self.max_bytes)
-
-    def matching_paths(self, partition) -> Iterator[str]:
-        inc = re.compile(globs_to_regex(self.patterns, self.include_hidden))
-        # a directory named without wildcards means every file below it, dotfiles included
-        dir_patterns = tuple(p.rstrip("/") + "/" for p in self.patterns if not _MAGIC.search(p) and os.path.isdir(p))
-        exc = re.compile(globs_to_regex(self.exclude, True)) if self.exclude else None
-        suffix = self.suffix.lower() if self.suffix else None
-
-        def files():
-            for e in partition.entries:
-                if os.path.isdir(e) and not os.path.islink(e):
-                    if inc.match(e):
-                        yield e  # a directory matched by the pattern itself: recurse into it
-                    for root, dirs, names in os.walk(e):
-                        dirs.sort()
-                        for d in dirs:  # deeper directories matched by a pattern
-                            if inc.match(os.path.join(root, d)):
-                                yield os.path.join(root, d)
-                        for nm in sorted(names):
-                            yield os.path.join(root, nm)
-                else:
-                    yield e
-
-        dir_roots = set()
-        for path in files():
-            if os.path.isdir(path):
-                if self.recursive:
-                    dir_roots.add(path.rstrip("/") + "/")
-                continue
-            under_dir = path.startswith(dir_patterns) or any(path.startswith(d) for d in dir_roots)
-            if not (inc.match(path) or under_dir):
-                continue
-            if exc and (exc.match(path) or exc.match(os.path.basename(path))):
-                continue
-            if suffix and not path.lower().endswith(suffix):
-                continue
-            yield path
-
-
-def _read_file(path: str, max_bytes: int) -> tuple:
-    """One output row; unreadable or oversized files keep a null content and an error."""
+CHUNK_BYTES = 32 << 20
+BATCH_BYTES = 32 << 20
+
+CHUNKS = "path string, chunk bigint, first_line bigint, first_text_line bigint, content binary, error string"
+_ARROW_CHUNKS = pa.schema([
+    ("path", pa.string()), ("chunk", pa.int64()), ("first_line", pa.int64()), ("first_text_line", pa.int64()), ("content", pa.binary()), ("error", pa.string()),
+])
+
+
+def _whole_files(max_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, errors, first, held = [], [], 0, 0
+            for path, length, error in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "error"))):
+                data = None
+                if error is None and (length or 0) > max_bytes:
+                    error = f"file larger than {max_bytes} bytes"
+                if error is None:
+                    try:
+                        with store.open_read(path) as f:
+                            data = f.read()
+                    except OSError as e:
+                        error = str(e)
+                texts.append(data)
+                errors.append(error)
+                held += len(data or b"")
+                if held >= BATCH_BYTES:
+                    yield _files_batch(batch, first, texts, errors)
+                    first, texts, errors, held = first + len(texts), [], [], 0
+            if texts:
+                yield _files_batch(batch, first, texts, errors)
+
+    return run
+
+
+def _files_batch(batch: pa.RecordBatch, first: int, texts: list, errors: list) -> pa.RecordBatch:
+    rows = batch.slice(first, len(texts))
+    return pa.RecordBatch.from_arrays(
+        [*(rows.column(c) for c in ("path", "length", "modificationTime")), pa.array(texts, pa.binary()), pa.array(errors, pa.string())],
+        names=["path", "length", "modificationTime", "content", "error"],
+    )
+
+
+def cut_lines(read, chunk_bytes: int) -> Iterator[bytes]:
+    """A stream of bytes as chunks that end after a line feed; lines are never cut, and a line longer than a chunk is a
+    chunk. A file without bytes is one empty chunk. UTF-16 with a byte order mark comes out as UTF-8."""
+    held, scanned, some = bytearray(), 0, False
+    recode = None
+    while more := read(chunk_bytes):
+        if not some and more[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            recode = codecs.getincrementaldecoder("utf-16")("replace")
+        some = True
+        held += recode.decode(more).encode() if recode else more
+        if len(held) < chunk_bytes:
+            continue
+        cut = held.rfind(b"\n", scanned) + 1
+        if cut:
+            yield bytes(held[:cut])
+            del held[:cut]
+        scanned = len(held)
+    if recode:
+        held += recode.decode(b"", True).encode()
+    if held or not some:
+        yield bytes(held)
+
+
+def text_lines(data: bytes) -> int:
+    """Lines of a chunk as ``str.splitlines`` counts them."""
     try:
-        st = os.stat(path)
-        mtime = _dt.datetime.fromtimestamp(st.st_mtime)
-        if st.st_size > max_bytes:
-            return (path, st.st_size, mtime, None, f"file larger than {max_bytes} bytes")
-        with open(path, "rb") as fh:
-            return (path, st.st_size, mtime, fh.read(), None)
-    except OSError as ex:
-        return (path, None, None, None, str(ex))
-
-
-class CorpusStreamReader(DataSourceStreamReader):
-    """ST-1 on the corpus source: each micro-batch holds the matching files whose modification
-    time (ns) is newer than the last committed offset. Listing runs on the driver per trigger
-    (as for Spark's file stream); reading runs in the tasks. Same name rules as the batch
-    source, so ``__init__.py`` and (with ``include_hidden``) dotfiles are streamed too."""
-
-    def __init__(self, options):
-        self.batch = CorpusReader(options)
-
-    def _listing(self) -> list[tuple[int, str]]:
-        out = []
-        for part in self.batch.partitions():
-            for row_path in self.batch.matching_paths(part):
+        return len(data.decode().splitlines())
+    except UnicodeDecodeError:
+        return len(data.decode("latin-1").splitlines())
+
+
+def _chunks_of_files(chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, error in zip(*(batch.column(c).to_pylist() for c in ("path", "error"))):
                 try:
-                    out.append((os.stat(row_path).st_mtime_ns, row_path))
-                except OSError:
-                    continue
-        return sorted(out)
+                    if error is not None:
+                        raise OSError(error)
+                    with store.open_read(path) as f:
+                        line = text_line = 1
+                        for number, data in enumerate(cut_lines(f.read, chunk_bytes)):
+                            rows.append((path, number, line, text_line, data, None))
+                            line, text_line = line + data.count(b"\n"), text_line + text_lines(data)
+                            held += len(data)
+                            if held >= BATCH_BYTES:
+                                yield _rows_batch(rows)
+                                rows, held = [], 0
+                except OSError as e:
+                    rows.append((path, None, None, None, None, str(e)))
+        if rows:
+            yield _rows_batch(rows)
 
-    def initialOffset(self) -> dict:
-        return {"mtime_ns": -1}
+    return run
 
-    def latestOffset(self) -> dict:
-        files = self._listing()
-        return {"mtime_ns": files[-1][0] if files else -1}
 
-    def partitions(self, start: dict, end: dict):
-        lo, hi = start["mtime_ns"], end["mtime_ns"]
-        paths = [p for m, p in self._listing() if lo < m <= hi]
-        n = max(1, min(self.batch.num_partitions, len(paths)))
-        return [_Part(paths[i::n]) for i in range(n)]
+def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW_CHUNKS)], schema=_ARROW_CHUNKS)
 
-    def read(self, partition) -> Iterator[tuple]:
-        for path in partition.entries:
-            yield _read_file(path, self.batch.max_bytes)
 
-    def commit(self, end: dict) -> None:
-        pass
+def _packed(files: DataFrame, num_partitions: int | None, scratch: Scratch) -> DataFrame:
+    packed, bins = pack_by_bytes(files, scratch)
+    return packed.repartitionByRange(num_partitions or bins, "bin").select("path", "length", "modificationTime", "error")
 
 
-class CorpusDataSource(DataSource):
-    """``spark.read.format("corpus").option("paths", json.dumps([...])).load()``"""
+def read_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, num_partitions: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Whole files of a listing (``list_files``)."""
+    st = scratch or Scratch(files.sparkSession, "corpus")
+    return _packed(files, num_partitions, st).mapInArrow(_whole_files(max_bytes), SCHEMA)
 
-    @classmethod
-    def name(cls):
-        return "corpus"
 
-    def schema(self):
-        return SCHEMA
+def read_pieces(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, num_partitions: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Files of a listing in chunks of lines."""
+    st = scratch or Scratch(files.sparkSession, "chunks")
+    return _packed(files, num_partitions, st).mapInArrow(_chunks_of_files(chunk_bytes), CHUNKS)
 
-    def reader(self, schema):
-        return CorpusReader(self.options)
 
-    def streamReader(self, schema):
-        return CorpusStreamReader(self.options)
+def read_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True,
+                include_hidden: bool = False, enter_folders: bool = True, exclude: Sequence[str] = (), suffix: str | None = None,
+                strict: bool = False, max_bytes: int = MAX_FILE_BYTES, num_partitions: int | None = None) -> DataFrame:
+    """Files matched by ``patterns`` as ``(path, length, modificationTime, content, error)``. Paths are resolved, each
+    file is there once; one that cannot be read, or that one value cannot hold, has an error and no content."""
+    st = Scratch(spark, "corpus")
+    files = list_files(spark, patterns, recursive=recursive, include_hidden=include_hidden, enter_folders=enter_folders,
+                       exclude=exclude, suffix=suffix, strict=strict, scratch=st)
+    return read_files(files, max_bytes, num_partitions, st)
 
 
-def _options(patterns, recursive, include_hidden, exclude, suffix, strict, max_bytes, n) -> dict:
-    opts = {
-        "paths": json.dumps(list(patterns)), "recursive": str(recursive).lower(),
-        "include_hidden": str(include_hidden).lower(), "exclude": json.dumps(list(exclude)),
-        "strict": str(strict).lower(), "max_bytes": str(max_bytes), "numPartitions": str(n),
-    }
-    if suffix:
-        opts["suffix"] = suffix
-    return opts
+def read_chunks(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True, include_hidden: bool = False,
+                enter_folders: bool = True, exclude: Sequence[str] = (), suffix: str | None = None, strict: bool = False,
+                chunk_bytes: int = CHUNK_BYTES, num_partitions: int | None = None) -> DataFrame:
+    """Files of any size as rows ``(path, chunk, first_line, first_text_line, content, error)``: chunks number from 0,
+    lines from 1, cut at line feeds (``first_line``) or as ``splitlines`` cuts (``first_text_line``). A file that cannot
+    be read has a row with an error and without a chunk number (chunks read before stay)."""
+    st = Scratch(spark, "chunks")
+    files = list_files(spark, patterns, recursive=recursive, include_hidden=include_hidden, enter_folders=enter_folders,
+                       exclude=exclude, suffix=suffix, strict=strict, scratch=st)
+    return read_pieces(files, chunk_bytes, num_partitions, st)
 
 
-def stream_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True,
-                  include_hidden: bool = False, exclude: Sequence[str] = (), suffix: str | None = None,
-                  max_bytes: int = MAX_FILE_BYTES, num_partitions: int | None = None) -> DataFrame:
-    """New or modified files matched by ``patterns`` as a stream (same schema as ``read_corpus``)."""
-    register(spark)
-    if isinstance(patterns, str):
-        patterns = [patterns]
-    n = num_partitions or spark.sparkContext.defaultParallelism
-    return spark.readStream.format("corpus").options(
-        **_options(patterns, recursive, include_hidden, exclude, suffix, False, max_bytes, n)).load()
+# --- ST-1: the log of seen files -----------------------------------------------------------------
 
+LOG = "path string, length bigint, modificationTime timestamp, error string, bin int"
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(CorpusDataSource)
 
+def discover(spark: SparkSession, patterns: Sequence[str] | str, log: str, **options) -> DataFrame:
+    """Append the files that the log does not hold with this path, length and time, and return them.
 
-def read_corpus(spark: SparkSession, patterns: Sequence[str] | str, *, recursive: bool = True,
-                include_hidden: bool = False, exclude: Sequence[str] = (), suffix: str | None = None,
-                strict: bool = False, max_bytes: int = MAX_FILE_BYTES, num_partitions: int | None = None) -> DataFrame:
-    """Files matched by ``patterns`` as ``(path, length, modificationTime, content, error)``."""
-    register(spark)
-    if isinstance(patterns, str):
-        patterns = [patterns]
-    n = num_partitions or spark.sparkContext.defaultParallelism
-    opts = _options(patterns, recursive, include_hidden, exclude, suffix, strict, max_bytes, n)
-    return spark.read.format("corpus").options(**opts).load()
+    The log is a Parquet table that the source owns. What counts is whether a file was seen, not how old it is, so a
+    file that arrives with an older time is found, and a changed one is found again. A call that failed half way left
+    out or appended whole files; the next one finds the rest."""
+    st = Scratch(spark, "discover")
+    seen = spark.createDataFrame([], LOG)
+    if _exists(spark, log):
+        seen = spark.read.schema(LOG).parquet(log)
+    listed = list_files(spark, patterns, scratch=st, **options)
+    same = [listed[c].eqNullSafe(seen[c]) for c in ("path", "length", "modificationTime")]
+    new, bins = pack_by_bytes(st.save(listed.join(seen, same, "left_anti"), "new"), st)
+    new = st.save(new.select("path", "length", "modificationTime", "error", "bin"), "packed")
+    if not new.isEmpty():
+        new.repartitionByRange(bins, "bin").write.mode("append").parquet(log)
+    return new
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def sorted_paths(df: DataFrame) -> DataFrame:
-    """W-4: ``(lower(path), path)`` order, for the report edge only."""
-    return df.orderBy(F.lower("path"), F.col("path"))
+def stream_seen(spark: SparkSession, log: str, max_bytes: int = MAX_FILE_BYTES, files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a log as a stream (rows of ``read_corpus``). The stream's checkpoint remembers which parts of the log
+    it has read, so a restart repeats nothing; each call of ``discover`` gives it more."""
+    r = spark.readStream.schema(LOG)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(files_per_trigger))
+    return r.parquet(log).select("path", "length", "modificationTime", "error").mapInArrow(_whole_files(max_bytes), SCHEMA)
 
 
 def filter_paths(df: DataFrame, patterns: Sequence[str], path_col: str = "file", include_hidden: bool = False) -> DataFrame:
@@ -287,17 +233,20 @@ def suffix_filter(df: DataFrame, suffix: str, path_col: str = "file") -> DataFra
 
 
 def as_text_corpus(files: DataFrame) -> DataFrame:
-    """Decode a byte corpus for the text rules: ``(file, text, lang, error)``."""
+    """Decode a byte corpus for the text rules: ``(file, text, lang, error)``; of chunks also ``first_line`` and
+    ``first_text_line``, each chunk decoded by its own bytes."""
     from corpuscope.functions.encoding import decode_bytes, detect_encoding
     from corpuscope.operators.scan import EXTENSION_LANG, _map_literal
 
-    d = files.select(F.col("path").alias("file"), "content", "error", detect_encoding(F.col("content")).alias("d"))
+    lines = [c for c in ("first_line", "first_text_line") if c in files.columns]
+    d = files.select(F.col("path").alias("file"), "content", "error", *lines, detect_encoding(F.col("content")).alias("d"))
     ext = F.lower(F.regexp_extract(F.col("file"), r"\.([A-Za-z0-9]+)$", 1))
     return d.select(
         "file",
         decode_bytes(F.col("content"), F.col("d.encoding"))["text"].alias("text"),
         F.coalesce(F.element_at(_map_literal(EXTENSION_LANG, F.lit), ext), F.lit("unknown")).alias("lang"),
         "error",
+        *lines,
     )
 
 

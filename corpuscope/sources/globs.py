@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 # executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MAGIC = re.compile(r"[*?\[]")
+
 
 def glob_to_regex(pattern: str, include_hidden: bool = False) -> str:
     out = []

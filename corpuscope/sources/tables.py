@@ -92,11 +92,3 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") + 1).cast("bigint").alias("line"),
         F.col("text"),
     )
-
-
-def benchmark_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(
-        F.concat(F.lit("benchmark/"), F.col("item_id").cast("string"), F.lit(".md")).alias("file"),
-        F.col("text"),
-    )

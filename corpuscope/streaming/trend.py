@@ -7,9 +7,20 @@ time column is cast to a session-zone ``TIMESTAMP`` (``withWatermark`` rejects
 
 from __future__ import annotations
 
+import pickle
+import sys
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.sources.scratch import Scratch
+from corpuscope.streaming.incremental import run_available
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def issue_trend(issues: DataFrame, window: str = "1 day", ts_col: str = "ts", watermark: str | None = None) -> DataFrame:
     """Issues per severity per tumbling window: ``(window_start, window_end, severity, n_issues)``."""
@@ -24,3 +35,58 @@ def dedupe_stream(issues: DataFrame, watermark: str = "1 hour", ts_col: str = "t
     """ST-3: drop a fingerprint reported again within the watermark delay."""
     df = issues.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
     return df.dropDuplicatesWithinWatermark([key])
+
+
+FIRST_STATE = "ts bigint, tie string, row binary, done boolean"
+
+
+def first_per_key(issues: DataFrame, key: str, watermark: str = "1 hour", ts_col: str = "ts", tie_col: str | None = None) -> DataFrame:
+    """ST-3, exactly: of each key the first issue by event time (ties: by ``tie_col``), once, whatever the order in which
+    they arrive. A key's state is its earliest issue so far; it is emitted when the watermark has passed its time, since
+    no earlier one can then come, and from then on the key is only remembered. Issues later than the watermark are
+    dropped by Spark. Runs on a stream only."""
+    schema = issues.schema
+    names = [f.name for f in schema.fields]
+    df = issues.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
+
+    def pick(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ts, tie, row, done = state.get if state.exists else (None, None, None, False)
+        if state.hasTimedOut:
+            frames = ()
+        else:
+            frames = batches
+        for frame in frames:
+            if done or frame.empty:
+                continue
+            by = [ts_col] + ([tie_col] if tie_col else [])
+            first = frame.sort_values(by, kind="stable").iloc[:1]
+            new = (first[ts_col].iloc[0].value // 1000, str(first[tie_col].iloc[0]).rjust(20, "0") if tie_col else "")
+            if ts is None or new < (ts, tie):
+                (ts, tie), row = new, pickle.dumps(first[names])
+        passed = state.getCurrentWatermarkMs()
+        if not done and ts is not None and passed * 1000 >= ts:
+            yield pickle.loads(row)
+            done, row = True, None
+        state.update((ts, tie, row, done))
+        if not done:
+            state.setTimeoutTimestamp(max(ts // 1000 + 1, passed + 1))
+
+    return df.groupBy(key).applyInPandasWithState(pick, schema, FIRST_STATE, "append", "EventTimeTimeout")
+
+
+def replay(feed: DataFrame, batch_col: str, query: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The rows that a streaming query writes when the rows of ``feed`` arrive batch by batch (``batch_col``, ascending).
+    Each batch is a run of its own from the same checkpoint, as after a restart."""
+    spark = feed.sparkSession
+    st = Scratch(spark, name)
+    rows = st.save(feed, "feed")
+    source = feed.schema
+    out = None
+    for b in [r[0] for r in rows.select(batch_col).distinct().orderBy(batch_col).collect()]:  # a handful of batches
+        rows.where(F.col(batch_col) == b).write.mode("append").parquet(st.path("arrived"))
+        stream = query(spark.readStream.schema(source).parquet(st.path("arrived")))
+        out = stream.schema
+        run_available(stream, name, sink_path=st.path("out"), checkpoint=st.path("checkpoint"))
+    if out is None:
+        return query(rows)
+    return spark.read.schema(out).parquet(st.path("out"))
