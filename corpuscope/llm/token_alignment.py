@@ -30,6 +30,7 @@ FREQUENT = 1 << 16  # pairs that are broadcast at most, with their counts
 HOT_TEXTS = 1 << 10  # texts whose measures are broadcast at most; any other holds less than 1/1024 of the rows
 WIDE_GROUP = 64  # groups with more links multiply distinct ids instead of listing every link
 SIDE_BITS = 20  # a pair is (A id << SIDE_BITS) | B id: vocabularies up to a million ids
+NONE = np.zeros(0, np.int64)
 OUT = (
     "uid long, key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, "
     "pairs array<long>, links array<long>"
@@ -75,14 +76,16 @@ class Encoders:
         self.a_text = [f"{i}{s}" for i in range(len(self.a_bytes)) for s in ",|;"]
         self.b_text = [f"{i}{s}" for i in range(len(self.b_bytes)) for s in ",|;"]
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Token ids of both; none if the bytes of either differ from those of a space and the text."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of both; none if the bytes of either differ from those of a space and the text. A's tokens are
+        stretches of the text itself, so their bytes are right if none is missing."""
         raw = b" " + text.encode()
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
-            return [], []
-        return a, b
+        a = self.a.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+        b = self.b.encode(text)
+        b_bytes = self.b_bytes
+        if self.a_size[a].sum() != len(raw) or b"".join([b_bytes[i] for i in b]) != raw:
+            return NONE, NONE
+        return a, np.array(b, np.int64)
 
 
 def align(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +153,7 @@ def _align_block(enc: Encoders, rows: pa.RecordBatch, keep_groups: bool) -> pa.R
     n = len(texts)
     n_a = np.array([len(a) for a, _ in both], np.int64)
     n_b = np.array([len(b) for _, b in both], np.int64)
-    a = np.array([i for x, _ in both for i in x], np.int64)
-    b = np.array([i for _, x in both for i in x], np.int64)
+    a, b = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
     a_cut, b_cut = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
     a_group, b_group = align(a, b, np.cumsum(enc.a_size[a]), np.cumsum(enc.b_size[b]))
     a_doc = np.repeat(np.arange(n), n_a)
@@ -159,7 +161,7 @@ def _align_block(enc: Encoders, rows: pa.RecordBatch, keep_groups: bool) -> pa.R
     group_cut = np.maximum.accumulate(np.where(np.append(False, n_a > 0), last, 0))
     group, pair, link = group_links(a, b, a_group, b_group)
     doc = a_doc[np.searchsorted(a_group, group)] if len(group) else np.zeros(0, np.int64)
-    order = np.lexsort((pair, doc))
+    order = np.argsort((doc << (2 * SIDE_BITS)) | pair)  # a block has less than 2**23 texts
     doc, pair, link = doc[order], pair[order], link[order]
     head = np.ones(len(doc), bool)
     head[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
