@@ -60,7 +60,7 @@ def segments(at: np.ndarray, W: int) -> Iterator[tuple[int, int, np.ndarray]]:
 def runs(symbols: np.ndarray, at: np.ndarray, W: int, q: int) -> Iterator[dict]:
     """Runs of windows with one owner, for texts of symbol hashes: arrays ``text, lo, hi`` (first and last window
     start in symbols of the whole array), ``gram`` (hash of the owner), ``span`` (hash of all that the run's windows
-    cover, with the owner's place), and ``prefix, base`` to hash windows with."""
+    cover, with the owner's place), and ``prefix, symbols, base`` to hash windows with."""
     for a, e, parts in segments(at, W):
         if e - a < W:
             continue
@@ -79,7 +79,7 @@ def runs(symbols: np.ndarray, at: np.ndarray, W: int, q: int) -> Iterator[dict]:
         lo, hi = lo[ok], hi[ok]
         own = owner[lo]
         span = mix(span_hash(prefix, lo, hi + W) + (own - lo).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + (hi - lo).astype(np.uint64))
-        yield {"text": text[lo], "lo": lo + a, "hi": hi + a, "gram": grams[own], "span": span, "prefix": prefix, "base": a}
+        yield {"text": text[lo], "lo": lo + a, "hi": hi + a, "gram": grams[own], "span": span, "prefix": prefix, "symbols": symbols[a:e], "base": a}
 
 
 def explode_runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -47,9 +47,9 @@ class Stages:
             p.getFileSystem(conf).delete(p, True)
 
 
-
-def doc_key(col: str = "doc_id") -> Column:
-    return F.coalesce(F.col(col).cast("long"), F.lit(NULL_KEY))
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart whose ids are null or shared: a hash of id and text."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
 # --- numpy kernels ------------------------------------------------------------------------------
@@ -154,10 +154,20 @@ def split_words(data: np.ndarray, offs: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = False):
-    """64-bit hash of every word, word starts and ends, and the n+1 word offsets of the texts."""
+    """64-bit hash of every word, word starts and ends, and the n+1 word offsets of the texts.
+
+    A word's hash is the mixed sum of a pseudo-random number for each of its bytes and their places, so that no pattern
+    of letters makes different words equal, as it can with a polynomial modulo a power of two.
+    """
     starts, ends, at = split_words(data, offs)
-    prefix = prefix_hash(BYTE_CODE[LOWER[data] if lower else data])
-    return span_hash(prefix, starts, ends), starts, ends, at
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, at
+    codes = BYTE_CODE[LOWER[data] if lower else data][~IS_SPACE[data]]
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = (np.arange(len(codes)) - np.repeat(first, size)).astype(np.uint64)
+    total = np.add.reduceat(mix(codes + place * _U(0x9E3779B97F4A7C15)), first)
+    return mix(total + size.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)), starts, ends, at
 
 
 def signed(a: np.ndarray) -> np.ndarray:

@@ -33,6 +33,7 @@ from corpuscope.llm.common import (
     doc_ids,
     long_column,
     mix,
+    prefix_hash,
     signed,
     span_hash,
     text_buffers,
@@ -49,6 +50,7 @@ MIXED_BITS = 25
 LO_BITS = 33
 _U = np.uint64
 SCHEMA = "a long, b long, c long, kind int"
+SINGLES = "a long, b long, c long, d long, kind int"
 
 
 def _batch(kind, a, b, c):
@@ -227,8 +229,14 @@ def stretch_rows(W: int):
 
 
 def single_rows(W: int, q: int, table):
-    """Task: single windows of owners that may have several stretches (kind 1: hash, key, print and start, each once for
-    a task) and repeats among them (kind 0)."""
+    """Task: single windows of owners that may have several stretches (kind 1: both hashes, key, print and start, each
+    once for a task) and repeats among them (kind 0). A window is known by 128 bits: two hashes of its words, each with
+    numbers of its own."""
+
+    def _rows(batch, second=None):
+        d = pa.array(np.zeros(batch.num_rows, np.int64) if second is None else second)
+        a, b, c, kind = (batch.column(x) for x in ("a", "b", "c", "kind"))
+        return pa.RecordBatch.from_arrays([a, b, c, d, kind], names=["a", "b", "c", "d", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint64)
@@ -236,13 +244,13 @@ def single_rows(W: int, q: int, table):
         seen: dict = {}
 
         def flush():
-            h, k, fp, lo = (np.concatenate(x) for x in zip(*held))
-            o, new, n = _group([h], k, fp << LO_BITS | lo)
-            h, k, fp, lo = (x[o] for x in (h, k, fp, lo))
+            h, h2, k, fp, lo = (np.concatenate(x) for x in zip(*held))
+            o, new, n = _group([h, h2], k, fp << LO_BITS | lo)
+            h, h2, k, fp, lo = (x[o] for x in (h, h2, k, fp, lo))
             dup = n > 1
             if dup.any():
-                yield _intervals(k[dup], fp[dup], lo[dup], lo[dup] + W)
-            yield _batch(1, signed(h[new]), k[new], (fp << LO_BITS | lo)[new])
+                yield _rows(_intervals(k[dup], fp[dup], lo[dup], lo[dup] + W))
+            yield _rows(_batch(1, signed(h[new]), k[new], (fp << LO_BITS | lo)[new]), signed(h2[new]))
 
         for k, fp, lo, hi, r in _word_runs(batches, W, q):
             pick = np.flatnonzero(bits_set(bits, signed(r["gram"]), MIXED_BITS))
@@ -257,7 +265,9 @@ def single_rows(W: int, q: int, table):
             seen.update(dict.fromkeys(r["span"][pick].tolist()))
             j, run = explode_runs(r["lo"][pick], r["hi"][pick])
             own = pick[run]
-            held.append((span_hash(r["prefix"], j - r["base"], j - r["base"] + W), k[own], fp[own], lo[own] + j - r["lo"][own]))
+            here = j - r["base"]
+            second = prefix_hash(mix(r["symbols"] ^ _U(0xD6E8FEB86659FD93)))
+            held.append((span_hash(r["prefix"], here, here + W), span_hash(second, here, here + W), k[own], fp[own], lo[own] + j - r["lo"][own]))
             size += len(j)
             if size > FLUSH:
                 yield from flush()
@@ -269,19 +279,19 @@ def single_rows(W: int, q: int, table):
 
 
 def settle_rows(W: int):
-    """Task over window rows sorted by (hash, key, place): all places of windows with two or more (kind 0)."""
+    """Task over window rows sorted by (both hashes, key, place): all places of windows with two or more (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, was = None, False
         for b in batches:
             if not b.num_rows:
                 continue
-            h, k, p = (b.column(x).to_numpy(zero_copy_only=False) for x in "abc")
+            h, h2, k, p = (b.column(x).to_numpy(zero_copy_only=False) for x in "adbc")
             sent = np.zeros(len(h), bool)
             if last is not None:
-                h, k, p = (np.concatenate(([x], y)) for x, y in zip(last, (h, k, p)))
+                h, h2, k, p = (np.concatenate(([x], y)) for x, y in zip(last, (h, h2, k, p)))
                 sent = np.concatenate(([was], sent))
-            same = h[1:] == h[:-1]
+            same = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])
             other = same & ((k[1:] != k[:-1]) | (p[1:] != p[:-1]))
             dup = sent.copy()
             dup[1:] |= other
@@ -292,7 +302,7 @@ def settle_rows(W: int):
             if out.any():
                 lo = p[out] & ((1 << LO_BITS) - 1)
                 yield _intervals(k[out], p[out] >> LO_BITS, lo, lo + W)
-            last, was = (h[-1], k[-1], p[-1]), bool(dup[-1])
+            last, was = (h[-1], h2[-1], k[-1], p[-1]), bool(dup[-1])
 
     return run
 
@@ -373,8 +383,8 @@ def substring_dedup(docs: DataFrame, length: int = 35, keep_text: bool = True, s
         first.where("kind = 1").repartition(parts, "gram").sortWithinPartitions("gram", "span", "a", "b").mapInArrow(stretch_rows(length), SCHEMA), "stretches"
     )
     table = sc.broadcast(bit_table(refined.where("kind = 2").select(F.col("a").alias("h")), MIXED_BITS))
-    single = st.save(plain.mapInArrow(single_rows(length, q, table), SCHEMA), "singles")
-    settled = single.where("kind = 1").repartition(parts, "a").sortWithinPartitions("a", "b", "c").mapInArrow(settle_rows(length), SCHEMA)
+    single = st.save(plain.mapInArrow(single_rows(length, q, table), SINGLES), "singles")
+    settled = single.where("kind = 1").repartition(parts, "a").sortWithinPartitions("a", "d", "b", "c").mapInArrow(settle_rows(length), SCHEMA)
     cuts = first.where("kind = 0").select("a", "b", "c").union(refined.where("kind = 0").select("a", "b", "c"))
     cuts = cuts.union(single.where("kind = 0").select("a", "b", "c")).union(settled.select("a", "b", "c"))
     cuts = cuts.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("b", "c")).alias("cuts"))  # places of one document
