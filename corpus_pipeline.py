@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import Stages
+from corpuscope.llm.common import Stages, row_key
 from corpuscope.llm.decontaminate import drop_leaks
 from corpuscope.llm.jaccard_join import near_duplicate_components
 from corpuscope.llm.mixing import mix_sources
@@ -28,20 +28,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat its id, one. Rows
-    without an id stay."""
+    """Of each group of near duplicates one row stays: that of the smallest id (rows without one last), and of rows equal
+    in id and text the first by its other columns. Rows are told apart by id and text, so a shared or missing id drops
+    nothing else. Rows without words stay."""
     stages = Stages(spark, "near-duplicates")
-    groups = stages.save(near_duplicate_components(docs, stages=stages), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    same = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("same"))
-    same = stages.save(same, "repeated")
-    key = docs["doc_id"].cast("long")
-    kept = docs.join(gone, key == gone["gone"], "left_anti")
-    if same.isEmpty():
-        return kept
-    key = kept["doc_id"].cast("long")
-    once = kept.join(same, key == same["same"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(same, key == same["same"], "left_anti").union(once)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*names).withColumn("row", row_key(F.col(doc_id), F.col(text)))
+    found = near_duplicate_components(plain.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), stages=stages)
+    groups = stages.save(found.select(F.col("doc_id").alias("row"), "component_id", "n_shingles"), "groups")
+    ids = plain.groupBy("row").agg(F.min(F.col(doc_id).cast("long")).alias("id"), F.count(F.lit(1)).alias("times"))
+    worded = groups.where("n_shingles > 0").select("row", "component_id").distinct().join(ids, "row")
+    first = worded.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "times")).alias("m"))
+    chosen = stages.save(first.select("m.row", (F.col("m.times") > 1).alias("repeated")), "chosen")
+    wordless = groups.where("n_shingles = 0").select("row", F.lit(False).alias("repeated")).distinct()
+    kept = plain.join(chosen.union(wordless), "row")
+    one = kept.where("repeated").groupBy("row").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("r")).select("r.*")
+    return kept.where("not repeated").select(names).union(one.select(names)).toDF(*docs.columns)
 
 
 def suffix_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
