@@ -191,7 +191,8 @@ def doc_ids(keys: np.ndarray) -> pa.Array:
 
 
 def bit_table(keys: DataFrame, bits: int) -> bytes:
-    """One bit for each hashed key (column ``h``), OR-ed by Spark; at most 2**bits / 8 bytes.
+    """One bit for each hashed key (column ``h``), OR-ed by Spark; at most 2**bits / 8 bytes, less for fewer keys: the
+    table is folded in half as long as one bit of sixteen is set at most.
 
     A reader that finds its bit unset knows that its key is absent; a set bit proves nothing, so
     the table only spares work and an exact step always follows.
@@ -206,10 +207,15 @@ def bit_table(keys: DataFrame, bits: int) -> bytes:
     out = np.zeros(1 << (bits - 6), np.int64)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    while len(out) > 16:
+        half = out[: len(out) // 2] | out[len(out) // 2 :]
+        if 16 * int(np.bitwise_count(half).sum()) > 64 * len(half):
+            break
+        out = half
     return out.tobytes()
 
 
-def bits_set(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+def bits_set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the signed hashes have their bit set."""
-    cell = unsigned(h) & _U((1 << bits) - 1)
+    cell = unsigned(h) & _U(64 * len(table) - 1)
     return (table[(cell >> _U(6)).astype(np.int64)] >> (cell & _U(63))) & _U(1) == 1

@@ -206,14 +206,14 @@ def region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(x[-1] for x in cols + piv) + (bool(keep[-1] or sent[-1]),)
 
 
-def set_rows(k: int, bits: int, table):
+def set_rows(k: int, table):
     """Task: the sets of documents whose set key may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(table.value, np.uint64)
         seen: set = set()
         for _, keys, sets, so in _sets(batches, k):
-            want = bits_set(words, signed(keys), bits) & (np.diff(so) > 0)
+            want = bits_set(words, signed(keys)) & (np.diff(so) > 0)
             pick = []
             for i in np.flatnonzero(want):
                 if int(keys[i]) not in seen:
@@ -228,13 +228,13 @@ def set_rows(k: int, bits: int, table):
     return run
 
 
-def pick_rows(bits: int, table):
+def pick_rows(table):
     """Task: the rows whose set key may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(table.value, np.uint64)
         for b in batches:
-            yield b.filter(pa.array(bits_set(words, b.column("cid").to_numpy(zero_copy_only=False), bits)))
+            yield b.filter(pa.array(bits_set(words, b.column("cid").to_numpy(zero_copy_only=False))))
 
     return run
 
@@ -284,10 +284,12 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         .mapInArrow(region_rows, "s long, cid long, n int, pos int, p long, pn int, ppos int"),
         "regions",
     )
+    hot.destroy()
 
     wanted = regions.select(F.col("cid").alias("h")).distinct()
     table = sc.broadcast(bit_table(wanted, BLOOM_BITS))
-    sets = st.save(docs.mapInArrow(set_rows(k, BLOOM_BITS, table), "cid long, members binary"), "sets")  # copies: one for a task
+    sets = st.save(docs.mapInArrow(set_rows(k, table), "cid long, members binary"), "sets")  # copies: one for a task
+    table.destroy()
 
     # regions that each set shares with others: two sets that link share at least as many as the sizes leave over
     shared = st.save(regions.groupBy("cid").agg(F.sort_array(F.collect_list("s")).alias("rs")), "shared")  # a prefix at most
@@ -306,7 +308,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         pairs = st.save(pairs, f"{name}-pairs")
         ends = pairs.select(F.col("x").alias("h")).union(pairs.select("p")).distinct()
         bits = sc.broadcast(bit_table(ends, BLOOM_BITS))
-        own = sets.mapInArrow(pick_rows(BLOOM_BITS, bits), "cid long, members binary").dropDuplicates(["cid"])
+        own = sets.mapInArrow(pick_rows(bits), "cid long, members binary").dropDuplicates(["cid"])
         got = (
             pairs.join(own.select(F.col("cid").alias("x"), F.col("members").alias("xs")), "x")
             .join(own.select(F.col("cid").alias("p"), F.col("members").alias("ys")), "p")
@@ -315,7 +317,10 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
             .withColumn("d", 1 - F.col("inter") / (F.col("xn") + F.col("pn") - F.col("inter")))
             .withColumn("linked", F.expr(f"{den} * inter >= {num} * (xn + pn - inter)"))
         )
-        return st.save(got, name)
+        got = st.save(got, name)
+        bits.destroy()
+        st.drop(f"{name}-pairs")
+        return got
 
     # the first pivot of a region: each set is measured against the pivot that it shares most regions with
     near = f"{den} * least(n, pn) >= {num} * greatest(n, pn)"
@@ -328,6 +333,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     )
     links = measured(enough(star), "star").where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
     labels = st.save(connected_components(links, st, "cc0"), "labels0")
+    st.drop("star")
 
     # recursion: members of regions that still hold two components or more
     members = regions.select(F.col("s").alias("rid"), "cid", "n", "pos")
@@ -366,6 +372,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
             labels = st.save(connected_components(known.union(found), st, f"cc{level}"), f"labels{level}")
         rest = open_.where(large).join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
         members = st.save(_cells(cross.where(cells), chosen, dist, 1 - num / den).union(rest), f"members{level}")
+        st.drop(f"open{level}", f"pivots{level}", f"dist{level}", f"members{level - 1}")
         pivots *= 2
 
     of_class = classes.where("n > 0").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))

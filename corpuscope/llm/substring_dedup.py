@@ -253,7 +253,7 @@ def single_rows(W: int, q: int, table):
             yield _rows(_batch(1, signed(h[new]), k[new], (fp << LO_BITS | lo)[new]), signed(h2[new]))
 
         for k, fp, lo, hi, r in _word_runs(batches, W, q):
-            pick = np.flatnonzero(bits_set(bits, signed(r["gram"]), MIXED_BITS))
+            pick = np.flatnonzero(bits_set(bits, signed(r["gram"])))
             # a stretch of the task goes out once: where it occurs again, it repeats whole and is known to
             _, first = np.unique(r["span"][pick], return_index=True)
             pick = pick[np.sort(first)]
@@ -379,11 +379,13 @@ def substring_dedup(docs: DataFrame, length: int = 35, keep_text: bool = True, s
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = sc.broadcast(window_sketch(plain, length))
     first = st.save(plain.mapInArrow(window_group_rows(length, q, sketch), f"gram long, span long, {SCHEMA}"), "windows")
+    sketch.destroy()
     refined = st.save(
         first.where("kind = 1").repartition(parts, "gram").sortWithinPartitions("gram", "span", "a", "b").mapInArrow(stretch_rows(length), SCHEMA), "stretches"
     )
     table = sc.broadcast(bit_table(refined.where("kind = 2").select(F.col("a").alias("h")), MIXED_BITS))
     single = st.save(plain.mapInArrow(single_rows(length, q, table), SINGLES), "singles")
+    table.destroy()
     settled = single.where("kind = 1").repartition(parts, "a").sortWithinPartitions("a", "d", "b", "c").mapInArrow(settle_rows(length), SCHEMA)
     cuts = first.where("kind = 0").select("a", "b", "c").union(refined.where("kind = 0").select("a", "b", "c"))
     cuts = cuts.union(single.where("kind = 0").select("a", "b", "c")).union(settled.select("a", "b", "c"))

@@ -201,7 +201,7 @@ def stretch_rows(W: int, q: int, table, limit: int = HELD_BYTES):
                 codes = BYTE_CODE[raw]
                 prints = None
                 for r in runs(codes, at, W, q):
-                    pick = np.flatnonzero(bits_set(bits, signed(r["gram"]), MIXED_BITS))
+                    pick = np.flatnonzero(bits_set(bits, signed(r["gram"])))
                     if not len(pick):
                         continue
                     if prints is None:
@@ -359,6 +359,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, stages: Stages | None = N
     single = st.save(
         stretches.repartition(parts, "gram").sortWithinPartitions("gram", "k", "place").mapInArrow(window_rows(length, spill), SCHEMA), "windows"
     )
+    table.destroy()
     settled = single.where("kind = 1").repartition(parts, "a").sortWithinPartitions("a", "b", "c").mapInArrow(settle_rows(length), SCHEMA)
     cuts = first.where("kind = 0").union(refined.where("kind = 0")).union(single.where("kind = 0")).union(settled)
     return cuts.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("b", "c")).alias("cuts"))  # places of one document
