@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # read differently by Java: octal escapes, \\Z and \\z, quoting, classes with operators, verbose and other inline flags
 _UNSURE = re.compile(r"\\[0-9ZzQEeGKRXhHvVNpPacxk]|&&|\[[^\]]*\[|\(\?[a-zA-Z]*[^imsu:=!<>)a-zA-Z]|\(\?[a-zA-Z-]*[^imsu:)<=!>-][a-zA-Z-]*[:)]|\(\?P")
-_PLAIN = {rc.LITERAL, rc.NOT_LITERAL, rc.ANY, rc.IN, rc.MAX_REPEAT, rc.MIN_REPEAT, rc.SUBPATTERN, rc.BRANCH}
+_PLAIN = {"LITERAL", "NOT_LITERAL", "ANY", "IN", "MAX_REPEAT", "MIN_REPEAT", "SUBPATTERN", "BRANCH"}
 
 
 def _parse(pattern: str):
@@ -112,7 +112,7 @@ def matches_inside(pattern: str) -> bool:
 
     def plain(tree) -> bool:
         for op, arg in tree:
-            if op not in _PLAIN:
+            if op.name not in _PLAIN:
                 return False
             if op in (rc.MAX_REPEAT, rc.MIN_REPEAT) and not plain(arg[2]):
                 return False

@@ -6,6 +6,7 @@ not code); they are part of the query definition and mirrored exactly in ``plans
 
 from __future__ import annotations
 
+import json
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,9 @@ CUSTOM_RULES = [
     LineRule("CUSTOM-LICENSE", r"[Ll]icen[sc]e", "INFO", "Mention de licence"),
     LineRule("CUSTOM-EMAIL", r"@mail", "MEDIUM", "Adresse e-mail"),
 ]
+IMPORT_LEVELS = ["error", "note", None]  # default levels of the custom rules; the last has none
+IMPORT_SPLIT = 1500
+TABLE_LANGS = [None, "en", "FR"]  # of the custom rules in the rule table
 CONFIDENCE_HIT = [r"token|\d+\.\d+\.\d+"]
 CONFIDENCE_LOW = ["License"]
 CONFIDENCE_HIGH = [r"[0-9a-f]{40}"]
@@ -151,6 +155,18 @@ def q_custom_rules(spark, sf):
     return scan(docs(spark, sf), [LineRulesRule(CUSTOM_RULES)])
 
 
+def q_rule_table(spark, sf):
+    """R-6, F-7 from a table: a rule for the first four words of each benchmark item, and rules of one language."""
+    from corpuscope.operators.rule_table import scan_rule_table
+
+    bench = table(spark, sf, "benchmark")
+    head = F.regexp_extract("text", r"^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+)", 1)
+    rules = bench.select(F.concat(F.lit("ITEM-"), F.col("item_id").cast("string")).alias("rule_id"), head.alias("pattern"), F.lit(None).cast("string").alias("lang"),
+                         F.lit("HIGH").alias("severity"), F.lit("Passage de test").alias("message")).where("pattern <> ''")
+    own = [(r.rule_id, r.pattern, lang, r.severity, r.message) for r, lang in zip(CUSTOM_RULES, TABLE_LANGS)]
+    return scan_rule_table(docs(spark, sf), rules.union(spark.createDataFrame(own, rules.schema)))
+
+
 def q_all_issues(spark, sf):
     """U-1: every rule over documents in one pass (one read, one split per file)."""
     return scan(docs(spark, sf), all_issue_rules())
@@ -537,6 +553,42 @@ def q_sarif_files(spark, sf):
     return flat
 
 
+def q_sarif_import(spark, sf):
+    """SRC-5: a log for each document, whose results name their rule by index, their level by the rule's default, their
+    message by id, and two locations; read back from files, the larger ones cut while they are read."""
+    from corpuscope.sinks.files import write_documents
+    from corpuscope.sources.sarif import read_sarif_files
+    from corpuscope.sources.scratch import Scratch
+
+    st = Scratch(spark, "import")
+    rules = F.from_json(F.lit(json.dumps([
+        {"id": r.rule_id, "defaultConfiguration": {"level": level} if level else None, "messageStrings": {"found": {"text": r.message + " (ligne {0})"}}}
+        for r, level in zip(CUSTOM_RULES, IMPORT_LEVELS)
+    ])), "array<struct<id:string,defaultConfiguration:struct<level:string>,messageStrings:map<string,struct<text:string>>>>")
+    number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(CUSTOM_RULES) for x in (r.rule_id, i)]), F.col("rule_id"))
+
+    def place(line, **file):
+        where = F.struct(*[v.alias(k) for k, v in file.items()])
+        return F.struct(F.struct(where.alias("artifactLocation"), F.struct(line.cast("int").alias("startLine")).alias("region")).alias("physicalLocation"))
+
+    none, here = F.lit(None).cast("string"), F.lit(0)
+    result = F.struct(
+        number.alias("ruleIndex"), F.struct(F.lit("found").alias("id"), F.array(F.col("line").cast("string")).alias("arguments")).alias("message"),
+        F.array(place(F.col("line"), uri=none, index=here), place(F.col("line") + 1, uri=F.col("file"), index=F.lit(-1))).alias("locations"),
+    )
+    # the results of a document: as many as it has lines, times the rules
+    found = q_custom_rules(spark, sf).groupBy("file").agg(F.sort_array(F.collect_list(result)).alias("results"))
+    run = F.struct(
+        F.col("results"), F.struct(F.struct(F.lit("rules").alias("name"), rules.alias("rules")).alias("driver")).alias("tool"),
+        F.array(F.struct(F.struct(F.col("file").alias("uri")).alias("location"))).alias("artifacts"),
+    )
+    log = F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs")))
+    write_documents(found.select(F.concat("file", F.lit(".sarif")).alias("name"), log.alias("content")), st.path("logs"))
+    out = st.save(read_sarif_files(spark, f"{st.path('logs')}/**/*.sarif", split_bytes=IMPORT_SPLIT), "rows")
+    st.drop("logs")
+    return out
+
+
 def _doc_files(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
@@ -667,10 +719,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_issues_summary": q_top_issues_summary,
     "taint_flow_lines": q_taint_flow_lines,
     "secret_matches": q_secret_matches,
+    "rule_table": q_rule_table,
     "corpus_files": q_corpus_files,
     "corpus_chunks": q_corpus_chunks,
     "incremental_files": q_incremental_files,
     "sarif_files": q_sarif_files,
+    "sarif_import": q_sarif_import,
     "stream_trend": q_stream_trend,
     "stream_dedupe": q_stream_dedupe,
 }

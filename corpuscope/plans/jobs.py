@@ -122,7 +122,7 @@ def fuse_results(spark: SparkSession, inputs: Sequence[str], output: str, strate
         if p.lower().endswith(".json"):
             reports.append(SRC.read_sonar(spark, p).withColumn("source_ord", F.lit(i)))
         else:
-            reports.append(SRC.results_to_issues(SRC.read_sarif(spark, p), source_ord=i))
+            reports.append(SRC.results_to_issues(SRC.read_sarif_files(spark, p), source_ord=i))
     u = reports[0]
     for r in reports[1:]:
         u = u.unionByName(r)

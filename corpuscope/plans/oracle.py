@@ -218,6 +218,29 @@ def line_rules_sql(rules, src=DOCS) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def sarif_import_sql() -> str:
+    parts = []
+    for r, level in zip(C.CUSTOM_RULES, C.IMPORT_LEVELS):
+        for later in (0, 1):
+            parts.append(
+                f"SELECT 'rules' AS tool, {sql_str(r.rule_id)} AS rule_id, {sql_str(level or 'warning')} AS level, "
+                f"{sql_str(r.message)} || ' (ligne ' || CAST(line AS VARCHAR) || ')' AS message, file AS uri, CAST(line + {later} AS BIGINT) AS start_line, "
+                f"CAST(NULL AS BIGINT) AS start_column FROM {lines_of(DOCS)} WHERE regexp_matches(text, {sql_str(r.pattern)})"
+            )
+    return "\nUNION ALL\n".join(parts)
+
+
+def rule_table_sql() -> str:
+    def of_lang(lang):
+        return DOCS if lang is None else f"(SELECT * FROM {DOCS} WHERE lower(lang) = {sql_str(lang.lower())})"
+
+    own = [f"({line_rules_sql([r], of_lang(lang))})" for r, lang in zip(C.CUSTOM_RULES, C.TABLE_LANGS)]
+    heads = "(SELECT item_id, regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+)', 1) AS head FROM benchmark)"
+    items = issue_sel(line="line", rule_id="'ITEM-' || CAST(item_id AS VARCHAR)", severity="'HIGH'", message="'Passage de test'", tool=sql_str(S.TOOL_RULES),
+                      snippet=strip("text")) + f" FROM {lines_of(DOCS)} l JOIN {heads} h ON h.head <> '' AND contains(l.text, h.head)"
+    return "\nUNION ALL\n".join([*own, f"({items})"])
+
+
 def all_issues_sql() -> str:
     return "\nUNION ALL\n".join(
         f"({q})"
@@ -575,10 +598,12 @@ ORACLES: dict[str, str] = {
     "exclude_listed": """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)""",
     "secret_matches": secret_matches_sql(),
+    "rule_table": rule_table_sql(),
     "corpus_files": FILE_ROWS,
     "corpus_chunks": FILE_ROWS,
     "incremental_files": FILE_ROWS,
     "sarif_files": SARIF_RESULTS,
+    "sarif_import": sarif_import_sql(),
     "stream_trend": f"""WITH {FEED} SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, severity,
         CAST(count(*) AS BIGINT) AS n_issues FROM late WHERE passed IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > passed
         GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e)""",
