@@ -81,6 +81,9 @@ class _Powers:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return _Powers, ()  # a task grows its own; the driver's are not sent with its functions
+
     def get(self, n: int):
         if len(self.up) < n:
             size = max(n, BLOCK_BYTES + 4096)
