@@ -6,6 +6,7 @@ task's memory does not grow with its partition.
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ class Stages:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
             p.getFileSystem(conf).delete(p, True)
 
+    def release(self) -> None:
+        """Let the shuffles of finished steps go: Spark removes their files once the driver's collector has found that
+        nothing refers to them, which in a job of many steps it may not do for long by itself."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
+
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """What tells rows apart whose ids are null or shared: a hash of id and text."""

@@ -285,6 +285,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         "regions",
     )
     hot.destroy()
+    st.release()
 
     wanted = regions.select(F.col("cid").alias("h")).distinct()
     table = sc.broadcast(bit_table(wanted, BLOOM_BITS))
@@ -320,6 +321,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         got = st.save(got, name)
         bits.destroy()
         st.drop(f"{name}-pairs")
+        st.release()
         return got
 
     # the first pivot of a region: each set is measured against the pivot that it shares most regions with
@@ -372,6 +374,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
             labels = st.save(connected_components(known.union(found), st, f"cc{level}"), f"labels{level}")
         rest = open_.where(large).join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
         members = st.save(_cells(cross.where(cells), chosen, dist, 1 - num / den).union(rest), f"members{level}")
+        st.release()
         st.drop(f"open{level}", f"pivots{level}", f"dist{level}", f"members{level - 1}")
         pivots *= 2
 
