@@ -50,6 +50,8 @@ HOT_COUNT = 8
 FLUSH = 1 << 22
 BLOOM_BITS = 26
 LARGE_REGION = 64  # members beyond which a region's pivots leave without cells
+SLICES = 6  # in which the sets of measured pairs move at most, one after the other
+SLICE_BYTES = 64 << 20
 _U = np.uint64
 
 
@@ -291,6 +293,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     table = sc.broadcast(bit_table(wanted, BLOOM_BITS))
     sets = st.save(docs.mapInArrow(set_rows(k, table), "cid long, members binary"), "sets")  # copies: one for a task
     table.destroy()
+    st.release()
 
     # regions that each set shares with others: two sets that link share at least as many as the sizes leave over
     shared = st.save(regions.groupBy("cid").agg(F.sort_array(F.collect_list("s")).alias("rs")), "shared")  # a prefix at most
@@ -305,24 +308,31 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
         )
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
-        # only sets of these pairs are shuffled
+        # only sets of these pairs are shuffled, a slice of the pairs at a time, so that the sets are not all on disk thrice
         pairs = st.save(pairs, f"{name}-pairs")
-        ends = pairs.select(F.col("x").alias("h")).union(pairs.select("p")).distinct()
-        bits = sc.broadcast(bit_table(ends, BLOOM_BITS))
-        own = sets.mapInArrow(pick_rows(bits), "cid long, members binary").dropDuplicates(["cid"])
-        got = (
-            pairs.join(own.select(F.col("cid").alias("x"), F.col("members").alias("xs")), "x")
-            .join(own.select(F.col("cid").alias("p"), F.col("members").alias("ys")), "p")
-            .select("x", "p", "xn", "pn", "xs", "ys")
-            .mapInArrow(distance_rows, "x long, p long, xn int, pn int, inter long")
-            .withColumn("d", 1 - F.col("inter") / (F.col("xn") + F.col("pn") - F.col("inter")))
-            .withColumn("linked", F.expr(f"{den} * inter >= {num} * (xn + pn - inter)"))
-        )
-        got = st.save(got, name)
-        bits.destroy()
+        size = pairs.agg(F.sum(F.col("xn").cast("long") + F.col("pn"))).first()[0] or 0
+        slices = int(min(SLICES, 1 + 8 * size // SLICE_BYTES))
+        out = None
+        for i in range(slices):
+            some = pairs.where(F.pmod(F.xxhash64("x"), F.lit(slices)) == i)
+            ends = some.select(F.col("x").alias("h")).union(some.select("p")).distinct()
+            bits = sc.broadcast(bit_table(ends, BLOOM_BITS))
+            own = sets.mapInArrow(pick_rows(bits), "cid long, members binary").dropDuplicates(["cid"])
+            got = (
+                some.join(own.select(F.col("cid").alias("x"), F.col("members").alias("xs")), "x")
+                .join(own.select(F.col("cid").alias("p"), F.col("members").alias("ys")), "p")
+                .select("x", "p", "xn", "pn", "xs", "ys")
+                .mapInArrow(distance_rows, "x long, p long, xn int, pn int, inter long")
+                .withColumn("d", 1 - F.col("inter") / (F.col("xn") + F.col("pn") - F.col("inter")))
+                .withColumn("linked", F.expr(f"{den} * inter >= {num} * (xn + pn - inter)"))
+            )
+            got = st.save(got, f"{name}/{i}")
+            bits.destroy()
+            del own
+            st.release()
+            out = got if out is None else out.union(got)
         st.drop(f"{name}-pairs")
-        st.release()
-        return got
+        return out
 
     # the first pivot of a region: each set is measured against the pivot that it shares most regions with
     near = f"{den} * least(n, pn) >= {num} * greatest(n, pn)"
