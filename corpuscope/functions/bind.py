@@ -1,4 +1,7 @@
-"""Column helpers that keep long expressions from being evaluated again and again."""
+"""Helpers that keep long expressions from being evaluated, or built, again and again.
+
+The ``_sql`` forms give SQL text: an expression of many functions is then one parse, not a call to the JVM for each.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,23 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def weave(text: Column, pattern: str, put: Callable[[Column], Column]) -> Column:
-    """``text`` with every match of ``pattern`` replaced by ``put(match)``."""
-    pieces = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return bind(pieces, lambda p: F.array_join(
-        F.transform(p["gaps"], lambda gap, i: F.concat(gap, bind(F.get(p["found"], i), lambda m: F.when(m.isNull(), "").otherwise(put(m))))), ""))
+def quoted(text: str) -> str:
+    """A text as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def of_text(text: Column, name: str, sql: str) -> Column:
+    """The SQL expression ``sql`` over a column that it calls ``name``, evaluated once."""
+    return F.get(F.call_function("transform", F.array(text), F.expr(f"{name} -> {sql}")), 0)
+
+
+def bind_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def weave_sql(text: str, pattern: str, match: str, put: str) -> str:
+    """``text`` with every match of ``pattern`` replaced by ``put``, which calls it ``match``."""
+    pieces = f"named_struct('gaps', split({text}, {quoted(pattern)}, -1), 'found', regexp_extract_all({text}, {quoted(pattern)}, 0))"
+    one = bind_sql("get(w.found, i)", match, f"if({match} is null, '', {put})")
+    return bind_sql(pieces, "w", f"array_join(transform(w.gaps, (gap, i) -> concat(gap, {one})), '')")

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # read differently by Java: octal escapes, \\Z and \\z, quoting, classes with operators, verbose and other inline flags
-_UNSURE = re.compile(r"\\[0-9ZzQEeGKRXhHvVNpPacxk]|&&|\[[^\]]*\[|\(\?[a-zA-Z]*[^imsu:=!<>)a-zA-Z]|\(\?[a-zA-Z-]*[^imsu:)<=!>-][a-zA-Z-]*[:)]|\(\?P")
+_UNSURE = re.compile(r"\\[0-9ZzQEeGKRXhHvVNpPacxk]|&&|\[[^\]]*\[|\(\?[a-zA-Z]*[^imsu:=!<>)a-zA-Z]|\(\?[a-zA-Z-]*[^imsuU:)<=!>-][a-zA-Z-]*[:)]|\(\?P")
+TELLING = 3  # characters of a literal that few texts hold
 _PLAIN = {"LITERAL", "NOT_LITERAL", "ANY", "IN", "MAX_REPEAT", "MIN_REPEAT", "SUBPATTERN", "BRANCH"}
 
 
@@ -36,7 +37,7 @@ def _parse(pattern: str):
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("error")
-            return rp.parse(re.sub(r"\(\?[a-zA-Z]+:", "(?:", bare)), "i" in flags, "u" in flags
+            return rp.parse(re.sub(r"\(\?[a-zA-Z]+:", "(?:", bare)), "i" in flags, bool(flags & {"u", "U"})
     except (re.error, OverflowError, Warning, RecursionError):
         return None
 
@@ -131,13 +132,13 @@ def text_gate(text: Column, patterns) -> Column | None:
     gates = []
     for p in patterns:
         need = required_literals(p)
-        if need is not None:
+        weak = need is None or min(map(len, need[0])) < TELLING
+        if weak and matches_inside(p):
+            gates.append(text.rlike(p))
+        elif need is not None:
             literals, ignore_case = need
             held = F.lower(text) if ignore_case else text
-            for lit in sorted(literals):
-                gates.append(held.contains(lit))
-        elif matches_inside(p):
-            gates.append(text.rlike(p))
+            gates += [held.contains(lit) for lit in sorted(literals)]
         else:
             return None
     out = gates[0]

@@ -18,7 +18,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuscope.functions.bind import bind, weave
+from corpuscope.functions.bind import bind_sql, of_text, quoted, weave_sql
 
 DECIMAL = "&#[0-9]+;"
 HEXADECIMAL = "&#x[0-9a-fA-F]+;"
@@ -29,52 +29,58 @@ SHORTEST, LONGEST = min(map(len, OPEN_NAMES)), max(map(len, OPEN_NAMES))
 LAST = 0x10FFFF
 
 
-def _buckets() -> Column:
+def _buckets() -> str:
     rows: list[list] = [[] for _ in range(BUCKETS)]
     for name in sorted(html5):
         rows[zlib.crc32(name.encode()) % BUCKETS].append({"n": name, "v": html5[name]})
-    return F.from_json(F.lit(json.dumps(rows)), "array<array<struct<n:string,v:string>>>")  # a constant for the optimizer
+    # a constant for the optimizer
+    return f"from_json({quoted(json.dumps(rows))}, 'array<array<struct<n:string,v:string>>>')"
 
 
-def lookup(name: Column, names: Column) -> Column:
-    """The characters of a name (without the ampersand) in the dictionary; null if there is no such name."""
-    bucket = F.get(names, F.pmod(F.crc32(name), F.lit(BUCKETS)).cast("int"))
-    return F.get(F.filter(bucket, lambda e: e["n"] == name), 0)["v"]
+# The expressions are SQL texts: one parse instead of hundreds of calls. Each takes and gives SQL.
 
 
-def character(code: Column) -> Column:
+def lookup(name: str) -> str:
+    """The characters of a name (without the ampersand) in the dictionary ``names``; null if there is no such name."""
+    return f"get(filter(get(names, cast(crc32({name}) % {BUCKETS} as int)), e -> e.n = {name}), 0).v"
+
+
+def character(code: str) -> str:
     """The character of a valid code point (by UTF-16, of which Spark reads no byte order mark)."""
-    above = code - 0x10000
-    pair = F.concat(F.hex(F.lit(0xD800) + F.shiftright(above, 10)), F.hex(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
-    return F.decode(F.unhex(F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(pair)), "UTF-16BE")
+    above = f"({code} - 65536)"
+    pair = f"concat(hex(55296 + shiftright({above}, 10)), hex(56320 + ({above} & 1023)))"
+    return f"decode(unhex(if({code} < 65536, lpad(hex({code}), 4, '0'), {pair})), 'UTF-16BE')"
+
 
+def _number(digits: str, longest: int, value: str) -> str:
+    """The number of digits without leading zeros (``d`` in ``value``); one of more digits than that is out of range,
+    however large it is."""
+    return bind_sql(f"regexp_replace({digits}, '^0+(?=.)', '')", "d", f"if(length(d) <= {longest}, {value}, {LAST + 1}L)")
 
-def _decimal(digits: Column) -> Column:
-    """A number of up to seven digits without leading zeros; a larger one is out of range however large it is."""
-    plain = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(F.length(plain) <= 7, plain.cast("bigint")).otherwise(F.lit(LAST + 1).cast("bigint"))
 
+def _decimal(digits: str) -> str:
+    return _number(digits, 7, "cast(d as bigint)")
 
-def _hexadecimal(digits: Column) -> Column:
-    plain = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(F.length(plain) <= 6, F.conv(plain, 16, 10).cast("bigint")).otherwise(F.lit(LAST + 1).cast("bigint"))
 
+def _hexadecimal(digits: str) -> str:
+    return _number(digits, 6, "cast(conv(d, 16, 10) as bigint)")
 
-def _no_character(code: Column) -> Column:
-    return (code > LAST) | code.between(0xD800, 0xDFFF)
 
+def _no_character(code: str) -> str:
+    return f"({code} > {LAST} or {code} between {0xD800} and {0xDFFF})"
 
-def _inner(match: Column, before: int) -> Column:
+
+def _inner(match: str, before: int) -> str:
     """A reference without its first characters and its semicolon."""
-    return F.rtrim(F.substr(match, F.lit(before + 1)), F.lit(";"))
+    return f"trim(trailing ';' from substr({match}, {before + 1}))"
 
 
-def _pass(text: Column, pattern: str, number) -> Column:
-    """``struct(text, error)`` of one of the two first passes."""
-    bad = F.get(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _no_character(number(m))), 0)
-    woven = weave(text, pattern, lambda m: character(number(m)))
-    done = bind(bad, lambda b: F.struct(F.when(b.isNull(), woven).alias("text"), b.alias("bad")))
-    return F.when(text.rlike(pattern), done).otherwise(F.struct(text.alias("text"), F.lit(None).cast("string").alias("bad")))
+def _pass(text: str, pattern: str, number) -> str:
+    """``struct(text, bad)`` of one of the two first passes: ``bad`` is the first reference without a character."""
+    bad = f"get(filter(regexp_extract_all({text}, {quoted(pattern)}, 0), r -> {bind_sql(number('r'), 'c', _no_character('c'))}), 0)"
+    woven = weave_sql(text, pattern, "m", bind_sql(number("m"), "c", character("c")))
+    done = bind_sql(bad, "b", f"named_struct('text', if(b is null, {woven}, null), 'bad', b)")
+    return f"if({text} rlike {quoted(pattern)}, {done}, named_struct('text', {text}, 'bad', cast(null as string)))"
 
 
 # --- fixed values: references of the HTML standard that stand for another character, or for none ---
@@ -82,45 +88,26 @@ REPLACED = {0: "�", 13: "\r"} | {b: bytes([b]).decode("cp1252", "ignore") or c
 DROPPED = [(0x1, 0x8), (0xB, 0xB), (0xE, 0x1F), (0x7F, 0x9F), (0xFDD0, 0xFDEF)]
 
 
-def _standard(match: Column, names: Column) -> Column:
-    """A reference by the standard."""
-    numeric = match.startswith("&#")
-    hexadecimal = F.lower(F.substr(match, F.lit(3), F.lit(1))) == "x"
-    code = F.when(hexadecimal, _hexadecimal(_inner(match, 3))).otherwise(_decimal(_inner(match, 2)))
-    table = F.from_json(F.lit(json.dumps([REPLACED.get(b) for b in range(0xA0)])), "array<string>")
-
-    def of_code(c: Column) -> Column:
-        put = F.get(table, F.least(c, F.lit(0x9F)).cast("int"))
-        gone = (c % 0x10000) >= 0xFFFE
-        for lo, hi in DROPPED:
-            gone = gone | c.between(lo, hi)
-        return (
-            F.when((c < 0xA0) & put.isNotNull(), put).when(_no_character(c), F.lit("�")).when(gone, F.lit("")).otherwise(character(c))
-        )
-
-    def of_name(name: Column) -> Column:
-        out = lookup(name, names)
-        for n in range(LONGEST, SHORTEST - 1, -1):
-            head = F.substr(name, F.lit(1), F.lit(n))
-            out = F.coalesce(out, F.when(F.length(name) > n, F.concat(lookup(head, names), F.substr(name, F.lit(n + 1)))))
-        return F.coalesce(out, F.concat(F.lit("&"), name))
-
-    return F.when(numeric, bind(code, of_code)).otherwise(bind(F.substr(match, F.lit(2)), of_name))
+def _standard(match: str) -> str:
+    """A reference by the standard; ``names`` is the dictionary, ``replaced`` the table of code points below 160."""
+    put = "get(replaced, cast(least(c, 159L) as int))"
+    gone = " or ".join([f"c between {lo} and {hi}" for lo, hi in DROPPED] + ["c % 65536 >= 65534"])
+    of_code = f"case when c < 160 and {put} is not null then {put} when {_no_character('c')} then '�' when {gone} then '' else {character('c')} end"
+    heads = [
+        f"if(length(n) > {k}, concat({lookup(f'left(n, {k})')}, substr(n, {k + 1})), null)" for k in range(LONGEST, SHORTEST - 1, -1)
+    ]
+    of_name = f"coalesce({lookup('n')}, {', '.join(heads)}, concat('&', n))"
+    code = f"if(lower(substr({match}, 3, 1)) = 'x', {_hexadecimal(_inner(match, 3))}, {_decimal(_inner(match, 2))})"
+    return f"if(startswith({match}, '&#'), {bind_sql(code, 'c', of_code)}, {bind_sql(f'substr({match}, 2)', 'n', of_name)})"
 
 
 def decode_references(text: Column) -> Column:
     """``struct(text, error)``. A reference of the first two passes that names no character, or half a surrogate pair,
     fails the text."""
-    def third(t: Column) -> Column:
-        return F.when(t.rlike(ANY), bind(_buckets(), lambda names: weave(t, ANY, lambda m: _standard(m, names)))).otherwise(t)
-
-    def second(first: Column) -> Column:
-        return bind(_pass(first["text"], HEXADECIMAL, lambda m: _hexadecimal(_inner(m, 3))),
-                    lambda p: F.struct(F.when(p["bad"].isNull(), third(p["text"])).alias("text"), F.coalesce(first["bad"], p["bad"]).alias("bad")))
-
-    def message(p: Column) -> Column:
-        return F.struct(p["text"].alias("text"), F.when(p["bad"].isNotNull(), F.format_string("référence sans caractère: %s", p["bad"])).alias("error"))
-
-    plain = F.struct(text.alias("text"), F.lit(None).cast("string").alias("error"))
-    decoded = bind(bind(_pass(text, DECIMAL, lambda m: _decimal(_inner(m, 2))), second), message)
-    return F.when(text.rlike("&[#A-Za-z]"), decoded).otherwise(plain)
+    small = quoted(json.dumps([REPLACED.get(b) for b in range(0xA0)]))
+    third = bind_sql(_buckets(), "names", bind_sql(f"from_json({small}, 'array<string>')", "replaced", weave_sql("q.text", ANY, "m", _standard("m"))))
+    rest = f"if(q.bad is null, if(q.text rlike {quoted(ANY)}, {third}, q.text), null)"
+    error = "concat('référence sans caractère: ', coalesce(p.bad, q.bad))"
+    second = bind_sql(_pass("p.text", HEXADECIMAL, lambda m: _hexadecimal(_inner(m, 3))), "q", f"named_struct('text', {rest}, 'error', {error})")
+    first = bind_sql(_pass("t", DECIMAL, lambda m: _decimal(_inner(m, 2))), "p", second)
+    return of_text(text, "t", f"if(t rlike '&[#A-Za-z]', {first}, named_struct('text', t, 'error', cast(null as string)))")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuscope.functions.bind import weave
+from corpuscope.functions.bind import bind_sql, of_text, quoted, weave_sql
 from corpuscope.functions.references import decode_references
 
 # --- fixed values: repair patterns and texts (required behaviour) ---
@@ -26,28 +26,31 @@ def decode_entities(text: Column) -> Column:
     return decode_references(text)
 
 
-def quote_url(url: Column) -> Column:
-    """Percent-quote what may not stand in a URL; one that holds a ``%`` is taken as quoted."""
-    out = F.replace(F.url_encode(url), F.lit("+"), F.lit("%20"))
+def _quoted_url(url: str) -> str:
+    """SQL of ``quote_url``: form-encoding, undone for the characters that may stand in a URL."""
+    out = f"replace(url_encode({url}), '+', '%20')"
     for c in URL_SAFE:
-        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
-    return F.when(~url.contains("%") & url.rlike(URL_UNSAFE), out).otherwise(url)
+        out = f"replace({out}, '%{ord(c):02X}', {quoted(c)})"
+    return f"if(not contains({url}, '%') and {url} rlike {quoted(URL_UNSAFE)}, {out}, {url})"
+
 
+def quote_url(url: Column) -> Column:
+    """Percent-quote what may not stand in a URL; one that holds a ``%`` is taken as quoted."""
+    return of_text(url, "u", _quoted_url("u"))
 
-def _requote(text: Column, link: str, needs: Column) -> Column:
-    """The pieces between links as they are, each link with its target quoted; ``needs``: what a text with a link holds."""
-    def part(whole: Column, g: int) -> Column:
-        return F.regexp_extract(whole, link, g)
 
-    return F.when(needs, weave(text, link, lambda w: F.concat(part(w, 1), quote_url(part(w, 2)), part(w, 3)))).otherwise(text)
+def _requote(text: str, link: str) -> str:
+    """The pieces between links as they are, each link with its target quoted."""
+    before, target, after = (f"regexp_extract(m, {quoted(link)}, {g})" for g in (1, 2, 3))
+    return weave_sql(text, link, "m", f"concat({before}, {bind_sql(target, 'u', _quoted_url('u'))}, {after})")
 
 
 def encode_links(text: Column) -> Column:
-    """S-5: targets of Markdown links, then of HTML links and images, quoted."""
-    low = F.lower(text)
-    markdown = _requote(text, MD_LINK, text.contains("]("))
-    # quoting a Markdown target makes or takes no HTML link sign
-    return _requote(markdown, HTML_LINK, low.contains("href") | low.contains("src"))
+    """S-5: targets of Markdown links, then of HTML links and images, quoted. Only texts that hold a sign of either are
+    cut into pieces; quoting a Markdown target neither makes nor takes the sign of an HTML link."""
+    markdown = f"if(contains(t, ']('), {_requote('t', MD_LINK)}, t)"
+    html = f"if(contains(lower(t), 'href') or contains(lower(t), 'src'), {bind_sql(markdown, 'h', _requote('h', HTML_LINK))}, {markdown})"
+    return of_text(text, "t", html)
 
 
 def fix_anchor_ids(text: Column) -> Column:

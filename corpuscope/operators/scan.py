@@ -85,6 +85,11 @@ class Rule:
     def issues(self, row: Row) -> Column:  # pragma: no cover - interface
         raise NotImplementedError
 
+    def gate(self, row: Row) -> Column | None:
+        """A cheap test that every text with an issue passes; texts that fail those of all rules are not cut into lines.
+        None: there is no such test."""
+        return None
+
     def issues_of_pieces(self, pieces: DataFrame) -> DataFrame:
         """Issues of files that come in pieces ``(file, text, lang, first_line, first_text_line)``, cut at line ends.
         Rules that look at single lines have this from ``scan_pieces``; the others add up what the pieces give."""
@@ -275,15 +280,21 @@ class TaintRule(Rule):
         lines = pieces.select("file", F.explode(numbered).alias("x")).select("file", "x.line", "x.text")
         return taint_lines(lines, self.sensitive_patterns, self.entry_points, self.sinks)
 
+    def gate(self, row):
+        # whole-text substring tests are supersets of the per-line ones
+        sinks, entries = list(self.sinks), list(self.entry_points)
+        out = contains_any(row.text, sinks) & (base_name(row.file).isin(entries) | contains_any(row.text, entries))
+        sensitive = text_gate(row.text, [any_regex([p]) for p in self.sensitive_patterns])
+        return out if sensitive is None else out & sensitive
+
     def issues(self, row):
         rx = any_regex(self.sensitive_patterns)
         sinks, entries = list(self.sinks), list(self.entry_points)
-        # whole-text substring tests are supersets of the per-line ones: cheap gate first
-        gate = contains_any(row.text, sinks) & (base_name(row.file).isin(entries) | contains_any(row.text, entries))
+        gate = self.gate(row)
         entry = (F.size(row.lines) > 0) & (
             base_name(row.file).isin(entries) | F.exists(row.lines, lambda l: contains_any(l, entries))
         )
-        # patterns are searched line by line: anchors and look-around make a whole-text search unsound
+        # only texts that can hold a match are searched, line by line
         first = F.when(gate, F.array_position(F.transform(row.lines, lambda l: l.rlike(rx)), True).cast("int")).otherwise(F.lit(0))
         hits = _line_indices(row.lines, lambda l: contains_any(l, sinks), start=first)
         out = F.transform(
@@ -361,7 +372,7 @@ def _bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def _places(line: Column, pattern: SecretPattern) -> Column:
+def secret_places(line: Column, pattern: SecretPattern) -> Column:
     """``array<struct<start, length>>`` of the secrets of all matches in a line (1-based, by place of the match)."""
     regex, prefix, group = pattern.located()
     matches = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
@@ -426,7 +437,7 @@ class SecretPatternRule(Rule):
         cand = _line_indices(row.lines, lambda l: l.rlike(alt))
 
         def of_line(i, t):
-            found = F.array(*[F.struct(F.lit(p.name).alias("name"), _places(t, p).alias("places")) for p in pats])
+            found = F.array(*[F.struct(F.lit(p.name).alias("name"), secret_places(t, p).alias("places")) for p in pats])
 
             def of_found(fs):
                 everywhere = F.flatten(F.transform(fs, lambda f: f["places"]))
@@ -437,12 +448,14 @@ class SecretPatternRule(Rule):
             return _bind(found, of_found)
 
         out = F.flatten(F.transform(cand, lambda i: _bind(F.element_at(row.lines, i), lambda t: of_line(i, t))))
-        return _when_text(row.text, [p.regex for p in pats], out)
+        return _behind(self.gate(row), out)
 
+    def gate(self, row):
+        return text_gate(row.text, [p.regex for p in self.patterns])
 
-def _when_text(text: Column, patterns: Sequence[str], found: Column) -> Column:
+
+def _behind(gate: Column | None, found: Column) -> Column:
     """``found`` only for texts that can hold a match (see ``functions.literals``)."""
-    gate = text_gate(text, patterns)
     return found if gate is None else F.when(gate, found).otherwise(empty())
 
 
@@ -475,7 +488,7 @@ class EntropyRule(Rule):
         def of_line(i, t):
             token = SecretPattern("token", tp)
             hot = F.filter(
-                F.transform(_places(t, token), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"),
+                F.transform(secret_places(t, token), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"),
                                                                   shannon_entropy(t.substr(p["start"], p["length"])).alias("entropy"))),
                 lambda h: h["entropy"] > limit,
             )
@@ -486,10 +499,14 @@ class EntropyRule(Rule):
             )).otherwise(empty()))
 
         out = F.flatten(F.transform(cand, lambda i: _bind(F.element_at(row.lines, i), lambda t: of_line(i, t))))
+        return _behind(self.gate(row), out)
+
+    def gate(self, row):
+        tp = _token_start_anchored(self.token_pattern)
         # look-behind for a token character sees the same in the text as in the line, as no token spans lines
         if tp != self.token_pattern and not re.search(tp, "x\n" * 64):
-            return F.when(row.text.rlike(tp), out).otherwise(empty())
-        return _when_text(row.text, [self.token_pattern], out)
+            return row.text.rlike(tp)
+        return text_gate(row.text, [self.token_pattern])
 
 
 # --- R-6 / F-7 / X-9 -----------------------------------------------------------------------------
@@ -519,6 +536,27 @@ DANGEROUS_CALLS = [
 ]
 
 
+# --- fixed values: dangerous calls of one language each (roadmap lists) ---
+DANGEROUS_CALLS_OF = {
+    "javascript": [("EVAL", r"\beval\s*\("), ("INNERHTML", r"\.innerHTML\s*="), ("DOCUMENT-WRITE", r"\bdocument\.write\s*\(")],
+    "c": [("STRCPY", r"\bstrcpy\s*\("), ("GETS", r"\bgets\s*\("), ("MALLOC", r"\bmalloc\s*\("), ("FREE", r"\bfree\s*\(")],
+    "go": [("UNSAFE", r"\bunsafe\."), ("REFLECT", r"\breflect\.")],
+    "ruby": [("EVAL", r"\beval\b"), ("SEND", r"\.send\b"), ("CONSTANTIZE", r"\.constantize\b")],
+    "php": [("EVAL", r"\beval\s*\("), ("EXTRACT", r"\bextract\s*\(\s*\$_"), ("VARIABLE-VARIABLE", r"\$\$\w"), ("SILENCED", r"(?:^|[=(,;\s])@\w+\s*\(")],
+    "python": [("EVAL", r"\beval\s*\("), ("EXEC", r"\bexec\s*\("), ("SYSTEM", r"\bos\.system\s*\("), ("IMPORT", r"\b__import__\s*\(")],
+}
+DANGEROUS_ALIAS = {"typescript": "javascript", "cpp": "c"}
+
+
+def dangerous_call_table(spark, langs: Sequence[str] | None = None) -> DataFrame:
+    """X-9: the dangerous calls of each language as a rule table (``operators.rule_table``)."""
+    rows = []
+    for lang in langs or [*DANGEROUS_CALLS_OF, *DANGEROUS_ALIAS]:
+        for name, pattern in DANGEROUS_CALLS_OF[DANGEROUS_ALIAS.get(lang, lang)]:
+            rows.append((f"DANGER-{lang.upper()}-{name}", lang, pattern, "HIGH", f"Appel dangereux ({lang}): {name.lower()}"))
+    return spark.createDataFrame(rows, "rule_id string, lang string, pattern string, severity string, message string")
+
+
 @dataclass
 class LineRulesRule(Rule):
     """R-6: every (line, rule) where the rule's regex is found; what the patterns require gates the file, one
@@ -547,7 +585,10 @@ class LineRulesRule(Rule):
                 ])
             )
 
-        return _when_text(row.text, [r.pattern for r in rules], F.flatten(F.transform(cand, per_line)))
+        return _behind(self.gate(row), F.flatten(F.transform(cand, per_line)))
+
+    def gate(self, row):
+        return text_gate(row.text, [r.pattern for r in self.rules])
 
 
 # --- the scan ------------------------------------------------------------------------------------
@@ -578,12 +619,14 @@ def check_patterns(corpus: DataFrame, rules: Sequence[Rule]) -> None:
                 raise ValueError(f"invalid regex in {label}: {pattern!r} ({msg})") from None
 
 
-def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None, keep: Sequence[str] = (), every_file: bool = False) -> DataFrame:
     """Issues of all ``rules`` over ``corpus(file, text[, lang])`` in one pass.
 
     With ``max_bytes`` a file that cannot be analysed (R-3) yields only its N999 issue; a corpus column ``error`` says why
     it could not be read.
-    ``keep`` carries extra corpus columns (e.g. ``repo``) onto every issue row.
+    ``keep`` carries extra corpus columns (e.g. ``repo``) onto every issue row. With ``every_file`` a file without issues
+    has a row without a rule, and ``first_of_file`` is true of one row of each file: files and issues are counted from
+    one scan.
     """
     if not rules:
         raise ValueError("no rule selected")
@@ -594,15 +637,28 @@ def scan(corpus: DataFrame, rules: Sequence[Rule], max_bytes: int | None = None,
         raise ValueError("corpus needs a lang column (or give the rule a fixed lang)")
     extra = [c for c in ("lang", "error") if c in corpus.columns and c not in keep]
     base = corpus.select("file", "text", *extra, *keep)
-    row = Row()
-    arrays = [r.issues(row) for r in rules]
+    row, arrays, gates, used = Row(), [], [], set()
+    for r in rules:
+        row.used = set()
+        arrays.append(r.issues(row))
+        if row.used:
+            gates.append(r.gate(row))
+            used |= row.used
     all_issues = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     guard = None
     if max_bytes is not None:
         err = analysis_error(row.text, max_bytes, F.col("error") if "error" in base.columns else None)
         all_issues = F.when(err.isNotNull(), F.array(error_issue(err))).otherwise(all_issues)
         guard = err.isNull()
-    prepared = prepare(base, guard, row.used)
+    if gates and all(g is not None for g in gates):  # lines only of texts that some rule looks at
+        some = gates[0]
+        for g in gates[1:]:
+            some = some | g
+        guard = some if guard is None else guard & some
+    prepared = prepare(base, guard, used)
+    if every_file:
+        rows = prepared.select("file", *keep, F.posexplode_outer(all_issues).alias("pos", "i"))
+        return S.issue_frame(rows.select("file", "i.*", *keep, (F.coalesce("pos", F.lit(0)) == 0).alias("first_of_file")))
     out = prepared.select("file", *keep, F.explode(all_issues).alias("i")).select("file", "i.*", *keep)
     return S.issue_frame(out)
 

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.entropy import shannon_entropy
 from corpuscope.functions.lines import splitlines
 from corpuscope.functions.text import any_regex
 from corpuscope.operators.scan import (
@@ -15,6 +16,7 @@ from corpuscope.operators.scan import (
     EntropyRule,
     SecretPattern,
     SecretPatternRule,
+    secret_places,
     scan,
 )
 
@@ -66,3 +68,47 @@ def secret_confidence(corpus: DataFrame, hit_patterns: Sequence[str], low_patter
     )
     band = F.when(score < 30, F.lit("probable_false_positive")).when(score < 70, F.lit("to_verify")).otherwise(F.lit("likely"))
     return cand.select("file", "line", score.cast("bigint").alias("confidence"), band.alias("band"))
+
+
+# --- ours: what makes a value look like a real secret, in points ---
+BASE_POINTS, ENTROPY_POINTS, LONG_POINTS = 30, 10, 10  # entropy counts up to four bits a character
+PLACEHOLDER_POINTS, COMMENT_POINTS, FORM_POINTS, TEST_POINTS = -40, -20, -30, -20
+LONG_VALUE = 20
+PLACEHOLDER = r"(?i)^(?:password|passwd|secret|token|api[_-]?key|private[_-]?key|changeme|example|test|none|null|todo|x+|\*+|[<${%].*)$"
+COMMENT = r"^\s*(?:#|//|/\*|\*|<!--|--)"
+FORM = r"(?i)<(?:input|label|form|select|textarea)\b"
+TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|spec|fixtures?|examples?)(?:[/_.-]|$)"
+
+
+def secret_scores(corpus: DataFrame, patterns: Sequence[SecretPattern] = DEFAULT_SECRET_PATTERNS,
+                  safe_contexts: Sequence[str] = SAFE_CONTEXTS) -> DataFrame:
+    """X-7 from context, entropy and position: ``file, line, column, rule, entropy, confidence, band`` of every secret that
+    the patterns find outside safe contexts.
+
+    The entropy is that of the value, not of the keyword; a value that is a keyword, a variable or a filler loses points,
+    and so do comments, HTML form fields and test paths."""
+    safe = any_regex(safe_contexts, flags="")
+    anywhere = any_regex([p.regex for p in patterns], flags="")
+    numbered = F.transform(splitlines(F.col("text")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
+    lines = corpus.select("file", F.explode(F.filter(numbered, lambda x: x["text"].rlike(anywhere) & ~x["text"].rlike(safe))).alias("x"))
+
+    def named(p: SecretPattern):
+        return F.transform(secret_places(F.col("x.text"), p), lambda w: F.struct(F.lit(p.name).alias("rule"), w["start"].alias("start"), w["length"].alias("length")))
+
+    found = F.flatten(F.array(*[named(p) for p in patterns]))
+    hits = lines.select("file", F.col("x.line").cast("bigint").alias("line"), F.col("x.text").alias("text"), F.explode(found).alias("w"))
+    hits = hits.withColumn("value", F.col("text").substr(F.col("w.start"), F.col("w.length")))
+    hits = hits.withColumn("entropy", F.round(shannon_entropy(F.col("value")), 6))
+
+    def points(when, n: int):
+        return F.when(when, n).otherwise(0)
+
+    score = (
+        F.lit(BASE_POINTS) + F.round(F.least(F.col("entropy"), F.lit(4.0)) * ENTROPY_POINTS).cast("int") + points(F.length("value") >= LONG_VALUE, LONG_POINTS)
+        + points(F.col("value").rlike(PLACEHOLDER), PLACEHOLDER_POINTS) + points(F.col("text").rlike(COMMENT), COMMENT_POINTS)
+        + points(F.col("text").rlike(FORM), FORM_POINTS) + points(F.col("file").rlike(TEST_PATH), TEST_POINTS)
+    )
+    clamped = F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("bigint")
+    out = hits.select("file", "line", F.col("w.start").cast("bigint").alias("column"), F.col("w.rule").alias("rule"), "entropy", clamped.alias("confidence"))
+    band = F.when(F.col("confidence") < 30, "probable_false_positive").when(F.col("confidence") < 70, "to_verify").otherwise("likely")
+    return out.withColumn("band", band)

@@ -54,6 +54,15 @@ def scan_totals(files: DataFrame, issues: DataFrame) -> DataFrame:
     )
 
 
+def totals_of_scan(rows: DataFrame) -> DataFrame:
+    """A-4 from the rows of ``scan(..., every_file=True)``: the same totals from one reading."""
+    found = F.col("rule_id").isNotNull()
+    return rows.agg(
+        F.count_if("first_of_file").cast("bigint").alias("files_analysed"), F.count_if(found).cast("bigint").alias("issues_found"),
+        F.countDistinct(F.when(found, F.col("file"))).cast("bigint").alias("files_with_issues"),
+    )
+
+
 def severity_filter(issues: DataFrame, threshold: str = "warning") -> DataFrame:
     """F-5: keep issues at least as severe as ``threshold`` (names are case-insensitive)."""
     limit = severity_rank(F.lit(threshold))
@@ -174,7 +183,7 @@ SEVERITY_PENALTY = {"CRITICAL": 10, "HIGH": 5, "MEDIUM": 2, "WARNING": 1, "LOW":
 
 
 def composite_score(
-    files: DataFrame,
+    files: DataFrame | None,
     issues: DataFrame,
     group_col: str = "repo",
     category_col: str = "category",
@@ -183,19 +192,18 @@ def composite_score(
     passing: float = PASSING_SCORE,
 ) -> DataFrame:
     """X-4: per group, category score ``greatest(0, 100 - sum(penalty)/files)``, weighted sum over
-    the weighted categories (a category without issues scores 100), pass when >= ``passing``."""
+    the weighted categories (a category without issues scores 100), pass when >= ``passing``. ``files`` is None if
+    ``issues`` are the rows of ``scan(..., every_file=True)``, which then are read once."""
     sev = F.upper(F.col("severity"))
     pen = F.lit(0.0)
     for name, p in penalties.items():
         pen = F.when(sev == name, F.lit(float(p))).otherwise(pen)
-    n_files = files.groupBy(group_col).agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
-    per_cat = issues.groupBy(group_col).agg(
-        *[
-            F.sum(F.when(F.col(category_col) == cat, pen).otherwise(F.lit(0.0))).alias(f"pen_{cat}")
-            for cat in weights
-        ]
-    )
-    joined = n_files.join(per_cat, group_col, "left")
+    sums = [F.sum(F.when(F.col(category_col) == cat, pen).otherwise(F.lit(0.0))).alias(f"pen_{cat}") for cat in weights]
+    if files is None:
+        joined = issues.groupBy(group_col).agg(F.count_if("first_of_file").cast("bigint").alias("n_files"), *sums)
+    else:
+        n_files = files.groupBy(group_col).agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
+        joined = n_files.join(issues.groupBy(group_col).agg(*sums), group_col, "left")
     score = F.lit(0.0)
     for cat, w in weights.items():
         cat_score = F.greatest(

@@ -58,6 +58,9 @@ CUSTOM_RULES = [
     LineRule("CUSTOM-LICENSE", r"[Ll]icen[sc]e", "INFO", "Mention de licence"),
     LineRule("CUSTOM-EMAIL", r"@mail", "MEDIUM", "Adresse e-mail"),
 ]
+SONAR_OF = {"CRITICAL": "BLOCKER", "MEDIUM": "ODD", "INFO": "INFO"}  # severities of the custom rules as Sonar's
+CODE_OF = {" of ": " eval(", " la ": " strcpy(", " und ": " reflect."}  # joining words as calls
+PROGRAM_OF = {"en": "python", "fr": "cpp", "de": "go", "es": "ruby"}
 IMPORT_LEVELS = ["error", "note", None]  # default levels of the custom rules; the last has none
 IMPORT_SPLIT = 1500
 TABLE_LANGS = [None, "en", "FR"]  # of the custom rules in the rule table
@@ -236,8 +239,15 @@ def event_issues(spark, sf):
     )
 
 
+def issues_once(spark, sf):
+    """All issues as a table: what several branches of a query read, one scan has written."""
+    from corpuscope.sources.scratch import Scratch
+
+    return Scratch(spark, "issues").save(q_all_issues(spark, sf), "issues")
+
+
 def q_scan_totals(spark, sf):
-    return summary.scan_totals(docs(spark, sf), q_all_issues(spark, sf))
+    return summary.totals_of_scan(scan(docs(spark, sf), all_issue_rules(), every_file=True))
 
 
 def q_issue_rollup(spark, sf):
@@ -247,7 +257,7 @@ def q_issue_rollup(spark, sf):
 def q_top_issues(spark, sf):
     order = [F.lower("file"), F.col("file"), F.col("line"), F.coalesce("column", F.lit(0)), F.col("rule_id"),
              F.col("message"), F.coalesce("code_snippet", F.lit(""))]
-    t = summary.top_issues(q_all_issues(spark, sf), TOP_K, order)
+    t = summary.top_issues(issues_once(spark, sf), TOP_K, order)
     return t.select("severity", "rank_in_severity", "file", "line", "rule_id", "message", "severity_total", "remaining")
 
 
@@ -269,7 +279,8 @@ def q_quality_gate(spark, sf):
 
 
 def q_composite_score(spark, sf):
-    return summary.composite_score(docs(spark, sf), all_issues_repo(spark, sf))
+    rows = scan(docs(spark, sf), all_issue_rules(), keep=["repo"], every_file=True)
+    return summary.composite_score(None, rows.withColumn("category", FU.category(F.col("tool"))))
 
 
 def q_severity_level(spark, sf):
@@ -282,10 +293,9 @@ def q_severity_threshold(spark, sf):
 
 
 def q_dedupe_issues(spark, sf):
-    """U-4: two overlapping runs (all rules; secret + rule-table rules again) deduplicated."""
-    d = docs(spark, sf)
-    again = scan(d, [SecretPatternRule(SECRET_RULES, every=False), LineRulesRule(CUSTOM_RULES)])
-    return FU.dedupe(q_all_issues(spark, sf).unionByName(again))
+    """U-4: all rules, and secret and custom rules once more, in one scan; deduplicated."""
+    again = [SecretPatternRule(SECRET_RULES, every=False), LineRulesRule(CUSTOM_RULES)]
+    return FU.dedupe(scan(docs(spark, sf), all_issue_rules() + again))
 
 
 def fuse_input(spark, sf):
@@ -313,7 +323,7 @@ def q_fuse_merge(spark, sf):
 
 
 def q_baseline_diff(spark, sf):
-    i = FU.with_fingerprint(q_all_issues(spark, sf))
+    i = FU.with_fingerprint(issues_once(spark, sf))
     before = i.where(F.col("severity") != "HIGH")
     after = i.where(F.col("severity") != "CRITICAL")
     return FU.baseline_diff(before, after)
@@ -589,6 +599,93 @@ def q_sarif_import(spark, sf):
     return out
 
 
+def q_sonar_import(spark, sf):
+    """SRC-6: a Sonar document for each file with issues of the custom rules, parsed back to issues."""
+    sonar = F.element_at(F.create_map(*[F.lit(x) for kv in SONAR_OF.items() for x in kv]), F.col("severity"))
+    one = F.struct(F.col("rule_id").alias("rule"), "message", sonar.alias("severity"), F.col("file").alias("component"), F.col("line").cast("int").alias("line"))
+    reports = q_custom_rules(spark, sf).groupBy("file").agg(F.sort_array(F.collect_list(one)).alias("issues"))  # a file's lines times the rules
+    text = reports.select(F.to_json(F.struct("issues")).alias("report"))
+    return SRC_SARIF.parse_sonar(text, "report").select("file", "line", "rule_id", "severity", "message", "tool")
+
+
+def q_decoded_bytes(spark, sf):
+    """S-2: the byte corpus decoded by its detected encoding."""
+    from corpuscope.functions.encoding import decode_bytes, detect_encoding
+
+    d = doc_bytes(spark, sf).select("file", "content", detect_encoding(F.col("content"))["encoding"].alias("encoding"))
+    x = d.select("file", "encoding", decode_bytes(F.col("content"), F.col("encoding")).alias("x"))
+    return x.select("file", "encoding", F.col("x.fallback").alias("fallback"), F.md5(F.col("x.text")).alias("digest"), F.length("x.text").cast("bigint").alias("n_chars"))
+
+
+def q_anchors_fixed(spark, sf):
+    """S-4: documents with an anchor whose id ends in as many blanks as the document's number tells."""
+    from corpuscope.functions.repair import fix_anchor_ids
+
+    d = table(spark, sf, "documents")
+    number = F.col("doc_id").cast("string")
+    blanks = F.repeat(F.lit(" "), (F.col("doc_id") % 4).cast("int"))
+    text = F.concat(F.lit('<a ID = "x '), number, blanks, F.lit('" class="y ">'), F.col("text"))
+    return d.select("doc_id", F.md5(fix_anchor_ids(text)).alias("digest"))
+
+
+def q_settings(spark, sf):
+    """F-KV: settings of each document as a map; the first sign splits, later keys win."""
+    from corpuscope.functions.settings import settings_map
+
+    d = table(spark, sf, "documents")
+    items = F.array(F.concat(F.lit("lang="), "lang"), F.concat(F.lit("path="), "source", F.lit("=x")), F.lit("flag"), F.concat(F.lit("lang=late-"), "lang"))
+    m = settings_map(items)
+    return d.select("doc_id", m["lang"].alias("lang"), m["path"].alias("path"), F.size(m).cast("bigint").alias("n"))
+
+
+def q_selected_rules(spark, sf):
+    """X-2: rules chosen by name, with settings."""
+    from corpuscope.operators.registry import build_rules
+
+    rules = build_rules(["file-length", "line-rules"], {"file-length": {"thresholds": DOC_LENGTHS}, "line-rules": {"rules": CUSTOM_RULES}})
+    return scan(docs(spark, sf), rules)
+
+
+def q_dangerous_calls(spark, sf):
+    """X-9: dangerous calls by language; prose becomes code by its joining words, and its language one of programs."""
+    from corpuscope.operators.rule_table import scan_rule_table
+    from corpuscope.operators.scan import dangerous_call_table
+
+    text = F.col("text")
+    for old, new in CODE_OF.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    lang = F.element_at(F.create_map(*[F.lit(x) for kv in PROGRAM_OF.items() for x in kv]), F.col("lang"))
+    code = docs(spark, sf).select("file", text.alias("text"), lang.alias("lang"))
+    return scan_rule_table(code, dangerous_call_table(spark))
+
+
+def q_secret_scores(spark, sf):
+    """X-7: confidence of every secret by context, entropy and position."""
+    from corpuscope.operators.secrets import secret_scores
+
+    return secret_scores(docs(spark, sf), SECRET_RULES)
+
+
+def q_metrics_csv(spark, sf):
+    """SNK-5: file metrics written as CSV and read back."""
+    from corpuscope.sources.scratch import Scratch
+
+    st = Scratch(spark, "csv")
+    metrics = q_file_metrics(spark, sf)
+    RP.write_csv(metrics, st.path("metrics"))
+    return spark.read.schema(metrics.schema).option("header", True).csv(st.path("metrics"))
+
+
+def q_issues_json(spark, sf):
+    """SNK-6: issues written as JSON, a folder for each repository, and read back."""
+    from corpuscope.sources.scratch import Scratch
+
+    st = Scratch(spark, "json")
+    issues = scan(docs(spark, sf), all_issue_rules(), keep=["repo"]).select("repo", "file", "line", "rule_id", "severity", "message")
+    RP.write_json(issues, st.path("issues"), partition_by=["repo"])
+    return spark.read.schema(issues.schema).json(st.path("issues"))
+
+
 def _doc_files(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
@@ -648,7 +745,7 @@ def q_encoding_report_markdown(spark, sf):
 
 def q_top_issues_summary(spark, sf):
     """W-3 console summary of all issues (first 10 per severity, then the remainder count)."""
-    return RP.top_issues_lines(q_all_issues(spark, sf), TOP_K)
+    return RP.top_issues_lines(issues_once(spark, sf), TOP_K)
 
 
 def q_taint_flow_lines(spark, sf):
@@ -725,6 +822,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_files": q_incremental_files,
     "sarif_files": q_sarif_files,
     "sarif_import": q_sarif_import,
+    "sonar_import": q_sonar_import,
+    "decoded_bytes": q_decoded_bytes,
+    "anchors_fixed": q_anchors_fixed,
+    "settings": q_settings,
+    "selected_rules": q_selected_rules,
+    "dangerous_calls": q_dangerous_calls,
+    "secret_scores": q_secret_scores,
+    "metrics_csv": q_metrics_csv,
+    "issues_json": q_issues_json,
     "stream_trend": q_stream_trend,
     "stream_dedupe": q_stream_dedupe,
 }

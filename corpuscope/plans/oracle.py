@@ -230,6 +230,33 @@ def sarif_import_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def dangerous_sql() -> str:
+    """Which calls the joining words stand for, by language: only those of the file's own language count."""
+    text = "text"
+    for old, new in C.CODE_OF.items():
+        text = f"replace({text}, {sql_str(old)}, {sql_str(new)})"
+    src = f"(SELECT file, lang, {text} AS text FROM {DOCS})"
+    own = [("en", "python", "EVAL", "eval("), ("fr", "cpp", "STRCPY", "strcpy("), ("de", "go", "REFLECT", "reflect."), ("es", "ruby", "EVAL", "eval(")]
+    return "\nUNION ALL\n".join(
+        issue_sel(line="line", rule_id=sql_str(f"DANGER-{program.upper()}-{name}"), severity="'HIGH'", message=sql_str(f"Appel dangereux ({program}): {name.lower()}"),
+                  tool=sql_str(S.TOOL_RULES), snippet=strip("text"))
+        + f" FROM {lines_of(f'(SELECT * FROM {src} WHERE lang = {sql_str(lang)})')} WHERE contains(text, {sql_str(' ' + call)})"
+        for lang, program, name, call in own
+    )
+
+
+def secret_scores_sql() -> str:
+    value, rx = "regexp_extract(m, '\"([A-Za-z0-9_]+)\"', 1)", r'token\s*=\s*"[A-Za-z0-9_]+"'
+    return f"""SELECT file, line, CAST(before + strpos(m, '"') + 1 AS BIGINT) AS "column", 'token' AS rule, entropy, confidence,
+        CASE WHEN confidence < 30 THEN 'probable_false_positive' WHEN confidence < 70 THEN 'to_verify' ELSE 'likely' END AS band FROM (
+        SELECT file, line, m, before, entropy, CAST(greatest(0, least(100, 30 + CAST(round(least(entropy, 4.0) * 10) AS INTEGER)
+          + CASE WHEN length(v) >= 20 THEN 10 ELSE 0 END - CASE WHEN regexp_matches(text, '^\\s*(#|//|/\\*|\\*|<!--|--)') THEN 20 ELSE 0 END)) AS BIGINT) AS confidence
+        FROM (SELECT *, {value} AS v, round({entropy(value)}, 6) AS entropy FROM (SELECT file, line, text, ms[k] AS m,
+          list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda g: length(g))), 0) AS before
+          FROM (SELECT file, line, text, regexp_extract_all(text, {sql_str(rx)}) AS ms, regexp_split_to_array(text, {sql_str(rx)}) AS gaps,
+            unnest(generate_series(1, len(regexp_extract_all(text, {sql_str(rx)})))) AS k FROM {lines_of(DOCS)}))))"""
+
+
 def rule_table_sql() -> str:
     def of_lang(lang):
         return DOCS if lang is None else f"(SELECT * FROM {DOCS} WHERE lower(lang) = {sql_str(lang.lower())})"
@@ -472,6 +499,9 @@ def encoding_report_md_sql():
      FROM (SELECT *, row_number() OVER (ORDER BY lower(file), file) AS n FROM {CHECKED} WHERE is_issue))"""
 
 
+METRICS = f"""SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+        CAST(len(regexp_extract_all(text, {sql_str(SC.DEFINITIONS['python'].pattern)})) AS BIGINT) AS n_functions,
+        CAST(len(regexp_extract_all(text, {sql_str(SC.CLASS_PATTERNS['python'])})) AS BIGINT) AS n_classes FROM {DOCS}"""
 FILE_ROWS = f"""SELECT file, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines, CAST(strlen(text) AS BIGINT) AS n_bytes,
     md5(text) AS digest FROM {DOCS} WHERE text IS NOT NULL"""
 # events with the batch they arrive in; ``passed``: the watermark that the batches before have set
@@ -501,9 +531,7 @@ ORACLES: dict[str, str] = {
         OR len(list_filter(ls, lambda l: {contains_any('l', C.TAINT_ENTRIES)})) > 0)""",
     "sensitive_lines": lines_where(f"regexp_matches(text, {any_regex(C.TAINT_SENSITIVE)})"),
     "sink_lines": lines_where(contains_any("text", C.TAINT_SINKS)),
-    "file_metrics": f"""SELECT file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
-        CAST(len(regexp_extract_all(text, {sql_str(SC.DEFINITIONS['python'].pattern)})) AS BIGINT) AS n_functions,
-        CAST(len(regexp_extract_all(text, {sql_str(SC.CLASS_PATTERNS['python'])})) AS BIGINT) AS n_classes FROM {DOCS}""",
+    "file_metrics": METRICS,
     "complexity_proxy": f"""SELECT file, c AS complexity, c > 20 AS too_complex FROM (SELECT file,
         CAST(1 + len(regexp_extract_all(text, {sql_str(SC.DECISION_PATTERN)})) + len(regexp_extract_all(text, {sql_str(SC.BOOLEAN_PATTERN)})) AS BIGINT) AS c
         FROM {DOCS})""",
@@ -604,6 +632,16 @@ ORACLES: dict[str, str] = {
     "incremental_files": FILE_ROWS,
     "sarif_files": SARIF_RESULTS,
     "sarif_import": sarif_import_sql(),
+    "sonar_import": f"""SELECT file, line, rule_id, severity, message, 'sonarqube' AS tool FROM ({line_rules_sql(C.CUSTOM_RULES)})""",
+    "decoded_bytes": f"""SELECT e.file, e.encoding, false AS fallback, md5(CASE WHEN e.encoding = 'utf-8' AND {in_list('d.repo', C.LATIN1_REPOS)}
+        AND {LATIN1_FITS} THEN NULL ELSE text END) AS digest, CAST(length(text) AS BIGINT) AS n_chars FROM {DETECT} e JOIN {DOCS} d USING (file)""",
+    "anchors_fixed": """SELECT doc_id, md5('<a ID = "x ' || CAST(doc_id AS VARCHAR) || '" class="y ">' || text) AS digest FROM documents""",
+    "settings": """SELECT doc_id, 'late-' || lang AS lang, source || '=x' AS path, CAST(2 AS BIGINT) AS n FROM documents""",
+    "selected_rules": f"({length_sql(C.DOC_LENGTHS)}) UNION ALL ({line_rules_sql(C.CUSTOM_RULES)})",
+    "dangerous_calls": dangerous_sql(),
+    "secret_scores": secret_scores_sql(),
+    "metrics_csv": METRICS,
+    "issues_json": f"SELECT repo, file, line, rule_id, severity, message FROM {ALL_REPO}",
     "stream_trend": f"""WITH {FEED} SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, severity,
         CAST(count(*) AS BIGINT) AS n_issues FROM late WHERE passed IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > passed
         GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e)""",

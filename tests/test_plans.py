@@ -64,3 +64,16 @@ def test_ordered_numbering_uses_range_partitioning(spark):
     assert len(single) == 2 and "HashAggregate(keys=[__pid" in single[1].split("Exchange")[0] + single[1]
     assert p.count("Window [") == 1
     assert sorted(r.idx for r in out.collect()) == list(range(1, 501))
+
+
+def test_one_scan_of_the_documents(spark):
+    for q in (C.q_scan_totals, C.q_composite_score, C.q_dedupe_issues, C.q_severity_breakdown, C.q_all_issues):
+        assert optimized(q(spark, SF)).count("Relation [") == 1, q.__name__
+    for q in (C.q_top_issues, C.q_top_issues_summary, C.q_baseline_diff):  # these read one written table of issues
+        assert "documents" not in optimized(q(spark, SF)) and "doc_id" not in optimized(q(spark, SF)), q.__name__
+
+
+def test_lines_are_cut_only_behind_the_gate(spark):
+    """A text without what the patterns require is not split."""
+    p = optimized(C.q_secret_patterns(spark, SF))
+    assert "CASE WHEN Contains(text" in p and p.count("split(text") <= 1

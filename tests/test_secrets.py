@@ -63,3 +63,28 @@ def test_group_index_checked_up_front():
     with pytest.raises(ValueError):
         SecretPattern("bad", r"key=(\w+)", 2)
     assert SecretPattern("ok", r"key=(\w+)", 1).group == 1
+
+
+def test_secret_scores(spark):
+    """Entropy of the value, placeholders, comments, forms and test paths move the score; safe contexts drop the hit."""
+    from corpuscope.operators.secrets import secret_scores
+
+    lines = ["token = 'aB3dE5fG7hI9jK1lM3nO5pQ7'", "password = 'password'", "# token = 'aB3dE5fG7hI9jK1lM3nO5pQ7'", "<input value=\"token='aB3dE5fG7hI9'\">",
+             "x = $_POST['password'] . \"password='aB3dE5fG7'\"", "token = 'abab' token = '${X}'", "nothing"]
+    df = spark.createDataFrame([("src/a.py", "\n".join(lines)), ("tests/a.py", lines[0]), ("e", None)], "file string, text string")
+    got = {(r.file, r.line, r.column): (r.confidence, r.band) for r in secret_scores(df).collect()}
+    assert got == {
+        ("src/a.py", 1, 10): (80, "likely"), ("src/a.py", 2, 13): (18, "probable_false_positive"), ("src/a.py", 3, 12): (60, "to_verify"),
+        ("src/a.py", 4, 22): (36, "to_verify"), ("src/a.py", 6, 10): (40, "to_verify"), ("src/a.py", 6, 25): (10, "probable_false_positive"),
+        ("tests/a.py", 1, 10): (60, "to_verify"),
+    }
+
+
+def test_dangerous_calls_by_language(spark):
+    from corpuscope.operators.rule_table import scan_rule_table
+    from corpuscope.operators.scan import dangerous_call_table
+
+    text = "eval(x)\nstrcpy(a, b)\n$$name\nunsafe.Pointer\nobj.send(:x)\ndocument.write(y)\n"
+    df = spark.createDataFrame([(f"f.{lang}", text, lang) for lang in ("python", "cpp", "php", "go", "ruby", "typescript", "cobol")], "file string, text string, lang string")
+    got = sorted(r.rule_id.removeprefix("DANGER-") for r in scan_rule_table(df, dangerous_call_table(spark)).collect())
+    assert got == ["CPP-STRCPY", "GO-UNSAFE", "PHP-EVAL", "PHP-VARIABLE-VARIABLE", "PYTHON-EVAL", "RUBY-EVAL", "RUBY-SEND", "TYPESCRIPT-DOCUMENT-WRITE", "TYPESCRIPT-EVAL"]

@@ -33,7 +33,7 @@ def regexes(draw, depth=2):
 
 
 @settings(max_examples=400, deadline=None)
-@given(regexes(), st.sampled_from(["", "(?i)", "(?iu)"]), st.lists(st.sampled_from(list("abcTtokKésSxyf1.( \n") + ["ſ", "İ", "K"]), max_size=12))
+@given(regexes(), st.sampled_from(["", "(?i)", "(?iu)", "(?iU)"]), st.lists(st.sampled_from(list("abcTtokKésSxyf1.( \n") + ["ſ", "İ", "K"]), max_size=12))
 def test_a_match_holds_a_required_literal(pattern, flags, chars):
     text = "".join(chars)
     need = required_literals(flags + pattern)
