@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Word statistics: in how many documents each hashed word occurs, summed over tasks.
-2. A distributed randomised SVD of TF-IDF passages (benchmark items and passages of a seeded sample of documents): tasks add up
-   ``A' A W`` for a random ``W``; the driver orthogonalises a matrix of hashed words by rank.
+2. A distributed randomised SVD of TF-IDF passages, of all benchmark items and of all documents: tasks add up ``A' A W``, first
+   over the items for a random ``W``, then over everything; the driver works on matrices of hashed words by rank.
 3. Candidates: every passage of every document, at the length of the item, whose latent vector has a high cosine to an
    item's and holds most of its length. Items go in blocks, each in one pass over the documents.
 4. All candidates are confirmed word by word: the longest common subsequence of the item and the text around the passage, and
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TERM_BITS = 15  # hashed words
 RANK = 64
 OVERSAMPLE = 8
-FIT_DOCUMENTS = 4_000  # documents whose passages the SVD is fitted on, expected at most
+FIT_DOCUMENTS = 4_000  # documents for which all of them count in the SVD, so that items keep their part of it in any table
 FIT_WORDS = 32  # words of a passage there
 ITEM_WEIGHT = 64.0  # of an item against a passage in the fit: the latent space has to tell items apart
 LEAST_IDF = 0.1  # weight of a word that all documents hold
@@ -95,9 +96,11 @@ def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total = np.zeros((1 << TERM_BITS) + PART, np.int64)
     for _, i, j, data, offs in _text_blocks(batches):
         t, _, at = terms(data, offs)
-        doc = np.repeat(np.arange(j - i), np.diff(at))
-        key = np.unique(doc << TERM_BITS | t)
-        total[: 1 << TERM_BITS] += np.bincount(key & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
+        if len(t):
+            o = np.argsort(t.astype(np.uint16), kind="stable")
+            t, doc = t[o], np.repeat(np.arange(j - i), np.diff(at))[o]
+            new = np.concatenate(([True], (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])))
+            total[: 1 << TERM_BITS] += np.bincount(t[new], minlength=1 << TERM_BITS)
         total[1 << TERM_BITS] += j - i
     yield _sum_parts(total)
 
@@ -109,69 +112,83 @@ def passage_starts(at: np.ndarray, size: int) -> np.ndarray:
     return at[:-1][text] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * size
 
 
-def normal_rows(kind: str, idf, basis):
-    """Task: ``A' A W`` (kind "range") or ``(A Q)' (A Q)`` (kind "gram") over the passages of its documents; rows with a
-    weight (column ``weight``) are one passage each."""
+def with_zero(table: np.ndarray) -> np.ndarray:
+    """The table with a row of zeros at its end."""
+    return np.concatenate((table, np.zeros((1, table.shape[1]), table.dtype)))
+
+
+def row_sums(table: np.ndarray, index: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the table's rows over consecutive runs of ``index``, of ``size`` places at most; the last row is zero."""
+    n = np.diff(np.append(start, len(index)))
+    place = np.minimum(start[:, None] + np.arange(size), len(index) - 1)
+    own = np.where(np.arange(size) < n[:, None], index[place], len(table) - 1)
+    return np.matmul(np.ones((1, size), np.float32), np.take(table, own.ravel(), axis=0).reshape(len(start), size, -1))[:, 0]
+
+
+def normal_rows(idf, basis, weight: float):
+    """Task: ``A' A W`` over the passages of its texts, each of length ``weight``. Holds one matrix of hashed words by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(idf.value, np.float32)
-        q = np.frombuffer(basis.value, np.float32).reshape(len(w), -1)
-        size = q.shape[1]
-        total = np.zeros((len(w), size) if kind == "range" else (PART, size), np.float32)
-        for b, i, j, data, offs in _text_blocks(batches):
-            scale = b.column("weight").to_numpy(zero_copy_only=False)[i:j]
+        q = with_zero(np.frombuffer(basis.value, np.float32).reshape(len(w), -1) * w[:, None])
+        total = np.zeros((len(w), q.shape[1]), np.float32)
+        for _, _, _, data, offs in _text_blocks(batches):
             t, _, at = terms(data, offs)
-            for x in range(0, j - i, 64):  # a few texts at a time: words by rank in memory
-                y = min(x + 64, j - i)
-                tt = t[at[x] : at[y]]
-                if not len(tt):
-                    continue
-                start = passage_starts(at[x : y + 1] - at[x], FIT_WORDS)
-                text = np.searchsorted(at[x : y + 1] - at[x], start, side="right") - 1
-                rows = np.add.reduceat(q[tt] * w[tt][:, None], start, axis=0)
-                length = np.add.reduceat(w[tt] ** 2, start)
-                rows *= (scale[x:y][text] / np.maximum(np.sqrt(length), 1e-6))[:, None]
-                if kind == "gram":
-                    total[:size] += rows.T.astype(np.float64) @ rows
-                else:
-                    unit = scale[x:y][text] / np.maximum(np.sqrt(length), 1e-6)
-                    words = np.diff(np.append(start, len(tt)))
-                    back = np.repeat(rows * unit[:, None], words, axis=0) * w[tt][:, None]
-                    o = np.argsort(tt, kind="stable")
-                    cut = np.flatnonzero(np.concatenate(([True], tt[o][1:] != tt[o][:-1])))
-                    total[tt[o][cut]] += np.add.reduceat(back[o], cut, axis=0)
+            start = passage_starts(at, FIT_WORDS)
+            for x in range(0, len(start), 4096):  # a long text's words by rank, a slice at a time
+                first = start[x : x + 4096]
+                end = start[x + 4096] if x + 4096 < len(start) else len(t)
+                own = t[first[0] : end]
+                rows = row_sums(q, own, first - first[0], FIT_WORDS)
+                length = np.add.reduceat(w[own] ** 2, first - first[0])
+                rows *= (weight**2 / np.maximum(length, 1e-12))[:, None]
+                o = np.argsort(own.astype(np.uint16), kind="stable")
+                sorted_ = own[o]
+                cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+                passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, end)))
+                piece = passage_starts(np.append(cut, len(own)), 8)  # of the places of one word
+                total[sorted_[cut]] += np.add.reduceat(row_sums(with_zero(rows), passage[o], piece, 8), np.searchsorted(piece, cut), axis=0)
+        total *= w[:, None]
         yield _sum_parts(total)
 
     return run
 
 
-def fit_latent(docs: DataFrame, items: DataFrame, stages: Stages) -> tuple[np.ndarray, np.ndarray]:
-    """``(idf, V)``: weights of the hashed words, and the words' rows in latent space."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+def fit_latent(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``(idf, V)``: weights of the hashed words, and the words' rows in latent space.
+
+    Every passage of every document and item takes part. Documents together weigh as much as ``FIT_DOCUMENTS`` of them
+    would, so a larger table does not push the items out of the space.
+    """
+    sc = docs.sparkSession.sparkContext
     counts = summed(docs.mapInArrow(frequency_rows, "part int, sums binary"), "i8")
     n = int(counts[1 << TERM_BITS]) if len(counts) else 0
     df = counts[: 1 << TERM_BITS] if n else np.zeros(1 << TERM_BITS)
     idf = np.maximum(np.log((n + 1) / (df + 1)), LEAST_IDF).astype(np.float32)
-    share = min(1.0, FIT_DOCUMENTS / max(n, 1))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1 << 20)) < int(share * (1 << 20))
-    fit = docs.where(draw).select("text", F.lit(1.0).alias("weight")).union(items.select("text", F.lit(ITEM_WEIGHT).alias("weight")))
-    fit = stages.save(fit, "fit").coalesce(4)  # a bounded sample: each task gives one matrix
     w = sc.broadcast(idf.tobytes())
-    basis = np.random.default_rng(11).standard_normal((1 << TERM_BITS, RANK + OVERSAMPLE), np.float32)
-    for _ in range(2):  # the second pass is a power iteration
-        at = sc.broadcast(basis.tobytes())
-        z = summed(fit.mapInArrow(normal_rows("range", w, at), "part int, sums binary"), "f4")
+    shape = (1 << TERM_BITS, RANK + OVERSAMPLE)
+
+    def normal(basis: np.ndarray, *tables: tuple[DataFrame, float]) -> np.ndarray:
+        at = sc.broadcast(basis.astype(np.float32).tobytes())
+        rows = [d.select("text").mapInArrow(normal_rows(w, at, weight), "part int, sums binary") for d, weight in tables]
+        total = summed(reduce(DataFrame.union, rows), "f4")
         at.destroy()
-        if not z.any():
-            return idf, basis[:, :RANK] * 0
-        basis = np.linalg.qr(z.reshape(1 << TERM_BITS, -1))[0].astype(np.float32)
-    at = sc.broadcast(basis.tobytes())
-    gram = summed(fit.mapInArrow(normal_rows("gram", w, at), "part int, sums binary"), "f4").reshape(PART, -1)[: RANK + OVERSAMPLE]
-    at.destroy()
+        return (total if len(total) else np.zeros(shape, np.float32)).reshape(shape).astype(np.float64)
+
+    rng = np.random.default_rng(11)
+    z = normal(rng.standard_normal(shape), (items, ITEM_WEIGHT))
+    if not z.any():
+        return idf, np.zeros((1 << TERM_BITS, RANK), np.float32)
+    # directions that the items leave free stay random
+    basis = np.linalg.qr(z / np.linalg.norm(z) + 1e-3 * rng.standard_normal(shape) / np.sqrt(z.size))[0]
+    z = normal(basis, (docs, np.sqrt(min(1.0, FIT_DOCUMENTS / max(n, 1)))), (items, ITEM_WEIGHT))
     w.destroy()
-    values, vectors = np.linalg.eigh(gram)
-    return idf, (basis @ vectors[:, ::-1][:, :RANK].astype(np.float32))
+    # the singular vectors of A from A'A W alone (Nystroem's approximation, shifted for stability)
+    z += 1e-6 * np.linalg.norm(z) * basis
+    core = basis.T @ z
+    root = np.linalg.cholesky((core + core.T) / 2)
+    vectors, _, _ = np.linalg.svd(np.linalg.solve(root, z.T).T, full_matrices=False)
+    return idf, vectors[:, :RANK].astype(np.float32)
 
 
 def common_subsequence(a: list[int], masks: dict[int, int], n: int) -> int:
@@ -202,7 +219,8 @@ def prepare_items(rows: list[tuple[int, str]], idf: np.ndarray, latent: np.ndarr
         tail = h[-max(1, min(8, len(h) // 3)) :].tolist()
         for i, x in enumerate(tail):
             answer[x] = answer.get(x, 0) | 1 << i
-        out.append({"item": item, "n": len(t), "v": v / norm if norm else v, "norm": norm, "masks": masks, "answer": answer, "tail": len(tail)})
+        words = np.unique(h)
+        out.append({"item": item, "n": len(t), "v": v / norm if norm else v, "norm": norm, "words": words, "terms": np.unique(t), "masks": masks, "answer": answer, "tail": len(tail)})
     return out
 
 
@@ -211,6 +229,14 @@ def around(place, n: int, at: np.ndarray, d: int):
     return np.maximum(place - 2 * STEP, at[d]), np.minimum(place + n + 3 * STEP, at[d + 1])
 
 
+def rich_places(own: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Places around which as many words are those of any item of ``n`` words (``own``) as a leak needs at least; the
+    others would not be ``likely``."""
+    count = np.concatenate(([0], np.cumsum(own)))
+    a, e = around(np.arange(len(own)), n, at, np.repeat(np.arange(len(at) - 1), np.diff(at)))
+    return np.flatnonzero(count[e] - count[a] >= LCS_WITH_ANSWER * n)
+
+
 def likely(hits: dict, items: list[dict], h: np.ndarray, at: np.ndarray):
     """Of all hits ``(text, item): [(place, cosine)]`` those around which as many words are the item's as a leak needs at
     least: ``(text, item, place, cosine)``."""
@@ -219,18 +245,37 @@ def likely(hits: dict, items: list[dict], h: np.ndarray, at: np.ndarray):
         place, cos = (np.array(v) for v in zip(*own))
         a, e = around(place, x["n"], at, d)
         lo = int(a.min())
-        words = np.fromiter(x["masks"], np.uint64, len(x["masks"]))
-        count = np.concatenate(([0], np.cumsum(np.isin(h[lo : int(e.max())], words))))
+        some, words = h[lo : int(e.max())], x["words"]
+        count = np.concatenate(([0], np.cumsum(words[np.minimum(np.searchsorted(words, some), len(words) - 1)] == some)))
         for k in np.flatnonzero(count[e - lo] - count[a - lo] >= LCS_WITH_ANSWER * x["n"]):
             yield d, i, int(place[k]), float(cos[k])
 
 
+def windows(rows: np.ndarray, text: np.ndarray, sizes: list[int]):
+    """``(m, sums)`` for ascending sizes: of ``m`` steps from each one on, or as many as its text still has."""
+    run_sum, last = None, np.searchsorted(text, text, side="right")  # end of each text's steps
+    p, done = rows.copy(), 1
+    for m in sizes:
+        if m - done > 8:  # far from the size before: as a difference of running sums
+            if run_sum is None:
+                run_sum = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)))
+            p = (run_sum[np.minimum(np.arange(len(rows)) + m, last)] - run_sum[:-1]).astype(np.float32)
+        else:
+            for k in range(done, min(m, len(rows))):
+                over = np.flatnonzero(last[:-k] <= np.arange(k, len(rows)))
+                kept = p[over]
+                p[:-k] += rows[k:]
+                p[over] = kept
+        done = m
+        yield m, p
+
+
 def search_rows(packed):
     """Task: ``doc_id, item_id, cosine, lcs, item_words, answer`` of confirmed candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, table = packed.value
-        vw = np.frombuffer(table, np.float32).reshape(1 << TERM_BITS, -1)
+        vw = with_zero(np.frombuffer(table, np.float32).reshape(1 << TERM_BITS, -1))
         scales: dict[int, list[int]] = {}
         short: dict[int, list[int]] = {}
         for i, x in enumerate(items):
@@ -241,12 +286,17 @@ def search_rows(packed):
             for by in (scales, short)
         )
 
+        words_of = {n: np.isin(np.arange(1 << TERM_BITS), np.concatenate([items[i]["terms"] for i in own])) for n, (_, _, own) in words_bank.items()}
+
         def near(p, vectors, norms):
             """Passages and items that are near: rows, items and cosines."""
             along = p @ vectors.T
-            length = np.sqrt(np.einsum("ij,ij->i", p, p))[:, None]
-            hit = np.nonzero((along >= COSINE * length) & (along >= SHARE * norms[None, :]) & (length > 0))
-            return zip(*(x.tolist() for x in hit), (along[hit] / length[hit[0], 0]).tolist())
+            length = np.sqrt(np.einsum("ij,ij->i", p, p))
+            row, col = np.divmod(np.flatnonzero(along >= (COSINE * length)[:, None]), len(norms))
+            value = along[row, col]
+            hit = (value >= SHARE * norms[col]) & (length[row] > 0)
+            row, col = row[hit], col[hit]
+            return zip(row.tolist(), col.tolist(), (value[hit] / length[row]).tolist())
 
         for b, i, j, data, offs in _text_blocks(batches):
             ids = long_column(b, "doc_id")[i:j]
@@ -259,24 +309,23 @@ def search_rows(packed):
             for x in range(0, len(start), 4096):  # words by rank, a slice at a time
                 y = min(x + 4096, len(start))
                 end = start[y] if y < len(start) else len(t)
-                rows[x:y] = np.add.reduceat(vw[t[start[x] : end]], start[x:y] - start[x], axis=0)
-            run_sum = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)))
-            last = np.searchsorted(text, np.arange(j - i), side="right")  # end of each text's steps
+                rows[x:y] = row_sums(vw, t[start[x] : end], start[x:y] - start[x], STEP)
             hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
-            for m, (vectors, norms, own) in bank.items():
-                stop = np.minimum(np.arange(len(start)) + m, last[text])
-                p = (run_sum[stop] - run_sum[:-1]).astype(np.float32)
+            for m, p in windows(rows, text, sorted(bank)):
+                vectors, norms, own = bank[m]
                 for r, c, cos in near(p, vectors, norms):
                     hits.setdefault((int(text[r]), own[c]), []).append((int(start[r]), cos))
             end_of = np.repeat(at[1:], np.diff(at)) if words_bank else None
-            for x in range(0, len(t) if words_bank else 0, 16_384):  # words by rank, a slice at a time
-                y = min(x + 16_384, len(t))
-                sums = np.concatenate((np.zeros((1, vw.shape[1])), np.cumsum(vw[t[x : y + 2 * STEP]], axis=0, dtype=np.float64)))
-                for n, (vectors, norms, own) in words_bank.items():
-                    p = (sums[np.minimum(np.arange(x, y) + n, end_of[x:y]) - x] - sums[: y - x]).astype(np.float32)
+            for n, (vectors, norms, own) in words_bank.items():
+                place = rich_places(words_of[n][t], n, at)
+                for x in range(0, len(place), 4096):  # words by rank, a slice at a time
+                    some = place[x : x + 4096]
+                    index = np.minimum(some[:, None] + np.arange(n), len(t) - 1)
+                    index = np.where(index < end_of[some][:, None], t[index], len(vw) - 1)
+                    p = np.matmul(np.ones((1, n), np.float32), np.take(vw, index.ravel(), axis=0).reshape(len(some), n, -1))[:, 0]
                     for r, c, cos in near(p, vectors, norms):
-                        d = int(np.searchsorted(at, x + r, side="right")) - 1
-                        hits.setdefault((d, own[c]), []).append((x + r, cos))
+                        d = int(np.searchsorted(at, some[r], side="right")) - 1
+                        hits.setdefault((d, own[c]), []).append((int(some[r]), cos))
             found: dict[tuple[int, int], tuple] = {}
             for d, i_, place, cos in likely(hits, items, h, at):
                 x = items[i_]
@@ -315,7 +364,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, stages: Stages | None = No
     st = stages or Stages(spark, "leaks")
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = st.save(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "items")
-    idf, latent = fit_latent(plain, items, st)
+    idf, latent = fit_latent(plain, items)
     table = (latent * idf[:, None]).astype(np.float32).tobytes()
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-items.count() // ITEM_BLOCK)))))
     out = None

@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpuscope.llm.chat_trees import branch_paths, chat_format, escape_text, linear_messages, read_back, unescape_text
@@ -408,6 +409,49 @@ def test_recall_of_paraphrases(spark):
     assert len(want) >= 50 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_latent_space_of_all_passages(spark, monkeypatch):
+    """The space holds as much of all weighted passages, of every document, as the best one of its rank."""
+    from corpuscope.llm import decontaminate as d
+
+    monkeypatch.setattr(d, "FIT_DOCUMENTS", 6)
+    texts = [" ".join(f"own{i % 30}x{(i * 7 + j * j) % 11}" for j in range(40 + i % 50)) for i in range(240)] + ["", None]
+    items = [f"item{k}a item{k}b item{k}c own{k}x1 own{k}x2" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    idf, latent = d.fit_latent(docs, bench)
+    rows, df = [], np.zeros(1 << d.TERM_BITS)
+    for x in texts:
+        raw = np.frombuffer((x or "").encode(), np.uint8)
+        df[np.unique(d.terms(raw, np.array([0, len(raw)]))[0])] += 1
+    assert np.allclose(idf, np.maximum(np.log((len(texts) + 1) / (df + 1)), d.LEAST_IDF))
+    for x, weight in [(x, np.sqrt(6 / len(texts))) for x in texts if x] + [(x, d.ITEM_WEIGHT) for x in items]:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        t = d.terms(raw, np.array([0, len(raw)]))[0]
+        for i in range(0, len(t), d.FIT_WORDS):
+            row = np.zeros(1 << d.TERM_BITS, np.float32)
+            np.add.at(row, t[i : i + d.FIT_WORDS], idf[t[i : i + d.FIT_WORDS]])
+            rows.append(row * weight / np.sqrt((idf[t[i : i + d.FIT_WORDS]] ** 2).sum()))
+    a = np.stack(rows)
+    used = np.abs(a).sum(axis=0) > 0
+    a, own = a[:, used], latent[used]
+    top = np.linalg.svd(a, full_matrices=False)[2][: len(items)]
+    free = a - a @ top.T @ top  # what the heavy items do not span
+    best = (np.linalg.svd(free, compute_uv=False)[: d.RANK - len(items)] ** 2).sum()
+    assert ((free @ own) ** 2).sum() > 0.8 * best and np.allclose(latent.T @ latent, np.eye(d.RANK), atol=1e-3)
+    sample = d.fit_latent(docs.where("doc_id % 40 = 0"), bench)[1][used]
+    assert ((free @ sample) ** 2).sum() < 0.6 * best
+
+
+def test_windows_of_steps():
+    from corpuscope.llm.decontaminate import windows
+
+    text = np.repeat([0, 2, 3], [5, 1, 30])
+    rows = np.random.default_rng(3).standard_normal((36, 4)).astype(np.float32)
+    for m, p in windows(rows, text, [1, 2, 4, 20, 21, 50]):
+        want = [rows[i : i + m][text[i : i + m] == text[i]].sum(axis=0) for i in range(36)]
+        assert np.allclose(p, want, atol=1e-4), m
+
+
 def test_common_subsequence():
     item = [1, 2, 3, 4, 2]
     masks = {}
