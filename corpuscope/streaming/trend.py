@@ -37,41 +37,41 @@ def dedupe_stream(issues: DataFrame, watermark: str = "1 hour", ts_col: str = "t
     return df.dropDuplicatesWithinWatermark([key])
 
 
-FIRST_STATE = "ts bigint, tie string, row binary, done boolean"
+FIRST_STATE = "pending binary, done binary"
+BUCKETS = 512  # of keys that share a state; a stream keeps its number for life
 
 
-def first_per_key(issues: DataFrame, key: str, watermark: str = "1 hour", ts_col: str = "ts", tie_col: str | None = None) -> DataFrame:
+def first_per_key(issues: DataFrame, key: str, watermark: str = "1 hour", ts_col: str = "ts", tie_col: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """ST-3, exactly: of each key the first issue by event time (ties: by ``tie_col``), once, whatever the order in which
-    they arrive. A key's state is its earliest issue so far; it is emitted when the watermark has passed its time, since
+    they arrive. The earliest issue of a key so far is held; it is emitted when the watermark has passed its time, since
     no earlier one can then come, and from then on the key is only remembered. Issues later than the watermark are
-    dropped by Spark. Runs on a stream only."""
+    dropped by Spark. Keys are dealt by hash to ``buckets``, each with one state, and compared there as columns. Runs on
+    a stream only."""
     schema = issues.schema
     names = [f.name for f in schema.fields]
     df = issues.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
+    df = df.withColumn("_at", F.unix_micros(F.col(ts_col))).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    by = ["_at"] + ([tie_col] if tie_col else [])
 
     def pick(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ts, tie, row, done = state.get if state.exists else (None, None, None, False)
-        if state.hasTimedOut:
-            frames = ()
-        else:
-            frames = batches
-        for frame in frames:
-            if done or frame.empty:
-                continue
-            by = [ts_col] + ([tie_col] if tie_col else [])
-            first = frame.sort_values(by, kind="stable").iloc[:1]
-            new = (first[ts_col].iloc[0].value // 1000, str(first[tie_col].iloc[0]).rjust(20, "0") if tie_col else "")
-            if ts is None or new < (ts, tie):
-                (ts, tie), row = new, pickle.dumps(first[names])
+        pending, done = (pickle.loads(x) for x in state.get) if state.exists else (None, pd.Series([], dtype=object))
+        for frame in () if state.hasTimedOut else batches:
+            frame = frame[~frame[key].isin(done)][[*names, "_at"]]
+            if len(frame):
+                held = frame if pending is None else pd.concat([pending, frame])  # of equal ones the first to arrive
+                pending = held.sort_values(by, kind="stable", na_position="first").drop_duplicates(key)
         passed = state.getCurrentWatermarkMs()
-        if not done and ts is not None and passed * 1000 >= ts:
-            yield pickle.loads(row)
-            done, row = True, None
-        state.update((ts, tie, row, done))
-        if not done:
-            state.setTimeoutTimestamp(max(ts // 1000 + 1, passed + 1))
-
-    return df.groupBy(key).applyInPandasWithState(pick, schema, FIRST_STATE, "append", "EventTimeTimeout")
+        if pending is not None:
+            ready = ~(pending["_at"] > passed * 1000)
+            if ready.any():
+                yield pending.loc[ready, names]
+                done = pd.concat([done, pending.loc[ready, key].astype(object)], ignore_index=True)
+                pending = pending[~ready] if not ready.all() else None
+        state.update((pickle.dumps(pending), pickle.dumps(done)))
+        if pending is not None:
+            state.setTimeoutTimestamp(max(int(pending["_at"].iloc[0]) // 1000 + 1, passed + 1))
+
+    return df.groupBy("_bucket").applyInPandasWithState(pick, schema, FIRST_STATE, "append", "EventTimeTimeout")
 
 
 def replay(feed: DataFrame, batch_col: str, query: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:

@@ -217,3 +217,15 @@ def test_first_per_key_in_any_order(spark):
     # k1: an earlier one came in time; k3 came too late (the watermark was 09:00); k4 is still open
     assert sorted((r.key, r.id) for r in got.collect()) == [("k1", 0), ("k2", 2)]
     assert replay(feed.where("false"), "batch", lambda s: s, "none").count() == 0
+
+
+def test_first_per_key_of_many_keys_in_few_states(spark):
+    """Keys share states: no call of Python for each key; without a key the issues are one key's."""
+    rows = [(b, f"k{i % 150}" if i % 150 else None, 10**9 + 3600 * ((i * 37 + b * 5) % 40 + 12 * b), b * 1000 + i) for b in range(4) for i in range(400)]
+    feed = spark.createDataFrame(rows, "batch int, key string, s long, id long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    want = {}
+    for _, k, s, i in rows:
+        want[k] = min(want.get(k, (s, i)), (s, i))
+    got = replay(feed, "batch", lambda s: first_per_key(s, "key", "45 hours", tie_col="id", buckets=3), "states")
+    stop = max(s for *_, s, _ in rows) - 45 * 3600
+    assert len(want) == 150 and sorted((r.key or "", r.id) for r in got.collect()) == sorted((k or "", i) for k, (s, i) in want.items() if s <= stop)
