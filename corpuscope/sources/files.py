@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.sources import store
 from corpuscope.sources.corpus_stream import stream_corpus  # noqa: F401
-from corpuscope.sources.frontier import list_files, pack_by_bytes
+from corpuscope.sources.frontier import FILE_COST, list_files, pack_by_bytes
 from corpuscope.sources.globs import globs_to_regex
 from corpuscope.sources.scratch import Scratch
 from corpuscope.sources.store import MAX_FILE_BYTES, SCHEMA
@@ -140,7 +140,7 @@ def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _packed(files: DataFrame, num_partitions: int | None, scratch: Scratch) -> DataFrame:
-    packed, bins = pack_by_bytes(files, scratch)
+    packed, bins = pack_by_bytes(files, scratch, cost=FILE_COST)
     return packed.repartitionByRange(num_partitions or bins, "bin").select("path", "length", "modificationTime", "error")
 
 
@@ -196,7 +196,7 @@ def discover(spark: SparkSession, patterns: Sequence[str] | str, log: str, **opt
         seen = spark.read.schema(LOG).parquet(log)
     listed = list_files(spark, patterns, scratch=st, **options)
     same = [listed[c].eqNullSafe(seen[c]) for c in ("path", "length", "modificationTime")]
-    new, bins = pack_by_bytes(st.save(listed.join(seen, same, "left_anti"), "new"), st)
+    new, bins = pack_by_bytes(st.save(listed.join(seen, same, "left_anti"), "new"), st, cost=FILE_COST)
     new = st.save(new.select("path", "length", "modificationTime", "error", "bin"), "packed")
     if not new.isEmpty():
         new.repartitionByRange(bins, "bin").write.mode("append").parquet(log)

@@ -26,6 +26,7 @@ from corpuscope.sources.scratch import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+FILE_COST = 64 << 10  # bytes that opening a file counts for where Python reads it; Spark's 4 MB make a task of 32 small files
 FOLDERS_A_TASK = 256  # listed by one task before it hands the rest back
 ROWS_A_BATCH = 4096
 # ``todo``: a folder still to be listed; ``inside``: below a folder that a pattern names; ``via``: real folders entered by links
@@ -176,16 +177,16 @@ def list_files(spark: SparkSession, patterns: Sequence[str], *, recursive: bool
     return out
 
 
-def pack_by_bytes(files: DataFrame, scratch: Scratch | None = None, weight: str = "length", most: int | None = None) -> tuple[DataFrame, int]:
+def pack_by_bytes(files: DataFrame, scratch: Scratch | None = None, weight: str = "length", most: int | None = None, cost: int | None = None) -> tuple[DataFrame, int]:
     """``files`` with ``bin``: runs of neighbouring paths of about ``spark.sql.files.maxPartitionBytes`` (a file counts
-    for ``openCostInBytes`` more), and the number of bins. Running totals are summed within range partitions; one
+    for ``cost`` more, or ``openCostInBytes``), and the number of bins. Running totals are summed within range partitions; one
     offset for each of these is broadcast."""
     spark = files.sparkSession
     st = scratch or Scratch(spark, "packing")
     conf = spark._jsparkSession.sessionState().conf()
-    cost = F.coalesce(F.col(weight), F.lit(0)) + F.lit(int(conf.filesOpenCostInBytes()))
+    load = F.coalesce(F.col(weight), F.lit(0)) + F.lit(int(conf.filesOpenCostInBytes()) if cost is None else cost)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = st.save(files.withColumn("w", cost).repartitionByRange(parts, "path").withColumn("pid", F.spark_partition_id()), "tagged")
+    tagged = st.save(files.withColumn("w", load).repartitionByRange(parts, "path").withColumn("pid", F.spark_partition_id()), "tagged")
     sums = {r.pid: (r.total, r.n) for r in tagged.groupBy("pid").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     total, n = sum(t for t, _ in sums.values()), sum(c for _, c in sums.values())
     size = most or int(conf.filesMaxPartitionBytes())

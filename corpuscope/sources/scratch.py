@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscope.session import ensure_checkpoint_dir
+from corpuscope.sources import store
 
 
 class Scratch:
@@ -25,5 +27,9 @@ class Scratch:
         """Delete tables or folders that no later step reads."""
         conf = self.spark._jsc.hadoopConfiguration()
         for n in names:
+            local = store.local_path(self.path(n))
+            if local is not None:  # Hadoop takes ten times as long over a tree of small files
+                shutil.rmtree(local, ignore_errors=True)
+                continue
             p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(n))
             p.getFileSystem(conf).delete(p, True)

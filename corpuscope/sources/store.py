@@ -100,11 +100,18 @@ def write_whole(path: str, data: bytes) -> None:
     task was lost or beside a second attempt, gives the same file."""
     local = local_path(path)
     if local is not None:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        temp = os.path.join(os.path.dirname(local), f".{uuid.uuid4().hex}.tmp")
+        folder = os.path.dirname(local)
+        temp = os.path.join(folder, f".{uuid.uuid4().hex}.tmp")
         try:
-            with open(temp, "wb") as f:
-                f.write(data)
+            try:
+                f = open(temp, "wb", buffering=0)
+            except FileNotFoundError:
+                os.makedirs(folder, exist_ok=True)
+                f = open(temp, "wb", buffering=0)
+            with f:
+                rest = memoryview(data)
+                while len(rest):
+                    rest = rest[f.write(rest) :]
             os.replace(temp, local)
         except BaseException:
             if os.path.exists(temp):

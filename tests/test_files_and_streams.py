@@ -206,6 +206,18 @@ def test_repaired_files_with_backup(spark, tmp_path):
     assert (tmp_path / "doc/a.md").read_bytes() == "caf\xe9 &amp; x\n".encode("latin-1")
 
 
+def test_small_files_share_tasks(spark):
+    """Tasks follow the bytes: thousands of small files do not make a task of every thirty-two."""
+    from corpuscope.sources.files import _packed
+    from corpuscope.sources.scratch import Scratch
+
+    files = spark.range(6000).select(F.format_string("f/%05d.md", "id").alias("path"), F.lit(1000).cast("long").alias("length"),
+                                     F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(None).cast("string").alias("error"))
+    packed = _packed(files, None, Scratch(spark, "small"))
+    sizes = [r["count"] for r in packed.groupBy(F.spark_partition_id()).count().collect()]
+    assert packed.rdd.getNumPartitions() <= max(4, spark.sparkContext.defaultParallelism) and sum(sizes) == 6000 and len(sizes) > 1
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
