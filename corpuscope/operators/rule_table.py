@@ -89,6 +89,10 @@ def _automaton(entries: list[str]):
     return out
 
 
+def _value(x):
+    return x.as_py()
+
+
 def _hit_rows(group):
     """Task: lines with the literals that stand on them, each once a line."""
 
@@ -97,7 +101,7 @@ def _hit_rows(group):
         for b in batches:
             if machines is None:
                 machines = [(ci, _automaton(words)) for ci in (False, True) if (words := [w for w, c in group.value if c == ci])]
-            for row, file, lang, lines in zip(*(b.column(c).to_pylist() for c in ("row", "file", "lang", "lines"))):
+            for row, file, lang, lines in zip(*(map(_value, b.column(c)) for c in ("row", "file", "lang", "lines"))):  # a text at a time
                 rows = []
                 for number, line in enumerate(lines or (), 1):
                     for ci, machine in machines:

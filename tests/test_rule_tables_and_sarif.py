@@ -142,3 +142,26 @@ def test_fuse_reads_sonar_and_writes_one_log_a_file(spark, tmp_path):
     logs = sorted((tmp_path / "out").iterdir())
     assert [p.name for p in logs] == ["part-00000.sarif", "part-00001.sarif"]
     assert [len(json.loads(p.read_text())["runs"][0]["results"]) for p in logs] == [2, 1]
+
+
+def test_one_text_at_a_time_in_memory():
+    """The lines of a batch do not become Python strings all at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpuscope.operators import rule_table
+
+    class Group:
+        value = [("eval(", False)]
+
+    lines = [[f"eval(x) {i} " + "y" * 1000] * 4 for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([f"f{i}" for i in range(2000)]), pa.nulls(2000, pa.string()), pa.array(lines)], names=["row", "file", "lang", "lines"])
+    del lines
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in rule_table._hit_rows(Group)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 8000 and peak < 1 << 20, peak
