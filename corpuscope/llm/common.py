@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ from corpuscope.session import ensure_checkpoint_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 1 << 20
+RELEASE_PAUSES = 0.3, 0.2  # seconds after each collection
 WORD = "[^\\x20\\x09-\\x0D]+"  # a word: the contract's white space is six ASCII characters
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 NULL_KEY = -(1 << 63)  # stands for a null doc_id inside the operators
@@ -49,9 +51,12 @@ class Stages:
 
     def release(self) -> None:
         """Let the shuffles of finished steps go: Spark removes their files once the driver's collector has found that
-        nothing refers to them, which in a job of many steps it may not do for long by itself."""
-        gc.collect()
-        self.spark._jvm.java.lang.System.gc()
+        nothing refers to them, which in a job of many steps it may not do for long by itself. The first collection only
+        lets go of what still refers to finished queries, so a second follows a little later."""
+        for pause in RELEASE_PAUSES:
+            gc.collect()
+            self.spark._jvm.java.lang.System.gc()
+            time.sleep(pause)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

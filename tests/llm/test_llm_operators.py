@@ -15,7 +15,7 @@ from corpuscope.llm.decontaminate import common_subsequence, drop_leaks, find_le
 from corpuscope.llm.jaccard_join import near_duplicate_components
 from corpuscope.llm.license_scan import license_scan
 from corpuscope.llm.mixing import mix_sources
-from corpuscope.llm.ngram_scores import backoff_scores
+from corpuscope.llm.ngram_scores import backoff_scores, pack_grams, unpack_grams
 from corpuscope.llm.quality_rules import most_rejections, quality_rules
 from corpuscope.llm.queries import op8_ngram_scores
 from corpuscope.llm.substring_dedup import substring_dedup
@@ -218,6 +218,17 @@ def test_backoff_scores(spark, awkward, which):
     assert len(got) == len(want) and backoff_scores(empty(docs)).count() == 0
 
 
+def test_backoff_scores_move_texts_once(spark):
+    """The n-grams' shuffle is gone before texts move, and a hash takes less than six bytes there."""
+    assert backoff_scores(documents(spark), order=3)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    g = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 1 << 20, dtype=np.uint64) * np.uint64(2))
+    packed = pack_grams(g)
+    assert sum(map(len, packed)) < 5.8 * len(g)
+    assert np.array_equal(unpack_grams(*packed), g)
+    one = np.array([1 << 63], np.uint64)
+    assert np.array_equal(unpack_grams(*pack_grams(one)), one)
+
+
 def test_trigram_scores(spark):
     """The registered query: trigrams back off to word pairs, and these to words."""
     rows = [(d, (t or "").encode().lower().split()) for d, t in pairs(documents(spark))]
