@@ -37,6 +37,7 @@ STEP = 8  # words between passages; one word for items of less than two steps
 ITEM_BLOCK = 2_048  # items searched in one pass
 COSINE, SHARE = 0.6, 0.5  # least cosine, and least part of the item's latent length along it
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
+ROWS_AT_ONCE = 8_192  # of a table that are gathered to be summed
 PART = 2_048  # hashed words of a part of a sum
 
 
@@ -120,9 +121,35 @@ def with_zero(table: np.ndarray) -> np.ndarray:
 def row_sums(table: np.ndarray, index: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     """Sums of the table's rows over consecutive runs of ``index``, of ``size`` places at most; the last row is zero."""
     n = np.diff(np.append(start, len(index)))
-    place = np.minimum(start[:, None] + np.arange(size), len(index) - 1)
-    own = np.where(np.arange(size) < n[:, None], index[place], len(table) - 1)
-    return np.matmul(np.ones((1, size), np.float32), np.take(table, own.ravel(), axis=0).reshape(len(start), size, -1))[:, 0]
+    ones, at, step = np.ones((1, size), np.float32), np.arange(size), max(1, ROWS_AT_ONCE // size)
+    out = np.empty((len(start), table.shape[1]), np.float32)
+    for x in range(0, len(start), step):  # few enough rows that they stay in the cache
+        some = start[x : x + step]
+        own = np.where(at < n[x : x + step, None], index[np.minimum(some[:, None] + at, len(index) - 1)], len(table) - 1)
+        out[x : x + step] = np.matmul(ones, np.take(table, own.ravel(), axis=0).reshape(len(some), size, -1))[:, 0]
+    return out
+
+
+def add_by_word(total: np.ndarray, own: np.ndarray, rows: np.ndarray, passage: np.ndarray) -> None:
+    """Add to each word's row of ``total`` the rows of the passages that hold it, once for each place (``own``, ``passage``)."""
+    o = np.argsort(own.astype(np.uint16), kind="stable")
+    word, passage = own[o], passage[o]
+    cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    count = np.diff(np.append(cut, len(word)))
+    one = cut[count == 1]  # most words: nothing to sum
+    total[word[one]] += rows[passage[one]]
+    many = np.repeat(count > 1, count)
+    word, passage, count = word[many], passage[many], count[count > 1]
+    if len(word):
+        cut = np.cumsum(count) - count
+        pieces = row_sums(with_zero(rows), passage, passage_starts(np.append(cut, len(word)), 8), 8)  # of the places of one word
+        n = -(-count // 8)
+        first, single = np.cumsum(n) - n, n == 1
+        total[word[cut[single]]] += pieces[first[single]]
+        if not single.all():
+            pieces = pieces[np.repeat(~single, n)]
+            n = n[~single]
+            total[word[cut[~single]]] += np.add.reduceat(pieces, np.cumsum(n) - n, axis=0)
 
 
 def normal_rows(idf, basis, weight: float):
@@ -142,12 +169,7 @@ def normal_rows(idf, basis, weight: float):
                 rows = row_sums(q, own, first - first[0], FIT_WORDS)
                 length = np.add.reduceat(w[own] ** 2, first - first[0])
                 rows *= (weight**2 / np.maximum(length, 1e-12))[:, None]
-                o = np.argsort(own.astype(np.uint16), kind="stable")
-                sorted_ = own[o]
-                cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, end)))
-                piece = passage_starts(np.append(cut, len(own)), 8)  # of the places of one word
-                total[sorted_[cut]] += np.add.reduceat(row_sums(with_zero(rows), passage[o], piece, 8), np.searchsorted(piece, cut), axis=0)
+                add_by_word(total, own, rows, np.repeat(np.arange(len(first)), np.diff(np.append(first, end))))
         total *= w[:, None]
         yield _sum_parts(total)
 
@@ -239,16 +261,19 @@ def rich_places(own: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
 
 def likely(hits: dict, items: list[dict], h: np.ndarray, at: np.ndarray):
     """Of all hits ``(text, item): [(place, cosine)]`` those around which as many words are the item's as a leak needs at
-    least: ``(text, item, place, cosine)``."""
+    least: ``(text, item, cosine, the item's words there)``."""
     for (d, i), own in hits.items():
         x = items[i]
         place, cos = (np.array(v) for v in zip(*own))
         a, e = around(place, x["n"], at, d)
         lo = int(a.min())
         some, words = h[lo : int(e.max())], x["words"]
-        count = np.concatenate(([0], np.cumsum(words[np.minimum(np.searchsorted(words, some), len(words) - 1)] == some)))
-        for k in np.flatnonzero(count[e - lo] - count[a - lo] >= LCS_WITH_ANSWER * x["n"]):
-            yield d, i, int(place[k]), float(cos[k])
+        own_words = words[np.minimum(np.searchsorted(words, some), len(words) - 1)] == some
+        count = np.concatenate(([0], np.cumsum(own_words)))
+        some = some[own_words].tolist()
+        a, e = count[a - lo], count[e - lo]
+        for k in np.flatnonzero(e - a >= LCS_WITH_ANSWER * x["n"]):
+            yield d, i, float(cos[k]), some[a[k] : e[k]]
 
 
 def windows(rows: np.ndarray, text: np.ndarray, sizes: list[int]):
@@ -327,10 +352,8 @@ def search_rows(packed):
                         d = int(np.searchsorted(at, some[r], side="right")) - 1
                         hits.setdefault((d, own[c]), []).append((int(some[r]), cos))
             found: dict[tuple[int, int], tuple] = {}
-            for d, i_, place, cos in likely(hits, items, h, at):
+            for d, i_, cos, near_words in likely(hits, items, h, at):
                 x = items[i_]
-                a, e = around(place, x["n"], at, d)
-                near_words = h[a:e].tolist()
                 lcs = common_subsequence(near_words, x["masks"], x["n"])
                 answer = common_subsequence(near_words, x["answer"], x["tail"]) >= ANSWER * x["tail"]
                 if lcs >= LCS_ALONE * x["n"] or (answer and lcs >= LCS_WITH_ANSWER * x["n"]):

@@ -11,7 +11,7 @@ import pytest
 from corpuscope.llm.chat_trees import branch_paths, chat_format, escape_text, linear_messages, read_back, unescape_text
 from corpuscope.llm.common import Stages
 from corpuscope.llm.components import connected_components
-from corpuscope.llm.decontaminate import common_subsequence, drop_leaks, find_leaks
+from corpuscope.llm.decontaminate import add_by_word, common_subsequence, drop_leaks, find_leaks, row_sums
 from corpuscope.llm.jaccard_join import near_duplicate_components
 from corpuscope.llm.license_scan import license_scan
 from corpuscope.llm.mixing import mix_sources
@@ -218,6 +218,26 @@ def test_backoff_scores(spark, awkward, which):
     assert len(got) == len(want) and backoff_scores(empty(docs)).count() == 0
 
 
+def test_passage_sums():
+    """Sums are those of plain loops, and few of the rows to be summed are gathered at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    table = np.concatenate((rng.integers(0, 9, (500, 72)), np.zeros((1, 72)))).astype(np.float32)
+    own = np.minimum(rng.geometric(0.02, 100_003) - 1, 499)
+    start = np.arange(0, len(own), 32)
+    tracemalloc.start()
+    rows = row_sums(table, own, start, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(rows, np.add.reduceat(table[own], start, axis=0)) and peak < 10 << 20
+    total, want = np.zeros((501, 72), np.float32), np.zeros((501, 72), np.float32)
+    passage = np.arange(len(own)) // 32
+    add_by_word(total, own, rows, passage)
+    np.add.at(want, own, rows[passage])
+    assert np.array_equal(total, want)
+
+
 def test_backoff_scores_move_texts_once(spark):
     """The n-grams' shuffle is gone before texts move, and a hash takes less than six bytes there."""
     assert backoff_scores(documents(spark), order=3)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
