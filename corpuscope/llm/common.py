@@ -23,6 +23,7 @@ from corpuscope.session import ensure_checkpoint_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 RELEASE_PAUSES = 0.3, 0.2  # seconds after each collection
 WORD = "[^\\x20\\x09-\\x0D]+"  # a word: the contract's white space is six ASCII characters
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -36,9 +37,18 @@ class Stages:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows``: rows that readers and Arrow hold together while this table is made, if its rows are long."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in BATCH_ROWS} if batch_rows else {}
+        try:
+            for k, rows in before.items():
+                conf.set(k, str(min(int(rows), batch_rows) if int(rows) > 0 else batch_rows))
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            for k, rows in before.items():
+                conf.set(k, rows)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -50,6 +50,7 @@ HOT_COUNT = 8
 FLUSH = 1 << 22
 BLOOM_BITS = 26
 LARGE_REGION = 64  # members beyond which a region's pivots leave without cells
+TEXT_ROWS, SET_ROWS = 1_000, 500  # texts, and pairs of sets, that a task takes at a time: by the default of 10,000 some 80 MB of sets
 SLICES = 6  # in which the sets of measured pairs move at most, one after the other
 SLICE_BYTES = 64 << 20
 _U = np.uint64
@@ -271,7 +272,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     sc = spark.sparkContext
     st = stages or Stages(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = st.save(docs.mapInArrow(class_rows(k), "a long, b long, n long, kind int"), "classes")
+    rows = st.save(docs.mapInArrow(class_rows(k), "a long, b long, n long, kind int"), "classes", TEXT_ROWS)
     classes = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cid"), "n")
 
     hot = (
@@ -291,7 +292,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
 
     wanted = regions.select(F.col("cid").alias("h")).distinct()
     table = sc.broadcast(bit_table(wanted, BLOOM_BITS))
-    sets = st.save(docs.mapInArrow(set_rows(k, table), "cid long, members binary"), "sets")  # copies: one for a task
+    sets = st.save(docs.mapInArrow(set_rows(k, table), "cid long, members binary"), "sets", TEXT_ROWS)  # copies: one for a task
     table.destroy()
     st.release()
 
@@ -326,7 +327,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
                 .withColumn("d", 1 - F.col("inter") / (F.col("xn") + F.col("pn") - F.col("inter")))
                 .withColumn("linked", F.expr(f"{den} * inter >= {num} * (xn + pn - inter)"))
             )
-            got = st.save(got, f"{name}/{i}")
+            got = st.save(got, f"{name}/{i}", SET_ROWS)
             bits.destroy()
             del own
             st.release()

@@ -218,6 +218,19 @@ def test_backoff_scores(spark, awkward, which):
     assert len(got) == len(want) and backoff_scores(empty(docs)).count() == 0
 
 
+def test_stages_save_in_small_batches(spark):
+    """Tasks take as many rows at a time as the operator says, and the session's setting comes back."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = Stages(spark, "batches").save(spark.range(0, 5_000, 1, 2).mapInArrow(sizes, "n long"), "sizes", 500)
+    assert max(r.n for r in got.collect()) <= 500 and got.count() >= 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_passage_sums():
     """Sums are those of plain loops, and few of the rows to be summed are gathered at once."""
     import tracemalloc
