@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 1 << 20
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+LONG_ROWS_BYTES = 8 << 20  # of long rows in an Arrow batch: 500 pairs of sets of 20,000 shingles would be 160 MB
 RELEASE_PAUSES = 0.3, 0.2  # seconds after each collection
 WORD = "[^\\x20\\x09-\\x0D]+"  # a word: the contract's white space is six ASCII characters
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -41,10 +43,13 @@ class Stages:
         """``batch_rows``: rows that readers and Arrow hold together while this table is made, if its rows are long."""
         path = f"{self.root}/{name}"
         conf = self.spark.conf
-        before = {k: conf.get(k) for k in BATCH_ROWS} if batch_rows else {}
+        before = {k: conf.get(k) for k in (*BATCH_ROWS, BATCH_BYTES)} if batch_rows else {}
         try:
-            for k, rows in before.items():
-                conf.set(k, str(min(int(rows), batch_rows) if int(rows) > 0 else batch_rows))
+            for k in BATCH_ROWS if batch_rows else ():
+                rows = int(before[k])
+                conf.set(k, str(min(rows, batch_rows) if rows > 0 else batch_rows))
+            if batch_rows:
+                conf.set(BATCH_BYTES, str(LONG_ROWS_BYTES))
             df.write.mode("overwrite").parquet(path)
         finally:
             for k, rows in before.items():

@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscope.llm.chat_trees import branch_paths, chat_format, escape_text, linear_messages, read_back, unescape_text
 from corpuscope.llm.common import Stages
@@ -115,6 +117,21 @@ def test_jaccard_region_recursion(spark):
     assert {r.doc_id: r.component_id for r in near_duplicate_components(docs).collect()} == label
 
 
+def test_long_rows_go_in_small_batches(spark, tmp_path):
+    """A few rows of long texts make a batch by their bytes, and the setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    long_rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("t"))
+    out = Stages(spark, "bytes").save(long_rows.mapInArrow(sizes, "n long"), "sizes", 500).collect()
+    assert len(out) > 3 and max(r.n for r in out) <= 10 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.label for r in connected_components(edges, Stages(spark, "t"), "c").collect()}
