@@ -54,13 +54,20 @@ def connected_components(edges: DataFrame, stages: Stages, name: str, u: str = "
     Each round points the larger neighbours of a node, then the smaller ones, to its smallest
     neighbour. Minima are combined before the shuffle, so a hub costs one row for each task; the
     rows of a hub are then joined to one minimum, which adaptive execution splits. Before each round
-    every task contracts its own blocks of edges. Rounds end when the edges are stars; each is written
-    to the shared folder.
+    every task contracts its own blocks of edges. Rounds end when the edges are stars, or are so few that they
+    make one block; each is written to the shared folder.
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a <> b")
     e = stages.save(e.mapInArrow(forest_rows, "a long, b long"), f"{name}-0")
     r = 0
-    while not _stars(e):
+    while True:
+        if e.count() < FOREST_EDGES:  # one block, which comes out as stars
+            r += 1
+            e = stages.save(e.coalesce(1).mapInArrow(forest_rows, "a long, b long"), f"{name}-{r}")
+            stages.drop(f"{name}-{r - 1}")
+            break
+        if _stars(e):
+            break
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()

@@ -49,10 +49,11 @@ HOT_SHINGLES = 1_000_000  # bound of the broadcast list of common shingles: 8 MB
 HOT_COUNT = 8
 FLUSH = 1 << 22
 BLOOM_BITS = 26
-LARGE_REGION = 64  # members beyond which a region's pivots leave without cells
+FEW_PAIRS, FEW_GROWTH = 4, 8  # pairs between components, for each member, up to which a region settles; growth by level
+CELLS = 8  # pivots that divide a region which does not settle
 TEXT_ROWS, SET_ROWS = 1_000, 500  # texts, and pairs of sets, that a task takes at a time: by the default of 10,000 some 80 MB of sets
 SLICES = 6  # in which the sets of measured pairs move at most, one after the other
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 256 << 20
 _U = np.uint64
 
 
@@ -350,7 +351,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
 
     # recursion: members of regions that still hold two components or more
     members = regions.select(F.col("s").alias("rid"), "cid", "n", "pos")
-    level, pivots = 0, 8
+    level = 0
     while True:
         level += 1
         now = (
@@ -358,36 +359,36 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
             .withColumn("label", F.coalesce("label", "cid"))
         )
         mixed = now.groupBy("rid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("rid")
-        open_ = _reachable(now.join(mixed, "rid"), num, den)
-        open_ = st.save(open_.join(open_.groupBy("rid").agg(F.count(F.lit(1)).alias("members")), "rid"), f"open{level}")
+        open_ = st.save(_reachable(now.join(mixed, "rid"), num, den), f"open{level}")
         if open_.isEmpty():
             break
-        # pivots: members of the region's rarest components first; few where a region is large, more each level
-        per = Window.partitionBy("rid").orderBy("size", "cid")
-        sizes = open_.groupBy("rid", "label").agg(F.count(F.lit(1)).alias("size"))
-        large, done = F.col("members") > LARGE_REGION, F.col("members") <= pivots
-        chosen = (
-            open_.join(sizes, ["rid", "label"]).withColumn("i", F.row_number().over(per)).where(F.col("i") <= F.when(large, 4**level).otherwise(pivots))
-            .select("rid", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"), "i")
-        )
-        chosen = st.save(chosen, f"pivots{level}")
-        # cells need every distance; a region that is settled here or too large for cells only pairs that may link
+        chosen = st.save(_pivots(open_, level), f"pivots{level}")
+        # cells need every distance to their pivots; of all others, pairs that may link
         m, c = open_.alias("m"), chosen.alias("c")
-        may = F.expr(f"label <> plabel and {near} and {room} and (members > {LARGE_REGION} or cid < p)")
-        cross = m.join(c, (F.col("m.rid") == F.col("c.rid")) & (F.col("cid") != F.col("p")) & ((~large & ~done) | may)).drop(F.col("c.rid"))
-        pair = [F.col("cid").alias("x"), "p", F.col("n").alias("xn"), "pn"]
-        cells = ~large & ~done
-        pairs = enough(cross.where(~cells).select(pair).distinct()).union(cross.where(cells).select(pair)).distinct()
+        cross = m.join(c, (F.col("m.rid") == F.col("c.rid")) & (F.col("cid") != F.col("p"))).drop(F.col("c.rid"))
+        divides = F.lit(level > 1) & ~F.col("settles") & (F.col("i") <= CELLS)
+        ends = [F.least("cid", "p").alias("x"), F.greatest("cid", "p").alias("p")]
+        ends += [F.when(F.col("cid") < F.col("p"), F.col(a)).otherwise(F.col(b)).alias(o) for a, b, o in (("n", "pn", "xn"), ("pn", "n", "pn"))]
+        may = cross.where(~divides).where("label <> plabel").where(near).where(room)
+        pairs = enough(may.select(ends).distinct())
+        if level > 1:
+            pairs = pairs.union(cross.where(divides).select(ends)).distinct()
         dist = measured(pairs, f"dist{level}")
         found = dist.where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
         if not found.isEmpty():
             known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))  # stands for the links so far
             labels = st.save(connected_components(known.union(found), st, f"cc{level}"), f"labels{level}")
-        rest = open_.where(large).join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
-        members = st.save(_cells(cross.where(cells), chosen, dist, 1 - num / den).union(rest), f"members{level}")
+        if chosen.where("not settles").isEmpty():
+            st.drop(f"open{level}", f"pivots{level}", f"dist{level}", f"members{level - 1}")
+            break
+        if level > 1:
+            rest = _cells(cross.where(divides), chosen, dist, 1 - num / den)
+        else:
+            left = open_.join(chosen.where("not settles").select("rid").distinct(), "rid", "left_semi")
+            rest = left.join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
+        members = st.save(rest, f"members{level}")
         st.release()
         st.drop(f"open{level}", f"pivots{level}", f"dist{level}", f"members{level - 1}")
-        pivots *= 2
 
     of_class = classes.where("n > 0").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     ids = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -396,6 +397,31 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     return of_class.unionByName(empty)
 
 
+def _pivots(members: DataFrame, level: int) -> DataFrame:
+    """``(rid, p, pn, ppos, plabel, i, settles)``: the pivots of each region at this level.
+
+    A region whose pairs between components are few for each member settles: all members outside its largest component
+    are pivots, and one end of each such pair is among them. Any other region takes a few members of its largest
+    components, in an order that regions share, so that regions of one group of near copies measure the same pairs.
+    """
+    few = FEW_PAIRS * FEW_GROWTH ** (level - 1)
+    sizes = members.groupBy("rid", "label").agg(F.count(F.lit(1)).alias("size"))
+    size = F.col("size").cast("double")
+    region = sizes.groupBy("rid").agg(
+        F.max(F.struct("size", "label")).alias("top"),
+        (F.sum(size) * F.sum(size) - F.sum(size * size) <= 2 * few * F.sum(size)).alias("settles"),
+    ).select("rid", F.col("top.label").alias("first"), "settles")
+    m = members.join(region, "rid")
+    pivot = F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel")
+    all_ = m.where("settles and label <> first").select("rid", *pivot, F.lit(0).alias("i"), "settles")
+    per = Window.partitionBy("rid").orderBy(F.desc("size"), "cid")
+    some = (
+        m.where("not settles").join(sizes, ["rid", "label"]).withColumn("i", F.row_number().over(per)).where(F.col("i") <= few)
+        .select("rid", *pivot, "i", "settles")
+    )
+    return all_.union(some)
+
+
 def _reachable(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members that some member of another component could still reach, by size and by place in the order.
 
@@ -416,7 +442,7 @@ def _cells(cross: DataFrame, chosen: DataFrame, dist: DataFrame, eps: float) ->
 
     A region whose cells would hold over half again its members is not divided.
     """
-    d = dist.select(F.col("x").alias("cid"), "p", "d")
+    d = dist.select(F.col("x").alias("cid"), "p", "d").union(dist.select(F.col("p").alias("cid"), F.col("x").alias("p"), "d"))
     m = (
         cross.join(chosen.select("rid", F.col("p").alias("cid"), F.lit(True).alias("used")), ["rid", "cid"], "left").where("used is null")
         .join(d, ["cid", "p"]).groupBy("rid", "cid", "n", "pos")

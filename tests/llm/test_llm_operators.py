@@ -117,6 +117,36 @@ def test_jaccard_region_recursion(spark):
     assert {r.doc_id: r.component_id for r in near_duplicate_components(docs).collect()} == label
 
 
+def test_jaccard_one_large_group(spark, monkeypatch):
+    """Near copies of one text, half of whose pairs link: few pairs are measured for each copy, and no link is lost."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(240):
+        own = list(base)
+        for i in rng.choice(150, rng.integers(1, 3), replace=False):
+            own[i] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    measured, save = [], Stages.save
+
+    def counted(self, df, name, *more):
+        out = save(self, df, name, *more)
+        if re.fullmatch(r"(star|dist\d+)/\d+", name):
+            measured.append(out.count())
+        return out
+
+    monkeypatch.setattr(Stages, "save", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in near_duplicate_components(docs).orderBy("doc_id").collect()] == label
+    assert sum(measured) <= 12 * len(texts)
+
+
 def test_long_rows_go_in_small_batches(spark, tmp_path):
     """A few rows of long texts make a batch by their bytes, and the setting comes back."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
