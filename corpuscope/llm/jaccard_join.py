@@ -358,37 +358,37 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
             members.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
             .withColumn("label", F.coalesce("label", "cid"))
         )
-        mixed = now.groupBy("rid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("rid")
-        open_ = st.save(_reachable(now.join(mixed, "rid"), num, den), f"open{level}")
+        open_ = st.save(_reachable(now, num, den), f"open{level}")
         if open_.isEmpty():
             break
         chosen = st.save(_pivots(open_, level), f"pivots{level}")
         # cells need every distance to their pivots; of all others, pairs that may link
-        m, c = open_.alias("m"), chosen.alias("c")
-        cross = m.join(c, (F.col("m.rid") == F.col("c.rid")) & (F.col("cid") != F.col("p"))).drop(F.col("c.rid"))
         divides = F.lit(level > 1) & ~F.col("settles") & (F.col("i") <= CELLS)
-        ends = [F.least("cid", "p").alias("x"), F.greatest("cid", "p").alias("p")]
-        ends += [F.when(F.col("cid") < F.col("p"), F.col(a)).otherwise(F.col(b)).alias(o) for a, b, o in (("n", "pn", "xn"), ("pn", "n", "pn"))]
-        may = cross.where(~divides).where("label <> plabel").where(near).where(room)
-        pairs = enough(may.select(ends).distinct())
-        if level > 1:
-            pairs = pairs.union(cross.where(divides).select(ends)).distinct()
+        m, c = open_.alias("m"), chosen.where(~divides).alias("c")
+        may = m.join(c, (F.col("m.rid") == F.col("c.rid")) & (F.col("cid") != F.col("p"))).where("label <> plabel").where(near).where(room)
+        pairs = enough(may.select(_ends()).distinct())
+        last = chosen.where("not settles").isEmpty()
+        if level > 1 and not last:
+            marks = chosen.where(divides).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("i", "p", "pn"))).alias("ps"))  # CELLS at most
+            held = st.save(open_.join(marks, "rid"), f"held{level}")
+            asked = st.save(_asked(held), f"asked{level}")
+            pairs = pairs.union(asked.select(_ends())).distinct()
         dist = measured(pairs, f"dist{level}")
         found = dist.where("linked").select(F.col("x").alias("u"), F.col("p").alias("v"))
         if not found.isEmpty():
             known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))  # stands for the links so far
             labels = st.save(connected_components(known.union(found), st, f"cc{level}"), f"labels{level}")
-        if chosen.where("not settles").isEmpty():
+        if last:
             st.drop(f"open{level}", f"pivots{level}", f"dist{level}", f"members{level - 1}")
             break
         if level > 1:
-            rest = _cells(cross.where(divides), chosen, dist, 1 - num / den)
+            rest = _cells(held, asked, chosen, dist, 1 - num / den)
         else:
             left = open_.join(chosen.where("not settles").select("rid").distinct(), "rid", "left_semi")
             rest = left.join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").select("rid", "cid", "n", "pos")
         members = st.save(rest, f"members{level}")
         st.release()
-        st.drop(f"open{level}", f"pivots{level}", f"dist{level}", f"members{level - 1}")
+        st.drop(f"open{level}", f"pivots{level}", f"held{level}", f"asked{level}", f"dist{level}", f"members{level - 1}")
 
     of_class = classes.where("n > 0").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     ids = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -425,31 +425,56 @@ def _pivots(members: DataFrame, level: int) -> DataFrame:
 def _reachable(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members that some member of another component could still reach, by size and by place in the order.
 
-    Sizes of a region are put in half-open steps of the threshold ratio; a partner lies in the same step or a
-    neighbouring one. A member whose three steps hold no other label has no partner left.
+    ``lo`` and ``hi`` are the least and largest size of a partner that a member may have: the threshold bounds both, and so
+    does the place of the shingle that the region stands for, as two sets meet in the region of the first shingle that
+    they share, and all others that they share come after it. A copy whose own shingles fill the places before it can
+    meet none of its size. Sizes are summed up in steps of three hundredths, so a region has a few hundred at most.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
-    m = members.withColumn("step", step)
-    near = (
-        m.select("rid", "label", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-        .groupBy("rid", "step").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    m = members.withColumn("lo", F.expr(f"({num}L * n + {den - 1}) div {den}"))
+    m = m.withColumn("hi", F.expr(f"least({den}L * n div {num}, ({num + den}L * (n - pos) - {num}L * n) div {num})"))
+    step = F.floor(F.log(F.col("n").cast("double")) * 32).alias("step")
+    sizes = (
+        m.groupBy("rid", step)
+        .agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("hi").alias("h"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        .groupBy("rid").agg(F.collect_list(F.struct("n0", "n1", "h", "l0", "l1")).alias("sizes"), F.min("l0").alias("low"), F.max("l1").alias("high"))
+        .where("low <> high").select("rid", "sizes")
+    )
+    partner = "exists(sizes, z -> z.n0 <= hi and z.n1 >= lo and z.h >= n and (z.l0 <> label or z.l1 <> label))"
+    return m.join(sizes, "rid").where(partner).select("rid", "cid", "n", "pos", "label")
+
+
+def _ends() -> list:
+    """Columns of a pair whatever its order: ``x, p, xn, pn``, the smaller key first."""
+    swap = F.col("cid") > F.col("p")
+    return [
+        F.least("cid", "p").alias("x"), F.greatest("cid", "p").alias("p"),
+        F.when(swap, F.col("pn")).otherwise(F.col("n")).alias("xn"), F.when(swap, F.col("n")).otherwise(F.col("pn")).alias("pn"),
+    ]
+
+
+def _asked(held: DataFrame) -> DataFrame:
+    """``(cid, n, p, pn)``: the distances that members of regions to be divided need, each once, however many regions ask for it."""
+    return (
+        held.groupBy("cid", "n")
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(ps, z -> struct(z.p, z.pn))")))).alias("all"))  # a prefix of regions at most
+        .select("cid", "n", F.explode("all").alias("z")).select("cid", "n", "z.p", "z.pn").where("cid <> p")
     )
-    return m.join(near, ["rid", "step"]).where("l0 <> l1 or l0 <> label").select("rid", "cid", "n", "pos", "label")
 
 
-def _cells(cross: DataFrame, chosen: DataFrame, dist: DataFrame, eps: float) -> DataFrame:
+def _cells(held: DataFrame, asked: DataFrame, chosen: DataFrame, dist: DataFrame, eps: float) -> DataFrame:
     """Members of the next regions: cells of the pivots, with boundary sets replicated; pivots leave.
 
-    A region whose cells would hold over half again its members is not divided.
+    A region whose cells would hold over half again its members is not divided. A member has one row with its region's
+    pivots, and its distances come as one map for all its regions.
     """
-    d = dist.select(F.col("x").alias("cid"), "p", "d").union(dist.select(F.col("p").alias("cid"), F.col("x").alias("p"), "d"))
-    m = (
-        cross.join(chosen.select("rid", F.col("p").alias("cid"), F.lit(True).alias("used")), ["rid", "cid"], "left").where("used is null")
-        .join(d, ["cid", "p"]).groupBy("rid", "cid", "n", "pos")
-        .agg(F.min(F.struct("d", "i")).alias("home"), F.collect_list(F.struct("i", "d")).alias("ds"))  # as many as pivots
+    known = (
+        asked.select("cid", F.col("p").alias("to"), *_ends()[:2]).join(dist.select("x", "p", "d"), ["x", "p"])
+        .groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("to", "d"))).alias("known"))
     )
+    m = held.join(chosen.select("rid", F.col("p").alias("cid")), ["rid", "cid"], "left_anti").join(known, "cid")
+    m = m.withColumn("ds", F.expr("transform(ps, z -> struct(known[z.p] as d, z.i as i))")).withColumn("home", F.array_min("ds"))
     cells = F.expr(f"transform(filter(ds, z -> z.i = home.i or (z.i < home.i and z.d <= home.d + {2 * eps} + 1e-9)), z -> z.i)")
-    m = m.withColumn("cells", cells)
+    m = m.select("rid", "cid", "n", "pos", cells.alias("cells"))
     use = m.groupBy("rid").agg((F.sum(F.size("cells")) * 2 <= F.count(F.lit(1)) * 3).alias("divide"))
     m = m.join(use, "rid").withColumn("cell", F.explode(F.when(F.col("divide"), F.col("cells")).otherwise(F.array(F.lit(0)))))
     return m.select(F.xxhash64("rid", "cell").alias("rid"), "cid", "n", "pos")

@@ -14,7 +14,7 @@ from corpuscope.llm.chat_trees import branch_paths, chat_format, escape_text, li
 from corpuscope.llm.common import Stages
 from corpuscope.llm.components import connected_components
 from corpuscope.llm.decontaminate import add_by_word, common_subsequence, drop_leaks, find_leaks, row_sums
-from corpuscope.llm.jaccard_join import near_duplicate_components
+from corpuscope.llm.jaccard_join import _reachable, near_duplicate_components
 from corpuscope.llm.license_scan import license_scan
 from corpuscope.llm.mixing import mix_sources
 from corpuscope.llm.ngram_scores import backoff_scores, pack_grams, unpack_grams
@@ -147,6 +147,62 @@ def test_jaccard_one_large_group(spark, monkeypatch):
     assert sum(measured) <= 12 * len(texts)
 
 
+def test_jaccard_members_without_partners_leave(spark):
+    """A member stays in a region only if one of another component could link with it there; no such pair is lost."""
+    rng = np.random.default_rng(6)
+    rows = [(0, 0, 100, 0, 0), (0, 1, 100, 0, 1), (0, 2, 100, 15, 2), (0, 3, 85, 0, 3)]  # two meet; the third could meet sizes up to 91
+    rows += [(1, 0, 100, 0, 0), (1, 1, 100, 0, 1), (1, 2, 100, 15, 2)]  # here there is none
+    rows += [(2, 0, 100, 0, 7), (2, 1, 100, 0, 7)]  # one component
+    for rid in range(3, 60):
+        for cid in range(int(rng.integers(2, 9))):
+            n = int(rng.integers(20, 60))
+            rows.append((rid, cid, n, int(rng.integers(0, n - -(-n * 80 // 100) + 1)), int(rng.integers(0, 4))))
+    got = {(r.rid, r.cid) for r in _reachable(spark.createDataFrame(rows, "rid long, cid long, n int, pos int, label long"), 80, 100).collect()}
+
+    def may_link(a, b):
+        return 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2]) and 180 * min(a[2] - a[3], b[2] - b[3]) >= 80 * (a[2] + b[2])
+
+    need = {a[:2] for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and may_link(a, b)}
+    assert need <= got
+    assert {x for x in got if x[0] < 3} == {(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)}
+
+
+def test_jaccard_group_with_far_copies(spark, monkeypatch):
+    """Copies with up to six edits, many beyond the threshold: regions hold few pairs with pivots, and distances for cells are asked for once."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for i in rng.choice(150, rng.integers(0, 7), replace=False):
+            own[i] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    met, save, opened = [], Stages.save, {}
+
+    def counted(self, df, name, *more):
+        out = save(self, df, name, *more)
+        if name.startswith("open"):
+            opened[0] = out
+        if name.startswith("pivots"):
+            met.append(opened[0].select("rid").join(out.select("rid"), "rid").count())
+        if name.startswith("held") and out.count():
+            met.append(out.count())
+        if name.startswith("asked"):
+            assert out.select("cid", "p").distinct().count() == out.count()
+        return out
+
+    monkeypatch.setattr(Stages, "save", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in near_duplicate_components(docs).orderBy("doc_id").collect()] == label
+    assert sum(met) <= 100 * len(texts)
+
+
 def test_long_rows_go_in_small_batches(spark, tmp_path):
     """A few rows of long texts make a batch by their bytes, and the setting comes back."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
